@@ -66,11 +66,8 @@ POINT_INDEX = {
 }
 
 
-def present(*points: str) -> Column:
-    found = F.lit(True)
-    for point in points:
-        found = found & F.col(POINT_INDEX[point]).isNotNull()
-    return found
+def present(*points: str) -> str:
+    return "(" + " AND ".join(f"{POINT_INDEX[point]} IS NOT NULL" for point in points) + ")"
 
 
 def residue_points(frames: DataFrame, sites: DataFrame) -> DataFrame:
@@ -83,20 +80,19 @@ def residue_points(frames: DataFrame, sites: DataFrame) -> DataFrame:
     unpacked = joined.select(*FRAME_KEY, "dssp", "xyz", F.inline("sites"))
     gathered = {}
     for name, index in POINT_INDEX.items():
-        gathered |= geo.columns(name, geo.gather("xyz", F.col(index)))
+        gathered |= geo.named(name, geo.gather("xyz", index))
     flags = {f"has_{name}": present(*points) for name, points in TORSION_POINTS.items()}
     flags |= {"has_cb": present("cb"), "has_arms": present("n", "c")}
-    return unpacked.withColumns({**gathered, **flags}).select(
-        *FRAME_KEY, "residue_index", "residue_type",
-        F.get(F.col("dssp"), F.col("residue_index")).alias("dssp_label"), *flags, *gathered,
+    return unpacked.selectExpr(
+        *FRAME_KEY, "residue_index", "residue_type", "get(dssp, residue_index) AS dssp_label",
+        *[f"{text} AS {name}" for name, text in {**flags, **gathered}.items()],
     )
 
 
 def residue_features(frames: DataFrame, sites: DataFrame) -> DataFrame:
     """C-alpha, C-beta, phi/psi/omega as sine and cosine, and codes, for every residue of every frame."""
-    rows = residue_points(frames, sites)
-    defined = {name: F.col(f"has_{name}") for name in TORSION_POINTS}
-    return geo.with_backbone(rows, defined, F.col("has_cb"), F.col("has_arms")).select(
+    defined = {name: f"has_{name}" for name in TORSION_POINTS}
+    return geo.with_backbone(residue_points(frames, sites), defined, "has_cb", "has_arms").select(
         *FRAME_KEY,
         trajectory_id(F.col("domain_id"), F.col("temperature"), F.col("replicate")).alias("traj_id"),
         "residue_index", *CA, *CB, *TORSIONS,

@@ -278,4 +278,81 @@ windows AS (SELECT window_id, traj_index, traj_id, slide % (n_frames - 63) AS st
         UNION ALL SELECT 'roundtrip_rmsd', bool_and(passed) FROM rmsd
         UNION ALL SELECT 'window_latency', quantile_cont(value, 0.5) < 50.0 AND quantile_cont(value, 0.99) < 200.0 FROM events)
       SELECT check_name, passed FROM checks UNION ALL SELECT 'all', bool_and(passed) FROM checks"""
+    sql.update(label_sql())
+    return sql
+
+
+VECTORS_SQL = f"""{FRAMES_SQL},
+spans AS (SELECT domain_id, temperature, replicate, sum(n) OVER (PARTITION BY domain_id ORDER BY temperature, replicate) - n AS start
+          FROM (SELECT domain_id, temperature, replicate, count(*) AS n FROM frames GROUP BY ALL) c),
+placed AS (SELECT f.*, domain_id || '_' || temperature || '_' || replicate AS traj_id, CAST(start + frame AS BIGINT) AS frame_global
+           FROM frames f JOIN spans USING (domain_id, temperature, replicate)),
+picked AS (SELECT *, CAST(p AS INTEGER) AS slot, CASE WHEN p = 7 THEN 19 ELSE CAST(floor(p * (19.0 / 7)) AS INTEGER) END AS at_point
+           FROM placed, unnest(range(0, 8)) AS u(p)),
+parts AS (SELECT domain_id, traj_id, frame, frame_global, CAST(slot * 3 + k AS INTEGER) AS component,
+                 CAST(e[at_point * 3 + k + 1] AS DOUBLE) - avg(CAST(e[at_point * 3 + k + 1] AS DOUBLE))
+                   OVER (PARTITION BY traj_id, frame, k) AS x
+          FROM picked, unnest(range(0, 3)) AS v(k)),
+scored AS (SELECT domain_id, traj_id, frame, frame_global, component,
+                  (x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-6) AS z
+           FROM parts WINDOW w AS (PARTITION BY traj_id, component))
+"""
+
+
+def covariance_sql(pairing: str) -> str:
+    return f"""WITH {VECTORS_SQL},
+pairs AS (SELECT a.domain_id, a.component, a.frame_global, a.z AS x, b.z AS y FROM scored a JOIN scored b ON {pairing}
+          AND a.domain_id = b.domain_id AND a.component = b.component),
+means AS (SELECT domain_id, component, (avg(x) + avg(y)) / 2 AS m FROM pairs GROUP BY ALL)
+SELECT p.domain_id, p.component AS i, q.component AS j,
+       round(avg(p.x * q.x + p.y * q.y) / 2 - any_value(mp.m) * any_value(mq.m), 6) + 0.0 AS c00,
+       round(avg(p.x * q.y + p.y * q.x) / 2 - any_value(mp.m) * any_value(mq.m), 6) + 0.0 AS c0t
+FROM pairs p JOIN pairs q ON p.domain_id = q.domain_id AND p.frame_global = q.frame_global AND p.component <= q.component
+JOIN means mp ON mp.domain_id = p.domain_id AND mp.component = p.component
+JOIN means mq ON mq.domain_id = q.domain_id AND mq.component = q.component
+GROUP BY p.domain_id, p.component, q.component"""
+
+
+def label_sql() -> dict[str, str]:
+    sql = {}
+    sql["selected_domains"] = f"""
+      WITH {EVENTS_SQL} SELECT max(traj_index) AS pos, domain_id FROM meta GROUP BY domain_id ORDER BY pos LIMIT 20"""
+    sql["frame_cap_offsets"] = f"""
+      WITH {EVENTS_SQL}, s AS (SELECT *, CAST(coalesce(sum(n_frames) OVER (PARTITION BY domain_id ORDER BY traj_index
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM meta)
+      SELECT domain_id, traj_id, traj_index, start, least(start + n_frames, 100) AS stop FROM s WHERE start < 100"""
+    sql["frame_features"] = f"""
+      WITH {VECTORS_SQL} SELECT traj_id, frame, frame_global, component, round(z, 6) + 0.0 AS z FROM scored"""
+    sql["lagged_pairs"] = f"""
+      WITH {EVENTS_SQL}, l AS (SELECT event_id, lead(event_id, 3) OVER w AS later_event, value, lead(value, 3) OVER w AS later_value
+        FROM event_frames WINDOW w AS (PARTITION BY user_id ORDER BY frame))
+      SELECT * FROM l WHERE later_event IS NOT NULL"""
+    sql["lagged_covariance"] = covariance_sql("b.frame_global = a.frame_global + 1")
+    sql["lagged_covariance_within"] = covariance_sql("b.traj_id = a.traj_id AND b.frame = a.frame + 1")
+    sql["health_gate"] = f"""
+      WITH {EVENTS_SQL}, s AS (SELECT domain_id, avg(value) AS score, avg(value) FILTER (event_type = 'view') AS baseline
+        FROM event_frames GROUP BY 1), g AS (SELECT *, coalesce(score > baseline + 0.5, false) AS health_passed FROM s)
+      SELECT domain_id, health_passed, CASE WHEN health_passed THEN 'vampnet' ELSE 'tica_kmeans' END AS method,
+             CASE WHEN NOT health_passed THEN 'health_score_not_above_random_projection_baseline' END AS fallback_reason FROM g"""
+    coordinates = ", ".join(
+        f"round(coalesce(avg(p.e[{c + 1}]), any_value(c0.e[{c + 1}])), 6) + 0.0 AS e{c}" for c in range(8)
+    )
+    distance = " + ".join(f"pow(c.e[{c}] - p.e[{c}], 2)" for c in range(1, 9))
+    sql["lloyd_step"] = f"""
+      WITH points AS (SELECT 'd' || label AS domain_id, CAST(embedding[1:8] AS DOUBLE[]) AS e, vec_id,
+             row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS g, count(*) OVER (PARTITION BY label) AS n
+        FROM embeddings),
+      slots AS (SELECT domain_id, resolution, CAST(c AS INTEGER) AS cluster, CAST(floor(c * n / k) AS BIGINT) AS low,
+             CAST(floor((c + 1) * n / k) AS BIGINT) AS high
+        FROM (SELECT DISTINCT domain_id, n, r AS resolution, least(r, n) AS k FROM points, (VALUES (4), (16)) AS v(r)) d,
+             unnest(range(0, k)) AS u(c)),
+      picks AS (SELECT domain_id, resolution, cluster, low + CAST('0x' || substr(md5('0:' || domain_id || ':' || resolution
+             || ':' || cluster), 1, 8) AS BIGINT) % (high - low) AS g FROM slots),
+      first_c AS (SELECT domain_id, resolution, cluster, e FROM points JOIN picks USING (domain_id, g)),
+      near AS (SELECT p.domain_id, p.vec_id, p.e, c.resolution, c.cluster,
+             row_number() OVER (PARTITION BY p.vec_id, c.resolution ORDER BY {distance}, c.cluster) AS place
+        FROM points p JOIN first_c c ON c.domain_id = p.domain_id)
+      SELECT c0.domain_id, c0.resolution, c0.cluster, {coordinates}
+      FROM first_c c0 LEFT JOIN near p ON p.place = 1 AND p.domain_id = c0.domain_id AND p.resolution = c0.resolution
+        AND p.cluster = c0.cluster GROUP BY c0.domain_id, c0.resolution, c0.cluster"""
     return sql

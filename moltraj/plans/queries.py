@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from moltraj.functions import geometry as geo
 from moltraj.functions.codes import decode_text, dssp_code
 from moltraj.functions.numeric import clean, quantize_f16
-from moltraj.operators import checks, features, fingerprint, splits, topology
+from moltraj.operators import checks, features, fingerprint, labels, splits, topology
 from moltraj.plans import surrogates as views
+from moltraj.scale import BLOCK, cut_lineage, ranked
 from moltraj.schema import FRAME_KEY, TRAJECTORY_KEY
 from moltraj.sources import landing
 
@@ -282,3 +283,105 @@ def check_verdict(spark, sf):
         ("roundtrip_rmsd", roundtrip(spark, sf)),
         ("window_latency", latency),
     ])
+
+
+# --- labels --------------------------------------------------------------------------------------------------------
+
+FEATURE_SAMPLE = 8
+
+
+@registered
+def selected_domains(spark, sf):
+    requested = views.metadata(spark, sf).groupBy("domain_id").agg(F.max("traj_index").alias("pos"))
+    return labels.selected_domains(views.metadata(spark, sf), requested, max_domains=20).select("pos", "domain_id")
+
+
+@registered
+def frame_cap_offsets(spark, sf):
+    return labels.frame_offsets(views.metadata(spark, sf), cap=100)
+
+
+def vectors(spark, sf):
+    """Every point of a frame taken as a C-alpha; trajectories of a domain follow each other by temperature."""
+    frames = views.frames(spark, sf).withColumn("traj_id", F.concat_ws("_", *TRAJECTORY_KEY))
+    metadata = frames.groupBy("domain_id", "temperature", "replicate", "traj_id").agg(F.count(F.lit(1)).alias("n_frames"))
+    metadata = metadata.withColumn("traj_index", F.col("temperature") * 1000 + F.col("replicate"))
+    capped = labels.capped_frames(frames, labels.frame_offsets(metadata, cap=0))
+    sampled = labels.sampled_points(capped, "xyz", FEATURE_SAMPLE)
+    return labels.frame_vectors(sampled, FEATURE_SAMPLE).select(
+        "domain_id", "traj_id", "frame", "frame_global", "n_total", "vector"
+    )
+
+
+@registered
+def frame_features(spark, sf):
+    scored = labels.standardised(vectors(spark, sf))
+    return scored.select("traj_id", "frame", "frame_global", F.posexplode("z").alias("component", "z")).withColumn(
+        "z", clean(F.col("z"))
+    )
+
+
+@registered
+def lagged_pairs(spark, sf):
+    pairs = labels.lagged_pairs(
+        views.event_frames(spark, sf), ["user_id"], "frame", 3, {"event_id": "later_event", "value": "later_value"}
+    )
+    return pairs.select("event_id", "later_event", "value", "later_value")
+
+
+@registered
+def lagged_covariance(spark, sf):
+    products = labels.lagged_products(labels.standardised(vectors(spark, sf)), 1)
+    return labels.lagged_covariance(products).withColumns({c: clean(F.col(c)) for c in ("c00", "c0t")})
+
+
+@registered
+def lagged_covariance_within(spark, sf):
+    products = labels.lagged_products(labels.standardised(vectors(spark, sf)), 1, pair_scope="trajectory")
+    return labels.lagged_covariance(products).withColumns({c: clean(F.col(c)) for c in ("c00", "c0t")})
+
+
+@registered
+def tica_embedding(spark, sf):
+    scored = labels.standardised(vectors(spark, sf))
+    points = labels.embedded(scored, labels.slow_models(labels.lagged_products(scored, 1)))
+    return points.select("traj_id", "frame", F.posexplode("e").alias("coordinate", "e")).withColumn("e", clean(F.col("e")))
+
+
+@registered
+def tica_scores(spark, sf):
+    scored = labels.standardised(vectors(spark, sf))
+    gated = labels.health_gate(labels.slow_models(labels.lagged_products(scored, 1)))
+    return gated.select(
+        "domain_id", "n_total", "dim", clean(F.col("score")).alias("score"), clean(F.col("baseline")).alias("baseline"),
+        "health_passed", "method", "fallback_reason",
+    )
+
+
+@registered
+def health_gate(spark, sf):
+    scores = views.event_frames(spark, sf).groupBy("domain_id").agg(
+        F.avg("value").alias("score"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("baseline")
+    )
+    return labels.health_gate(scores, 0.5).select("domain_id", "health_passed", "method", "fallback_reason")
+
+
+@registered
+def lloyd_step(spark, sf):
+    raw = views.table(spark, sf, "embeddings")
+    shaped = raw.selectExpr("concat('d', label) AS domain_id", "vec_id", "CAST(slice(embedding, 1, 8) AS ARRAY<DOUBLE>) AS e")
+    points = ranked(shaped, ["domain_id"], F.floor(F.col("vec_id") / BLOCK), ["vec_id"], "frame_global")
+    totals = raw.groupBy(F.concat(F.lit("d"), "label").alias("domain_id")).agg(F.count(F.lit(1)).alias("n_total"))
+    start = labels.first_centroids(points, labels.resolution_plan(totals, (4, 16)))
+    moved = labels.lloyd_step(points, start, 8)
+    return moved.select("domain_id", "resolution", "cluster", *[clean(F.col("e")[c]).alias(f"e{c}") for c in range(8)])
+
+
+@registered
+def kmeans_labels(spark, sf):
+    scored = labels.standardised(vectors(spark, sf))
+    points = labels.embedded(scored, labels.slow_models(labels.lagged_products(scored, 1)))
+    points = cut_lineage(points.select("domain_id", "traj_id", "frame", "frame_global", "n_total", "e"))
+    totals = points.groupBy("domain_id").agg(F.max("n_total").alias("n_total"))
+    result = labels.clustered(points, totals, (4, 16), iterations=5)
+    return result.select("domain_id", "resolution", "traj_id", "frame", "frame_global", "state")

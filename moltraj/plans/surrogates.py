@@ -18,6 +18,12 @@ ATOM_NAMES = ("N", "CA", "C", "CB")
 RESIDUE_NAMES = ("ALA", "GLY", "SER", "TRP", "VAL")
 # (residue, atom) pairs that a frame has points for but the topology does not name.
 UNNAMED = ((1, "CB"), (3, "CB"), (3, "N"))
+# Trajectory key of an embedding vector.
+TRAJECTORY_SQL = (
+    "concat('d', label) AS domain_id",
+    "if(vec_id % 2 = 0, 320, 450) AS temperature",
+    "CAST(floor((vec_id % 4) / 2) AS INT) AS replicate",
+)
 TEMPERATURES = (320, 348, 379, 413, 450)
 
 
@@ -28,21 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as frames in the landing layout, with 20 points each, plus the vector itself."""
     vectors = table(spark, sf_dir, "embeddings")
-    e = F.col("embedding")
-    points = F.array(*[
-        F.struct(*[F.get(e, F.lit(3 * a + k)).alias(axis) for k, axis in enumerate("xyz")])
+    points = ", ".join(
+        "struct(" + ", ".join(f"embedding[{3 * a + k}] AS {axis}" for k, axis in enumerate("xyz")) + ")"
         for a in range(ATOMS_PER_FRAME)
-    ])
-    odd = F.col("vec_id") % 2
-    labels = F.array(*[F.when(F.get(e, F.lit(k)) > 0, "H").when(F.get(e, F.lit(k)) < -0.1, "E").otherwise(" ")
-                       for k in range(len(RESIDUE_NAMES))])
-    shaped = vectors.select(
-        F.concat(F.lit("d"), F.col("label").cast("string")).alias("domain_id"),
-        F.when(odd == 0, F.lit(320)).otherwise(F.lit(450)).alias("temperature"),
-        F.floor((F.col("vec_id") % 4) / 2).cast("int").alias("replicate"),
-        (F.abs(F.get(e, F.lit(60))) * F.lit(4).cast("float")).alias("rmsd"),
-        labels.alias("dssp"),
-        points.alias("xyz"),
+    )
+    labels = ", ".join(
+        f"CASE WHEN embedding[{k}] > 0 THEN 'H' WHEN embedding[{k}] < -0.1 THEN 'E' ELSE ' ' END"
+        for k in range(len(RESIDUE_NAMES))
+    )
+    shaped = vectors.selectExpr(
+        *TRAJECTORY_SQL,
+        "abs(embedding[60]) * FLOAT(4) AS rmsd",
+        f"array({labels}) AS dssp",
+        f"array({points}) AS xyz",
         "vec_id",
     )
     return numbered(shaped)
@@ -55,12 +59,8 @@ def numbered(shaped: DataFrame) -> DataFrame:
 
 def rmsd_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectory attributes of the frames: RMSD is in nm everywhere."""
-    vectors = table(spark, sf_dir, "embeddings")
-    return vectors.select(
-        F.concat(F.lit("d"), F.col("label").cast("string")).alias("domain_id"),
-        F.when(F.col("vec_id") % 2 == 0, F.lit(320)).otherwise(F.lit(450)).alias("temperature"),
-        F.floor((F.col("vec_id") % 4) / 2).cast("int").alias("replicate"),
-    ).distinct().withColumns({"rmsd_unit": F.lit("nm"), "has_rmsd": F.lit(True)})
+    series = table(spark, sf_dir, "embeddings").selectExpr(*TRAJECTORY_SQL).distinct()
+    return series.withColumns({"rmsd_unit": F.lit("nm"), "has_rmsd": F.lit(True)})
 
 
 def frame_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,15 +69,12 @@ def frame_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
         (4 * r + a, name, r, RESIDUE_NAMES[r])
         for r in range(len(RESIDUE_NAMES)) for a, name in enumerate(ATOM_NAMES) if (r, name) not in UNNAMED
     ]
-    atoms = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("atom_index"), F.lit(name).alias("atom_name"), F.lit("A").alias("chain"),
-                 F.lit(r).alias("resid"), F.lit(resname).alias("resname"), F.lit(name[0]).alias("element"))
-        for i, name, r, resname in named
-    ]))
-    domains = table(spark, sf_dir, "embeddings").select("label").distinct()
-    return domains.select(F.concat(F.lit("d"), F.col("label").cast("string")).alias("domain_id"), atoms.alias("a")).select(
-        "domain_id", "a.*"
+    atoms = ", ".join(
+        f"struct({i} AS atom_index, '{name}' AS atom_name, 'A' AS chain, {r} AS resid, '{resname}' AS resname, "
+        f"'{name[0]}' AS element)" for i, name, r, resname in named
     )
+    domains = table(spark, sf_dir, "embeddings").select("label").distinct()
+    return domains.selectExpr("concat('d', label) AS domain_id", f"inline(array({atoms}))")
 
 
 FRAMES_SQL = """
