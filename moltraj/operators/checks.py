@@ -119,6 +119,22 @@ def window_rows(frames: DataFrame, windows: DataFrame, key: str, position: str =
     ).drop("_key")
 
 
+def checksum_audit(held: DataFrame, published: DataFrame) -> DataFrame:
+    """State of every path by digest: ok, mismatch, missing (published only) or unexpected (held only)."""
+    both = held.withColumnRenamed("digest", "_held").join(published.withColumnRenamed("digest", "_published"), "path", "full")
+    state = (
+        F.when(F.col("_held").isNull(), "missing").when(F.col("_published").isNull(), "unexpected")
+        .when(F.col("_held") == F.col("_published"), "ok").otherwise("mismatch")
+    )
+    return both.select("path", state.alias("state"))
+
+
+def file_digests(spark, root: str, pattern: str) -> DataFrame:
+    """SHA-256 of files below a folder, each read whole by one task; larger files bring their own digests."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    return files.select("path", F.sha2("content", 256).alias("digest"))
+
+
 def latency_summary(timings: DataFrame, column: str = "ms") -> DataFrame:
     """p50, p99 (interpolated) and maximum. `percentile` counts equal values before it merges tasks."""
     parts = F.percentile(column, F.array(F.lit(0.5), F.lit(0.99)))

@@ -279,6 +279,9 @@ windows AS (SELECT window_id, traj_index, traj_id, slide % (n_frames - 63) AS st
         UNION ALL SELECT 'window_latency', quantile_cont(value, 0.5) < 50.0 AND quantile_cont(value, 0.99) < 200.0 FROM events)
       SELECT check_name, passed FROM checks UNION ALL SELECT 'all', bool_and(passed) FROM checks"""
     sql.update(label_sql())
+    sql.update(frame_pair_sql())
+    sql.update(metric_sql())
+    sql.update(selection_sql())
     return sql
 
 
@@ -356,3 +359,194 @@ def label_sql() -> dict[str, str]:
       FROM first_c c0 LEFT JOIN near p ON p.place = 1 AND p.domain_id = c0.domain_id AND p.resolution = c0.resolution
         AND p.cluster = c0.cluster GROUP BY c0.domain_id, c0.resolution, c0.cluster"""
     return sql
+
+
+POINTS20_SQL = f"""{FRAMES_SQL},
+points20 AS (SELECT {KEY}, frame, CAST(a AS INTEGER) AS at_point, CAST(e[a * 3 + 1] * CAST(20 AS FLOAT) AS DOUBLE) AS x,
+                    CAST(e[a * 3 + 2] * CAST(20 AS FLOAT) AS DOUBLE) AS y, CAST(e[a * 3 + 3] * CAST(20 AS FLOAT) AS DOUBLE) AS z
+             FROM frames, unnest(range(0, 20)) AS u(a))"""
+D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+def frame_pair_sql() -> dict[str, str]:
+    sql = {}
+    sql["residue_sasa"] = f"""
+      WITH {POINTS20_SQL},
+      atoms AS (SELECT *, CAST(floor(at_point / 4) AS INTEGER) AS residue_index,
+                       CASE at_point % 4 WHEN 0 THEN 1.55e0 ELSE 1.7e0 END + 1.4e0 AS reach
+                FROM points20 WHERE at_point NOT IN (7, 12, 15)),
+      sphere AS (SELECT k, sqrt(1 - h * h) * cos(k * (pi() * (3 - sqrt(5)))) AS ux, sqrt(1 - h * h) * sin(k * (pi() * (3 - sqrt(5)))) AS uy,
+                        h AS uz FROM (SELECT k, 1 - (2 * k + 1) / 100.0e0 AS h FROM range(100) AS r(k)) s),
+      probes AS (SELECT a.*, k, a.x + reach * ux AS px, a.y + reach * uy AS py, a.z + reach * uz AS pz FROM atoms a, sphere),
+      free AS (SELECT p.* FROM probes p WHERE NOT EXISTS (SELECT 1 FROM atoms b WHERE b.domain_id = p.domain_id
+        AND b.temperature = p.temperature AND b.replicate = p.replicate AND b.frame = p.frame AND b.at_point <> p.at_point
+        AND (b.x - px) * (b.x - px) + (b.y - py) * (b.y - py) + (b.z - pz) * (b.z - pz) < b.reach * b.reach)),
+      areas AS (SELECT {KEY}, frame, residue_index, sum(4 * pi() * reach * reach / 100.0e0) AS area FROM free GROUP BY ALL)
+      SELECT {KEY}, frame, residue_index, round(coalesce(area, 0), 6) + 0.0 AS area
+      FROM (SELECT DISTINCT {KEY}, frame, residue_index FROM atoms) r LEFT JOIN areas USING ({KEY}, frame, residue_index)"""
+    sql["contact_graph"] = f"""
+      WITH {POINTS20_SQL}, near AS (
+        SELECT a.domain_id, a.temperature, a.replicate, a.frame, a.at_point AS residue_index, b.at_point AS other_residue_index, {D2} AS d2
+        FROM points20 a JOIN points20 b ON a.domain_id = b.domain_id AND a.temperature = b.temperature AND a.replicate = b.replicate
+          AND a.frame = b.frame AND a.at_point <> b.at_point WHERE {D2} < 36),
+      placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY {KEY}, frame, residue_index ORDER BY d2, other_residue_index) AS INTEGER)
+        AS place FROM near)
+      SELECT {KEY}, frame, residue_index, other_residue_index, place, round(sqrt(d2), 6) + 0.0 AS distance FROM placed WHERE place <= 4"""
+    sql["positive_pairs"] = f"""
+      WITH {EVENTS_SQL} SELECT a.user_id, a.event_id AS item, b.event_id AS later_item FROM event_frames a JOIN event_frames b
+      ON a.user_id = b.user_id AND b.frame > a.frame AND (b.frame - a.frame) * 250 < 1000"""
+    sql["length_buckets"] = """
+      SELECT doc_id, CAST(CASE WHEN n <= 128 THEN 128 WHEN n <= 192 THEN 192 WHEN n <= 256 THEN 256 WHEN n <= 320 THEN 320 END AS INTEGER) AS bucket
+      FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents) d"""
+    return sql
+
+
+AVERAGE_RANK = "rank() OVER ({w} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}{v}) - 1) / 2.0e0"
+
+
+def average_rank(value: str, group: str = "") -> str:
+    window = f"PARTITION BY {group}" if group else ""
+    return AVERAGE_RANK.format(w=window, v=value, p=f"{group}, " if group else "")
+
+
+def metric_sql() -> dict[str, str]:
+    sql = {}
+    sql["state_membership"] = f"""
+      WITH {FRAMES_SQL}, source_frames AS (SELECT * FROM frames), {POINTS_SQL}, {torsions_sql()},
+      q AS (SELECT *, degrees(psi) AS deg, ca[1] AS x FROM omega_4 WHERE psi IS NOT NULL)
+      SELECT {KEY}, frame, residue_index, 'folded' AS state FROM q WHERE deg BETWEEN -90 AND 90 AND x BETWEEN -0.1e0 AND 0.1e0
+      UNION ALL SELECT {KEY}, frame, residue_index, 'open' FROM q WHERE deg >= 90
+      UNION ALL SELECT {KEY}, frame, residue_index, 'closed' FROM q WHERE deg <= -90 AND x >= 0"""
+    found = f"""{EVENTS_SQL},
+visits AS (SELECT traj_index, event_type AS state, (frame + 1) * 100.0e0 AS t,
+                  row_number() OVER (PARTITION BY traj_index, event_type ORDER BY frame) AS v FROM event_frames),
+found AS (SELECT traj_index, state, min(t) AS first_ps, min(t) FILTER (v >= 10) AS accumulated_ps,
+                 least(min(t), min(t) FILTER (v >= 10)) AS discovered_ps FROM visits GROUP BY ALL)"""
+    sql["state_discovery"] = f"WITH {found} SELECT * FROM found"
+    sql["discovery_curve"] = f"""
+      WITH {found}, steps AS (SELECT traj_index, discovered_ps, count(*) AS n FROM found GROUP BY ALL)
+      SELECT traj_index, discovered_ps, CAST(sum(n) OVER (PARTITION BY traj_index ORDER BY discovered_ps) AS BIGINT) AS n_states FROM steps"""
+    sql["discovery_auc"] = f"""
+      WITH {found}, steps AS (SELECT traj_index, discovered_ps AS t, count(*) AS n FROM found GROUP BY ALL),
+      curve AS (SELECT traj_index, least(t, 5000) AS t, sum(n) OVER w AS n, least(coalesce(lead(t) OVER w, 5000), 5000) AS until
+                FROM steps WINDOW w AS (PARTITION BY traj_index ORDER BY t))
+      SELECT traj_index, round(sum(n * (until - t)) / 1000, 6) + 0.0 AS auc FROM curve GROUP BY traj_index"""
+
+    def counts(name: str, lag: int) -> str:
+        return f"""{name} AS (SELECT domain_id, a AS from_state, b AS to_state, count(*) AS n,
+          count(*) * 1.0e0 / sum(count(*)) OVER (PARTITION BY domain_id, a) AS p
+          FROM (SELECT domain_id, event_type AS a, lead(event_type, {lag}) OVER (PARTITION BY traj_index ORDER BY frame) AS b
+                FROM event_frames) q WHERE b IS NOT NULL GROUP BY domain_id, a, b)"""
+
+    sql["transition_matrix"] = f"WITH {EVENTS_SQL}, {counts('m', 2)} SELECT domain_id, from_state, to_state, n, round(p, 6) + 0.0 AS p FROM m"
+    sql["chapman_kolmogorov"] = f"""
+      WITH {EVENTS_SQL}, {counts('one', 1)}, {counts('far', 3)},
+      cube AS (SELECT a.domain_id, a.from_state, c.to_state, sum(a.p * b.p * c.p) AS p FROM one a
+        JOIN one b ON b.domain_id = a.domain_id AND b.from_state = a.to_state
+        JOIN one c ON c.domain_id = a.domain_id AND c.from_state = b.to_state GROUP BY ALL)
+      SELECT domain_id, round(sqrt(sum(pow(coalesce(cube.p, 0) - coalesce(far.p, 0), 2))), 6) + 0.0 AS residual
+      FROM cube FULL JOIN far USING (domain_id, from_state, to_state) GROUP BY domain_id"""
+    sql["coverage_entropy"] = f"""
+      WITH {EVENTS_SQL}, c AS (SELECT temperature, event_type, count(*) AS n FROM event_frames GROUP BY ALL),
+      s AS (SELECT temperature, n * 1.0e0 / sum(n) OVER (PARTITION BY temperature) AS p FROM c)
+      SELECT temperature, round(-sum(p * ln(p)), 6) + 0.0 AS entropy FROM s GROUP BY 1"""
+    sql["mutual_information"] = f"""
+      WITH {EVENTS_SQL}, c AS (SELECT domain_id, event_type AS l, floor(value / 25) AS r, count(*) * 1.0e0 AS n FROM event_frames GROUP BY ALL),
+      s AS (SELECT domain_id, n, sum(n) OVER (PARTITION BY domain_id) AS t, sum(n) OVER (PARTITION BY domain_id, l) AS nl,
+                   sum(n) OVER (PARTITION BY domain_id, r) AS nr FROM c)
+      SELECT domain_id, round(sum(n / t * log2(n * t / (nl * nr))), 6) + 0.0 AS bits FROM s GROUP BY 1"""
+
+    def auroc(source: str, score: str) -> str:
+        return f"""r AS (SELECT domain_id, hit, {average_rank(score, 'domain_id')} AS rk FROM {source}),
+      s AS (SELECT domain_id, sum(rk) FILTER (hit) AS sr, count(*) FILTER (hit) AS p, count(*) FILTER (NOT hit) AS q FROM r GROUP BY 1)
+      SELECT domain_id, round((sr - p * (p + 1) / 2.0e0) / (p * q), 6) + 0.0 AS auroc FROM s"""
+
+    scored = f"{EVENTS_SQL}, scored AS (SELECT *, event_type = 'purchase' AS hit FROM event_frames)"
+    sql["auroc_by_domain"] = f"WITH {scored}, {auroc('scored', 'value')}"
+    sql["auroc_time_shuffled"] = f"""
+      WITH {scored}, o AS (SELECT traj_index, value AS shuffled, row_number() OVER (PARTITION BY traj_index
+        ORDER BY md5('0:' || traj_index || ':' || frame), frame) - 1 AS frame FROM scored),
+      mixed AS (SELECT domain_id, hit, shuffled FROM scored JOIN o USING (traj_index, frame)), {auroc('mixed', 'shuffled')}"""
+    sql["calibration_error"] = f"""
+      WITH {scored}, b AS (SELECT domain_id, least(floor(value / 500.0e0 * 10), 9) AS bin, count(*) AS n, avg(value / 500.0e0) AS p,
+        avg(CAST(hit AS DOUBLE)) AS y FROM scored GROUP BY ALL)
+      SELECT domain_id, round(sum(abs(p - y) * n) / sum(n), 6) + 0.0 AS ece FROM b GROUP BY 1"""
+    sql["spearman_by_domain"] = f"""
+      WITH {EVENTS_SQL}, v AS (SELECT domain_id, floor(value) AS a, event_id % 97 AS b FROM event_frames),
+      r AS (SELECT domain_id, {average_rank('a', 'domain_id')} AS ra, {average_rank('b', 'domain_id')} AS rb FROM v)
+      SELECT domain_id, round(corr(ra, rb), 6) + 0.0 AS rho FROM r GROUP BY 1"""
+    units = f"""{EVENTS_SQL}, units AS (SELECT * FROM (SELECT domain_id, replicate % 5 AS seed,
+        round(avg(value) FILTER (event_type = 'purchase') - avg(value) FILTER (event_type = 'signup'), 4) AS delta
+        FROM event_frames GROUP BY ALL) u WHERE delta IS NOT NULL)"""
+    sql["paired_bootstrap"] = f"""
+      WITH {units}, n AS (SELECT delta, row_number() OVER (ORDER BY md5(domain_id || ':' || seed)) - 1 AS slot, count(*) OVER () AS total FROM units),
+      draws AS (SELECT i, CAST('0x' || substr(md5('0:' || i || ':' || slot), 1, 8) AS BIGINT) % total AS pick FROM n, range(1000) AS r(i)),
+      means AS (SELECT i, avg(delta) AS m FROM draws JOIN n ON slot = pick GROUP BY i),
+      ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means)
+      SELECT round((SELECT avg(delta) FROM units), 6) + 0.0 AS mean_delta, round(lo, 6) + 0.0 AS ci_low, round(hi, 6) + 0.0 AS ci_high,
+             lo > 0 OR hi < 0 AS excludes_zero FROM ci"""
+    sql["wilcoxon"] = f"""
+      WITH {units}, r AS (SELECT delta, {average_rank('abs(delta)')} AS rk, count(*) OVER (PARTITION BY abs(delta)) AS c
+        FROM units WHERE delta <> 0),
+      s AS (SELECT count(*) AS n, coalesce(sum(rk) FILTER (delta > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (delta < 0), 0) AS w_minus,
+                   sum((pow(c, 3) - c) / c) AS ties FROM r)
+      SELECT n, w_plus, w_minus,
+             round((w_plus - n * (n + 1) / 4.0e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0e0 - ties / 48), 6) + 0.0 AS z FROM s"""
+    sql["frame_progress"] = f"""
+      WITH {EVENTS_SQL} SELECT traj_id AS trajectory_id, max(frame + 1) AS reached_frame, count(*) AS n_frames, count(*) AS n_windows
+      FROM event_frames GROUP BY 1"""
+    sql["active_runs"] = f"""
+      WITH {EVENTS_SQL}, log AS (SELECT traj_id AS trajectory_id, CASE event_type WHEN 'signup' THEN 'submit' WHEN 'error' THEN 'terminate'
+        ELSE 'extend' END AS kind, value AS ns, floor(value) AS priority, event_id AS seq FROM event_frames)
+      SELECT trajectory_id, round(sum(ns) FILTER (kind <> 'terminate'), 4) + 0.0 AS budget_ns,
+             arg_max(priority, seq) FILTER (kind = 'submit') AS priority, arg_max(kind, seq) AS last_kind
+      FROM log GROUP BY 1 HAVING arg_max(kind, seq) <> 'terminate'"""
+    sql["checksum_audit"] = """
+      WITH held AS (SELECT 'd' || doc_id AS path, sha256(text) AS h FROM documents UNION ALL SELECT 'p' || page_id, sha256(html) FROM pages),
+      published AS (SELECT 'd' || doc_id AS path, sha256(trim(text, ' ')) AS h FROM documents UNION ALL SELECT 'b' || item_id, sha256(text) FROM benchmark)
+      SELECT path, CASE WHEN a.h IS NULL THEN 'missing' WHEN b.h IS NULL THEN 'unexpected' WHEN a.h = b.h THEN 'ok' ELSE 'mismatch' END AS state
+      FROM held a FULL JOIN published b USING (path)"""
+    return sql
+
+
+def selection_sql() -> dict[str, str]:
+    sql = {}
+    candidates = f"""{EVENTS_SQL},
+candidates AS (SELECT traj_index, avg(value) / 100 AS mean, stddev_pop(value) / 100 AS spread, arg_max(event_type, frame) AS region,
+               arg_max(value, frame) AS last_value FROM event_frames GROUP BY 1),
+visits AS (SELECT event_type AS region, count(*) AS n_visits FROM events GROUP BY 1)"""
+    sql["acquisition_score"] = f"""
+      WITH {candidates} SELECT traj_index, region, n_visits,
+        round(mean + spread + sqrt(ln((SELECT sum(n_visits) FROM visits)) / n_visits), 6) + 0.0 AS score
+      FROM candidates JOIN visits USING (region)"""
+    sql["visits_within"] = f"""
+      WITH {FRAMES_SQL}, p AS (SELECT {KEY}, frame, vec_id, round(CAST(e[1] AS DOUBLE), 3) AS x, round(CAST(e[2] AS DOUBLE), 3) AS y,
+        round(CAST(e[3] AS DOUBLE), 3) AS z FROM frames),
+      q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY frame DESC) = 1)
+      SELECT a.vec_id, count(*) AS n_visits FROM q a JOIN p b ON {D2} <= 0.15e0 * 0.15e0 GROUP BY a.vec_id"""
+    sql["budgeted_selection"] = f"""
+      WITH {EVENTS_SQL}, c AS (SELECT traj_id, event_id AS item, value AS score, md5('0:' || event_id) AS h FROM event_frames),
+      lucky AS (SELECT traj_id, item, score, 'random' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY h, item) AS n FROM c) q
+                WHERE n <= 10 ORDER BY h, item LIMIT 2),
+      used AS (SELECT traj_id, count(*) AS k FROM lucky GROUP BY 1),
+      best AS (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY score DESC, item) AS n FROM c WHERE item NOT IN (SELECT item FROM lucky)),
+      greedy AS (SELECT traj_id, item, score, 'score' AS reason FROM best LEFT JOIN used USING (traj_id) WHERE n <= 10 - coalesce(k, 0)
+                 ORDER BY score DESC, item LIMIT 38)
+      SELECT * FROM lucky UNION ALL SELECT * FROM greedy"""
+    sql["rank_round_robin"] = f"""
+      WITH {EVENTS_SQL} SELECT traj_index, n_frames, row_number() OVER (ORDER BY n_frames, traj_index) AS place FROM meta"""
+    sql["rank_random"] = f"""
+      WITH {EVENTS_SQL}, n AS (SELECT traj_index, row_number() OVER (ORDER BY traj_index) - 1 AS slot, count(*) OVER () AS total FROM meta)
+      SELECT i AS pick, traj_index FROM range(100) AS r(i) JOIN n ON slot = CAST('0x' || substr(md5('0:' || i), 1, 8) AS BIGINT) % total"""
+    sql["rank_rmsd_velocity"] = f"""
+      WITH {EVENTS_SQL}, s AS (SELECT traj_index, frame, abs(value - lag(value) OVER (PARTITION BY traj_index ORDER BY frame)) / 100.0e0 AS v
+        FROM event_frames), l AS (SELECT traj_index, arg_max(v, frame) FILTER (v IS NOT NULL) AS v FROM s GROUP BY 1)
+      SELECT traj_index, round(v, 6) + 0.0 AS velocity, row_number() OVER (ORDER BY v DESC, traj_index) AS place FROM l WHERE v IS NOT NULL"""
+    gaps = ", ".join(f"pow(last_value - {a}e0, 2) + pow(log10(last_value) - {b}e0, 2)" for a, b in ((10.0, 1.0), (60.0, 1.8), (200.0, 2.3)))
+    sql["rank_distance_to_known"] = f"""
+      WITH {candidates}, d AS (SELECT traj_index, sqrt(least({gaps})) AS distance FROM candidates)
+      SELECT traj_index, round(distance, 6) + 0.0 AS distance, row_number() OVER (ORDER BY distance DESC, traj_index) AS place FROM d"""
+    sql["rank_rare_states"] = f"""
+      WITH {candidates} SELECT traj_index, region, row_number() OVER (ORDER BY n_visits, traj_index) AS place,
+        round(1.0e0 / n_visits, 9) + 0.0 AS weight FROM candidates JOIN visits USING (region)"""
+    return sql

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from moltraj.functions import geometry as geo
 from moltraj.functions.codes import decode_text, dssp_code
 from moltraj.functions.numeric import clean, quantize_f16
-from moltraj.operators import checks, features, fingerprint, labels, splits, topology
+from moltraj.operators import checks, features, fingerprint, labels, metrics, pairs, sasa, selection, splits, topology
 from moltraj.plans import surrogates as views
 from moltraj.scale import BLOCK, cut_lineage, ranked
 from moltraj.schema import FRAME_KEY, TRAJECTORY_KEY
 from moltraj.sources import landing
+from moltraj.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -323,10 +324,10 @@ def frame_features(spark, sf):
 
 @registered
 def lagged_pairs(spark, sf):
-    pairs = labels.lagged_pairs(
+    lagged = labels.lagged_pairs(
         views.event_frames(spark, sf), ["user_id"], "frame", 3, {"event_id": "later_event", "value": "later_value"}
     )
-    return pairs.select("event_id", "later_event", "value", "later_value")
+    return lagged.select("event_id", "later_event", "value", "later_value")
 
 
 @registered
@@ -385,3 +386,253 @@ def kmeans_labels(spark, sf):
     totals = points.groupBy("domain_id").agg(F.max("n_total").alias("n_total"))
     result = labels.clustered(points, totals, (4, 16), iterations=5)
     return result.select("domain_id", "resolution", "traj_id", "frame", "frame_global", "state")
+
+
+# --- solvent exposure and contacts -----------------------------------------------------------------------------------
+
+SPREAD = 20.0
+
+
+def spread_frames(spark, sf):
+    """Frames with coordinates stretched to molecular distances."""
+    stretched = f"transform(xyz, p -> struct(p.x * FLOAT({SPREAD}) AS x, p.y * FLOAT({SPREAD}) AS y, p.z * FLOAT({SPREAD}) AS z))"
+    return views.frames(spark, sf).withColumn("xyz", F.expr(stretched))
+
+
+@registered
+def residue_sasa(spark, sf):
+    atoms = views.frame_atoms(spark, sf)
+    spheres = sasa.atom_spheres(spread_frames(spark, sf), atoms, topology.residues(atoms))
+    return sasa.residue_areas(spheres).withColumn("area", clean(F.col("area")))
+
+
+@registered
+def contact_graph(spark, sf):
+    points = spread_frames(spark, sf).select(*FRAME_KEY, F.posexplode("xyz").alias("residue_index", "p"))
+    placed = points.selectExpr(*RESIDUE_ROW, *[f"CAST(p.{a} AS DOUBLE) AS p_{a}" for a in "xyz"])
+    return pairs.contact_graph(placed, radius=6.0, neighbours=4).withColumn("distance", clean(F.col("distance")))
+
+
+@registered
+def positive_pairs(spark, sf):
+    frames = views.event_frames(spark, sf).withColumn("t_ps", F.col("frame") * 250.0)
+    return pairs.positive_pairs(frames, "user_id", "t_ps", "event_id", 1000.0)
+
+
+@registered
+def length_buckets(spark, sf):
+    words = F.size(F.split("text", " "))
+    return views.table(spark, sf, "documents").select("doc_id", pairs.length_bucket(words).alias("bucket"))
+
+
+# --- states, transitions, comparison ---------------------------------------------------------------------------------
+
+# A made-up set of named states over torsions in degrees.
+STATES = {
+    "folded": {"psi_deg": (-90.0, 90.0), "ca_x": (-0.1, 0.1)},
+    "open": {"psi_deg": (90.0, None)},
+    "closed": {"psi_deg": (None, -90.0), "ca_x": (0.0, None)},
+}
+FRAME_PS = 100.0
+
+
+@registered
+def state_membership(spark, sf):
+    points = features.residue_points(views.frames(spark, sf), sites(spark, sf)).filter("has_psi")
+    angle = F.degrees(geo.dihedral(*[geo.vector(name) for name in features.TORSION_POINTS["psi"]]))
+    return metrics.state_membership(points.withColumn("psi_deg", angle), STATES).select(*RESIDUE_ROW, "state")
+
+
+def found_states(spark, sf):
+    return metrics.discoveries(views.event_frames(spark, sf).withColumnRenamed("event_type", "state"), "traj_index", FRAME_PS)
+
+
+@registered
+def state_discovery(spark, sf):
+    return found_states(spark, sf)
+
+
+@registered
+def discovery_curve(spark, sf):
+    return metrics.discovery_curve(found_states(spark, sf), "traj_index")
+
+
+@registered
+def discovery_auc(spark, sf):
+    return metrics.discovery_auc(found_states(spark, sf), "traj_index", 5000.0).withColumn("auc", clean(F.col("auc")))
+
+
+@registered
+def transition_matrix(spark, sf):
+    counts = metrics.transition_counts(views.event_frames(spark, sf), "traj_index", ["domain_id"], "event_type", 2)
+    return metrics.transition_matrix(counts, ["domain_id"]).withColumn("p", clean(F.col("p")))
+
+
+@registered
+def chapman_kolmogorov(spark, sf):
+    result = metrics.chapman_kolmogorov(views.event_frames(spark, sf), "traj_index", ["domain_id"], "event_type", 1, 3)
+    return result.withColumn("residual", clean(F.col("residual")))
+
+
+@registered
+def coverage_entropy(spark, sf):
+    result = metrics.coverage_entropy(views.event_frames(spark, sf), ["temperature"], "event_type")
+    return result.withColumn("entropy", clean(F.col("entropy")))
+
+
+@registered
+def mutual_information(spark, sf):
+    rows = views.event_frames(spark, sf).withColumn("bin", F.floor(F.col("value") / 25))
+    return metrics.mutual_information(rows, ["domain_id"], "event_type", "bin").withColumn("bits", clean(F.col("bits")))
+
+
+def scored_events(spark, sf):
+    return views.event_frames(spark, sf).withColumn("hit", F.col("event_type") == "purchase")
+
+
+@registered
+def auroc_by_domain(spark, sf):
+    return metrics.auroc(scored_events(spark, sf), ["domain_id"], "value", F.col("hit")).withColumn("auroc", clean(F.col("auroc")))
+
+
+@registered
+def auroc_time_shuffled(spark, sf):
+    shuffled = metrics.time_shuffled(scored_events(spark, sf), "traj_index", "value")
+    return metrics.auroc(shuffled, ["domain_id"], "shuffled", F.col("hit")).withColumn("auroc", clean(F.col("auroc")))
+
+
+@registered
+def calibration_error(spark, sf):
+    rows = scored_events(spark, sf).withColumn("p", F.col("value") / 500.0)
+    return metrics.calibration_error(rows, ["domain_id"], "p", "hit").withColumn("ece", clean(F.col("ece")))
+
+
+@registered
+def spearman_by_domain(spark, sf):
+    rows = views.event_frames(spark, sf).withColumns({"a": F.floor("value"), "b": F.col("event_id") % 97})
+    return metrics.spearman(rows, ["domain_id"], "a", "b").withColumn("rho", clean(F.col("rho")))
+
+
+def paired_units(spark, sf):
+    """Two policies measured on every protein and seed."""
+    unit = views.event_frames(spark, sf).withColumn("seed", F.col("replicate") % 5)
+    def policy(kind):
+        return F.avg(F.when(F.col("event_type") == kind, F.col("value")))
+    return unit.groupBy("domain_id", "seed").agg(F.round(policy("purchase") - policy("signup"), 4).alias("delta")).dropna()
+
+
+@registered
+def paired_bootstrap(spark, sf):
+    result = metrics.paired_bootstrap(paired_units(spark, sf), F.concat_ws(":", "domain_id", F.col("seed").cast("string")), "delta")
+    return result.withColumns({c: clean(F.col(c)) for c in ("mean_delta", "ci_low", "ci_high")})
+
+
+@registered
+def wilcoxon(spark, sf):
+    return metrics.wilcoxon(paired_units(spark, sf), "delta").withColumn("z", clean(F.col("z")))
+
+
+@registered
+def effective_rank(spark, sf):
+    result = metrics.effective_rank(views.table(spark, sf, "embeddings"), "embedding", 64)
+    return result.withColumn("effective_rank", clean(F.col("effective_rank")))
+
+
+# --- selection ---------------------------------------------------------------------------------------------------------
+
+
+def candidates(spark, sf):
+    return views.event_frames(spark, sf).groupBy("traj_index").agg(
+        (F.avg("value") / 100).alias("mean"), (F.stddev_pop("value") / 100).alias("spread"),
+        F.max_by("event_type", "frame").alias("region"),
+    )
+
+
+def region_visits(spark, sf):
+    return views.table(spark, sf, "events").groupBy(F.col("event_type").alias("region")).agg(F.count(F.lit(1)).alias("n_visits"))
+
+
+@registered
+def acquisition_score(spark, sf):
+    scored = selection.acquisition(candidates(spark, sf), region_visits(spark, sf), "region")
+    return scored.select("traj_index", "region", "n_visits", clean(F.col("score")).alias("score"))
+
+
+def placed_frames(spark, sf):
+    return views.frames(spark, sf).select(
+        *TRAJECTORY_KEY, "frame", "vec_id", *[F.round(F.col("xyz")[0][a].cast("double"), 3).alias(a) for a in "xyz"]
+    )
+
+
+@registered
+def visits_within(spark, sf):
+    frames = placed_frames(spark, sf)
+    last = frames.groupBy(*TRAJECTORY_KEY).agg(F.max_by(F.struct("vec_id", "x", "y", "z"), "frame").alias("l")).select("l.*")
+    return selection.visits_within(last, frames, "vec_id", ["x", "y", "z"], 0.15)
+
+
+@registered
+def budgeted_selection(spark, sf):
+    rows = views.event_frames(spark, sf).select("traj_id", F.col("event_id").alias("item"), F.col("value").alias("score"))
+    return selection.budgeted(rows, 40)
+
+
+@registered
+def rank_round_robin(spark, sf):
+    return selection.round_robin(views.metadata(spark, sf))
+
+
+@registered
+def rank_random(spark, sf):
+    return selection.random_with_replacement(views.metadata(spark, sf), 100)
+
+
+@registered
+def rank_rmsd_velocity(spark, sf):
+    ranks = selection.rmsd_velocity(views.event_frames(spark, sf), "traj_index", "value", FRAME_PS)
+    return ranks.withColumn("velocity", clean(F.col("velocity")))
+
+
+@registered
+def rank_distance_to_known(spark, sf):
+    events = views.event_frames(spark, sf).withColumn("depth", F.log10("value"))
+    latest = events.groupBy("traj_index").agg(F.max_by(F.struct("value", "depth"), "frame").alias("l")).select("traj_index", "l.*")
+    ranks = selection.distance_to_known(latest, "traj_index", ["value", "depth"], [(10.0, 1.0), (60.0, 1.8), (200.0, 2.3)])
+    return ranks.withColumn("distance", clean(F.col("distance")))
+
+
+@registered
+def rank_rare_states(spark, sf):
+    ranks = selection.rare_states(candidates(spark, sf), region_visits(spark, sf), "traj_index", "region")
+    return ranks.select("traj_index", "region", "place", clean(F.col("weight"), 9).alias("weight"))
+
+
+# --- runs and audits ---------------------------------------------------------------------------------------------------
+
+
+@registered
+def frame_progress(spark, sf):
+    windows = views.event_frames(spark, sf).select(
+        F.col("traj_id").alias("trajectory_id"), F.col("frame").alias("start_frame"), F.lit(1).alias("frame_count")
+    )
+    return runs.frame_progress(windows)
+
+
+@registered
+def active_runs(spark, sf):
+    kind = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "error", "terminate").otherwise("extend")
+    log = views.event_frames(spark, sf).select(
+        F.col("traj_id").alias("trajectory_id"), kind.alias("kind"), F.col("value").alias("ns"),
+        F.floor("value").cast("double").alias("priority"), F.col("event_id").alias("seq"),
+    )
+    return runs.active_runs(log).withColumn("budget_ns", clean(F.col("budget_ns"), 4))
+
+
+@registered
+def checksum_audit(spark, sf):
+    documents = views.table(spark, sf, "documents")
+    held = documents.select(F.concat(F.lit("d"), "doc_id").alias("path"), F.sha2("text", 256).alias("digest"))
+    calls = views.table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("path"), F.sha2("html", 256).alias("digest"))
+    published = documents.select(F.concat(F.lit("d"), "doc_id").alias("path"), F.sha2(F.btrim("text"), 256).alias("digest"))
+    extra = views.table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("path"), F.sha2("text", 256).alias("digest"))
+    return checks.checksum_audit(held.unionByName(calls), published.unionByName(extra))
