@@ -134,21 +134,22 @@ def look_back(
 
 
 def value_block(df: DataFrame, value: str, parts: int = 64) -> Column:
-    """A block number that grows with `value` and holds about 1/parts of the rows, from sampled quantiles.
+    """A block number that grows with a numeric `value` and holds about 1/parts of the rows, from sampled quantiles.
 
     Quantiles only balance the blocks; results built on the blocks stay exact. Equal values share a block, so
-    aggregate ties first.
+    aggregate ties first. The quantile sketch runs as one small job, and its cuts become a balanced comparison tree.
     """
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = df.agg(F.percentile_approx(value, cuts, 1000).alias("bounds")).scalar()
-    return F.coalesce(F.size(F.filter(bounds, lambda cut: cut <= F.col(value))), F.lit(0))
+    levels = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = df.agg(F.percentile_approx(F.col(value).cast("double"), levels, F.lit(1000)).alias("cuts")).first()["cuts"]
+    cuts = sorted({cut for cut in found or [] if cut == cut})
 
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"if(CAST({value} AS DOUBLE) < DOUBLE('{cuts[middle]!r}'), {tree(low, middle)}, {tree(middle + 1, high)})"
 
-def average_ranks(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
-    """One row per distinct value of each group with its number of copies and tie-averaged rank (from 1)."""
-    copies = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("copies"))
-    placed = running_total(copies, group, value_block(copies, value), [value], F.col("copies"), "_less")
-    return placed.withColumn(name, F.col("_less") + (F.col("copies") + 1) / 2).drop("_less")
+    return F.expr(tree(0, len(cuts)))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
