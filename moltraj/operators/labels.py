@@ -61,11 +61,11 @@ def frame_offsets(metadata: DataFrame, cap: int = FRAME_CAP, *, block: Column |
     return placed.withColumn("stop", stop).select("domain_id", "traj_id", "traj_index", "start", "stop")
 
 
-def capped_frames(frames: DataFrame, offsets: DataFrame) -> DataFrame:
+def capped_frames(frames: DataFrame, offsets: DataFrame, *, n_trajectories: int | None = None) -> DataFrame:
     """Frames inside their trajectory's share, with their place on the domain axis and the domain's total."""
     totals = offsets.groupBy("domain_id").agg(F.max("stop").alias("n_total"))
     spans = offsets.join(totals, "domain_id").select("traj_id", "start", "stop", "n_total")
-    joined = lookup_join(frames, spans, ["traj_id"], salt_by=["frame"])
+    joined = lookup_join(frames, spans, ["traj_id"], salt_by=["frame"], known_rows=n_trajectories)
     return joined.filter(F.col("frame") < F.col("stop") - F.col("start")).withColumn(
         "frame_global", F.col("start") + F.col("frame")
     ).drop("start", "stop")
@@ -95,7 +95,8 @@ def points_from_store(features: DataFrame, metadata: DataFrame, count: int = FEA
     wanted = sampled_residues(metadata, count)
     rows = lookup_join(features, wanted, ["domain_id", "residue_index"], salt_by=["traj_id", "frame"])
     point = F.struct("slot", F.col("ca_x").alias("x"), F.col("ca_y").alias("y"), F.col("ca_z").alias("z"))
-    return rows.groupBy("domain_id", "traj_id", "frame").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    kept = [name for name in ("frame_global", "n_total") if name in features.columns]
+    return rows.groupBy("domain_id", "traj_id", "frame", *kept).agg(F.array_sort(F.collect_list(point)).alias("points"))
 
 
 def sampled_points(frames: DataFrame, ca: str, count: int = FEATURE_RESIDUES) -> DataFrame:
@@ -114,7 +115,7 @@ def frame_vectors(frames: DataFrame, count: int = FEATURE_RESIDUES) -> DataFrame
     return centred.withColumn("vector", F.expr(padded)).drop("points", "_mx", "_my", "_mz")
 
 
-def standardised(vectors: DataFrame) -> DataFrame:
+def standardised(vectors: DataFrame, *, n_trajectories: int | None = None) -> DataFrame:
     """Z-scores per trajectory and component (population deviation, floored at 1e-6).
 
     Moments are pre-aggregated per task over (trajectory, component) before the shuffle, so a long trajectory costs
@@ -124,7 +125,7 @@ def standardised(vectors: DataFrame) -> DataFrame:
         F.avg("x").alias("m"), F.greatest(F.stddev_pop("x"), F.lit(1e-6)).alias("s")
     )
     moments = parts.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("c", "m", "s"))).alias("moments"))
-    joined = lookup_join(vectors, moments, ["traj_id"], salt_by=["frame"])
+    joined = lookup_join(vectors, moments, ["traj_id"], salt_by=["frame"], max_rows=20_000, known_rows=n_trajectories)
     scored = "transform(vector, (x, i) -> (x - moments[i].m) / moments[i].s)"
     return joined.withColumn("z", F.expr(scored)).drop("vector", "moments")
 
@@ -260,10 +261,12 @@ def slow_models(products: DataFrame, *, dim: int = SLOW_DIM, seed: int = 0) -> D
     return products.groupBy("domain_id").applyInPandas(solve, MODELS)
 
 
-def embedded(scored: DataFrame, models: DataFrame) -> DataFrame:
+def embedded(scored: DataFrame, models: DataFrame, *, n_domains: int | None = None) -> DataFrame:
     """Frames on their domain's slow coordinates, as array `e`. A domain without a model gets an empty array."""
     model = models.select("domain_id", "mean", "weights")
-    joined = lookup_join(scored, model, ["domain_id"], "left", salt_by=["traj_id", "frame"], max_rows=2_000)
+    joined = lookup_join(
+        scored, model, ["domain_id"], "left", salt_by=["traj_id", "frame"], max_rows=2_000, known_rows=n_domains
+    )
     centred = joined.withColumn("_d", F.expr("zip_with(z, mean, (x, m) -> x - m)"))
     score = "transform(weights, w -> aggregate(zip_with(_d, w, (a, b) -> a * b), 0D, (s, x) -> s + x))"
     coordinates = F.coalesce(F.expr(score), F.array().cast("array<double>"))
@@ -311,23 +314,23 @@ def packed(centroids: DataFrame) -> DataFrame:
     )
 
 
-def assigned(points: DataFrame, centroids: DataFrame) -> DataFrame:
+def assigned(points: DataFrame, centroids: DataFrame, *, n_domains: int | None = None) -> DataFrame:
     """Nearest centroid of every point at every resolution (lowest number on ties), without a shuffle of points."""
     # One lookup row holds all resolutions of a domain.
     grouped = packed(centroids).groupBy("domain_id").agg(F.collect_list(F.struct("resolution", "centroids")).alias("sets"))
-    joined = lookup_join(points, grouped, ["domain_id"], salt_by=["frame_global"], max_rows=10_000)
+    joined = lookup_join(points, grouped, ["domain_id"], salt_by=["frame_global"], max_rows=10_000, known_rows=n_domains)
     distance = "aggregate(zip_with(c.at, e, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)"
     nearest = f"array_min(transform(centroids, c -> struct({distance} AS d, c.cluster AS cluster))).cluster"
     return joined.select(*points.columns, F.inline("sets")).withColumn("cluster", F.expr(nearest)).drop("centroids")
 
 
-def lloyd_step(points: DataFrame, centroids: DataFrame, dim: int) -> DataFrame:
+def lloyd_step(points: DataFrame, centroids: DataFrame, dim: int, *, n_domains: int | None = None) -> DataFrame:
     """One step for all domains and resolutions: assign, then average; a cluster without points stays in place.
 
     Averages combine per task before the shuffle, so only centroid-sized rows move.
     """
     means = [F.avg(F.get(F.col("e"), F.lit(c))).alias(f"_{c}") for c in range(dim)]
-    averaged = assigned(points, centroids).groupBy("domain_id", "resolution", "cluster").agg(*means)
+    averaged = assigned(points, centroids, n_domains=n_domains).groupBy("domain_id", "resolution", "cluster").agg(*means)
     moved = averaged.select(
         "domain_id", "resolution", "cluster",
         F.filter(F.array(*[F.col(f"_{c}") for c in range(dim)]), lambda x: x.isNotNull()).alias("_new"),
@@ -346,13 +349,18 @@ def clustered(
     which keeps the plan short and lets a step restart when an executor is lost. States are numbered by the first
     frame they appear in.
     """
+    totals = cut_lineage(totals)
+    n_domains = totals.count()
     centroids = cut_lineage(first_centroids(points, resolution_plan(totals, resolutions), seed))
     for _ in range(iterations):
-        centroids = cut_lineage(lloyd_step(points, centroids, dim))
-    labelled = assigned(points, centroids)
+        centroids = cut_lineage(lloyd_step(points, centroids, dim, n_domains=n_domains))
+    labelled = assigned(points, centroids, n_domains=n_domains)
     firsts = labelled.groupBy("domain_id", "resolution", "cluster").agg(F.min("frame_global").alias("_first"))
     order = Window.partitionBy("domain_id", "resolution").orderBy("_first")
     states = firsts.select(
         "domain_id", "resolution", "cluster", (F.row_number().over(order) - 1).cast("bigint").alias("state")
     )
-    return lookup_join(labelled, states, ["domain_id", "resolution", "cluster"], salt_by=["frame_global"]).drop("cluster")
+    return lookup_join(
+        labelled, states, ["domain_id", "resolution", "cluster"], salt_by=["frame_global"],
+        known_rows=n_domains * sum(resolutions),
+    ).drop("cluster")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltraj.functions.numeric import draw_below
-from moltraj.scale import BLOCK, look_ahead, lookup_join, ranked, running_total, value_block
+from moltraj.scale import BLOCK, cut_lineage, look_ahead, lookup_join, ranked, running_total, value_block
 
 ACCUMULATED_PS = 1000.0
 RESAMPLES = 1000
@@ -132,15 +132,17 @@ def calibration_error(rows: DataFrame, group: Sequence[str], probability: str, o
 # --- rank statistics ---------------------------------------------------------------------------------------------------
 
 
-def tie_ranks(rows: DataFrame, group: Sequence[str], value: str, sums: dict[str, Column], name: str = "rank") -> DataFrame:
+def tie_ranks(
+    rows: DataFrame, group: Sequence[str], value: str, sums: dict[str, Column], name: str = "rank", *, weight: str | None = None
+) -> DataFrame:
     """One row per distinct value with its tie-averaged rank, the number of copies, and sums over the copies.
 
-    Ties are counted first, so a value shared by a third of the rows is one row; distinct values are then ranked in
-    quantile blocks instead of one sort.
+    Ties are counted first, so a value shared by a third of the rows is one row. The counted values are materialised,
+    as they are read for the quantile cuts and for the ranks, and are ranked in quantile blocks instead of one sort.
     """
     totals = [F.sum(column).alias(out) for out, column in sums.items()]
-    distinct = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("copies"), *totals)
-    placed = running_total(distinct, group, value_block(rows, value), [value], F.col("copies"), "_less")
+    distinct = cut_lineage(rows.groupBy(*group, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("copies"), *totals))
+    placed = running_total(distinct, group, value_block(distinct, value), [value], F.col("copies"), "_less")
     return placed.withColumn(name, F.col("_less") + (F.col("copies") + 1) / 2).drop("_less")
 
 
@@ -189,10 +191,11 @@ def wilcoxon(pairs: DataFrame, difference: str) -> DataFrame:
 
 def spearman(rows: DataFrame, group: Sequence[str], left: str, right: str) -> DataFrame:
     """Rank correlation with averaged ties, from counted (left, right) cells."""
-    cells = rows.groupBy(*group, left, right).agg(F.count(F.lit(1)).alias("_w"))
+    counted = cut_lineage(rows.groupBy(*group, left, right).agg(F.count(F.lit(1)).alias("_w")))
+    cells = counted
     for value, name in ((left, "_a"), (right, "_b")):
-        ranks = tie_ranks(rows, group, value, {}, name).select(*group, value, name)
-        cells = lookup_join(cells, ranks, [*group, value], salt_by=[left, right])
+        ranks = tie_ranks(counted, group, value, {}, name, weight="_w").select(*group, value, name)
+        cells = lookup_join(cells, ranks, [*group, value], salt_by=[left, right], probe=False)
     a, b, w = F.col("_a"), F.col("_b"), F.col("_w")
     sums = cells.groupBy(*group).agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * b).alias("sab"),
@@ -212,13 +215,14 @@ def paired_bootstrap(units: DataFrame, unit_key: Column, delta: str, *, resample
     Units are numbered in a hash order; each resample draws as many numbers as there are units. Draws meet the
     units by a lookup join and are averaged per resample with map-side combine.
     """
-    hashed = units.select(F.md5(unit_key).alias("_h"), F.col(delta).cast("double").alias("_delta"))
+    units = cut_lineage(units.select(unit_key.alias("_unit"), F.col(delta).cast("double").alias(delta)))
+    n_units = units.count()
+    hashed = units.select(F.md5("_unit").alias("_h"), F.col(delta).cast("double").alias("_delta"))
     block = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
     numbered = ranked(hashed, [], block, ["_h"], "_slot").select("_slot", "_delta")
-    total = units.agg(F.count(F.lit(1)).alias("n")).scalar()
     slots = numbered.select("_slot", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    picks = slots.withColumn("_pick", draw_below(total, seed, F.col("resample"), F.col("_slot")))
-    drawn = lookup_join(picks, numbered.select(F.col("_slot").alias("_pick"), "_delta"), ["_pick"], salt_by=["resample", "_slot"])
+    picks = slots.withColumn("_pick", draw_below(F.lit(n_units), seed, F.col("resample"), F.col("_slot")))
+    drawn = lookup_join(picks, numbered.select(F.col("_slot").alias("_pick"), "_delta"), ["_pick"], salt_by=["resample", "_slot"], known_rows=n_units)
     means = drawn.groupBy("resample").agg(F.avg("_delta").alias("mean"))
     bounds = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
     return means.agg(bounds.alias("b")).select(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltraj.functions.numeric import draw_below
-from moltraj.scale import BLOCK, look_back, lookup_join, ranked, running_total, value_block
+from moltraj.scale import BLOCK, cut_lineage, look_back, lookup_join, ranked, running_total, value_block
 
 # Share of random picks, largest share of one trajectory, weights of spread and of rarity.
 RANDOM_FLOOR = 0.05
@@ -78,12 +78,14 @@ def positions(rows: DataFrame, value: str, tie: str, name: str, *, start: int =
     """Exact position of each row by (value, tie), without a single-task sort.
 
     Distinct values are placed in quantile blocks and equal values are numbered among themselves in blocks of the
-    integer tie column, so neither a long list nor a heavily shared value lands in one task.
+    integer tie column, so neither a long list nor a heavily shared value lands in one task. The rows, one per
+    trajectory, are materialised because they are read three times.
     """
+    rows = cut_lineage(rows)
     counted = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_copies"))
     below = running_total(counted, [], value_block(rows, value), [value], F.col("_copies"), "_less").select(value, "_less")
     among = ranked(rows, [value], F.floor(F.col(tie) / BLOCK), [tie], "_among")
-    placed = lookup_join(among, below, [value], salt_by=[tie])
+    placed = lookup_join(among, below, [value], salt_by=[tie], probe=False)
     return placed.withColumn(name, F.col("_less") + F.col("_among") + start).drop("_less", "_among")
 
 

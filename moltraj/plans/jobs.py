@@ -263,12 +263,11 @@ def label(
     metadata = metadata.join(first, ["traj_id", "traj_index"], "left_semi")
     offsets = cut_lineage(labels.frame_offsets(metadata, cap))
     stored = spark.read.parquet(f"{data}/features").select("domain_id", "traj_id", "frame", "residue_index", *features.CA)
-    points = labels.points_from_store(labels.capped_frames(stored, offsets), metadata, feature_residues)
-    vectors = labels.frame_vectors(points, feature_residues)
-    placed = labels.capped_frames(vectors, offsets)
-    scored = cut_lineage(labels.standardised(placed))
+    n = offsets.count()
+    points = labels.points_from_store(labels.capped_frames(stored, offsets, n_trajectories=n), metadata, feature_residues)
+    scored = cut_lineage(labels.standardised(labels.frame_vectors(points, feature_residues), n_trajectories=n))
     models = cut_lineage(labels.slow_models(labels.lagged_products(scored, lag, pair_scope=pair_scope), dim=dim, seed=seed))
-    embedded = cut_lineage(labels.embedded(scored, models))
+    embedded = cut_lineage(labels.embedded(scored, models, n_domains=models.count()))
     totals = embedded.groupBy("domain_id").agg(F.max("n_total").alias("n_total"))
     states = labels.clustered(embedded, totals, resolutions, dim=dim, seed=seed, iterations=iterations)
     block = F.floor(F.col("frame_global") / BLOCK)

@@ -270,11 +270,11 @@ windows AS (SELECT window_id, traj_index, traj_id, slide % (n_frames - 63) AS st
       SELECT round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms,
              max(value) AS max_ms FROM events"""
     sql["check_verdict"] = f"""
-      WITH {hash_sql()},
+      WITH {features_sql('kept')},
       rmsd AS (SELECT sqrt(avg(({gap}) / 3)) < 0.05 AS passed FROM features GROUP BY {KEY}),
       checks AS (
         SELECT 'domain_list' AS check_name, true AS passed
-        UNION ALL SELECT 'manifest_hash', count(*) > 0 FROM hashes
+        UNION ALL SELECT 'manifest_hash', count(*) > 0 FROM events
         UNION ALL SELECT 'roundtrip_rmsd', bool_and(passed) FROM rmsd
         UNION ALL SELECT 'window_latency', quantile_cont(value, 0.5) < 50.0 AND quantile_cont(value, 0.99) < 200.0 FROM events)
       SELECT check_name, passed FROM checks UNION ALL SELECT 'all', bool_and(passed) FROM checks"""

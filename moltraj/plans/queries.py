@@ -272,9 +272,7 @@ def window_percentiles(spark, sf):
 def check_verdict(spark, sf):
     frames = views.frames(spark, sf)
     domains = frames.select("domain_id").distinct()
-    hashes = trajectory_hash(spark, sf)
-    recomputed = fingerprint.tree_dataset_hash(hashes)
-    stored = fingerprint.tree_dataset_hash(hashes).scalar()
+    recomputed, stored = dataset_hash(spark, sf), dataset_hash(spark, sf).scalar()
     latency = checks.latency_summary(views.table(spark, sf, "events"), "value").withColumn(
         "passed", (F.col("p50_ms") < 50) & (F.col("p99_ms") < 200)
     )
@@ -302,21 +300,22 @@ def frame_cap_offsets(spark, sf):
     return labels.frame_offsets(views.metadata(spark, sf), cap=100)
 
 
-def vectors(spark, sf):
-    """Every point of a frame taken as a C-alpha; trajectories of a domain follow each other by temperature."""
+def scored_vectors(spark, sf):
+    """Every point of a frame taken as a C-alpha, as standardised vectors."""
+    metadata = views.frame_metadata(spark, sf)
+    n = metadata.count()
     frames = views.frames(spark, sf).withColumn("traj_id", F.concat_ws("_", *TRAJECTORY_KEY))
-    metadata = frames.groupBy("domain_id", "temperature", "replicate", "traj_id").agg(F.count(F.lit(1)).alias("n_frames"))
-    metadata = metadata.withColumn("traj_index", F.col("temperature") * 1000 + F.col("replicate"))
-    capped = labels.capped_frames(frames, labels.frame_offsets(metadata, cap=0))
+    capped = labels.capped_frames(frames, labels.frame_offsets(metadata, cap=0), n_trajectories=n)
     sampled = labels.sampled_points(capped, "xyz", FEATURE_SAMPLE)
-    return labels.frame_vectors(sampled, FEATURE_SAMPLE).select(
+    vectors = labels.frame_vectors(sampled, FEATURE_SAMPLE).select(
         "domain_id", "traj_id", "frame", "frame_global", "n_total", "vector"
     )
+    return labels.standardised(vectors, n_trajectories=n), n
 
 
 @registered
 def frame_features(spark, sf):
-    scored = labels.standardised(vectors(spark, sf))
+    scored, _ = scored_vectors(spark, sf)
     return scored.select("traj_id", "frame", "frame_global", F.posexplode("z").alias("component", "z")).withColumn(
         "z", clean(F.col("z"))
     )
@@ -330,28 +329,37 @@ def lagged_pairs(spark, sf):
     return lagged.select("event_id", "later_event", "value", "later_value")
 
 
+def covariance(spark, sf, scope):
+    scored, _ = scored_vectors(spark, sf)
+    products = labels.lagged_products(scored, 1, pair_scope=scope)
+    return labels.lagged_covariance(cut_lineage(products)).withColumns({c: clean(F.col(c)) for c in ("c00", "c0t")})
+
+
 @registered
 def lagged_covariance(spark, sf):
-    products = labels.lagged_products(labels.standardised(vectors(spark, sf)), 1)
-    return labels.lagged_covariance(products).withColumns({c: clean(F.col(c)) for c in ("c00", "c0t")})
+    return covariance(spark, sf, "domain")
 
 
 @registered
 def lagged_covariance_within(spark, sf):
-    products = labels.lagged_products(labels.standardised(vectors(spark, sf)), 1, pair_scope="trajectory")
-    return labels.lagged_covariance(products).withColumns({c: clean(F.col(c)) for c in ("c00", "c0t")})
+    return covariance(spark, sf, "trajectory")
+
+
+def slow_points(spark, sf):
+    scored, n = scored_vectors(spark, sf)
+    scored = cut_lineage(scored)
+    return labels.embedded(scored, labels.slow_models(labels.lagged_products(scored, 1)), n_domains=n)
 
 
 @registered
 def tica_embedding(spark, sf):
-    scored = labels.standardised(vectors(spark, sf))
-    points = labels.embedded(scored, labels.slow_models(labels.lagged_products(scored, 1)))
+    points = slow_points(spark, sf)
     return points.select("traj_id", "frame", F.posexplode("e").alias("coordinate", "e")).withColumn("e", clean(F.col("e")))
 
 
 @registered
 def tica_scores(spark, sf):
-    scored = labels.standardised(vectors(spark, sf))
+    scored, _ = scored_vectors(spark, sf)
     gated = labels.health_gate(labels.slow_models(labels.lagged_products(scored, 1)))
     return gated.select(
         "domain_id", "n_total", "dim", clean(F.col("score")).alias("score"), clean(F.col("baseline")).alias("baseline"),
@@ -361,7 +369,7 @@ def tica_scores(spark, sf):
 
 @registered
 def health_gate(spark, sf):
-    scores = views.event_frames(spark, sf).groupBy("domain_id").agg(
+    scores = views.event_rows(spark, sf).groupBy("domain_id").agg(
         F.avg("value").alias("score"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("baseline")
     )
     return labels.health_gate(scores, 0.5).select("domain_id", "health_passed", "method", "fallback_reason")
@@ -380,9 +388,7 @@ def lloyd_step(spark, sf):
 
 @registered
 def kmeans_labels(spark, sf):
-    scored = labels.standardised(vectors(spark, sf))
-    points = labels.embedded(scored, labels.slow_models(labels.lagged_products(scored, 1)))
-    points = cut_lineage(points.select("domain_id", "traj_id", "frame", "frame_global", "n_total", "e"))
+    points = cut_lineage(slow_points(spark, sf).select("domain_id", "traj_id", "frame", "frame_global", "n_total", "e"))
     totals = points.groupBy("domain_id").agg(F.max("n_total").alias("n_total"))
     result = labels.clustered(points, totals, (4, 16), iterations=5)
     return result.select("domain_id", "resolution", "traj_id", "frame", "frame_global", "state")
@@ -476,46 +482,46 @@ def chapman_kolmogorov(spark, sf):
 
 @registered
 def coverage_entropy(spark, sf):
-    result = metrics.coverage_entropy(views.event_frames(spark, sf), ["temperature"], "event_type")
+    result = metrics.coverage_entropy(views.event_rows(spark, sf), ["temperature"], "event_type")
     return result.withColumn("entropy", clean(F.col("entropy")))
 
 
 @registered
 def mutual_information(spark, sf):
-    rows = views.event_frames(spark, sf).withColumn("bin", F.floor(F.col("value") / 25))
+    rows = views.event_rows(spark, sf).withColumn("bin", F.floor(F.col("value") / 25))
     return metrics.mutual_information(rows, ["domain_id"], "event_type", "bin").withColumn("bits", clean(F.col("bits")))
 
 
-def scored_events(spark, sf):
-    return views.event_frames(spark, sf).withColumn("hit", F.col("event_type") == "purchase")
+def scored_events(events):
+    return events.withColumn("hit", F.col("event_type") == "purchase")
 
 
 @registered
 def auroc_by_domain(spark, sf):
-    return metrics.auroc(scored_events(spark, sf), ["domain_id"], "value", F.col("hit")).withColumn("auroc", clean(F.col("auroc")))
+    return metrics.auroc(scored_events(views.event_rows(spark, sf)), ["domain_id"], "value", F.col("hit")).withColumn("auroc", clean(F.col("auroc")))
 
 
 @registered
 def auroc_time_shuffled(spark, sf):
-    shuffled = metrics.time_shuffled(scored_events(spark, sf), "traj_index", "value")
+    shuffled = metrics.time_shuffled(scored_events(views.event_frames(spark, sf)), "traj_index", "value")
     return metrics.auroc(shuffled, ["domain_id"], "shuffled", F.col("hit")).withColumn("auroc", clean(F.col("auroc")))
 
 
 @registered
 def calibration_error(spark, sf):
-    rows = scored_events(spark, sf).withColumn("p", F.col("value") / 500.0)
+    rows = scored_events(views.event_rows(spark, sf)).withColumn("p", F.col("value") / 500.0)
     return metrics.calibration_error(rows, ["domain_id"], "p", "hit").withColumn("ece", clean(F.col("ece")))
 
 
 @registered
 def spearman_by_domain(spark, sf):
-    rows = views.event_frames(spark, sf).withColumns({"a": F.floor("value"), "b": F.col("event_id") % 97})
+    rows = views.event_rows(spark, sf).withColumns({"a": F.floor("value"), "b": F.col("event_id") % 97})
     return metrics.spearman(rows, ["domain_id"], "a", "b").withColumn("rho", clean(F.col("rho")))
 
 
 def paired_units(spark, sf):
     """Two policies measured on every protein and seed."""
-    unit = views.event_frames(spark, sf).withColumn("seed", F.col("replicate") % 5)
+    unit = views.event_rows(spark, sf).withColumn("seed", F.col("replicate") % 5)
     def policy(kind):
         return F.avg(F.when(F.col("event_type") == kind, F.col("value")))
     return unit.groupBy("domain_id", "seed").agg(F.round(policy("purchase") - policy("signup"), 4).alias("delta")).dropna()
@@ -573,7 +579,7 @@ def visits_within(spark, sf):
 
 @registered
 def budgeted_selection(spark, sf):
-    rows = views.event_frames(spark, sf).select("traj_id", F.col("event_id").alias("item"), F.col("value").alias("score"))
+    rows = views.event_rows(spark, sf).select("traj_id", F.col("event_id").alias("item"), F.col("value").alias("score"))
     return selection.budgeted(rows, 40)
 
 
@@ -621,7 +627,7 @@ def frame_progress(spark, sf):
 @registered
 def active_runs(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "error", "terminate").otherwise("extend")
-    log = views.event_frames(spark, sf).select(
+    log = views.event_rows(spark, sf).select(
         F.col("traj_id").alias("trajectory_id"), kind.alias("kind"), F.col("value").alias("ns"),
         F.floor("value").cast("double").alias("priority"), F.col("event_id").alias("seq"),
     )

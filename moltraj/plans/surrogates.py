@@ -63,6 +63,17 @@ def rmsd_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.withColumns({"rmsd_unit": F.lit("nm"), "has_rmsd": F.lit(True)})
 
 
+def frame_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per trajectory of the frames with its length; trajectories of a domain follow each other by temperature."""
+    counts = table(spark, sf_dir, "embeddings").selectExpr(*TRAJECTORY_SQL).groupBy(*TRAJECTORY_KEY).agg(
+        F.count(F.lit(1)).alias("n_frames")
+    )
+    return counts.withColumns({
+        "traj_id": F.concat_ws("_", *TRAJECTORY_KEY),
+        "traj_index": F.col("temperature") * 1000 + F.col("replicate"),
+    })
+
+
 def frame_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atom table of the frames: one fixed set of names for every domain found in the data."""
     named = [
@@ -119,6 +130,11 @@ def with_names(events: DataFrame) -> DataFrame:
     return named.withColumn("traj_id", trajectory_id(F.col("domain_id"), F.col("temperature"), F.col("replicate")))
 
 
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their trajectory names but without frame numbers, for measures that do not need an order."""
+    return with_names(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value"))
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user as trajectory metadata; topology is the domain itself."""
     counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_frames"))

@@ -33,13 +33,18 @@ def lookup_join(
     salt_by: Sequence[str],
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    known_rows: int | None = None,
+    probe: bool = True,
 ) -> DataFrame:
     """Join a large table to a lookup table with one row per key.
 
-    The lookup side is broadcast only when its row count was checked. Beyond that both sides shuffle on the key plus
-    a salt taken from `salt_by`, so a key that holds a third of `big` is spread over `salts` tasks.
+    The lookup side is broadcast only when its row count was checked: from `known_rows` if the caller has counted a
+    cheaper table of the same length, else by counting up to the bound. Beyond that, or without `probe`, both sides
+    shuffle on the key plus a salt taken from `salt_by`, so a key that holds a third of `big` is spread over `salts`
+    tasks; adaptive execution may still broadcast a side it has measured.
     """
-    if fits(small, max_rows):
+    small_enough = known_rows <= max_rows if known_rows is not None else probe and fits(small, max_rows)
+    if small_enough:
         return big.join(F.broadcast(small), list(on), how)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
