@@ -120,8 +120,8 @@ def stored_precision(features: DataFrame) -> DataFrame:
 def padded_grid(features: DataFrame, fills: dict[str, Column]) -> DataFrame:
     """Every (trajectory, frame, residue) cell of the rounded-up rectangle, with fills where there is no data.
 
-    An opt-in export shape, never the storage layout. The rectangle is generated from one row per trajectory; frames
-    are exploded before residues so the rows spread over tasks by the join's hash on the full cell key.
+    An opt-in export shape, never the storage layout. The rectangle grows from one row per trajectory to one per frame
+    block, is spread over tasks, and only then unfolds to frames and residues.
     """
     rectangle = features.agg(
         round_up(F.max("frame") + 1, FRAME_MULTIPLE).alias("n_frames"),
@@ -132,10 +132,17 @@ def padded_grid(features: DataFrame, fills: dict[str, Column]) -> DataFrame:
 
 def padded_to(features: DataFrame, rectangle: DataFrame, fills: dict[str, Column]) -> DataFrame:
     rows, across = rectangle.select("n_frames").scalar(), rectangle.select("n_residues").scalar()
+    blocks = (
+        features.select(*TRAJECTORY_KEY).distinct().withColumns({"_rows": rows, "_across": across})
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), ((F.col("_rows") - 1) / FRAME_MULTIPLE).cast("int"))))
+        .repartition(*TRAJECTORY_KEY, "_block")
+    )
+    first = F.col("_block") * FRAME_MULTIPLE
+    last = F.least(first + FRAME_MULTIPLE, F.col("_rows")).cast("int") - 1
     cells = (
-        features.select(*TRAJECTORY_KEY).distinct()
-        .withColumn("frame", F.explode(F.sequence(F.lit(0), (rows - 1).cast("int"))))
-        .withColumn("residue_index", F.explode(F.sequence(F.lit(0), (across - 1).cast("int"))))
+        blocks.withColumn("frame", F.explode(F.sequence(first, last)))
+        .withColumn("residue_index", F.explode(F.sequence(F.lit(0), (F.col("_across") - 1).cast("int"))))
+        .drop("_block", "_rows", "_across")
     )
     keys = [*FRAME_KEY, "residue_index"]
     marked = features.select(*keys, *fills, F.lit(True).alias("_real"))

@@ -64,8 +64,9 @@ def frame_offsets(metadata: DataFrame, cap: int = FRAME_CAP, *, block: Column |
 def capped_frames(frames: DataFrame, offsets: DataFrame, *, n_trajectories: int | None = None) -> DataFrame:
     """Frames inside their trajectory's share, with their place on the domain axis and the domain's total."""
     totals = offsets.groupBy("domain_id").agg(F.max("stop").alias("n_total"))
-    spans = offsets.join(totals, "domain_id").select("traj_id", "start", "stop", "n_total")
-    joined = lookup_join(frames, spans, ["traj_id"], salt_by=["frame"], known_rows=n_trajectories)
+    spans = offsets.join(totals, "domain_id").select("domain_id", "traj_id", "start", "stop", "n_total")
+    # The domain is part of the key so that partition folders of other domains are pruned from a stored table.
+    joined = lookup_join(frames, spans, ["domain_id", "traj_id"], salt_by=["frame"], known_rows=n_trajectories)
     return joined.filter(F.col("frame") < F.col("stop") - F.col("start")).withColumn(
         "frame_global", F.col("start") + F.col("frame")
     ).drop("start", "stop")
@@ -293,7 +294,7 @@ def resolution_plan(totals: DataFrame, resolutions: Sequence[int]) -> DataFrame:
     )
 
 
-def first_centroids(points: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
+def first_centroids(points: DataFrame, plan: DataFrame, seed: int = 0, *, n_picks: int | None = None) -> DataFrame:
     """Seeded start: one frame from each of k equal stretches of the frame axis, all different."""
     def bound(step: Column) -> Column:
         return F.floor(step.cast("bigint") * F.col("n_total") / F.col("k"))
@@ -302,9 +303,11 @@ def first_centroids(points: DataFrame, plan: DataFrame, seed: int = 0) -> DataFr
     low, high = bound(F.col("cluster")), bound(F.col("cluster") + 1)
     shift = draw_below(high - low, seed, F.col("domain_id"), F.col("resolution"), F.col("cluster"))
     picks = slots.withColumn("frame_global", low + shift).drop("n_total", "k")
-    return points.select("domain_id", "frame_global", "e").join(picks, ["domain_id", "frame_global"]).select(
-        "domain_id", "resolution", "cluster", "e"
+    found = lookup_join(
+        points.select("domain_id", "frame_global", "e"), picks, ["domain_id", "frame_global"], salt_by=["frame_global"],
+        known_rows=n_picks,
     )
+    return found.select("domain_id", "resolution", "cluster", "e")
 
 
 def packed(centroids: DataFrame) -> DataFrame:
@@ -351,7 +354,8 @@ def clustered(
     """
     totals = cut_lineage(totals)
     n_domains = totals.count()
-    centroids = cut_lineage(first_centroids(points, resolution_plan(totals, resolutions), seed))
+    plan = resolution_plan(totals, resolutions)
+    centroids = cut_lineage(first_centroids(points, plan, seed, n_picks=n_domains * sum(resolutions)))
     for _ in range(iterations):
         centroids = cut_lineage(lloyd_step(points, centroids, dim, n_domains=n_domains))
     labelled = assigned(points, centroids, n_domains=n_domains)

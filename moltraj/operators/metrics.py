@@ -160,12 +160,12 @@ def auroc(rows: DataFrame, group: Sequence[str], score: str, positive: Column) -
 def time_shuffled(frames: DataFrame, run: str, column: str, seed: int = 0) -> DataFrame:
     """`column` permuted within each run by a seeded hash order of the frames, as column `shuffled`.
 
-    The hash spreads a run evenly over 4096 blocks, whatever its length.
+    The hash spreads a run evenly over 65536 blocks, whatever its length.
     """
     hashed = frames.select(run, "frame", column).withColumn(
         "_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(run).cast("string"), F.col("frame").cast("string")))
     )
-    block = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
+    block = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
     moved = ranked(hashed, [run], block, ["_h", "frame"], "_to").select(
         run, F.col("_to").alias("frame"), F.col(column).alias("shuffled")
     )

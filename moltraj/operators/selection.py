@@ -21,6 +21,7 @@ SALTS = 16
 
 def acquisition(candidates: DataFrame, visits: DataFrame, region: str, kappa: float = KAPPA, c: float = RARITY) -> DataFrame:
     """mean + kappa * spread + c * sqrt(ln t / visits of the candidate's region), t being all visits."""
+    visits = cut_lineage(visits)
     total = visits.agg(F.sum("n_visits").alias("t")).scalar()
     joined = lookup_join(candidates, visits, [region], "left", salt_by=["traj_index"])
     rarity = F.sqrt(F.ln(total) / F.greatest(F.coalesce("n_visits", F.lit(0)), F.lit(1)))
@@ -101,7 +102,7 @@ def random_with_replacement(metadata: DataFrame, n_picks: int, seed: int = 0) ->
     picks = metadata.sparkSession.range(n_picks).select(
         F.col("id").alias("pick"), draw_below(total, seed, F.col("id")).alias("_slot")
     )
-    return lookup_join(picks, numbered, ["_slot"], salt_by=["pick"]).select("pick", "traj_index")
+    return picks.join(numbered, "_slot").select("pick", "traj_index")
 
 
 def rmsd_velocity(frames: DataFrame, run: str, rmsd: str, frame_ps: float) -> DataFrame:

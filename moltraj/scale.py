@@ -138,23 +138,31 @@ def look_back(
     return shifted.filter("_home").drop("_block", "_home", "_own")
 
 
-def value_block(df: DataFrame, value: str, parts: int = 64) -> Column:
-    """A block number that grows with a numeric `value` and holds about 1/parts of the rows, from sampled quantiles.
+def value_block(df: DataFrame, value: str, parts: int = 64, steps: int = 64) -> Column:
+    """A block number that grows with a numeric `value`: sampled quantile intervals, each cut into equal steps.
 
-    Quantiles only balance the blocks; results built on the blocks stay exact. Equal values share a block, so
-    aggregate ties first. The quantile sketch runs as one small job, and its cuts become a balanced comparison tree.
+    Cuts only balance the blocks; results built on the blocks stay exact. Equal values share a block, so aggregate
+    ties first. The quantile sketch runs as one small job, and its cuts become a balanced comparison tree.
     """
-    levels = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    levels = F.array(*[F.lit(i / parts) for i in range(parts + 1)])
     found = df.agg(F.percentile_approx(F.col(value).cast("double"), levels, F.lit(1000)).alias("cuts")).first()["cuts"]
-    cuts = sorted({cut for cut in found or [] if cut == cut})
+    cuts = sorted({cut for cut in found or [] if abs(cut) < float("inf")})
+    v = f"CAST({value} AS DOUBLE)"
+
+    def step(interval: int) -> str:
+        if not 0 < interval < len(cuts):
+            return str(interval * steps)
+        low, high = cuts[interval - 1], cuts[interval]
+        inside = f"least(floor(({v} - DOUBLE('{low!r}')) / DOUBLE('{high - low!r}') * {steps}), {steps - 1})"
+        return f"{interval * steps} + {inside}"
 
     def tree(low: int, high: int) -> str:
         if low == high:
-            return str(low)
+            return step(low)
         middle = (low + high) // 2
-        return f"if(CAST({value} AS DOUBLE) < DOUBLE('{cuts[middle]!r}'), {tree(low, middle)}, {tree(middle + 1, high)})"
+        return f"if({v} < DOUBLE('{cuts[middle]!r}'), {tree(low, middle)}, {tree(middle + 1, high)})"
 
-    return F.expr(tree(0, len(cuts)))
+    return F.expr(f"CAST({tree(0, len(cuts))} AS BIGINT)")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
