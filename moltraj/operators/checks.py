@@ -13,7 +13,6 @@ from moltraj.scale import BLOCK, lookup_join, ranked
 from moltraj.schema import FRAME_KEY, FRAME_MULTIPLE, RESIDUE_MULTIPLE, TRAJECTORY_KEY
 
 RMSD_THRESHOLD = 0.05
-MAX_WINDOWS = 100_000
 
 
 def shape_report(features: DataFrame) -> DataFrame:
@@ -82,8 +81,6 @@ def roundtrip_rmsd(raw: DataFrame, stored: DataFrame, threshold: float = RMSD_TH
 
 
 def window_draws(spark, n_windows: int, seed: int) -> DataFrame:
-    if n_windows > MAX_WINDOWS:
-        raise ValueError(f"at most {MAX_WINDOWS} windows")
     at = F.col("id")
     return spark.range(n_windows).select(
         at.alias("window_id"), draw(seed, at, F.lit("t")).alias("pick"), draw(seed, at, F.lit("s")).alias("slide")
@@ -102,21 +99,19 @@ def random_windows(metadata: DataFrame, *, n_windows: int = 100, window_frames:
     draws = window_draws(metadata.sparkSession, n_windows, seed)
     picked = draws.filter(total > 0).withColumn("_place", F.pmod("pick", total))
     start = F.pmod(F.col("slide"), F.col("n_frames") - F.lit(window_frames - 1))
-    return numbered.join(F.broadcast(picked), "_place").select(
+    return lookup_join(numbered, picked, ["_place"], salt_by=["traj_index"], known_rows=n_windows).select(
         "window_id", "traj_index", "traj_id", start.alias("start"), (start + window_frames).alias("stop")
     )
 
 
-def window_rows(frames: DataFrame, windows: DataFrame, key: str, position: str = "frame") -> DataFrame:
-    """Rows of `frames` inside each window: an equality join on the trajectory with a range condition.
+def window_rows(frames: DataFrame, windows: DataFrame, key: str, n_windows: int, position: str = "frame") -> DataFrame:
+    """Rows of `frames` inside each window: a lookup join on the trajectory, then the range.
 
-    Windows are at most MAX_WINDOWS rows, so they are broadcast; frames stay where they are.
+    Few windows are broadcast and frames stay where they are; many windows meet frames on a salted trajectory key.
     """
-    inside = windows.select(F.col(key).alias("_key"), "window_id", "start", "stop")
-    return frames.join(
-        F.broadcast(inside),
-        (F.col(key) == F.col("_key")) & (F.col(position) >= F.col("start")) & (F.col(position) < F.col("stop")),
-    ).drop("_key")
+    inside = windows.select(key, "window_id", "start", "stop")
+    paired = lookup_join(frames, inside, [key], salt_by=[position], known_rows=n_windows)
+    return paired.filter((F.col(position) >= F.col("start")) & (F.col(position) < F.col("stop")))
 
 
 def checksum_audit(held: DataFrame, published: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from moltraj.functions import geometry as geo
 from moltraj.functions.codes import dssp_code, trajectory_id
 from moltraj.functions.numeric import quantize_f16, round_up
-from moltraj.scale import BLOCK, lookup_join, ranked
+from moltraj.scale import BLOCK, BROADCAST_ENTRIES, lookup_join, ranked
 from moltraj.schema import (
     FOLDED_RMSD_ANGSTROM,
     FRAME_KEY,
@@ -76,7 +76,10 @@ def residue_points(frames: DataFrame, sites: DataFrame) -> DataFrame:
     Frames meet their domain's residue array and are unpacked in the same stage: no shuffle when the arrays fit a
     broadcast, and a salted one otherwise.
     """
-    joined = lookup_join(frames, sites, ["domain_id"], salt_by=["temperature", "replicate", "frame"])
+    joined = lookup_join(
+        frames, sites, ["domain_id"], salt_by=["temperature", "replicate", "frame"], max_rows=BROADCAST_ENTRIES,
+        weight=F.size("sites"),
+    )
     unpacked = joined.select(*FRAME_KEY, "dssp", "xyz", F.inline("sites"))
     gathered = {}
     for name, index in POINT_INDEX.items():

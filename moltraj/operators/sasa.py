@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from moltraj.functions import geometry as geo
 from moltraj.operators.topology import residue_atoms
-from moltraj.scale import lookup_join
+from moltraj.scale import BROADCAST_ENTRIES, lookup_join
 from moltraj.schema import FRAME_KEY
 
 # Van der Waals radii in Angstrom by element (Bondi 1964).
@@ -46,7 +46,10 @@ def atom_spheres(frames: DataFrame, atoms: DataFrame, residue_table: DataFrame,
     per_domain = paired.groupBy("domain_id").agg(
         F.collect_list(F.struct("atom_index", "residue_index", "reach")).alias("members")
     )
-    joined = lookup_join(frames, per_domain, ["domain_id"], salt_by=["temperature", "replicate", "frame"])
+    joined = lookup_join(
+        frames, per_domain, ["domain_id"], salt_by=["temperature", "replicate", "frame"], max_rows=BROADCAST_ENTRIES,
+        weight=F.size("members"),
+    )
     unpacked = joined.select(*FRAME_KEY, "xyz", F.inline("members"))
     return geo.with_expressions(unpacked, geo.named("p", geo.gather("xyz", "atom_index"))).drop("xyz")
 

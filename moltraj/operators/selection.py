@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltraj.functions.numeric import draw_below
-from moltraj.scale import BLOCK, cut_lineage, look_back, lookup_join, ranked, running_total, value_block
+from moltraj.scale import BLOCK, BROADCAST_ROWS, cut_lineage, look_back, lookup_join, ranked, running_total, value_block
 
 # Share of random picks, largest share of one trajectory, weights of spread and of rarity.
 RANDOM_FLOOR = 0.05
@@ -68,9 +68,10 @@ def budgeted(
     )
     used = lucky.groupBy("traj_id").agg(F.count(F.lit(1)).alias("_used"))
     by_score = Window.partitionBy("traj_id").orderBy(F.desc("score"), "item")
-    rest = candidates.join(F.broadcast(lucky.select("item")), "item", "left_anti")
+    small = F.broadcast if budget <= BROADCAST_ROWS else lambda df: df
+    rest = candidates.join(small(lucky.select("item")), "item", "left_anti")
     best = rest.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= cap)
-    best = best.join(F.broadcast(used), "traj_id", "left").filter(F.col("_n") <= cap - F.coalesce("_used", F.lit(0)))
+    best = best.join(small(used), "traj_id", "left").filter(F.col("_n") <= cap - F.coalesce("_used", F.lit(0)))
     greedy = best.orderBy(F.desc("score"), "item").limit(budget - n_random)
     return lucky.unionByName(greedy.select("traj_id", "item", "score", F.lit("score").alias("reason")))
 

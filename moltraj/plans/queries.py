@@ -258,7 +258,7 @@ def random_windows(spark, sf):
 
 @registered
 def window_rows(spark, sf):
-    rows = checks.window_rows(views.event_frames(spark, sf).drop("traj_id"), random_windows(spark, sf), "traj_index")
+    rows = checks.window_rows(views.event_frames(spark, sf).drop("traj_id"), random_windows(spark, sf), "traj_index", 100)
     return rows.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_frames"), clean(F.sum("value")).alias("value_sum"))
 
 

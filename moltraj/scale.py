@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 SALTS = 32
 BROADCAST_ROWS = 200_000
+BROADCAST_ENTRIES = 2_000_000
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when `df` has at most `max_rows` rows; reads no more rows than it needs to decide."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int, weight: Column | None = None) -> bool:
+    """True when `df` has at most `max_rows` rows, or entries when `weight` counts the entries of a row."""
+    if weight is None:
+        return df.limit(max_rows + 1).count() <= max_rows
+    return (df.agg(F.sum(weight)).first()[0] or 0) <= max_rows
 
 
 def lookup_join(
@@ -34,16 +37,17 @@ def lookup_join(
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
     known_rows: int | None = None,
+    weight: Column | None = None,
     probe: bool = True,
 ) -> DataFrame:
-    """Join a large table to a lookup table with one row per key.
+    """Join a large table to a lookup table.
 
     The lookup side is broadcast only when its row count was checked: from `known_rows` if the caller has counted a
-    cheaper table of the same length, else by counting up to the bound. Beyond that, or without `probe`, both sides
+    cheaper table of the same length, else by counting up to the bound (entries, where `weight` sizes a row). Beyond that, or without `probe`, both sides
     shuffle on the key plus a salt taken from `salt_by`, so a key that holds a third of `big` is spread over `salts`
     tasks; adaptive execution may still broadcast a side it has measured.
     """
-    small_enough = known_rows <= max_rows if known_rows is not None else probe and fits(small, max_rows)
+    small_enough = known_rows <= max_rows if known_rows is not None else probe and fits(small, max_rows, weight)
     if small_enough:
         return big.join(F.broadcast(small), list(on), how)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
