@@ -38,6 +38,15 @@ def canonical(value: Column, scale: int = 10_000) -> Column:
     )
 
 
+def canonical_list(names: list[str], scale: int = 10_000) -> Column:
+    """`canonical` of several columns, joined by bars.
+
+    Mapped over an array, so that the repeated tests do not swell the generated method of the surrounding stage.
+    """
+    numbers = F.array(*[F.col(name).cast("double") for name in names])
+    return F.array_join(F.transform(numbers, lambda x: canonical(x, scale)), "|")
+
+
 def clean(value: Column, digits: int = 6) -> Column:
     """Rounded for output, with no negative zero."""
     return F.round(value, digits) + F.lit(0.0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moltraj.functions.numeric import canonical
+from moltraj.functions.numeric import canonical, canonical_list
 from moltraj.operators.features import CA, CB, TORSIONS
 from moltraj.schema import FRAME_KEY, TRAJECTORY_KEY
 
@@ -25,7 +25,7 @@ def joined_digest(order: Column, digest: Column) -> Column:
 def frame_digests(features: DataFrame, *, include_sasa: bool = False) -> DataFrame:
     """One digest per frame over its residues in order. Area is left out unless asked for, as it may not be there."""
     numbers = [*CA, *CB, *TORSIONS]
-    parts = [canonical(F.col(name)) for name in numbers] + [F.col("dssp").cast("string")]
+    parts = [canonical_list(numbers), F.col("dssp").cast("string")]
     if include_sasa:
         parts.append(canonical(F.col("sasa")))
     parts += [F.col("residue_type").cast("string"), F.when(F.col("residue_mask"), "1").otherwise("0")]

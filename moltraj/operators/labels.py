@@ -145,37 +145,34 @@ def clipped_lag(lag: int) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(lag), F.col("n_total") - 2)).cast("int")
 
 
-def _block_products(table: pa.Table) -> pa.Table:
-    """Products of one block of at most BLOCK + lag frames: x'x + y'y and x'y + y'x with a leading column of ones."""
-    table = table.sort_by("_at")
-    domain, n_total = table.column("domain_id")[0].as_py(), table.column("n_total")[0].as_py()
-    lag = table.column("_lag")[0].as_py()
-    home = int(np.count_nonzero(table.column("_home").to_numpy(zero_copy_only=False)))
-    flat = table.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    z = np.hstack([np.ones((table.num_rows, 1)), flat.reshape(table.num_rows, -1)])
-    n_pairs = min(home, table.num_rows - lag)
-    if n_pairs <= 0:
-        return PRODUCTS_EMPTY
-    x, y = z[:n_pairs], z[lag : lag + n_pairs]
-    same, across = x.T @ x + y.T @ y, x.T @ y
-    i, j = np.triu_indices(z.shape[1])
-    return pa.table(
-        {
-            "domain_id": pa.array([domain] * len(i)),
-            "n_total": pa.array(np.full(len(i), n_total, dtype=np.int64)),
-            "i": pa.array(i.astype(np.int32)),
-            "j": pa.array(j.astype(np.int32)),
-            "same": pa.array(same[i, j]),
-            "across": pa.array((across + across.T)[i, j]),
-        },
-        schema=PRODUCTS_EMPTY.schema,
-    )
+def block_products():
+    """The task-side product of one block of at most BLOCK + lag frames.
+
+    Gives x'x + y'y and x'y + y'x with a leading column of ones. Defined inside a function so that it travels to the
+    workers by value and the package need not be installed there.
+    """
+    kinds = {
+        "domain_id": pa.string(), "n_total": pa.int64(), "i": pa.int32(), "j": pa.int32(), "same": pa.float64(),
+        "across": pa.float64(),
+    }
+
+    def products(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        domain, n_total = table.column("domain_id")[0].as_py(), table.column("n_total")[0].as_py()
+        lag = table.column("_lag")[0].as_py()
+        home = int(np.count_nonzero(table.column("_home").to_numpy(zero_copy_only=False)))
+        n_pairs = max(0, min(home, table.num_rows - lag))
+        flat = table.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        z = np.hstack([np.ones((table.num_rows, 1)), flat.reshape(table.num_rows, -1)])
+        x, y = z[:n_pairs], z[lag : lag + n_pairs]
+        same, across = x.T @ x + y.T @ y, x.T @ y
+        i, j = np.triu_indices(z.shape[1] if n_pairs else 0)
+        columns = [[domain] * len(i), [n_total] * len(i), i, j, same[i, j], (across + across.T)[i, j]]
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    return products
 
 
-PRODUCTS_EMPTY = pa.table({
-    "domain_id": pa.array([], pa.string()), "n_total": pa.array([], pa.int64()), "i": pa.array([], pa.int32()),
-    "j": pa.array([], pa.int32()), "same": pa.array([], pa.float64()), "across": pa.array([], pa.float64()),
-})
 PRODUCTS = "domain_id string, n_total bigint, i int, j int, same double, across double"
 
 
@@ -190,7 +187,7 @@ def lagged_products(scored: DataFrame, lag: int, *, pair_scope: str = "domain")
     frames = scored.select(
         *group, "n_total", clipped_lag(lag).alias("_lag"), F.col(position).cast("bigint").alias("_at"), "z"
     )
-    blocks = with_halo(frames, "_at", lag).groupBy(*group, "_block").applyInArrow(_block_products, PRODUCTS)
+    blocks = with_halo(frames, "_at", lag).groupBy(*group, "_block").applyInArrow(block_products(), PRODUCTS)
     return blocks.groupBy("domain_id", "n_total", "i", "j").agg(F.sum("same").alias("same"), F.sum("across").alias("across"))
 
 
@@ -209,21 +206,6 @@ def lagged_covariance(products: DataFrame) -> DataFrame:
     )
 
 
-def slow_directions(c00: np.ndarray, c0t: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leading eigenvalues of the whitened lagged covariance and their directions, scaled by the eigenvalue."""
-    size, axes = np.linalg.eigh(c00)
-    keep = size > RANK_CUTOFF
-    whiten = axes[:, keep] / np.sqrt(size[keep])
-    if not keep.any():
-        return np.zeros(0), np.zeros((c00.shape[0], 0))
-    values, vectors = np.linalg.eigh(whiten.T @ c0t @ whiten)
-    order = np.argsort(-np.abs(values))[:dim]
-    values, directions = values[order], whiten @ vectors[:, order]
-    largest = np.abs(directions).argmax(axis=0)
-    directions = directions * np.where(directions[largest, np.arange(len(order))] < 0, -1.0, 1.0)
-    return values, directions * values
-
-
 MODELS = (
     "domain_id string, n_total bigint, dim int, mean array<double>, weights array<array<double>>, "
     "singular_values array<double>, score double, baseline double"
@@ -236,6 +218,21 @@ def slow_models(products: DataFrame, *, dim: int = SLOW_DIM, seed: int = 0) -> D
     Only matrices of the feature size reach a group, never frames. The random projection is linear, so its score is
     taken from the projected matrices without a second pass over the frames.
     """
+    cutoff = RANK_CUTOFF
+
+    def slow_directions(c00: np.ndarray, c0t: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leading eigenvalues of the whitened lagged covariance and their directions, scaled by the eigenvalue."""
+        size, axes = np.linalg.eigh(c00)
+        keep = size > cutoff
+        if not keep.any():
+            return np.zeros(0), np.zeros((len(c00), 0))
+        whiten = axes[:, keep] / np.sqrt(size[keep])
+        values, vectors = np.linalg.eigh(whiten.T @ c0t @ whiten)
+        order = np.argsort(-np.abs(values))[:count]
+        values, directions = values[order], whiten @ vectors[:, order]
+        largest = np.abs(directions).argmax(axis=0)
+        directions = directions * np.where(directions[largest, np.arange(len(order))] < 0, -1.0, 1.0)
+        return values, directions * values
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         order = int(rows["j"].max()) + 1

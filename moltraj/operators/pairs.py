@@ -35,7 +35,7 @@ def contact_graph(
     residues: DataFrame, *, radius: float = CONTACT_RADIUS, neighbours: int = CONTACT_NEIGHBOURS
 ) -> DataFrame:
     """Edges from each residue to its nearest residues within the radius, in each frame."""
-    pairs = near_pairs(residues, FRAME_KEY, "residue_index", radius, radius, [])
+    pairs = near_pairs(residues, FRAME_KEY, "residue_index", radius, 2 * radius, [])
     order = Window.partitionBy(*FRAME_KEY, "residue_index").orderBy("d2", "other_residue_index")
     return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= neighbours).select(
         *FRAME_KEY, "residue_index", "other_residue_index", "place", F.sqrt("d2").alias("distance")

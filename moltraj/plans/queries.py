@@ -135,7 +135,7 @@ def residue_topology(spark, sf):
 @registered
 def residue_atoms(spark, sf):
     atoms = views.event_atoms(spark, sf)
-    return topology.residue_atoms(atoms, topology.residues(atoms))
+    return topology.residue_atoms(atoms, cut_lineage(topology.residues(atoms)))
 
 
 @registered
