@@ -374,3 +374,59 @@ def test_ingest_drops_repeated_frames(spark, folder):
     stream = runs.read_folder(spark, f"{folder}/in", df.schema)
     runs.ingest(runs.fresh_frames(stream, "arrived", ["traj_id", "frame"]), f"{folder}/out", f"{folder}/cp", once=True).awaitTermination()
     assert spark.read.parquet(f"{folder}/out").count() == 10
+
+
+def test_effective_rank_matches_numpy(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 5)) * [5, 3, 1, 0.5, 0.1]
+    df = spark.createDataFrame([([float(v) for v in r],) for r in x], "e array<float>")
+    p = np.linalg.eigvalsh(np.cov(x.T))
+    p = p / p.sum()
+    assert metrics.effective_rank(df, "e", 5).first().effective_rank == pytest.approx(float(np.exp(-np.sum(p * np.log(p)))), rel=1e-4)
+
+
+def test_worker_functions_do_not_need_the_package(folder):
+    """Task-side code must load where only Spark's own Python packages are installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    functions = [labels.block_products(), sasa.covered_points(100).func]
+    with open(f"{folder}/code.bin", "wb") as handle:
+        handle.write(cloudpickle.dumps(functions))
+    script = f"import sys, pickle; fs = pickle.load(open('{folder}/code.bin', 'rb')); assert len(fs) == 2 and 'moltraj' not in sys.modules"
+    subprocess.run([sys.executable, "-c", script], cwd=folder, check=True, env={"PATH": "/usr/bin"})
+
+
+def test_bootstrap_finds_a_clear_difference(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"u{i}", float(v)) for i, v in enumerate(rng.normal(loc=1.0, scale=0.5, size=40))]
+    df = spark.createDataFrame(rows, "unit string, delta double")
+    row = metrics.paired_bootstrap(df, F.col("unit"), "delta", resamples=200).first()
+    assert row.ci_low < row.mean_delta < row.ci_high and row.excludes_zero
+
+
+def test_padded_grid_fills(spark, landed):
+    sites = topology.residue_sites(topology.residues(landed.atoms))
+    rows = features.residue_features(landed.frames, sites)
+    fills = {"ca_x": F.lit(math.nan), "phi_cos": F.lit(0.0), "dssp": F.lit(0), "residue_mask": F.lit(False)}
+    grid = features.padded_grid(rows, fills)
+    assert grid.count() == 2 * 256 * 512
+    assert grid.filter("residue_mask").count() == 2 * 3 * 3
+    empty = grid.filter("NOT residue_mask").select("ca_x", "phi_cos", "dssp").distinct().collect()
+    assert len(empty) == 1 and math.isnan(empty[0].ca_x) and (empty[0].phi_cos, empty[0].dssp) == (0.0, 0)
+
+
+def test_membership_ranges_are_closed_and_open_ended(spark):
+    df = spark.createDataFrame([(0, -90.0), (1, 0.0), (2, None), (3, 200.0)], "i int, psi double")
+    states = {"in": {"psi": (-90.0, 0.0)}, "high": {"psi": (0.0, None)}}
+    assert sorted((r.i, r.state) for r in metrics.state_membership(df, states).collect()) == [(0, "in"), (1, "high"), (1, "in"), (3, "high")]
+
+
+def test_describe_source_and_schema_dump(spark, folder):
+    df = spark.createDataFrame([(1, [1, 2]), (None, [3])], "a int, b array<int>")
+    rows = {r.column_name: r for r in landing.describe_source(df).collect()}
+    assert (rows["a"].n_nulls, rows["b"].min_size, rows["b"].max_size) == (1, 1, 2)
+    landing.schema_dump(df, f"{folder}/schema")
+    assert spark.read.json(f"{folder}/schema").filter("column_name = 'b'").first().data_type == "array<int>"
