@@ -88,10 +88,15 @@ def prepare(
     """Write features, metadata, splits and manifest below `out`; returns the plan summary, or only that in a dry run.
 
     `listed` is (pos, domain_id); a domain listed twice is planned twice. `topologies` maps domain_id to cath_topology
-    and defaults to the domain itself.
+    and defaults to the domain itself. If a listed domain has no trajectories, a report on the frame table is left below
+    `out` before the error.
     """
     spark = landed.frames.sparkSession
-    planned = plan(landed, listed)
+    try:
+        planned = plan(landed, listed)
+    except ValueError:
+        landing.schema_dump(landed.frames, f"{out}/frames_schema")
+        raise
     summary = landing.plan_summary(listed, planned)
     if dry_run:
         return summary

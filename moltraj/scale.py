@@ -142,7 +142,7 @@ def look_back(
     return shifted.filter("_home").drop("_block", "_home", "_own")
 
 
-def value_block(df: DataFrame, value: str, parts: int = 64, steps: int = 64) -> Column:
+def value_block(df: DataFrame, value: str, parts: int = 64, steps: int = 1024) -> Column:
     """A block number that grows with a numeric `value`: sampled quantile intervals, each cut into equal steps.
 
     Cuts only balance the blocks; results built on the blocks stay exact. Equal values share a block, so aggregate

@@ -143,3 +143,19 @@ def test_domain_list_file(spark, folder):
         handle.write("# nothing\n")
     with pytest.raises(ValueError):
         landing.read_domain_list(spark, path)
+
+
+def test_domain_without_trajectories_leaves_a_report(spark, landed, listed, folder):
+    renamed = landed.trajectories.withColumn("temperature", F.lit("meta"))
+    broken = jobs.Landed(landed.domains, landed.atoms, renamed, landed.frames)
+    with pytest.raises(ValueError, match="no trajectory groups"):
+        jobs.prepare(broken, listed, f"{folder}/out")
+    assert spark.read.json(f"{folder}/out/frames_schema").filter("column_name = 'xyz'").first().max_size == 12
+
+
+def test_store_with_areas_and_mapped_topologies(spark, landed, listed, folder):
+    mapped = spark.createDataFrame([("12asA00", "3.30.930")], "domain_id string, cath_topology string")
+    jobs.prepare(landed, listed, f"{folder}/out", with_sasa=True, topologies=mapped)
+    assert spark.read.parquet(f"{folder}/out/metadata").select("cath_topology").distinct().first()[0] == "3.30.930"
+    areas = spark.read.parquet(f"{folder}/out/features").agg(F.min("sasa"), F.max("sasa")).first()
+    assert 0 <= areas[0] <= areas[1] < 1000

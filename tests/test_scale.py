@@ -117,3 +117,16 @@ def test_labels_do_not_depend_on_the_join_strategy(spark, monkeypatch):
     one = labels.lloyd_step(points, start, 2, n_domains=1)
     other = labels.lloyd_step(points, start, 2, n_domains=10**9)
     assert sorted(one.collect()) == sorted(other.collect())
+
+
+@pytest.mark.parametrize("name", ["torsion_coherence", "unfolded_filter", "residue_sasa", "split_assignment", "residue_atoms"])
+def test_results_are_the_same_when_nothing_is_broadcast(spark, monkeypatch, name):
+    expected = queries.REGISTERED[name](spark, SF).collect()
+    monkeypatch.setattr(scale, "fits", lambda *args: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.REGISTERED[name](spark, SF)
+        assert "BroadcastHashJoin" not in plan_of(plan)
+        assert sorted(plan.collect(), key=str) == sorted(expected, key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
