@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moltraj.llm import packing, token_counts, token_store
+from moltraj.llm import decontaminate, packing, personal_data, quality, simhash, token_counts, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (token_counts.op2_whole_token_counts, token_store.op9_orc_token_store, packing.op10_minimum_bin_slack)
+    for query in (
+        quality.op1_likelihood_ratio, token_counts.op2_whole_token_counts, simhash.op5_covering_simhash,
+        personal_data.op7_anchor_expansion, decontaminate.op8_benchmark_windows, token_store.op9_orc_token_store,
+        packing.op10_minimum_bin_slack,
+    )
 }
 ORACLES: dict[str, str] = {}
