@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moltraj.llm import decontaminate, line_dedup, packing, personal_data, quality, simhash, token_counts, token_store
+from moltraj.llm import decontaminate, line_dedup, packing, pages, personal_data, quality, simhash, token_counts, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        quality.op1_likelihood_ratio, token_counts.op2_whole_token_counts, simhash.op5_covering_simhash,
+        quality.op1_likelihood_ratio, token_counts.op2_whole_token_counts, pages.op3_template_slots, toxicity.op4_weak_supervision,
+        simhash.op5_covering_simhash,
         line_dedup.op6_fuzzy_lines,
         personal_data.op7_anchor_expansion, decontaminate.op8_benchmark_windows, token_store.op9_orc_token_store,
         packing.op10_minimum_bin_slack,
