@@ -105,63 +105,74 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator
     yield block
 
 
+class Hits:
+    """Documents with three columns more, under names that they do not use: word count, spans, items."""
+
+    def __init__(self, rows: DataFrame, n_words: str, spans: str, items: str):
+        self.rows, self.n_words, self.spans, self.items = rows, n_words, spans, items
+
+    def hit_words(self) -> Column:
+        return F.aggregate(self.spans, F.lit(0).cast("long"), lambda done, span: done + span["b"] - span["a"])
+
+    def contaminated(self) -> Column:
+        return (self.hit_words() > 0) & (SHARE * self.hit_words() >= F.col(self.n_words))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    while name.lower() in [other.lower() for other in taken]:
+        name += "_"
+    return name
+
+
 def window_hits(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text",
     window: int = WINDOW, most: int = BLOCK_WORDS,
-) -> DataFrame:
-    """`docs` with n_words, spans (disjoint ascending word ranges, end exclusive) and items (ids as text, ascending).
+) -> Hits:
+    """All rows and columns of `docs` with their words, disjoint ascending hit spans (end exclusive) and items hit.
 
-    These three replace columns of the same names. With several blocks, each scan adds to the spans of the one before,
-    which is written in between so that a worker never holds more than one block.
+    With several blocks, each scan adds to the spans of the one before, which is written in between so that a worker
+    never holds more than one block.
     """
-    found = docs.drop("n_words", "spans", "items")
-    names, kinds = found.columns, [f"`{name}` {kind}" for name, kind in found.dtypes]
-    found = found.withColumns({
-        "n_words": F.lit(0).cast("long"),
-        "spans": F.array().cast("array<struct<a:long,b:long>>"),
-        "items": F.array().cast("array<string>"),
-    })
-    schema = ", ".join([*kinds, "n_words long", "spans array<struct<a:long,b:long>>", "items array<string>"])
-    span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    names = docs.columns
+    n_words, spans, items = (free_name(name, names) for name in ("n_words", "spans", "items"))
+    added = {n_words: F.lit(0).cast("long"), spans: F.array().cast("array<struct<a:long,b:long>>"), items: F.array().cast("array<string>")}
+    found = docs.withColumns(added)
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in found.dtypes)
+    span_type, place = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), names.index(text)
 
     def add(rows: DataFrame, block: list[tuple[str, list[bytes]]]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(WindowSet(block, window))
 
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts, spans, items = [], [], []
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())
-            for value, (old_spans, old_items) in zip(batch.column("_bytes").to_pylist(), before):
-                split = words(value)
+            counts, all_spans, all_items = [], [], []
+            before = zip(batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2).to_pylist())
+            for value, (old_spans, old_items) in zip(batch.column(place).cast(pa.binary()).to_pylist(), before):
+                split = words(value or b"")
                 covered, behind = sent.value.hits(split)
                 covered = merged(covered + [(span["a"], span["b"]) for span in old_spans])
-                counts.append(len(split)), spans.append([{"a": a, "b": b} for a, b in covered]), items.append(sorted(behind.union(old_items)))
-            columns = [pa.array(counts, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, "n_words", "spans", "items"])
+                counts.append(len(split)), all_spans.append([{"a": a, "b": b} for a, b in covered])
+                all_items.append(sorted(behind.union(old_items)))
+            columns = [pa.array(counts, pa.int64()), pa.array(all_spans, span_type), pa.array(all_items, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, n_words, spans, items])
 
-        return arrow_map(rows.withColumn("_bytes", utf8(text)), convert, schema)
+        return arrow_map(rows, convert, schema)
 
     for number, block in enumerate(blocks_of(benchmark, item, item_text, most)):
         found = add(written(found) if number else found, block)
-    return found
-
-
-def hit_words() -> Column:
-    return F.aggregate("spans", F.lit(0).cast("long"), lambda done, span: done + span["b"] - span["a"])
-
-
-def is_contaminated() -> Column:
-    return (hit_words() > 0) & (SHARE * hit_words() >= F.col("n_words"))
+    return Hits(found, n_words, spans, items)
 
 
-def without_documents(hits: DataFrame) -> DataFrame:
-    """The rows whose hit words are less than one in SHARE."""
-    return hits.where(~is_contaminated()).drop("n_words", "spans", "items")
+def without_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` whose hit words are less than one in SHARE."""
+    hits = window_hits(docs, benchmark, **options)
+    return hits.rows.where(~hits.contaminated()).select(*docs.columns)
 
 
-def without_spans(hits: DataFrame, text: str = "text") -> DataFrame:
-    """All rows, with the hit spans cut out of `text`, from the first to the last byte of their words."""
-    names, schema = hits.columns, ", ".join(f"`{name}` {kind}" for name, kind in hits.dtypes)
-    at = names.index(text)
+def without_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """All rows of `docs`, with the hit spans cut out of `text`, from the first to the last byte of their words."""
+    hits = window_hits(docs, benchmark, text=text, **options)
+    names = hits.rows.columns
+    at, spans_at = names.index(text), names.index(hits.spans)
 
     def cut(value: str | None, spans: list[dict]) -> str | None:
         if not spans:
@@ -173,15 +184,15 @@ def without_spans(hits: DataFrame, text: str = "text") -> DataFrame:
         return raw.decode()
 
     def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = map(cut, batch.column(text).to_pylist(), batch.column("spans").to_pylist())
-        return batch.set_column(at, text, pa.array(list(texts), batch.column(text).type))
+        texts = map(cut, batch.column(at).to_pylist(), batch.column(spans_at).to_pylist())
+        return batch.set_column(at, batch.schema.field(at), pa.array(list(texts), batch.column(at).type))
 
-    return arrow_map(hits, convert, schema).drop("n_words", "spans", "items")
+    return arrow_map(hits.rows, convert, ", ".join(f"`{name}` {kind}" for name, kind in hits.rows.dtypes)).select(*docs.columns)
 
 
 def op8_benchmark_windows(spark: SparkSession, sf: str) -> DataFrame:
     hits = window_hits(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
-    return hits.select(
-        "doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
+    return hits.rows.select(
+        "doc_id", hits.n_words, hits.hit_words().alias("n_hit"), F.size(hits.items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hits.items, ","), 256).alias("items_sha256"), hits.contaminated().alias("contaminated"),
     )

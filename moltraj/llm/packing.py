@@ -126,6 +126,11 @@ def sequences(placed: DataFrame) -> DataFrame:
     return placed.groupBy("sequence_id").agg(F.concat(F.lit(b""), F.aggregate(parts, F.lit(b""), lambda done, part: F.concat(done, part["ids"]))).alias("ids"))
 
 
-def op10_minimum_bin_slack(spark: SparkSession, sf: str) -> DataFrame:
-    cut = pieces(table(spark, sf, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+def packed_digests(docs: DataFrame) -> DataFrame:
+    """Every piece with its place, and a checksum instead of its ids. The cut pieces are written once, without ids."""
+    cut = pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packed(written(cut)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op10_minimum_bin_slack(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_digests(table(spark, sf, "documents"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,16 +135,37 @@ def hex_digits(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
+def roots_of(nodes: DataFrame, radius: int) -> DataFrame:
+    """`nodes` (one row for each fingerprint `bits`) with `_root`, the same for all fingerprints in reach."""
+    roots = components(near_links(nodes, radius))
+    return nodes.join(roots, nodes["bits"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "bits")).drop("node", "root")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """`key`, fingerprint (16 hexadecimal digits) and component_id (the smallest key in reach) of every row."""
     marked = written(fingerprints(docs, key, text, width))
-    nodes = written(marked.groupBy("bits").agg(F.min(key).alias("_first")))
-    roots = components(near_links(nodes, radius))
-    classed = nodes.join(roots, nodes["bits"] == roots["node"], "left").select("bits", "_first", F.coalesce("root", "bits").alias("_root"))
+    classed = roots_of(written(marked.groupBy("bits").agg(F.min(key).alias("_first"))), radius)
     smallest = classed.groupBy("_root").agg(F.min("_first").alias("component_id"))
     classes = classed.join(smallest, "_root").select("bits", "component_id")
     return marked.join(classes, "bits").select(key, hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """`docs` with one row of each group in reach: that with the smallest key, null last; of repeated rows, any.
+
+    Rows are told apart by a number that is written with them, so repeated rows and null keys need no special care.
+    """
+
+    @F.pandas_udf("long")
+    def bits(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda value: fingerprint(bytes(value), width)).astype("int64")
+
+    rows = written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"), bits(utf8(text)).alias("bits")))
+    order = F.struct(F.col(f"_doc.{key}").isNull().alias("none"), F.col(f"_doc.{key}").alias("key"), "_row")
+    classed = roots_of(written(rows.groupBy("bits").agg(F.min(order).alias("_first"))), radius)
+    kept = classed.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")
+
+
 def op5_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))

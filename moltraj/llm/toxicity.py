@@ -1,16 +1,16 @@
 """Toxicity by weak supervision.
 
 Voters are words of a lexicon, word stems and text patterns; each says "toxic" or abstains. Stems are mined from a
-bounded sample of labelled rows, so that insults outside the lexicon's language are found. A generative model without
-labels estimates from the votes of all rows how often each voter votes on toxic and on other texts (expectation and
-maximisation over the counts of vote patterns), and the correlations of voters given the class, by which it discounts
-those that say the same thing twice. A logistic regression on the voters' counts is then trained on the posterior
-labels of a bounded sample and scores every row.
-
-Labels are read only from rows whose crc32(id as text) mod FOLDS is not 0, and only to mine stems and for the share of
-toxic texts; labels, language, source and id are no inputs of a score. Null texts are empty; a text without votes gets
-the score of the intercept. Repeated rows get equal scores, rows with a null id are not held out, and without labels
-only the lexicon and patterns vote. Empty tables give empty results; other columns are not read.
+bounded sample of labelled rows, so that insults outside the lexicon's language are found. A generative model estimates
+from the votes of all rows how often each voter votes on toxic and on other texts (expectation and maximisation over
+the counts of vote patterns, started from the sample), and the correlations of voters given the class, by which it
+discounts those that say the same thing twice. A logistic regression on the voters' counts is then trained on the
+posterior labels of a bounded sample and scores every row.
+
+Labels are read only from rows whose crc32(id as text) mod FOLDS is not 0; labels, language, source and id are no
+inputs of a score. Null texts are empty; a text without votes gets the score of the intercept. Repeated rows get equal
+scores, rows with a null id are not held out, and without labels only the lexicon and patterns vote. Empty tables give
+empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,24 +157,31 @@ def posterior(prior: float, weights: np.ndarray) -> Column:
     return probability(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logits)))
 
 
-def label_model(patterns: DataFrame, width: int, prior: float) -> np.ndarray:
-    """The weight of each voter's vote. `patterns` has `mask` and `n`; only sums over it reach the driver."""
-    toxic, other = np.full(width, 0.2), np.full(width, 0.002)
+def label_model(patterns: DataFrame, known: np.ndarray, prior: float) -> np.ndarray:
+    """The weight of each voter's vote. `patterns` has `mask` and `n`; only sums over it reach the driver.
+
+    `known` holds the same sums over the sampled labelled rows; they start the estimates and stay part of them.
+    """
+    width = (len(known) - 2) // 2
+    values = known
+    before = None
     for _ in range(ROUNDS):
-        belief = patterns.withColumn("_p", posterior(prior, np.log(toxic / other)))
-        p, q = F.col("_p") * F.col("n"), (1 - F.col("_p")) * F.col("n")
-        sums = belief.agg(F.sum(p), F.sum(q), *[F.sum(w * bit(at)) for at in range(width) for w in (p, q)]).first()
-        if not sums[0]:
-            return np.zeros(width)
-        values = np.array(sums, float)
-        before = toxic, other
         toxic, other = (values[2::2] + 0.2) / (values[0] + 1), (values[3::2] + 0.002) / (values[1] + 1)
-        if max(np.abs(toxic - before[0]).max(), np.abs(other - before[1]).max()) < 1e-5:
+        if before is not None and np.abs(np.log(toxic / other) - before).max() < 1e-3:
             break
-    weights = np.maximum(np.log(toxic / other), 0)
+        before = np.log(toxic / other)
+        values = known + class_sums(patterns.withColumn("_p", posterior(prior, np.maximum(before, 0))), width)
+    weights = np.maximum(before, 0)
     return weights / (1 + redundancy(patterns, width, prior, weights))
 
 
+def class_sums(rows: DataFrame, width: int) -> np.ndarray:
+    """Texts of both classes by `_p`, then for each voter its votes on both."""
+    p, q = F.col("_p") * F.col("n"), (1 - F.col("_p")) * F.col("n")
+    sums = rows.agg(F.sum(p), F.sum(q), *[F.sum(w * bit(at)) for at in range(width) for w in (p, q)]).first()
+    return np.array([value or 0.0 for value in sums], float)
+
+
 def redundancy(patterns: DataFrame, width: int, prior: float, weights: np.ndarray) -> np.ndarray:
     """For each voter the sum of its strong correlations with others, given "toxic" by the posterior."""
     weighted = patterns.withColumn("_w", posterior(prior, weights) * F.col("n"))
@@ -184,6 +192,8 @@ def redundancy(patterns: DataFrame, width: int, prior: float, weights: np.ndarra
     )
     total = weighted.agg(F.sum("_w")).first()[0]
     joint = np.zeros((width, width))
+    if not total:
+        return np.zeros(width)
     for row in pairs:
         joint[row["i"], row["j"]] = row["w"] / total
     rate = np.diag(joint).copy()
@@ -207,8 +217,32 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """`key` and `score` of every row."""
+class Model:
+    """Stems and the weights of the classifier, the intercept last."""
+
+    def __init__(self, stems: list[str], weights: np.ndarray):
+        self.stems, self.weights = stems, weights
+
+    def score(self, counts: Column) -> Column:
+        weighted = F.zip_with(counts, F.array(*[F.lit(float(w)) for w in self.weights[:-1]]), lambda n, w: F.log1p(n) * w)
+        margin = F.aggregate(weighted, F.lit(float(self.weights[-1])), lambda done, part: done + part)
+        return probability(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), margin)))
+
+    def score_text(self, text: str = "text") -> Column:
+        """The score of a row's own text, without a join."""
+        stems, width, tables = self.stems, len(voters(self.stems)), []
+
+        @F.pandas_udf("array<int>")
+        def counts(texts: pd.Series) -> pd.Series:
+            if not tables:
+                tables.append(WordVotes(stems))
+            return texts.map(lambda value: tables[0].count(value, width))
+
+        return self.score(counts(text_or_empty(text)))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Model, DataFrame]:
+    """The model, and the written votes of all rows (`key`, counts, mask)."""
     sample = written(learnable(labels, key, label))
     share = sample.agg(F.avg("_label")).first()[0]
     prior = min(max(PRIOR if share is None else float(share), 0.01), 0.5)
@@ -216,18 +250,26 @@ def scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     width = len(voters(stems))
     cast = written(votes(docs, stems, key, text))
     patterns = written(cast.groupBy("mask").agg(F.count("*").alias("n")))
-    weights = label_model(patterns, width, prior)
+    learned = cast.join(F.broadcast(sample), key).select("mask", F.col("_label").cast("double").alias("_p"), F.lit(1).alias("n"))
+    weights = label_model(patterns, class_sums(learned, width), prior)
     chosen = cast.where(F.coalesce(fold(key), F.lit(1)) != 0).orderBy(F.xxhash64(key, "mask"), key).limit(FITTED_ROWS)
     rows = chosen.select("counts", posterior(prior, weights).alias("p")).toArrow()
-    if rows.num_rows:
-        x = np.log1p(np.array(rows.column("counts").to_pylist(), float))
-        fitted = fit_logistic(x, rows.column("p").to_numpy())
-    else:
-        fitted = np.zeros(width + 1)
-    margin = F.aggregate(
-        F.zip_with("counts", F.array(*[F.lit(float(w)) for w in fitted[:-1]]), lambda n, w: F.log1p(n) * w), F.lit(float(fitted[-1])), lambda a, b: a + b
-    )
-    return cast.select(key, probability(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), margin))).alias("score"))
+    if not rows.num_rows:
+        return Model(stems, np.zeros(width + 1)), cast
+    x = np.log1p(np.array(rows.column("counts").to_pylist(), float))
+    return Model(stems, fit_logistic(x, rows.column("p").to_numpy())), cast
+
+
+def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The key and `score` of every row; options as in `fitted`."""
+    model, cast = fitted(docs, labels, **options)
+    return cast.select(options.get("key", "doc_id"), model.score(F.col("counts")).alias("score"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of `docs` that score below the threshold."""
+    model, _ = fitted(docs, labels, **options)
+    return docs.where(model.score_text(options.get("text", "text")) < threshold)
 
 
 def op4_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
