@@ -67,19 +67,43 @@ def manifest_hash_check(recomputed: DataFrame, expected: Column | str) -> DataFr
 
 
 def roundtrip_rmsd(raw: DataFrame, stored: DataFrame, threshold: float = RMSD_THRESHOLD) -> DataFrame:
-    """RMSD over all C-alpha components between raw and stored rows, per trajectory; NaN fails."""
+    """RMSD over all C-alpha components between raw and stored rows, per trajectory; NaN fails, and so does a trajectory
+    with a row that only one side has.
+    """
     keys = [*FRAME_KEY, "residue_index"]
-    left = raw.select(*keys, *[F.col(c).cast("double") for c in CA])
-    right = stored.select(*keys, *[F.col(c).cast("double").alias(f"stored_{c}") for c in CA])
+    left = raw.select(*keys, *[F.col(c).cast("double") for c in CA], F.lit(True).alias("_raw"))
+    right = stored.select(*keys, *[F.col(c).cast("double").alias(f"stored_{c}") for c in CA], F.lit(True).alias("_stored"))
+    both = F.col("_raw").isNotNull() & F.col("_stored").isNotNull()
     gap = sum((F.pow(F.col(c) - F.col(f"stored_{c}"), F.lit(2)) for c in CA), F.lit(0.0))
     return (
-        left.join(right, keys)
+        left.join(right, keys, "full")
         .groupBy(*TRAJECTORY_KEY)
-        .agg(F.count_distinct("frame").alias("n_frames"), F.sqrt(F.avg(gap / 3)).alias("rmsd_angstrom"))
-        .withColumn("passed", ~F.isnan("rmsd_angstrom") & (F.col("rmsd_angstrom") < threshold))
+        .agg(
+            F.count_distinct("frame").alias("n_frames"), F.sqrt(F.avg(gap / 3)).alias("rmsd_angstrom"), F.bool_and(both).alias("_whole"),
+        )
+        .withColumn("passed", F.coalesce(F.col("_whole") & ~F.isnan("rmsd_angstrom") & (F.col("rmsd_angstrom") < threshold), F.lit(False)))
+        .drop("_whole")
     )
 
 
+def coverage_check(roundtrip: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Every trajectory of the metadata passes its round trip with as many frames as it was stored with.
+
+    Both have traj_id and n_frames; a trajectory that was stored empty needs no rows.
+    """
+    found = roundtrip.select("traj_id", F.col("n_frames").alias("_found"), F.col("passed").alias("_passed"))
+    rows = metadata.select("traj_id", "n_frames").join(found, "traj_id", "full")
+    whole = F.coalesce(F.col("_passed") & (F.col("_found") == F.col("n_frames")), F.lit(False))
+    return rows.select("traj_id", (whole | F.coalesce((F.col("n_frames") == 0) & F.col("_found").isNull(), F.lit(False))).alias("passed"))
+
+
+def content_hash_check(recomputed: DataFrame, metadata: DataFrame, empty: str) -> DataFrame:
+    """The content hash of every trajectory, recomputed from the stored rows, is the one in the metadata."""
+    again = recomputed.select("traj_id", F.col("content_hash").alias("_again"))
+    rows = metadata.select("traj_id", "content_hash").join(again, "traj_id", "full")
+    return rows.select("traj_id", F.coalesce(F.col("content_hash") == F.coalesce("_again", F.lit(empty)), F.lit(False)).alias("passed"))
+
+
 def window_draws(spark, n_windows: int, seed: int) -> DataFrame:
     at = F.col("id")
     return spark.range(n_windows).select(

@@ -29,9 +29,14 @@ def rmsd_angstrom(rmsd: Column, unit: Column) -> Column:
     return F.when(F.lower(F.coalesce(unit, F.lit(""))) == "nm", value * F.lit(10).cast("float")).otherwise(value)
 
 
+def is_hot(temperature: Column) -> Column:
+    """Compared as text, so that groups with other names are passed over and the test reaches the scan."""
+    return F.coalesce(temperature == F.lit(str(UNFOLDING_TEMPERATURE)), F.lit(False))
+
+
 def is_folded(temperature: Column, has_rmsd: Column, rmsd: Column) -> Column:
     """Frames to keep. NaN and NULL values of a trajectory that has an RMSD series are dropped."""
-    hot = temperature.cast("int") == UNFOLDING_TEMPERATURE
+    hot = is_hot(temperature)
     low = F.coalesce(rmsd <= F.lit(FOLDED_RMSD_ANGSTROM).cast("float"), F.lit(False))
     return ~hot | ~F.coalesce(has_rmsd, F.lit(False)) | low
 
@@ -51,7 +56,7 @@ def kept_frames(frames: DataFrame, trajectories: DataFrame, *, filter_unfolded:
     """
     if not filter_unfolded:
         return frames.withColumn("source_frame", F.col("frame"))
-    hot = F.col("temperature").cast("int") == UNFOLDING_TEMPERATURE
+    hot = is_hot(F.col("temperature"))
     series = trajectories.filter(hot).select(*TRAJECTORY_KEY, "rmsd_unit", "has_rmsd")
     joined = lookup_join(frames.filter(hot), series, TRAJECTORY_KEY, "left", salt_by=["frame"])
     rmsd = rmsd_angstrom(F.col("rmsd"), F.col("rmsd_unit"))

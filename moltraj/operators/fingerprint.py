@@ -12,7 +12,6 @@ from moltraj.operators.features import CA, CB, TORSIONS
 from moltraj.schema import FRAME_KEY, TRAJECTORY_KEY
 
 FAN_OUT = 1024
-FLAT_DIGESTS = 1_000_000
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -74,8 +73,6 @@ def tree_dataset_hash(digests: DataFrame, column: str = "content_hash") -> DataF
     return level.select(F.col("digest").alias("dataset_hash"))
 
 
-def dataset_hash(digests: DataFrame, n_digests: int, column: str = "content_hash") -> tuple[DataFrame, str]:
-    """The flat hash where its size is known to be small, the tree hash beyond; returns the rows and the layout."""
-    if n_digests <= FLAT_DIGESTS:
-        return flat_dataset_hash(digests, column), "flat"
-    return tree_dataset_hash(digests, column), "tree"
+def dataset_hash(digests: DataFrame, column: str = "content_hash", *, layout: str = "tree") -> DataFrame:
+    """One definition at every size: the tree. The flat layout only for callers that name it."""
+    return flat_dataset_hash(digests, column) if layout == "flat" else tree_dataset_hash(digests, column)

@@ -14,15 +14,16 @@ from moltraj.functions.numeric import draw_below
 from moltraj.scale import BLOCK, cut_lineage, look_ahead, lookup_join, running_total, with_halo
 
 RESOLUTIONS = (4, 16, 64)
-FRAME_CAP = 20_000
 FEATURE_RESIDUES = 32
 SLOW_DIM = 8
 # Eigenvalues of the instantaneous covariance below this are treated as zero.
 RANK_CUTOFF = 1e-6
-# Label method names and the reason given when the gate does not pass.
+# Label method names, the reason given when the gate does not pass, stage and label type.
 PASSED_METHOD = "vampnet"
 FALLBACK_METHOD = "tica_kmeans"
 FALLBACK_REASON = "health_score_not_above_random_projection_baseline"
+STAGE = "A0"
+LABEL_TYPE = "vampnet_tier1_pilot"
 
 
 # --- which frames -----------------------------------------------------------------------------------------------------
@@ -40,15 +41,15 @@ def selected_domains(metadata: DataFrame, requested: DataFrame | None = None, ma
         missing = requested.join(available, "domain_id", "left_anti").select("domain_id").distinct()
         first = [row.domain_id for row in missing.orderBy("domain_id").limit(10).collect()]
         if first:
-            raise ValueError(f"requested domains missing from processed data: {first}")
+            raise ValueError(f"no processed data for these requested domains: {first}")
         chosen, order = requested.select("pos", "domain_id"), ["pos"]
     if max_domains is not None:
         chosen = chosen.orderBy(*order).limit(max_domains)
     return chosen
 
 
-def frame_offsets(metadata: DataFrame, cap: int = FRAME_CAP, *, block: Column | None = None) -> DataFrame:
-    """[start, stop) of each trajectory on its domain's frame axis, cut at `cap` frames per domain (0 or less = none).
+def frame_offsets(metadata: DataFrame, cap: int = 0, *, block: Column | None = None) -> DataFrame:
+    """[start, stop) of each trajectory on its domain's frame axis, cut at `cap` frames per domain if it is above 0.
 
     The running sum over a domain's trajectories is split into blocks of traj_index.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltraj.functions.numeric import draw_below
@@ -50,6 +50,15 @@ def visits_within(queries: DataFrame, archive: DataFrame, key: str, axes: Sequen
     return queries.select(key).join(counted, key, "left").withColumn("n_visits", F.coalesce("n_visits", F.lit(0)))
 
 
+def top_of_each(rows: DataFrame, order: Sequence[str | Column], most: int) -> DataFrame:
+    """The first `most` rows of every traj_id, with their place `_n`: first of each salt, then of the trajectory."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+    for keys in (["traj_id", "_salt"], ["traj_id"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        salted = salted.withColumn("_n", place).filter(F.col("_n") <= most)
+    return salted.drop("_salt")
+
+
 def budgeted(
     candidates: DataFrame, budget: int, *, epsilon: float = RANDOM_FLOOR, share: float = TRAJECTORY_SHARE, seed: int = 0
 ) -> DataFrame:
@@ -61,16 +70,14 @@ def budgeted(
     n_random, cap = math.ceil(epsilon * budget), max(1, math.floor(share * budget))
     chance = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("item").cast("string")))
     drawn = candidates.withColumn("_h", chance)
-    by_chance = Window.partitionBy("traj_id").orderBy("_h", "item")
     lucky = (
-        drawn.withColumn("_n", F.row_number().over(by_chance)).filter(F.col("_n") <= cap)
+        top_of_each(drawn, ["_h", "item"], cap)
         .orderBy("_h", "item").limit(n_random).select("traj_id", "item", "score", F.lit("random").alias("reason"))
     )
     used = lucky.groupBy("traj_id").agg(F.count(F.lit(1)).alias("_used"))
-    by_score = Window.partitionBy("traj_id").orderBy(F.desc("score"), "item")
     small = F.broadcast if budget <= BROADCAST_ROWS else lambda df: df
     rest = candidates.join(small(lucky.select("item")), "item", "left_anti")
-    best = rest.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= cap)
+    best = top_of_each(rest, [F.desc("score"), "item"], cap)
     best = best.join(small(used), "traj_id", "left").filter(F.col("_n") <= cap - F.coalesce("_used", F.lit(0)))
     greedy = best.orderBy(F.desc("score"), "item").limit(budget - n_random)
     return lucky.unionByName(greedy.select("traj_id", "item", "score", F.lit("score").alias("reason")))
@@ -81,14 +88,18 @@ def positions(rows: DataFrame, value: str, tie: str, name: str, *, start: int =
 
     Distinct values are placed in quantile blocks and equal values are numbered among themselves in blocks of the
     integer tie column, so neither a long list nor a heavily shared value lands in one task. The rows, one per
-    trajectory, are materialised because they are read three times.
+    trajectory, are materialised because they are read three times. Rows without a value come last, by the tie column.
     """
-    rows = cut_lineage(rows)
+    every = cut_lineage(rows)
+    rows, bare = every.filter(F.col(value).isNotNull()), every.filter(F.col(value).isNull())
     counted = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_copies"))
     below = running_total(counted, [], value_block(rows, value), [value], F.col("_copies"), "_less").select(value, "_less")
     among = ranked(rows, [value], F.floor(F.col(tie) / BLOCK), [tie], "_among")
     placed = lookup_join(among, below, [value], salt_by=[tie], probe=False)
-    return placed.withColumn(name, F.col("_less") + F.col("_among") + start).drop("_less", "_among")
+    placed = placed.withColumn(name, F.col("_less") + F.col("_among") + start).drop("_less", "_among")
+    behind = rows.agg(F.count(F.lit(1)).alias("n")).scalar() + start
+    last = ranked(bare, [], F.floor(F.col(tie) / BLOCK), [tie], "_among").withColumn(name, behind + F.col("_among")).drop("_among")
+    return placed.unionByName(last)
 
 
 def round_robin(metadata: DataFrame) -> DataFrame:
@@ -107,10 +118,12 @@ def random_with_replacement(metadata: DataFrame, n_picks: int, seed: int = 0) ->
 
 
 def rmsd_velocity(frames: DataFrame, run: str, rmsd: str, frame_ps: float) -> DataFrame:
-    """Trajectories by how fast their RMSD moved at the last frame, fastest first."""
+    """Trajectories by how fast their RMSD moved at the last frame, fastest first; those of one frame have no speed and
+    come last.
+    """
     moved = look_back(frames.select(run, "frame", rmsd), [run], "frame", 1, {rmsd: "_before"})
     speed = F.abs(F.col(rmsd) - F.col("_before")) / F.lit(frame_ps)
-    latest = moved.filter(F.col("_before").isNotNull()).groupBy(run).agg(F.max_by(speed, "frame").alias("velocity"))
+    latest = moved.groupBy(run).agg(F.max_by(speed, F.when(F.col("_before").isNotNull(), F.col("frame"))).alias("velocity"))
     return positions(latest.withColumn("_v", -F.col("velocity")), "_v", run, "place").drop("_v")
 
 
@@ -129,6 +142,7 @@ def distance_to_known(latest: DataFrame, run: str, axes: Sequence[str], centres:
 
 
 def rare_states(latest: DataFrame, counts: DataFrame, run: str, state: str) -> DataFrame:
-    """Trajectories by how rarely their current state was visited."""
-    weighed = lookup_join(latest.select(run, state), counts, [state], salt_by=[run])
-    return positions(weighed, "n_visits", run, "place").withColumn("weight", F.lit(1.0) / F.col("n_visits"))
+    """Trajectories by how rarely their current state was visited; a state without visits is the rarest, with weight 1."""
+    weighed = lookup_join(latest.select(run, state), counts, [state], "left", salt_by=[run])
+    weighed = weighed.withColumn("n_visits", F.coalesce("n_visits", F.lit(0).cast("bigint")))
+    return positions(weighed, "n_visits", run, "place").withColumn("weight", F.lit(1.0) / F.greatest("n_visits", F.lit(1)))

@@ -28,7 +28,7 @@ def shuffled_as_listed(values: DataFrame, seed: int = SEED) -> DataFrame:
     """Position in the permutation that Python's seeded shuffle gives to the sorted list.
 
     The permutation depends only on how many topologies there are, so the driver makes that many integers and no
-    topology leaves Spark. Meant for the catalogue sizes of real datasets and refused beyond a checked bound.
+    topology leaves Spark. Ranks are counted by the first characters. Meant for the catalogue sizes of real datasets and refused beyond a checked bound.
     """
     if not fits(values, PARITY_TOPOLOGIES):
         raise ValueError(f"more than {PARITY_TOPOLOGIES} topologies: use the hash order")
@@ -38,7 +38,8 @@ def shuffled_as_listed(values: DataFrame, seed: int = SEED) -> DataFrame:
     places = spark.createDataFrame(
         [(rank, pos) for pos, rank in enumerate(permutation)], "_rank bigint, pos bigint"
     )
-    block = F.lit(0)
+    first = [F.ascii(F.substring("cath_topology", at, 1)).cast("long") for at in (1, 2, 3)]
+    block = (first[0] * (1 << 42)) + (first[1] * (1 << 21)) + first[2]
     return ranked(values, [], block, ["cath_topology"], "_rank").join(places, "_rank").drop("_rank")
 
 

@@ -49,7 +49,7 @@ def missing_ca(residue_table: DataFrame) -> DataFrame:
 def require_ca(residue_table: DataFrame) -> None:
     bad = missing_ca(residue_table).orderBy("domain_id", "residue_index").limit(10).collect()
     if bad:
-        raise ValueError(f"missing CA atoms for residues {[(row.domain_id, row.residue_index) for row in bad]}")
+        raise ValueError(f"residues without a C-alpha atom: {[(row.domain_id, row.residue_index) for row in bad]}")
 
 
 def atom_count_mismatch(named: DataFrame, atoms: DataFrame) -> DataFrame:

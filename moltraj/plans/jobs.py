@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from moltraj.functions.codes import trajectory_id
 from moltraj.functions.numeric import round_up
 from moltraj.operators import checks, features, fingerprint, labels, sasa, splits, topology
-from moltraj.scale import BLOCK, cut_lineage, fits, lookup_join, ranked, running_total
+from moltraj.scale import BLOCK, cut_lineage, lookup_join, ranked, running_total
 from moltraj.schema import FRAME_MULTIPLE, RESIDUE_MULTIPLE, TRAJECTORY_KEY
 from moltraj.sources import landing, sinks
 
-NESTED_ROWS = 100_000
 METADATA = [
     "traj_index", "traj_id", "domain_id", "cath_topology", "temperature_kelvin", "replicate", "n_frames", "n_frames_raw",
     "n_res", "frame_dt_ps", "ff_tag", "source_path", "content_hash",
@@ -83,12 +82,12 @@ def check_atoms(landed: Landed) -> None:
 def prepare(
     landed: Landed, listed: DataFrame, out: str, *, force: bool = False, dry_run: bool = False, frame_dt_ps: float = 1000.0,
     filter_unfolded: bool = True, with_sasa: bool = False, topologies: DataFrame | None = None, source_root: str = "",
-    labels_of_dataset: dict[str, str] | None = None, split_order: str = "listed",
+    labels_of_dataset: dict[str, str] | None = None, split_order: str = "hash", nested: bool = False,
 ) -> DataFrame:
     """Write features, metadata, splits and manifest below `out`; returns the plan summary, or only that in a dry run.
 
     `listed` is (pos, domain_id); a domain listed twice is planned twice. `topologies` maps domain_id to cath_topology
-    and defaults to the domain itself. If a listed domain has no trajectories, a report on the frame table is left below
+    and defaults to the domain itself; `nested` puts the trajectory rows into the manifest document as well. If a listed domain has no trajectories, a report on the frame table is left below
     `out` before the error.
     """
     spark = landed.frames.sparkSession
@@ -101,7 +100,7 @@ def prepare(
     if dry_run:
         return summary
     if planned.isEmpty():
-        raise ValueError("no trajectories planned")
+        raise ValueError("nothing to do: the plan has no trajectories")
     sinks.guard(spark, f"{out}/manifest", force)
     check_atoms(landed)
 
@@ -129,8 +128,9 @@ def prepare(
         metadata, f"{out}/manifest",
         {
             **(labels_of_dataset or {}), "frame_dt_default_ps": frame_dt_ps, "filter_high_temp_unfolded": filter_unfolded,
-            "frame_dt_policy": "fixed by parameter",
+            "frame_dt_policy": "fixed by parameter", "with_sasa": with_sasa,
         },
+        nested=nested,
     )
     return summary
 
@@ -170,22 +170,22 @@ def write_splits(metadata: DataFrame, topology_splits: DataFrame, out: str) -> N
     sinks.write_lines(sinks.json_rows(assigned.sort("split", "traj_id")), f"{out}/trajectories", force=True)
 
 
-def write_manifest(metadata: DataFrame, path: str, header: dict) -> None:
-    """One JSON document; trajectory rows are nested while they are few and always written as lines beside it."""
-    n = metadata.count()
-    hashed, layout = fingerprint.dataset_hash(metadata, n)
+def write_manifest(metadata: DataFrame, path: str, header: dict, *, nested: bool = False) -> None:
+    """One JSON document that names the file of trajectory rows beside it; `nested` also repeats them in the document."""
+    hashed = fingerprint.dataset_hash(metadata)
     sizes = metadata.agg(
         round_up(F.max("n_frames_raw"), FRAME_MULTIPLE).alias("max_frames"),
         round_up(F.max("n_res"), RESIDUE_MULTIPLE).alias("max_residues"),
     )
     document = hashed.withColumns({
         **{name: F.lit(value) for name, value in header.items()},
-        "n_trajectories": F.lit(n),
-        "hash_layout": F.lit(layout),
+        "n_trajectories": metadata.agg(F.count(F.lit(1)).alias("n")).scalar(),
+        "hash_layout": F.lit("tree"),
+        "trajectories_path": F.lit(f"{path}_trajectories"),
         "max_frames": sizes.select("max_frames").scalar(),
         "max_residues": sizes.select("max_residues").scalar(),
     })
-    if n <= NESTED_ROWS:
+    if nested:
         rows = metadata.agg(F.array_sort(F.collect_list(F.struct(*METADATA))).alias("t"))
         document = document.withColumn("trajectories", rows.scalar())
     sinks.write_lines(sinks.json_rows(metadata), f"{path}_trajectories", force=True)
@@ -207,13 +207,15 @@ def validate(
     spark = landed.frames.sparkSession
     metadata, stored = spark.read.parquet(f"{out}/metadata"), spark.read.parquet(f"{out}/features")
     manifest = read_manifest(spark, f"{out}/manifest")
-    recomputed, _ = fingerprint.dataset_hash(metadata, metadata.count())
+    recomputed = fingerprint.dataset_hash(metadata)
+    with_sasa = bool(manifest.select("with_sasa").first()[0])
+    digests = fingerprint.trajectory_digests(fingerprint.frame_digests(stored, include_sasa=with_sasa))
     atoms = landing.decoded_atoms(landed.atoms).join(listed.select("domain_id").distinct(), "domain_id", "left_semi")
     sites = topology.residue_sites(topology.residues(atoms))
     raw = features.residue_features(
         features.kept_frames(
-            landed.frames.join(listed.select("domain_id").distinct(), "domain_id", "left_semi"), landed.trajectories,
-            filter_unfolded=filter_unfolded,
+            planned_frames(landed.frames.join(listed.select("domain_id").distinct(), "domain_id", "left_semi"), metadata),
+            landed.trajectories, filter_unfolded=filter_unfolded,
         ),
         sites,
     )
@@ -222,11 +224,21 @@ def validate(
     return checks.verdict([
         ("domain_list", checks.domain_list_check(listed, metadata)),
         ("manifest_hash", checks.manifest_hash_check(recomputed, manifest.select("dataset_hash").scalar())),
-        ("roundtrip_rmsd", checks.roundtrip_rmsd(raw, stored, rmsd_threshold)),
+        ("content_hash", checks.content_hash_check(identified(digests), metadata, fingerprint.EMPTY)),
+        ("roundtrip_rmsd", checks.coverage_check(identified(checks.roundtrip_rmsd(raw, stored, rmsd_threshold)), metadata)),
         ("window_latency", latency),
     ])
 
 
+def identified(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("traj_id", trajectory_id(F.col("domain_id"), F.col("temperature"), F.col("replicate")))
+
+
+def planned_frames(frames: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Frames of the trajectories in the metadata; groups that were never planned have no stored rows to compare."""
+    return lookup_join(identified(frames), metadata.select("traj_id").distinct(), ["traj_id"], "left_semi", salt_by=["frame"]).drop("traj_id")
+
+
 def timed_windows(stored: DataFrame, metadata: DataFrame, n_windows: int, window_frames: int, seed: int) -> DataFrame:
     """Time to read each random window; a window is a few frames of one trajectory, found by partition and row group."""
     spark = stored.sparkSession
@@ -234,7 +246,7 @@ def timed_windows(stored: DataFrame, metadata: DataFrame, n_windows: int, window
     domains = metadata.select("traj_index", "domain_id")
     rows = windows.join(domains, "traj_index").orderBy("window_id").collect()
     if not rows:
-        raise ValueError(f"no trajectories with at least {window_frames} frames")
+        raise ValueError(f"every trajectory is shorter than {window_frames} frames")
     spent = []
     for row in rows:
         begun = time.perf_counter()
@@ -249,8 +261,8 @@ def timed_windows(stored: DataFrame, metadata: DataFrame, n_windows: int, window
 def label(
     spark: SparkSession, data: str, out: str, *, requested: DataFrame | None = None, max_domains: int | None = None,
     resolutions: Sequence[int] = labels.RESOLUTIONS, lag: int = 1, dim: int = labels.SLOW_DIM,
-    feature_residues: int = labels.FEATURE_RESIDUES, cap: int = labels.FRAME_CAP, margin: float = 0.0, seed: int = 0,
-    iterations: int = 10, pair_scope: str = "domain", force: bool = False,
+    feature_residues: int = labels.FEATURE_RESIDUES, cap: int = 0, margin: float = 0.0, seed: int = 0,
+    iterations: int = 10, pair_scope: str = "domain", force: bool = False, nested: bool = False,
 ) -> DataFrame:
     """Label every frame of the selected domains at every resolution; returns the per-domain results.
 
@@ -286,15 +298,16 @@ def label(
     sinks.write_table(results, f"{out}/results", force=True)
     results = spark.read.parquet(f"{out}/results")
     header = {
-        "stage": "A0", "label_type": "vampnet_tier1_pilot", "data_root": data, "out_root": out, "lagtime": lag,
+        "stage": labels.STAGE, "label_type": labels.LABEL_TYPE, "data_root": data, "out_root": out, "lagtime": lag,
         "tica_dim": dim, "health_margin": margin, "seed": seed,
     }
     document = read_manifest(spark, f"{data}/manifest").select("dataset_hash").withColumns({
         **{name: F.lit(value) for name, value in header.items()},
         "resolutions": F.array(*[F.lit(r) for r in resolutions]),
+        "domains_path": F.lit(f"{out}/manifest_domains"),
     })
     sinks.write_lines(sinks.json_rows(results), f"{out}/manifest_domains", force=True)
-    if fits(results, NESTED_ROWS):
+    if nested:
         rows = results.agg(F.array_sort(F.collect_list(F.struct(*results.columns))).alias("d"))
         document = document.withColumn("domains", rows.scalar())
     sinks.write_lines(sinks.json_rows(document), f"{out}/manifest", force=True)

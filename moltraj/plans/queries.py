@@ -208,7 +208,7 @@ def dataset_hash(spark, sf):
     metadata = views.metadata(spark, sf)
     text = F.concat_ws(":", "traj_id", F.col("n_frames").cast("string"))
     digests = metadata.select(F.sha2(text, 256).alias("content_hash"))
-    return fingerprint.dataset_hash(digests, metadata.count())[0]
+    return fingerprint.dataset_hash(digests, layout="flat")
 
 
 @registered

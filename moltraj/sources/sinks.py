@@ -19,7 +19,7 @@ def guard(spark: SparkSession, path: str, force: bool) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
     if found and not force:
-        raise FileExistsError(f"output already exists: {path}; pass force=True to overwrite")
+        raise FileExistsError(f"{path} holds a finished result; use force=True to replace it")
 
 
 def write_features(features: DataFrame, path: str, *, force: bool = False) -> None:

@@ -12,7 +12,7 @@ from tests import fixtures
 @pytest.fixture(scope="module")
 def store(spark, landed, listed, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("store") / "out")
-    jobs.prepare(landed, listed, out)
+    jobs.prepare(landed, listed, out, nested=True)
     return out
 
 
@@ -40,6 +40,7 @@ def test_metadata_and_manifest(spark, store):
     assert metadata[0].frame_dt_ps == 1000.0
     document = json.loads(spark.read.text(f"{store}/manifest").first()[0])
     assert document["n_trajectories"] == 2 and len(document["trajectories"]) == 2
+    assert len(spark.read.json(document["trajectories_path"]).collect()) == 2
     assert (document["max_frames"], document["max_residues"]) == (256, 512)
     assert list(document) == sorted(document)
 
@@ -91,17 +92,55 @@ def test_domain_listed_twice_is_planned_twice(spark, landed):
     ]
 
 
-def test_validation_passes_and_notices_a_changed_hash(spark, landed, listed, store, folder):
-    def outcome(path):
-        found = jobs.validate(landed, listed, path, n_windows=2, window_frames=2, p50_ms=1e6, p99_ms=1e6)
-        return {r.check_name: r.passed for r in found.collect()}
+CHECKS = ["domain_list", "manifest_hash", "content_hash", "roundtrip_rmsd", "window_latency", "all"]
+
+
+def outcome(landed, listed, path):
+    found = jobs.validate(landed, listed, path, n_windows=2, window_frames=2, p50_ms=1e6, p99_ms=1e6)
+    return {r.check_name: r.passed for r in found.collect()}
 
-    assert outcome(store) == dict.fromkeys(["domain_list", "manifest_hash", "roundtrip_rmsd", "window_latency", "all"], True)
+
+def test_validation_passes_and_notices_a_changed_hash(spark, landed, listed, store, folder):
+    assert outcome(landed, listed, store) == dict.fromkeys(CHECKS, True)
     shutil.copytree(store, f"{folder}/bad")
     metadata = spark.read.parquet(f"{store}/metadata").withColumn("content_hash", F.lit("0" * 64))
     metadata.write.mode("overwrite").parquet(f"{folder}/bad/metadata")
-    result = outcome(f"{folder}/bad")
-    assert not result["manifest_hash"] and not result["all"] and result["domain_list"]
+    result = outcome(landed, listed, f"{folder}/bad")
+    assert not result["manifest_hash"] and not result["content_hash"] and not result["all"] and result["domain_list"]
+
+
+@pytest.mark.parametrize("damage", ["frame", "residue", "trajectory", "coordinate"])
+def test_validation_notices_lost_and_changed_rows(spark, landed, listed, store, folder, damage):
+    lost = {
+        "frame": "NOT (temperature = '320' AND frame = 2)", "residue": "NOT (temperature = '320' AND frame = 1 AND residue_index = 2)",
+        "trajectory": "temperature = '320'", "coordinate": "true",
+    }[damage]
+    shutil.copytree(store, f"{folder}/bad")
+    rows = spark.read.parquet(f"{store}/features").filter(lost)
+    if damage == "coordinate":
+        moved = F.when((F.col("frame") == 1) & (F.col("residue_index") == 0), F.col("ca_x") + 1).otherwise(F.col("ca_x"))
+        rows = rows.withColumn("ca_x", moved.cast("float"))
+    rows.write.mode("overwrite").partitionBy("domain_id").parquet(f"{folder}/bad/features")
+    result = outcome(landed, listed, f"{folder}/bad")
+    assert not result["content_hash"] and not result["roundtrip_rmsd"] and not result["all"]
+    assert result["domain_list"] and result["manifest_hash"]
+
+
+def test_groups_that_are_no_temperatures_are_passed_over(spark, landed, listed, folder):
+    other = jobs.Landed(
+        landed.domains, landed.atoms,
+        landed.trajectories.unionByName(landed.trajectories.limit(1).withColumn("temperature", F.lit("meta"))),
+        landed.frames.unionByName(landed.frames.limit(2).withColumn("temperature", F.lit("meta"))),
+    )
+    jobs.prepare(other, listed, f"{folder}/out")
+    assert spark.read.parquet(f"{folder}/out/metadata").count() == 2
+    assert outcome(other, listed, f"{folder}/out") == dict.fromkeys(CHECKS, True)
+
+
+def test_every_frame_of_a_long_domain_is_in_reach():
+    import inspect
+
+    assert inspect.signature(jobs.label).parameters["cap"].default == 0
 
 
 def test_labels(spark, store, folder):
@@ -113,7 +152,8 @@ def test_labels(spark, store, folder):
     assert sorted(r.frame_global for r in labels) == list(range(6))
     assert all(0 <= r.state < 2 for r in labels)
     document = json.loads(spark.read.text(f"{folder}/labels/manifest").first()[0])
-    assert document["label_type"] == "vampnet_tier1_pilot" and len(document["domains"]) == 2
+    assert document["label_type"] == "vampnet_tier1_pilot" and "domains" not in document
+    assert len(spark.read.json(document["domains_path"]).collect()) == 2
     with pytest.raises(FileExistsError):
         jobs.label(spark, store, f"{folder}/labels", resolutions=(2,))
 

@@ -430,3 +430,25 @@ def test_describe_source_and_schema_dump(spark, folder):
     assert (rows["a"].n_nulls, rows["b"].min_size, rows["b"].max_size) == (1, 1, 2)
     landing.schema_dump(df, f"{folder}/schema")
     assert spark.read.json(f"{folder}/schema").filter("column_name = 'b'").first().data_type == "array<int>"
+
+
+def test_rankings_keep_every_row(spark):
+    from moltraj.operators import selection
+
+    frames = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (2, 0, 5.0), (3, 0, 1.0), (3, 1, 1.5)], "run long, frame int, rmsd double")
+    rows = {r.run: (r.place, r.velocity) for r in selection.rmsd_velocity(frames, "run", "rmsd", 1.0).collect()}
+    assert rows == {1: (1, 2.0), 3: (2, 0.5), 2: (3, None)}
+    latest = spark.createDataFrame([(1, "a"), (2, "b"), (3, "never")], "run long, state string")
+    counts = spark.createDataFrame([("a", 5), ("b", 2)], "state string, n_visits long")
+    rows = {r.run: (r.place, r.weight) for r in selection.rare_states(latest, counts, "run", "state").collect()}
+    assert rows == {3: (1, 1.0), 2: (2, 0.5), 1: (3, 0.2)}
+
+
+def test_budget_above_a_thousand_a_trajectory(spark):
+    from moltraj.operators import selection
+
+    rows = spark.range(9000).selectExpr("if(id < 6000, 'hot', concat('t', id % 40)) AS traj_id", "id AS item", "cast(id % 977 AS double) AS score")
+    picked = selection.budgeted(rows, 8000, epsilon=0.0).collect()
+    of_hot = sorted((r.score, -r.item) for r in picked if r.traj_id == "hot")
+    assert len(picked) == 5000 and len(of_hot) == 2000
+    assert of_hot == sorted(sorted((float(i % 977), -i) for i in range(6000))[-2000:])
