@@ -34,6 +34,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_USER = re.compile(r"://[^\s/@:]+:[^\s/@]+@[^\s/?#]+[^\s]*")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+GAP = re.compile(r"(?: (?:number|no\.?|nr\.?))?[ :=#-]{0,3}", re.IGNORECASE)
 ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|id|#))?[ ]?[:=#]?[ ]?([A-Z]{0,2}[0-9](?:[0-9-]{4,18}[0-9]))(?![A-Za-z0-9])", re.IGNORECASE)
 DIGITS = frozenset("0123456789")
 ASCII_LOWER = {upper: upper + 32 for upper in range(65, 91)}
@@ -123,7 +124,7 @@ class Finder:
             added.append((scheme.start(), match.end(), "url"))
 
     def identifier(self, text, at, added):
-        if match := IBAN.search(text, at, min(len(text), at + 48)):
+        if match := IBAN.match(text, GAP.match(text, at).end()):
             if iban_holds(match[0]):
                 added.append((match.start(), match.end(), "iban"))
                 return
