@@ -196,3 +196,30 @@ def op8_benchmark_windows(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", hits.n_words, hits.hit_words().alias("n_hit"), F.size(hits.items).cast("long").alias("n_items"),
         F.sha2(F.array_join(hits.items, ","), 256).alias("items_sha256"), hits.contaminated().alias("contaminated"),
     )
+
+
+def sql_words(column: str) -> str:
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return f"regexp_extract_all(translate(coalesce({column}, ''), {letters}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
+b AS (SELECT item_id, {sql_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+placed AS (SELECT item_id, w, least({WINDOW}, len(w)) AS k, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS j FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, list_slice(w, j, j + k - 1) AS g FROM placed),
+sizes AS (SELECT DISTINCT k FROM windows),
+slid AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, sizes WHERE len(w) >= k),
+found AS (
+    SELECT slid.doc_id, slid.j, slid.k, windows.item_id
+    FROM slid JOIN windows ON slid.k = windows.k AND list_slice(slid.w, slid.j, slid.j + slid.k - 1) = windows.g
+),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM found) GROUP BY doc_id),
+behind AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n, 0) > 0 AND {SHARE} * coalesce(n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN behind USING (doc_id)
+"""

@@ -18,4 +18,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         packing.op10_minimum_bin_slack,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_benchmark_windows": decontaminate.ORACLE_SQL}
