@@ -77,19 +77,23 @@ def near_pairs(points: DataFrame, group: list[str], item: str, reach: float, wid
     return paired.filter(f"{item} <> other_{item}").withColumn("d2", F.expr(d2)).filter(F.col("d2") < reach * reach)
 
 
+def words(n_points: int) -> list[str]:
+    return [f"w{at}" for at in range(-(-n_points // WORD))]
+
+
 def covered_points(n_points: int):
-    """Vectorised marker of the sphere points of an atom that lie inside one neighbour, as two bit words."""
+    """Vectorised marker of the sphere points of an atom that lie inside one neighbour, as bit words of WORD points."""
     directions = sphere(n_points).T
     bits = np.array([1 << (p % WORD) for p in range(n_points)], dtype=np.int64)
 
-    @F.pandas_udf("low bigint, high bigint")
+    names = words(n_points)
+
+    @F.pandas_udf(", ".join(f"{name} bigint" for name in names))
     def marks(dx: pd.Series, dy: pd.Series, dz: pd.Series, bound: pd.Series) -> pd.DataFrame:
         offsets = np.stack([dx.to_numpy(), dy.to_numpy(), dz.to_numpy()], axis=1)
         inside = (offsets @ directions) < bound.to_numpy()[:, None]
-        return pd.DataFrame({
-            "low": inside[:, :WORD] @ bits[:WORD],
-            "high": inside[:, WORD:] @ bits[WORD:],
-        })
+        parts = [slice(at * WORD, (at + 1) * WORD) for at in range(len(names))]
+        return pd.DataFrame({name: inside[:, part] @ bits[part] for name, part in zip(names, parts, strict=True)})
 
     return marks
 
@@ -97,11 +101,10 @@ def covered_points(n_points: int):
 def residue_areas(spheres: DataFrame, *, n_points: int = POINTS, probe: float = PROBE) -> DataFrame:
     """Exposed area of every residue of every frame, in square Angstrom.
 
-    A pair of neighbours yields two words of covered points; words are OR-ed per atom with map-side combine, so the
+    A pair of neighbours yields words of covered points; words are OR-ed per atom with map-side combine, so the
     point rows themselves never exist.
     """
-    if not WORD < n_points <= 2 * WORD:
-        raise ValueError(f"n_points must be above {WORD} and at most {2 * WORD}")
+    names = words(n_points)
     widest = 2 * (max(*RADII.values(), OTHER_RADIUS) + probe)
     pairs = near_pairs(spheres, FRAME_KEY, "atom_index", widest, 2 * widest, ["reach"]).filter(
         "d2 < (reach + other_reach) * (reach + other_reach)"
@@ -110,9 +113,9 @@ def residue_areas(spheres: DataFrame, *, n_points: int = POINTS, probe: float =
     bound = F.expr("(other_reach * other_reach - d2 - reach * reach) / (2 * reach)")
     gap = [F.col(f"p_{axis}") - F.col(f"other_p_{axis}") for axis in "xyz"]
     atom_row = [*FRAME_KEY, "residue_index", "atom_index", "reach"]
-    marked = pairs.select(*atom_row, covered_points(n_points)(*gap, bound).alias("m")).select(*atom_row, "m.low", "m.high")
-    bare = spheres.select(*atom_row, F.lit(0).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high"))
-    covered = marked.unionByName(bare).groupBy(*atom_row).agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
-    exposed = F.lit(n_points) - F.bit_count("low") - F.bit_count("high")
+    marked = pairs.select(*atom_row, covered_points(n_points)(*gap, bound).alias("m")).select(*atom_row, "m.*")
+    bare = spheres.select(*atom_row, *[F.lit(0).cast("bigint").alias(name) for name in names])
+    covered = marked.unionByName(bare).groupBy(*atom_row).agg(*[F.bit_or(name).alias(name) for name in names])
+    exposed = F.lit(n_points) - sum((F.bit_count(name) for name in names), F.lit(0))
     area = F.lit(4 * math.pi) * F.col("reach") * F.col("reach") * exposed / F.lit(float(n_points))
     return covered.groupBy(*FRAME_KEY, "residue_index").agg(F.sum(area).alias("area"))

@@ -295,6 +295,9 @@ def test_lone_atom_is_fully_exposed(spark):
     frames, atoms = sphere_frames(spark, [(0, 0, 0)], ["CA"])
     area = sasa.residue_areas(sasa.atom_spheres(frames, atoms, topology.residues(atoms))).first().area
     assert area == pytest.approx(4 * math.pi * 3.1**2)
+    for n_points in (20, 50, 170):
+        again = sasa.residue_areas(sasa.atom_spheres(frames, atoms, topology.residues(atoms)), n_points=n_points).first().area
+        assert again == pytest.approx(area, rel=1e-6)
 
 
 def test_length_bucket(spark):
