@@ -338,11 +338,11 @@ def label_sql() -> dict[str, str]:
       SELECT domain_id, health_passed, CASE WHEN health_passed THEN 'vampnet' ELSE 'tica_kmeans' END AS method,
              CASE WHEN NOT health_passed THEN 'health_score_not_above_random_projection_baseline' END AS fallback_reason FROM g"""
     coordinates = ", ".join(
-        f"round(coalesce(avg(p.e[{c + 1}]), any_value(c0.e[{c + 1}])), 6) + 0.0 AS e{c}" for c in range(8)
+        f"round(coalesce(avg(p.e[{c + 1}]), any_value(c0.e[{c + 1}])), 6) + 0.0 AS e{c}" for c in range(64)
     )
-    distance = " + ".join(f"pow(c.e[{c}] - p.e[{c}], 2)" for c in range(1, 9))
+    distance = " + ".join(f"pow(c.e[{c}] - p.e[{c}], 2)" for c in range(1, 65))
     sql["lloyd_step"] = f"""
-      WITH points AS (SELECT 'd' || label AS domain_id, CAST(embedding[1:8] AS DOUBLE[]) AS e, vec_id,
+      WITH points AS (SELECT 'd' || label AS domain_id, CAST(embedding AS DOUBLE[]) AS e, vec_id,
              row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS g, count(*) OVER (PARTITION BY label) AS n
         FROM embeddings),
       slots AS (SELECT domain_id, resolution, CAST(c AS INTEGER) AS cluster, CAST(floor(c * n / k) AS BIGINT) AS low,

@@ -378,12 +378,12 @@ def health_gate(spark, sf):
 @registered
 def lloyd_step(spark, sf):
     raw = views.table(spark, sf, "embeddings")
-    shaped = raw.selectExpr("concat('d', label) AS domain_id", "vec_id", "CAST(slice(embedding, 1, 8) AS ARRAY<DOUBLE>) AS e")
+    shaped = raw.selectExpr("concat('d', label) AS domain_id", "vec_id", "CAST(embedding AS ARRAY<DOUBLE>) AS e")
     points = ranked(shaped, ["domain_id"], F.floor(F.col("vec_id") / BLOCK), ["vec_id"], "frame_global")
     totals = raw.groupBy(F.concat(F.lit("d"), "label").alias("domain_id")).agg(F.count(F.lit(1)).alias("n_total"))
     start = labels.first_centroids(points, labels.resolution_plan(totals, (4, 16)))
-    moved = labels.lloyd_step(points, start, 8)
-    return moved.select("domain_id", "resolution", "cluster", *[clean(F.col("e")[c]).alias(f"e{c}") for c in range(8)])
+    moved = labels.lloyd_step(points, start, 64)
+    return moved.select("domain_id", "resolution", "cluster", *[clean(F.col("e")[c]).alias(f"e{c}") for c in range(64)])
 
 
 @registered
