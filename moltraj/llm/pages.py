@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltraj.llm.shared import arrow_map, table, text_or_empty
+from moltraj.llm.shared import arrow_map, table, text_or_empty, written
 from moltraj.scale import lookup_join
 
 MIN_PAGES = 3
@@ -280,7 +280,7 @@ def site_templates(pages: DataFrame, key: str = "page_id", url: str = "url", pag
 
     source = pages.select(host_of(url).alias("_host"), F.xxhash64(key, url).alias("page"), text_or_empty(page).alias("_html"))
     cell = F.xxhash64("page", "n")
-    tokens = (
+    tokens = written(
         arrow_map(source, convert, schema)
         .groupBy("_host", "token")
         .agg(
@@ -312,7 +312,7 @@ def nested(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """`key`, `url` and `text` of every row."""
-    templates = site_templates(pages, key, url, page)
+    templates = written(site_templates(pages, key, url, page))
     source = pages.select(F.col(key), F.col(url), text_or_empty(page).alias("_html"), host_of(url).alias("_host"))
     joined = lookup_join(source, templates, ["_host"], "left", salt_by=[key], weight=F.size("_template"))
 
