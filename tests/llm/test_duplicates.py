@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -132,15 +133,15 @@ def distance(a, b):
 
 def line_documents():
     draw = random.Random(4)
-    vocabulary = [f"word{i}" for i in range(300)]
-    bases = [" ".join(draw.choice(vocabulary) for _ in range(60)) for _ in range(4)]
+    vocabulary = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    bases = [" ".join(draw.choice(vocabulary) for _ in range(120)) for _ in range(4)]
     rows = []
     for doc in range(40):
         lines = []
         for _ in range(4):
             words = draw.choice(bases).split()
             if draw.random() < 0.7:
-                words[draw.randrange(60)] = draw.choice(vocabulary)
+                words[draw.randrange(120)] = draw.choice(vocabulary)
             lines.append(" ".join(words).title() + "!" * draw.randint(0, 2))
         rows.append((doc, "\n".join([*lines, "short line", "", "short line"])))
     return rows
@@ -152,7 +153,9 @@ def test_fuzzy_lines_against_brute_force(spark, monkeypatch, group):
     rows = line_documents()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lines = line_dedup.line_rows(docs, "doc_id", "text", 5).collect()
-    text, bits = {r["_node"]: r["_line"] for r in lines}, {r["_node"]: r["_sim"] for r in lines}
+    source = {doc: body.split("\n") for doc, body in rows}
+    text = {r["_node"]: [w for w in re.split("[\x00-\x60\x7b-\xbf]+", source[r["_id"]][r["_at"]].lower()) if w] for r in lines}
+    bits = {r["_node"]: r["_sim"] for r in lines}
     links = [
         (a, b) for a, b in itertools.combinations(text, 2)
         if (bits[a] ^ bits[b]).bit_count() <= 2 and distance(text[a], text[b]) <= 0.2 * max(len(text[a]), len(text[b])) + 1e-9
