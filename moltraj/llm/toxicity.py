@@ -32,7 +32,6 @@ FOLDS = 5
 #: Labelled rows used to mine stems, and rows with posterior labels used to fit the classifier.
 LABELLED_ROWS = 20_000
 FITTED_ROWS = 20_000
-STEMS = 32
 STEM_CHARS = range(3, 10)
 LEAST_SUPPORT = 3
 LEAST_PRECISION = 0.8
@@ -110,21 +109,23 @@ def stem_counts(docs: DataFrame, sample: DataFrame, key: str, text: str) -> Data
 
 
 def mined_stems(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text") -> list[str]:
-    """At most STEMS stems that nearly always mean a toxic label, none the start of another."""
+    """All stems that nearly always mean a toxic label, none the start of another."""
     precise = F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("other") + 1)
     rows = stem_counts(docs, sample, key, text).where((F.col("toxic") >= LEAST_SUPPORT) & precise)
-    best = rows.orderBy(F.desc("toxic"), F.desc(F.length("stem")), "stem").limit(64 * STEMS).collect()
+    best = rows.orderBy(F.desc("toxic"), F.desc(F.length("stem")), "stem").select("stem").collect()
     chosen: list[str] = []
+    taken, starts = set(LEXICON), {word[:n] for word in LEXICON for n in range(len(word) + 1)}
     for row in best:
         stem = row["stem"]
-        apart = not any(stem.startswith(other) or other.startswith(stem) for other in [*chosen, *LEXICON])
-        if apart and len(chosen) < STEMS:
+        if stem not in starts and not any(stem[:n] in taken for n in range(len(stem) + 1)):
             chosen.append(stem)
+            taken.add(stem)
+            starts |= {stem[:n] for n in range(len(stem) + 1)}
     return chosen
 
 
 def votes(docs: DataFrame, stems: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, `counts` (of each voter) and `mask` (bit j: voter j votes) of every row."""
+    """`key`, `counts` (of each voter) and `mask` (the numbers of the voters that vote) of every row."""
     width = len(voters(stems))
     tables: list[WordVotes] = []
 
@@ -132,28 +133,22 @@ def votes(docs: DataFrame, stems: list[str], key: str = "doc_id", text: str = "t
         if not tables:
             tables.append(WordVotes(stems))
         counts = [tables[0].count(value, width) for value in batch.column(1).to_pylist()]
-        masks = [sum(1 << at for at, n in enumerate(row) if n) for row in counts]
-        columns = [batch.column(0), pa.array(counts, pa.list_(pa.int32())), pa.array(masks, pa.int64())]
+        masks = [[at for at, n in enumerate(row) if n] for row in counts]
+        columns = [batch.column(0), pa.array(counts, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(columns, names=[key, "counts", "mask"])
 
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, counts array<int>, mask long"
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, counts array<int>, mask array<int>"
     return arrow_map(docs.select(F.col(key), text_or_empty(text).alias("_text")), convert, schema)
 
 
-def bit(at: int) -> Column:
-    return F.shiftright("mask", at).bitwiseAND(F.lit(1)).cast("double")
-
-
 def probability(margin: Column) -> Column:
     return 1 / (1 + F.exp(-margin))
 
 
 def posterior(prior: float, weights: np.ndarray) -> Column:
     """Probability of "toxic" given the votes; abstaining says nothing."""
-    logits = F.aggregate(
-        F.transform(F.array(*[F.lit(float(w)) for w in weights]), lambda w, at: w * F.call_function("shiftright", F.col("mask"), at).bitwiseAND(F.lit(1))),
-        F.lit(float(np.log(prior / (1 - prior)))), lambda done, part: done + part,
-    )
+    each = F.lit([float(w) for w in weights])
+    logits = F.aggregate("mask", F.lit(float(np.log(prior / (1 - prior)))), lambda done, at: done + F.get(each, at))
     return probability(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logits)))
 
 
@@ -178,16 +173,18 @@ def label_model(patterns: DataFrame, known: np.ndarray, prior: float) -> np.ndar
 def class_sums(rows: DataFrame, width: int) -> np.ndarray:
     """Texts of both classes by `_p`, then for each voter its votes on both."""
     p, q = F.col("_p") * F.col("n"), (1 - F.col("_p")) * F.col("n")
-    sums = rows.agg(F.sum(p), F.sum(q), *[F.sum(w * bit(at)) for at in range(width) for w in (p, q)]).first()
-    return np.array([value or 0.0 for value in sums], float)
+    weighted = rows.select(p.alias("p"), q.alias("q"), F.explode(F.concat(F.array(F.lit(-1)), "mask")).alias("at"))
+    sums = np.zeros(2 * width + 2)
+    for row in weighted.groupBy("at").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect():
+        sums[2 * row["at"] + 2 : 2 * row["at"] + 4] = row["p"] or 0.0, row["q"] or 0.0
+    return sums
 
 
 def redundancy(patterns: DataFrame, width: int, prior: float, weights: np.ndarray) -> np.ndarray:
     """For each voter the sum of its strong correlations with others, given "toxic" by the posterior."""
     weighted = patterns.withColumn("_w", posterior(prior, weights) * F.col("n"))
-    fired = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda at: F.call_function("shiftright", F.col("mask"), at).bitwiseAND(F.lit(1)) == 1)
     pairs = (
-        weighted.select("_w", fired.alias("i"), fired.alias("j")).select("_w", F.explode("i").alias("i"), "j").select("_w", "i", F.explode("j").alias("j"))
+        weighted.select("_w", F.explode("mask").alias("i"), F.col("mask").alias("j")).select("_w", "i", F.explode("j").alias("j"))
         .groupBy("i", "j").agg(F.sum("_w").alias("w")).collect()
     )
     total = weighted.agg(F.sum("_w")).first()[0]

@@ -110,3 +110,16 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
     ids = {r["doc_id"] for r in current.collect()}
     assert ids == {r["doc_id"] for r in before.collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_all_stems_with_support_are_mined(spark):
+    """Forty families of insults, more than any fixed number of slots used to hold."""
+    families = [f"{a}{b}rk" for a in "bcdfghjk" for b in "aeiou"]
+    rows = [(i, f"{families[i % 40]}on calm words only", "en", "s", None) for i in range(800)]
+    rows += [(i, "calm words only", "en", "s", None) for i in range(800, 2400)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i < 800)) for i in range(2400)], "doc_id bigint, quality int, toxic int")
+    model, cast = toxicity.fitted(docs, labels)
+    assert {stem[:4] for stem in model.stems} == set(families)
+    low = cast.where("doc_id < 800").where(model.score(cast["counts"]) < 0.5)
+    assert low.count() == 0
