@@ -106,7 +106,7 @@ def test_interleaved_and_duplicated_atoms(spark):
         (1, "ALA", 3, 0, 3), (2, "HSE", 1, None, 1), (1, "GLY", None, None, 1)
     ]
     assert [r.residue_type for r in rows] == [1, 0, 8]
-    with pytest.raises(ValueError, match="missing CA"):
+    with pytest.raises(ValueError, match="without a C-alpha"):
         topology.require_ca(table)
 
 
@@ -215,7 +215,7 @@ def test_requested_domains(spark):
     asked = spark.createDataFrame([(0, "b"), (1, "a")], "pos int, domain_id string")
     assert labels.selected_domains(metadata, asked, 1).first().domain_id == "b"
     assert [r.domain_id for r in labels.selected_domains(metadata).orderBy("domain_id").collect()] == ["a", "b"]
-    with pytest.raises(ValueError, match="missing"):
+    with pytest.raises(ValueError, match="no processed data"):
         labels.selected_domains(metadata, spark.createDataFrame([(0, "z")], "pos int, domain_id string"))
 
 
