@@ -5,8 +5,9 @@ positions whose vector has an odd product with v. Any `radius` differing positio
 two fingerprints within the radius agree under its mask: no pair is missed, whatever the data.
 
 Equal fingerprints are one node from the start. In each table, groups of two are compared by expressions, groups up to
-GROUP as one array, and larger ones are covered again over the positions their mask leaves out: three levels leave so
-few free positions that no group can be larger than GROUP. Groups give a spanning forest of their links, not all pairs.
+GROUP as one array, and larger ones are covered again over the positions their mask leaves out. The last level is that
+whose masks leave at most FREE positions, so that none of its groups can hold more than 2^FREE fingerprints, whatever
+GROUP and the radius are. Groups give a spanning forest of their links, not all pairs.
 
 Texts without words have fingerprint zero; null texts are empty; repeated rows share a class; rows with a null id get
 the class of their fingerprint (null if no row of it has an id). An empty table gives an empty result. Other columns
@@ -31,6 +32,8 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 GROUP = 1024
+#: Free positions of the last level.
+FREE = 10
 CHUNK = 65_536
 
 
@@ -109,6 +112,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     found, masks = [], covering(list(range(64)), radius)
     branch, level = len(masks), nodes.select("bits", F.lit(0).cast("long").alias("path"))
     while True:
+        last = all(64 - mask.bit_count() <= FREE for mask in masks)
         table_masks = F.array(*[F.lit(signed(mask)) for mask in masks])
         chosen = F.slice(table_masks, (F.col("path") * branch + 1).cast("int"), F.lit(branch))
         keyed = (
@@ -118,10 +122,11 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         groups = keyed.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b"))
         groups = written(groups.where("n > 1"))
         found.append(groups.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b"))
-        members = keyed.join(groups.where((F.col("n") > 2) & (F.col("n") <= GROUP)).select("path", "key"), ["path", "key"])
+        whole = groups.where((F.col("n") > 2) & (F.lit(last) | (F.col("n") <= GROUP)))
+        members = keyed.join(whole.select("path", "key"), ["path", "key"])
         found.append(group_links(members.groupBy("path", "key").agg(F.collect_list("bits").alias("members")), radius))
         hot = groups.where(F.col("n") > GROUP)
-        if hot.isEmpty():
+        if last or hot.isEmpty():
             break
         level = written(keyed.join(hot.select("path", "key"), ["path", "key"]).select("bits", "path"))
         masks = refined(masks, radius)
