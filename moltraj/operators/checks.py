@@ -8,20 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moltraj.functions.numeric import draw, round_up
-from moltraj.operators.features import CA
 from moltraj.scale import BLOCK, lookup_join, ranked
-from moltraj.schema import FRAME_KEY, FRAME_MULTIPLE, RESIDUE_MULTIPLE, TRAJECTORY_KEY
+from moltraj.schema import FRAME_MULTIPLE, RESIDUE_MULTIPLE, TRAJECTORY_KEY
 
 RMSD_THRESHOLD = 0.05
 
 
-def shape_report(features: DataFrame) -> DataFrame:
-    """Number of trajectories and the padded frame and residue extents of each stored array."""
-    keyed = features.select(F.concat_ws("_", *TRAJECTORY_KEY).alias("t"), "frame", "residue_index")
-    extents = keyed.agg(
-        F.count_distinct("t").alias("n_trajectories"),
+def shape_report(packed: DataFrame) -> DataFrame:
+    """Number of trajectories and the padded frame and residue extents of each stored array, from packed frames."""
+    per_trajectory = packed.groupBy(*TRAJECTORY_KEY).agg(F.max("frame").alias("frame"), F.max(F.size("dssp")).alias("n"))
+    extents = per_trajectory.agg(
+        F.count(F.lit(1)).alias("n_trajectories"),
         round_up(F.max("frame") + 1, FRAME_MULTIPLE).alias("n_frames"),
-        round_up(F.max("residue_index") + 1, RESIDUE_MULTIPLE).alias("n_residues"),
+        round_up(F.max("n"), RESIDUE_MULTIPLE).alias("n_residues"),
     )
     # Stored arrays and the length of their last axis (0 = none).
     arrays = {"ca": 3, "cb": 3, "backbone_torsions": 6, "dssp": 0, "sasa": 0, "residue_mask": 0}
@@ -66,26 +65,6 @@ def manifest_hash_check(recomputed: DataFrame, expected: Column | str) -> DataFr
     )
 
 
-def roundtrip_rmsd(raw: DataFrame, stored: DataFrame, threshold: float = RMSD_THRESHOLD) -> DataFrame:
-    """RMSD over all C-alpha components between raw and stored rows, per trajectory; NaN fails, and so does a trajectory
-    with a row that only one side has.
-    """
-    keys = [*FRAME_KEY, "residue_index"]
-    left = raw.select(*keys, *[F.col(c).cast("double") for c in CA], F.lit(True).alias("_raw"))
-    right = stored.select(*keys, *[F.col(c).cast("double").alias(f"stored_{c}") for c in CA], F.lit(True).alias("_stored"))
-    both = F.col("_raw").isNotNull() & F.col("_stored").isNotNull()
-    gap = sum((F.pow(F.col(c) - F.col(f"stored_{c}"), F.lit(2)) for c in CA), F.lit(0.0))
-    return (
-        left.join(right, keys, "full")
-        .groupBy(*TRAJECTORY_KEY)
-        .agg(
-            F.count_distinct("frame").alias("n_frames"), F.sqrt(F.avg(gap / 3)).alias("rmsd_angstrom"), F.bool_and(both).alias("_whole"),
-        )
-        .withColumn("passed", F.coalesce(F.col("_whole") & ~F.isnan("rmsd_angstrom") & (F.col("rmsd_angstrom") < threshold), F.lit(False)))
-        .drop("_whole")
-    )
-
-
 def coverage_check(roundtrip: DataFrame, metadata: DataFrame) -> DataFrame:
     """Every trajectory of the metadata passes its round trip with as many frames as it was stored with.
 

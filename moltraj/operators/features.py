@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from moltraj.functions import geometry as geo
 from moltraj.functions.codes import dssp_code, trajectory_id
 from moltraj.functions.numeric import quantize_f16, round_up
-from moltraj.scale import BLOCK, BROADCAST_ENTRIES, lookup_join, ranked
+from moltraj.scale import BLOCK, BROADCAST_ENTRIES, lookup_join, running_total
 from moltraj.schema import (
     FOLDED_RMSD_ANGSTROM,
     FRAME_KEY,
@@ -18,6 +18,8 @@ from moltraj.schema import (
     UNFOLDING_TEMPERATURE,
 )
 
+#: Frames whose bits share one number.
+WORD = 64
 TORSIONS = [f"{name}_{part}" for name in ("phi", "psi", "omega") for part in ("sin", "cos")]
 CA = ["ca_x", "ca_y", "ca_z"]
 CB = ["cb_x", "cb_y", "cb_z"]
@@ -41,27 +43,61 @@ def is_folded(temperature: Column, has_rmsd: Column, rmsd: Column) -> Column:
     return ~hot | ~F.coalesce(has_rmsd, F.lit(False)) | low
 
 
-def renumber(frames: DataFrame, width: int = BLOCK) -> DataFrame:
-    """Frame numbers without gaps, in the old order; the old number stays as `source_frame`."""
-    source = frames.withColumnRenamed("frame", "source_frame")
-    block = F.floor(F.col("source_frame") / F.lit(width))
-    return ranked(source, TRAJECTORY_KEY, block, ["source_frame"], "frame").withColumn("frame", F.col("frame").cast("int"))
+def word_of(frame: Column) -> Column:
+    return F.floor(frame / F.lit(WORD)).cast("bigint")
 
 
-def kept_frames(frames: DataFrame, trajectories: DataFrame, *, filter_unfolded: bool = True) -> DataFrame:
+def kept_words(frames: DataFrame, trajectories: DataFrame) -> DataFrame:
+    """Bitmaps of the kept high-temperature frames: per trajectory and 64 frames, `_bits` and `_earlier`, the number of
+    kept frames in earlier words. Only keys and RMSD are read, and one word stands for 64 frames.
+    """
+    hot = is_hot(F.col("temperature"))
+    series = trajectories.filter(hot).select(*TRAJECTORY_KEY, "rmsd_unit", "has_rmsd")
+    keyed = frames.filter(hot).select(*FRAME_KEY, "rmsd")
+    joined = lookup_join(keyed, series, TRAJECTORY_KEY, "left", salt_by=["frame"])
+    folded = joined.filter(is_folded(F.col("temperature"), F.col("has_rmsd"), rmsd_angstrom(F.col("rmsd"), F.col("rmsd_unit"))))
+    bit = F.expr(f"shiftleft(1L, CAST(frame % {WORD} AS INT))")
+    words = folded.groupBy(*TRAJECTORY_KEY, word_of(F.col("frame")).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return running_total(
+        words, TRAJECTORY_KEY, F.floor(F.col("_word") / F.lit(BLOCK)), ["_word"], F.bit_count("_bits").cast("bigint"), "_earlier"
+    )
+
+
+def kept_frames(
+    frames: DataFrame, trajectories: DataFrame, *, filter_unfolded: bool = True, carried: DataFrame | None = None,
+    max_rows: int | None = None,
+) -> DataFrame:
     """Frames that pass the high-temperature RMSD gate, with frame numbers closed up.
 
-    Landed frames are numbered without gaps, so only the filtered temperature is renumbered and shuffled; every other
-    frame passes through in a narrow stage.
+    Landed frames are numbered without gaps, so only the filtered temperature is renumbered; every other frame passes
+    through in a narrow stage. A kept frame's new number is the count of kept frames in earlier words plus the bits
+    below its own, looked up by (trajectory, word), so that no window ever sorts rows with coordinates. `carried` is a
+    table by trajectory (planned trajectories with their domain's arrays) whose columns come along; frames of other
+    trajectories are dropped. Either way every frame row takes part in one join.
     """
+    extra = [] if carried is None else [c for c in carried.columns if c not in TRAJECTORY_KEY]
+    weight = sum((F.coalesce(F.size(c), F.lit(0)) for c in extra), F.lit(1))
+    most = BROADCAST_ENTRIES if max_rows is None else max_rows
+
+    def passed(rows: DataFrame) -> DataFrame:
+        numbered = rows.withColumn("source_frame", F.col("frame"))
+        if carried is None:
+            return numbered
+        return lookup_join(numbered, carried, TRAJECTORY_KEY, salt_by=["frame"], max_rows=most, weight=weight)
+
     if not filter_unfolded:
-        return frames.withColumn("source_frame", F.col("frame"))
+        return passed(frames)
     hot = is_hot(F.col("temperature"))
-    series = trajectories.filter(hot).select(*TRAJECTORY_KEY, "rmsd_unit", "has_rmsd")
-    joined = lookup_join(frames.filter(hot), series, TRAJECTORY_KEY, "left", salt_by=["frame"])
-    rmsd = rmsd_angstrom(F.col("rmsd"), F.col("rmsd_unit"))
-    folded = joined.filter(is_folded(F.col("temperature"), F.col("has_rmsd"), rmsd)).drop("rmsd_unit", "has_rmsd")
-    return frames.filter(~hot).withColumn("source_frame", F.col("frame")).unionByName(renumber(folded))
+    words = kept_words(frames, trajectories)
+    words = words if carried is None else words.join(carried, TRAJECTORY_KEY)
+    keyed = frames.filter(hot).withColumn("_word", word_of(F.col("frame")))
+    # A word is the key of at most 64 frames, so that no salt is needed.
+    found = lookup_join(keyed, words, [*TRAJECTORY_KEY, "_word"], salt_by=["frame"], salts=1, max_rows=most, weight=weight)
+    at = f"CAST(frame % {WORD} AS INT)"
+    place = F.expr(f"CAST(_earlier + bit_count(_bits & ~shiftleft(-1L, {at})) AS INT)")
+    renumbered = found.filter(F.expr(f"(shiftright(_bits, {at}) & 1L) = 1L")).withColumns({"source_frame": F.col("frame"), "_place": place})
+    renumbered = renumbered.drop("_word", "_bits", "_earlier", "frame").withColumnRenamed("_place", "frame")
+    return passed(frames.filter(~hot)).unionByName(renumbered)
 
 
 TORSION_POINTS = {name: geo.WALK[at - 2 : at + 2] for name, at in geo.TORSION_AXIS.items()}
@@ -112,13 +148,6 @@ def residue_features(frames: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-def with_sasa(features: DataFrame, areas: DataFrame) -> DataFrame:
-    """Fill `sasa` from (frame key, residue_index, area) rows."""
-    keys = [*FRAME_KEY, "residue_index"]
-    filled = features.drop("sasa").join(areas.select(*keys, F.col("area").alias("sasa")), keys, "left")
-    return filled.select(*features.columns)
-
-
 def stored_precision(features: DataFrame) -> DataFrame:
     """Coordinates, torsions and areas as half precision would hold them, in FLOAT columns."""
     rounded = {name: quantize_f16(F.col(name)).cast("float") for name in [*CA, *CB, *TORSIONS, "sasa"]}

@@ -86,19 +86,10 @@ def sample_indices(n_residues: str, count: int) -> str:
     )
 
 
-def sampled_residues(metadata: DataFrame, count: int = FEATURE_RESIDUES) -> DataFrame:
-    """(domain_id, slot, residue_index) of the residues that enter the vectors."""
-    sizes = metadata.groupBy("domain_id").agg(F.max("n_res").cast("int").alias("n_res"))
-    return sizes.select("domain_id", F.posexplode(F.expr(sample_indices("n_res", count))).alias("slot", "residue_index"))
-
-
-def points_from_store(features: DataFrame, metadata: DataFrame, count: int = FEATURE_RESIDUES) -> DataFrame:
-    """Sampled C-alpha points of each frame from the long store: at most `count` points per frame are gathered."""
-    wanted = sampled_residues(metadata, count)
-    rows = lookup_join(features, wanted, ["domain_id", "residue_index"], salt_by=["traj_id", "frame"])
-    point = F.struct("slot", F.col("ca_x").alias("x"), F.col("ca_y").alias("y"), F.col("ca_z").alias("z"))
-    kept = [name for name in ("frame_global", "n_total") if name in features.columns]
-    return rows.groupBy("domain_id", "traj_id", "frame", *kept).agg(F.array_sort(F.collect_list(point)).alias("points"))
+def points_from_store(frames: DataFrame, count: int = FEATURE_RESIDUES) -> DataFrame:
+    """Sampled C-alpha points of packed frames, whose `ca` holds three numbers a residue; in place."""
+    indices = sample_indices("CAST(size(ca) / 3 AS INT)", count)
+    return frames.withColumn("points", F.expr(f"transform({indices}, i -> named_struct('x', ca[3 * i], 'y', ca[3 * i + 1], 'z', ca[3 * i + 2]))")).drop("ca")
 
 
 def sampled_points(frames: DataFrame, ca: str, count: int = FEATURE_RESIDUES) -> DataFrame:
@@ -117,19 +108,70 @@ def frame_vectors(frames: DataFrame, count: int = FEATURE_RESIDUES) -> DataFrame
     return centred.withColumn("vector", F.expr(padded)).drop("points", "_mx", "_my", "_mz")
 
 
+MOMENTS = "traj_id string, n bigint, m array<double>, q array<double>"
+
+
+def moment_parts(most: int = 4096):
+    """Task-side count, means and sums of squared deviations of each trajectory's vectors, as arrays.
+
+    Parts of a trajectory are merged pair by pair, which keeps every digit that a running sum of squares would lose. A
+    task passes on its parts when it holds more than `most` trajectories and at its end.
+    """
+    def merged(a, b):
+        (n, m, q), (k, p, r) = a, b
+        gap, total = p - m, n + k
+        return total, m + gap * (k / total), q + r + gap * gap * (n * k / total)
+
+    def table(held: dict) -> pa.RecordBatch:
+        counts, means, squares = zip(*held.values(), strict=True)
+        columns = [list(held), counts, [m.tolist() for m in means], [q.tolist() for q in squares]]
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["traj_id", "n", "m", "q"])
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode()
+            numbers, names = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for at, name in enumerate(names):
+                x = values[numbers == at]
+                m = x.mean(axis=0)
+                part = len(x), m, ((x - m) ** 2).sum(axis=0)
+                held[name] = merged(held[name], part) if name in held else part
+            if len(held) > most:
+                yield table(held)
+                held = {}
+        if held:
+            yield table(held)
+
+    def join(group: pa.Table) -> pa.Table:
+        whole = None
+        for n, m, q in zip(*[group.column(name).to_pylist() for name in ("n", "m", "q")], strict=True):
+            part = n, np.array(m), np.array(q)
+            whole = part if whole is None else merged(whole, part)
+        return pa.Table.from_batches([table({group.column("traj_id")[0].as_py(): whole})])
+
+    return run, join
+
+
+def moments_of(vectors: DataFrame) -> DataFrame:
+    """Count, means and sums of squared deviations of `vector` per trajectory: one row of arrays a task and trajectory moves."""
+    run, join = moment_parts()
+    return vectors.select("traj_id", "vector").mapInArrow(run, MOMENTS).groupBy("traj_id").applyInArrow(join, MOMENTS)
+
+
 def standardised(vectors: DataFrame, *, n_trajectories: int | None = None) -> DataFrame:
     """Z-scores per trajectory and component (population deviation, floored at 1e-6).
 
-    Moments are pre-aggregated per task over (trajectory, component) before the shuffle, so a long trajectory costs
-    no more than a short one; they return to the frames by a lookup join.
+    Moments are arrays from the start: each task adds up its frames' vectors, and only those arrays are shuffled, so a
+    long trajectory costs no more than a short one; they return to the frames by a lookup join.
     """
-    parts = vectors.select("traj_id", F.posexplode("vector").alias("c", "x")).groupBy("traj_id", "c").agg(
-        F.avg("x").alias("m"), F.greatest(F.stddev_pop("x"), F.lit(1e-6)).alias("s")
-    )
-    moments = parts.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("c", "m", "s"))).alias("moments"))
+    deviation = "transform(q, v -> greatest(sqrt(v / n), 1e-6D))"
+    moments = moments_of(vectors).select("traj_id", F.col("m").alias("_m"), F.expr(deviation).alias("_s"))
     joined = lookup_join(vectors, moments, ["traj_id"], salt_by=["frame"], max_rows=20_000, known_rows=n_trajectories)
-    scored = "transform(vector, (x, i) -> (x - moments[i].m) / moments[i].s)"
-    return joined.withColumn("z", F.expr(scored)).drop("vector", "moments")
+    scored = "transform(vector, (x, i) -> (x - _m[i]) / _s[i])"
+    return joined.withColumn("z", F.expr(scored)).drop("vector", "_m", "_s")
 
 
 # --- lagged covariance and slow coordinates ---------------------------------------------------------------------------

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moltraj.operators.sasa import near_pairs
+from moltraj.functions import kernels
+from moltraj.operators.packed import flat_points
 from moltraj.schema import FRAME_KEY
 
 # Residue-count buckets, contact radius in Angstrom and neighbours kept.
@@ -32,14 +35,31 @@ def positive_pairs(frames: DataFrame, group: str, time: str, item: str, within:
 
 
 def contact_graph(
-    residues: DataFrame, *, radius: float = CONTACT_RADIUS, neighbours: int = CONTACT_NEIGHBOURS
+    frames: DataFrame, *, radius: float = CONTACT_RADIUS, neighbours: int = CONTACT_NEIGHBOURS
 ) -> DataFrame:
-    """Edges from each residue to its nearest residues within the radius, in each frame."""
-    pairs = near_pairs(residues, FRAME_KEY, "residue_index", radius, 2 * radius, [])
-    order = Window.partitionBy(*FRAME_KEY, "residue_index").orderBy("d2", "other_residue_index")
-    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= neighbours).select(
-        *FRAME_KEY, "residue_index", "other_residue_index", "place", F.sqrt("d2").alias("distance")
-    )
+    """Edges from each residue to its nearest residues within the radius, in each frame, from one point a residue (`xyz`).
+
+    A cell list inside the frame's row finds the neighbours, so that only the edges that are kept become rows and
+    nothing is shuffled.
+    """
+    kinds = dict(frames.dtypes)
+    k, read_points, keys = kernels, flat_points(), list(FRAME_KEY)
+    edge = "struct<residue_index:int,other_residue_index:int,place:int,distance:double>"
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xyz, counts = read_points(batch.column("xyz"))
+            first, frame = k.starts_of(counts), np.repeat(np.arange(len(counts)), counts)
+            a, b, place, distance = k.nearest(frame, xyz, radius, neighbours)
+            local = [a - first[frame[a]], b - first[frame[a]], place]
+            parts = [*[pa.array(part, pa.int32()) for part in local], pa.array(distance)]
+            found = pa.StructArray.from_arrays(parts, names=["residue_index", "other_residue_index", "place", "distance"])
+            ends = np.searchsorted(frame[a], np.arange(len(counts) + 1))
+            columns = [*[batch.column(name) for name in keys], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "edges"])
+
+    schema = ", ".join(f"{name} {kinds[name]}" for name in FRAME_KEY) + f", edges array<{edge}>"
+    return frames.select(*FRAME_KEY, "xyz").mapInArrow(edges, schema).select(*FRAME_KEY, F.inline("edges"))
 
 
 def length_bucket(length: Column, buckets: Sequence[int] = LENGTH_BUCKETS) -> Column:

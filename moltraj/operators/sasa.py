@@ -1,15 +1,22 @@
-"""Solvent-exposed area per residue: test points on each atom's sphere, minus those inside a neighbour."""
+"""Solvent-exposed area per residue: test points on each atom's sphere, minus those inside a neighbour.
+
+Neighbours are found by a cell list inside the frame's row, for all frames of an Arrow batch at once, so that neither
+atoms nor pairs of atoms are ever rows and nothing is shuffled between frames and areas.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moltraj.functions import geometry as geo
+from moltraj.functions import kernels
+from moltraj.functions.kernels import sphere
+from moltraj.operators.packed import flat_points, numbers_of
 from moltraj.operators.topology import residue_atoms
 from moltraj.scale import BROADCAST_ENTRIES, lookup_join
 from moltraj.schema import FRAME_KEY
@@ -19,16 +26,8 @@ RADII = {"H": 1.20, "C": 1.70, "N": 1.55, "O": 1.52, "S": 1.80, "P": 1.80}
 OTHER_RADIUS = 1.80
 PROBE = 1.4
 POINTS = 100
-WORD = 50
-
 
-def sphere(n_points: int) -> np.ndarray:
-    """Unit vectors on a golden spiral."""
-    k = np.arange(n_points)
-    z = 1.0 - (2.0 * k + 1.0) / n_points
-    ring = np.sqrt(1.0 - z * z)
-    turn = k * (math.pi * (3.0 - math.sqrt(5.0)))
-    return np.stack([ring * np.cos(turn), ring * np.sin(turn), z], axis=1)
+__all__ = ["PROBE", "RADII", "atom_spheres", "domain_spheres", "residue_areas", "sphere"]
 
 
 def atom_radius(atom_name: Column) -> Column:
@@ -40,82 +39,42 @@ def atom_radius(atom_name: Column) -> Column:
     return chosen
 
 
-def atom_spheres(frames: DataFrame, atoms: DataFrame, residue_table: DataFrame, probe: float = PROBE) -> DataFrame:
-    """Every atom of every frame with its probe-extended radius; frames are unpacked in place."""
+def domain_spheres(atoms: DataFrame, residue_table: DataFrame, probe: float = PROBE) -> DataFrame:
+    """One row per domain with its atoms as `members`: atom, residue and probe-extended radius."""
     paired = residue_atoms(atoms, residue_table).withColumn("reach", atom_radius(F.col("atom_name")) + F.lit(probe))
-    per_domain = paired.groupBy("domain_id").agg(
-        F.collect_list(F.struct("atom_index", "residue_index", "reach")).alias("members")
-    )
-    joined = lookup_join(
-        frames, per_domain, ["domain_id"], salt_by=["temperature", "replicate", "frame"], max_rows=BROADCAST_ENTRIES,
-        weight=F.size("members"),
-    )
-    unpacked = joined.select(*FRAME_KEY, "xyz", F.inline("members"))
-    return geo.with_expressions(unpacked, geo.named("p", geo.gather("xyz", "atom_index"))).drop("xyz")
+    return paired.groupBy("domain_id").agg(F.collect_list(F.struct("atom_index", "residue_index", "reach")).alias("members"))
 
 
-def cell(axis: str, width: float) -> Column:
-    return F.floor(F.col(f"p_{axis}") / F.lit(width))
-
-
-def near_pairs(points: DataFrame, group: list[str], item: str, reach: float, width: float, extra: list[str]) -> DataFrame:
-    """Pairs (item, other_item) of one group whose positions p_x, p_y, p_z may be within `reach`.
-
-    Points are keyed by grid cell and one side is copied only into the cells its reach overlaps, so the join has an
-    equality key of (group, cell) and never compares a whole frame with itself.
-    """
-    home = points.withColumns({f"_c{axis}": cell(axis, width) for axis in "xyz"})
-    copies = points.select(
-        *group, *[F.col(c).alias(f"other_{c}") for c in [item, "p_x", "p_y", "p_z", *extra]]
+def atom_spheres(frames: DataFrame, atoms: DataFrame, residue_table: DataFrame, probe: float = PROBE) -> DataFrame:
+    """Frames with the `members` of their domain; no shuffle where these fit a broadcast."""
+    return lookup_join(
+        frames.select(*FRAME_KEY, "xyz"), domain_spheres(atoms, residue_table, probe), ["domain_id"],
+        salt_by=["temperature", "replicate", "frame"], max_rows=BROADCAST_ENTRIES, weight=F.size("members"),
     )
-    for axis in "xyz":
-        at = F.col(f"other_p_{axis}")
-        span = F.sequence(F.floor((at - F.lit(reach)) / F.lit(width)), F.floor((at + F.lit(reach)) / F.lit(width)))
-        copies = copies.withColumn(f"_c{axis}", F.explode(span))
-    paired = home.join(copies, [*group, "_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz")
-    d2 = geo.squared_distance(geo.vector("p"), geo.vector("other_p"))
-    return paired.filter(f"{item} <> other_{item}").withColumn("d2", F.expr(d2)).filter(F.col("d2") < reach * reach)
 
 
-def words(n_points: int) -> list[str]:
-    return [f"w{at}" for at in range(-(-n_points // WORD))]
-
-
-def covered_points(n_points: int):
-    """Vectorised marker of the sphere points of an atom that lie inside one neighbour, as bit words of WORD points."""
-    directions = sphere(n_points).T
-    bits = np.array([1 << (p % WORD) for p in range(n_points)], dtype=np.int64)
-
-    names = words(n_points)
-
-    @F.pandas_udf(", ".join(f"{name} bigint" for name in names))
-    def marks(dx: pd.Series, dy: pd.Series, dz: pd.Series, bound: pd.Series) -> pd.DataFrame:
-        offsets = np.stack([dx.to_numpy(), dy.to_numpy(), dz.to_numpy()], axis=1)
-        inside = (offsets @ directions) < bound.to_numpy()[:, None]
-        parts = [slice(at * WORD, (at + 1) * WORD) for at in range(len(names))]
-        return pd.DataFrame({name: inside[:, part] @ bits[part] for name, part in zip(names, parts, strict=True)})
-
-    return marks
-
-
-def residue_areas(spheres: DataFrame, *, n_points: int = POINTS, probe: float = PROBE) -> DataFrame:
-    """Exposed area of every residue of every frame, in square Angstrom.
-
-    A pair of neighbours yields words of covered points; words are OR-ed per atom with map-side combine, so the
-    point rows themselves never exist.
-    """
-    names = words(n_points)
-    widest = 2 * (max(*RADII.values(), OTHER_RADIUS) + probe)
-    pairs = near_pairs(spheres, FRAME_KEY, "atom_index", widest, 2 * widest, ["reach"]).filter(
-        "d2 < (reach + other_reach) * (reach + other_reach)"
-    )
-    # A point at reach * u from the atom is inside the neighbour when (atom - neighbour) . u is below this bound.
-    bound = F.expr("(other_reach * other_reach - d2 - reach * reach) / (2 * reach)")
-    gap = [F.col(f"p_{axis}") - F.col(f"other_p_{axis}") for axis in "xyz"]
-    atom_row = [*FRAME_KEY, "residue_index", "atom_index", "reach"]
-    marked = pairs.select(*atom_row, covered_points(n_points)(*gap, bound).alias("m")).select(*atom_row, "m.*")
-    bare = spheres.select(*atom_row, *[F.lit(0).cast("bigint").alias(name) for name in names])
-    covered = marked.unionByName(bare).groupBy(*atom_row).agg(*[F.bit_or(name).alias(name) for name in names])
-    exposed = F.lit(n_points) - sum((F.bit_count(name) for name in names), F.lit(0))
-    area = F.lit(4 * math.pi) * F.col("reach") * F.col("reach") * exposed / F.lit(float(n_points))
-    return covered.groupBy(*FRAME_KEY, "residue_index").agg(F.sum(area).alias("area"))
+def residue_areas(spheres: DataFrame, *, n_points: int = POINTS) -> DataFrame:
+    """Exposed area of every residue of every frame, in square Angstrom, from `atom_spheres`."""
+    kinds = dict(spheres.dtypes)
+    k, read_points, read_numbers, keys = kernels, flat_points(), numbers_of(), list(FRAME_KEY)
+
+    def areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xyz, counts = read_points(batch.column("xyz"))
+            members = batch.column("members")
+            sizes = pc.fill_null(pc.list_value_length(members), 0).to_numpy().astype(np.int64)
+            frame, first = np.repeat(np.arange(len(sizes)), sizes), k.starts_of(counts)
+            at = k.gathered(xyz, first[frame], counts[frame], read_numbers(members, "atom_index"))
+            reach = pc.struct_field(members.flatten(), "reach").to_numpy(zero_copy_only=False)
+            area = k.sphere_areas(sizes, at, reach, n_points)
+            residue = read_numbers(members, "residue_index")
+            owned = residue >= 0
+            rows, place = np.unique(np.stack([frame[owned], residue[owned]]), axis=1, return_inverse=True)
+            total = np.bincount(place.ravel(), weights=area[owned], minlength=rows.shape[1])
+            ends = np.searchsorted(rows[0], np.arange(len(sizes) + 1))
+            found = pa.StructArray.from_arrays([pa.array(rows[1], pa.int32()), pa.array(total)], names=["residue_index", "area"])
+            columns = [*[batch.column(name) for name in keys], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "found"])
+
+    schema = ", ".join(f"{name} {kinds[name]}" for name in FRAME_KEY) + ", found array<struct<residue_index:int,area:double>>"
+    return spheres.select(*FRAME_KEY, "xyz", "members").mapInArrow(areas, schema).select(*FRAME_KEY, F.inline("found"))

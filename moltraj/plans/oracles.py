@@ -99,7 +99,8 @@ def f16_sql(x: str) -> str:
 
 
 def canon_sql(x: str) -> str:
-    return f"CAST(CAST(floor({x} * 10000.0 + 0.5) AS BIGINT) AS VARCHAR)"
+    """The canonical whole number as sixteen hexadecimal digits."""
+    return f"lpad(to_hex(CAST(floor({x} * 10000.0 + 0.5) AS BIGINT)), 16, '0')"
 
 
 TORSION_NAMES = [f"{t}_{p}" for t in ("phi", "psi", "omega") for p in ("sin", "cos")]
@@ -109,12 +110,11 @@ CB_NAMES = ["cb_x", "cb_y", "cb_z"]
 
 def hash_sql() -> str:
     """CTEs ending in `hashes`: the three-level content hash of each trajectory."""
-    numbers = " || '|' || ".join(canon_sql(n) for n in [*CA_NAMES, *CB_NAMES, *TORSION_NAMES])
-    text = f"{numbers} || '|' || dssp || '|' || residue_type || '|1'"
+    numbers = " || ".join(canon_sql(n) for n in [*CA_NAMES, *CB_NAMES, *TORSION_NAMES])
+    whole = " || ".join(f"lpad(to_hex(CAST({n} AS BIGINT)), 16, '0')" for n in ("dssp", "residue_type", "1"))
     return f"""{features_sql('kept')},
-residue_digests AS (SELECT {KEY}, frame, residue_index, sha256({text}) AS d FROM features),
-frame_digests AS (SELECT {KEY}, frame AS k, sha256(string_agg(d, '' ORDER BY residue_index)) AS d
-  FROM residue_digests GROUP BY {KEY}, frame),
+frame_digests AS (SELECT {KEY}, frame AS k, sha256(unhex(string_agg({numbers} || {whole}, '' ORDER BY residue_index))) AS d
+  FROM features GROUP BY {KEY}, frame),
 blocks AS (SELECT {KEY}, CAST(floor(k / 1024) AS BIGINT) AS up, sha256(string_agg(d, '' ORDER BY k)) AS d
   FROM frame_digests GROUP BY {KEY}, up),
 upper_blocks AS (SELECT {KEY}, CAST(floor(up / 1024) AS BIGINT) AS top, sha256(string_agg(d, '' ORDER BY up)) AS d

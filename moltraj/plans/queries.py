@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moltraj.functions import geometry as geo
 from moltraj.functions.codes import decode_text, dssp_code
 from moltraj.functions.numeric import clean, quantize_f16
-from moltraj.operators import checks, features, fingerprint, labels, metrics, pairs, sasa, selection, splits, topology
+from moltraj.operators import checks, features, fingerprint, labels, metrics, packed, pairs, sasa, selection, splits, topology
 from moltraj.plans import surrogates as views
 from moltraj.scale import BLOCK, cut_lineage, ranked
 from moltraj.schema import FRAME_KEY, TRAJECTORY_KEY
@@ -39,6 +39,11 @@ def kept_features(spark: SparkSession, sf: str) -> DataFrame:
     return features.residue_features(kept(spark, sf), sites(spark, sf))
 
 
+def kept_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """The kept frames as packed rows, before they lose precision in the store."""
+    return packed.packed_frames(packed.with_domain_arrays(kept(spark, sf), sites(spark, sf)))
+
+
 def all_features(spark: SparkSession, sf: str) -> DataFrame:
     return features.residue_features(views.frames(spark, sf), sites(spark, sf))
 
@@ -200,7 +205,7 @@ def dense_grid(spark, sf):
 
 @registered
 def trajectory_hash(spark, sf):
-    return fingerprint.trajectory_digests(fingerprint.frame_digests(kept_features(spark, sf)))
+    return fingerprint.trajectory_digests(packed.frame_digests(kept_packed(spark, sf)))
 
 
 @registered
@@ -238,12 +243,12 @@ def split_assignment(spark, sf):
 
 @registered
 def shape_report(spark, sf):
-    return checks.shape_report(kept_features(spark, sf))
+    return checks.shape_report(kept_packed(spark, sf))
 
 
 def roundtrip(spark, sf):
-    rows = kept_features(spark, sf)
-    return checks.roundtrip_rmsd(rows, features.stored_precision(rows))
+    rows = kept_packed(spark, sf).select(*FRAME_KEY, "ca")
+    return packed.roundtrip_rmsd(rows.withColumn("stored_ca", packed.half_precision(F.col("ca"))), checks.RMSD_THRESHOLD)
 
 
 @registered
@@ -414,9 +419,7 @@ def residue_sasa(spark, sf):
 
 @registered
 def contact_graph(spark, sf):
-    points = spread_frames(spark, sf).select(*FRAME_KEY, F.posexplode("xyz").alias("residue_index", "p"))
-    placed = points.selectExpr(*RESIDUE_ROW, *[f"CAST(p.{a} AS DOUBLE) AS p_{a}" for a in "xyz"])
-    return pairs.contact_graph(placed, radius=6.0, neighbours=4).withColumn("distance", clean(F.col("distance")))
+    return pairs.contact_graph(spread_frames(spark, sf), radius=6.0, neighbours=4).withColumn("distance", clean(F.col("distance")))
 
 
 @registered

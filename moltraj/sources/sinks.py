@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moltraj.operators.packed import unpacked
 from moltraj.schema import FRAME_KEY, TRAJECTORY_KEY
 
 FRAMES_PER_FILE_GROUP = 4096
+ROW_GROUP_BYTES = 4 << 20
 
 
 def save_mode(force: bool) -> str:
@@ -22,20 +24,31 @@ def guard(spark: SparkSession, path: str, force: bool) -> None:
         raise FileExistsError(f"{path} holds a finished result; use force=True to replace it")
 
 
-def write_features(features: DataFrame, path: str, *, force: bool = False) -> None:
-    """Feature store as Parquet, one folder per domain, rows in (trajectory, frame, residue) order.
+def write_frames(packed: DataFrame, path: str, *, force: bool = False) -> None:
+    """The frame store as Parquet: one row a frame with its residues as arrays, one folder per domain, rows in
+    (trajectory, frame) order.
 
     Rows are distributed by trajectory and frame block, not by domain alone, so a large domain is written by many
-    tasks as several files whose row groups still cover short frame ranges.
+    tasks as several files. Row groups are small, so that their statistics lead a reader of a few frames to a few groups.
     """
     block = F.floor(F.col("frame") / F.lit(FRAMES_PER_FILE_GROUP))
-    placed = features.withColumn("_block", block).repartition(*TRAJECTORY_KEY, "_block").drop("_block")
+    placed = packed.withColumn("_block", block).repartition(*TRAJECTORY_KEY, "_block").drop("_block")
     (
-        placed.sortWithinPartitions(*FRAME_KEY, "residue_index")
-        .write.mode(save_mode(force)).option("compression", "zstd").partitionBy("domain_id").parquet(path)
+        placed.sortWithinPartitions(*FRAME_KEY).write.mode(save_mode(force)).option("compression", "zstd")
+        .option("parquet.block.size", str(ROW_GROUP_BYTES)).partitionBy("domain_id").parquet(path)
     )
 
 
+def read_frames(spark: SparkSession, out: str) -> DataFrame:
+    """The packed frames of a finished store."""
+    return spark.read.parquet(f"{out}/frames")
+
+
+def read_features(spark: SparkSession, out: str) -> DataFrame:
+    """The store as one row per frame and residue."""
+    return unpacked(read_frames(spark, out))
+
+
 def write_table(df: DataFrame, path: str, *, force: bool = False) -> None:
     df.write.mode(save_mode(force)).parquet(path)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moltraj.plans import jobs
-from moltraj.sources import landing
+from moltraj.sources import landing, sinks
 from tests import fixtures
 
 
@@ -22,7 +22,7 @@ def test_dry_run_reports_sizes_and_writes_nothing(landed, listed, folder):
 
 
 def test_store_values(spark, store):
-    rows = spark.read.parquet(f"{store}/features").filter("temperature = '320'").orderBy("frame", "residue_index").collect()
+    rows = sinks.read_features(spark, store).filter("temperature = '320'").orderBy("frame", "residue_index").collect()
     assert [(r.ca_x, r.ca_y, r.ca_z) for r in rows[:3]] == [(1.0, 0.0, 0.0), (2.0, 2.0, 0.0), (4.0, 3.0, 0.0)]
     assert rows[3].ca_x == pytest.approx(1.1, abs=2e-3)
     assert [r.dssp for r in rows[:3]] == [1, 3, 0]
@@ -73,7 +73,7 @@ def test_unfolded_frames_leave_the_hot_trajectory_only(spark, listed, folder):
     jobs.prepare(landed, listed, f"{folder}/out")
     counts = {r.traj_id: (r.n_frames_raw, r.n_frames) for r in spark.read.parquet(f"{folder}/out/metadata").collect()}
     assert counts == {"12asA00_320_0": (4, 4), "12asA00_450_0": (4, 2)}
-    frames = spark.read.parquet(f"{folder}/out/features").filter("temperature = '450'").select("frame").distinct()
+    frames = sinks.read_features(spark, f"{folder}/out").filter("temperature = '450'").select("frame").distinct()
     assert sorted(r.frame for r in frames.collect()) == [0, 1]
 
 
@@ -111,16 +111,21 @@ def test_validation_passes_and_notices_a_changed_hash(spark, landed, listed, sto
 
 @pytest.mark.parametrize("damage", ["frame", "residue", "trajectory", "coordinate"])
 def test_validation_notices_lost_and_changed_rows(spark, landed, listed, store, folder, damage):
-    lost = {
-        "frame": "NOT (temperature = '320' AND frame = 2)", "residue": "NOT (temperature = '320' AND frame = 1 AND residue_index = 2)",
-        "trajectory": "temperature = '320'", "coordinate": "true",
+    hit = {
+        "frame": "temperature = '320' AND frame = 2", "residue": "temperature = '320' AND frame = 1", "trajectory": "temperature <> '320'",
+        "coordinate": "frame = 1",
     }[damage]
     shutil.copytree(store, f"{folder}/bad")
-    rows = spark.read.parquet(f"{store}/features").filter(lost)
-    if damage == "coordinate":
-        moved = F.when((F.col("frame") == 1) & (F.col("residue_index") == 0), F.col("ca_x") + 1).otherwise(F.col("ca_x"))
-        rows = rows.withColumn("ca_x", moved.cast("float"))
-    rows.write.mode("overwrite").partitionBy("domain_id").parquet(f"{folder}/bad/features")
+    rows = sinks.read_frames(spark, store)
+    if damage == "residue":
+        parts = {"ca": 3, "cb": 3, "torsions": 6, "dssp": 1, "residue_type": 1}
+        rows = rows.withColumns({name: F.when(F.expr(hit), F.slice(name, 1, 2 * n)).otherwise(F.col(name)) for name, n in parts.items()})
+    elif damage == "coordinate":
+        moved = F.transform("ca", lambda v, i: F.when(i == 0, v + 1).otherwise(v).cast("float"))
+        rows = rows.withColumn("ca", F.when(F.expr(hit), moved).otherwise(F.col("ca")))
+    else:
+        rows = rows.filter(f"NOT ({hit})")
+    rows.write.mode("overwrite").partitionBy("domain_id").parquet(f"{folder}/bad/frames")
     result = outcome(landed, listed, f"{folder}/bad")
     assert not result["content_hash"] and not result["roundtrip_rmsd"] and not result["all"]
     assert result["domain_list"] and result["manifest_hash"]
@@ -165,11 +170,11 @@ def test_gate_that_cannot_pass_falls_back(spark, store, folder):
 
 
 def test_round_trip_of_the_fixture(spark, landed, listed, store):
-    from moltraj.operators import checks, features, topology
+    from moltraj.operators import features, packed, topology
 
-    sites = topology.residue_sites(topology.residues(landed.atoms))
-    raw = features.residue_features(features.kept_frames(landed.frames, landed.trajectories), sites)
-    rows = checks.roundtrip_rmsd(raw, spark.read.parquet(f"{store}/features")).collect()
+    arrays = packed.domain_arrays(topology.residue_sites(topology.residues(landed.atoms)))
+    raw = packed.packed_frames(packed.with_domain_arrays(features.kept_frames(landed.frames, landed.trajectories), arrays))
+    rows = packed.roundtrip_rmsd(packed.beside(raw, sinks.read_frames(spark, store)), 0.05).collect()
     assert all(r.rmsd_angstrom == pytest.approx(4.531059e-4, rel=1e-4) for r in rows)
 
 
@@ -197,5 +202,59 @@ def test_store_with_areas_and_mapped_topologies(spark, landed, listed, folder):
     mapped = spark.createDataFrame([("12asA00", "3.30.930")], "domain_id string, cath_topology string")
     jobs.prepare(landed, listed, f"{folder}/out", with_sasa=True, topologies=mapped)
     assert spark.read.parquet(f"{folder}/out/metadata").select("cath_topology").distinct().first()[0] == "3.30.930"
-    areas = spark.read.parquet(f"{folder}/out/features").agg(F.min("sasa"), F.max("sasa")).first()
+    areas = sinks.read_features(spark, f"{folder}/out").agg(F.min("sasa"), F.max("sasa")).first()
     assert 0 <= areas[0] <= areas[1] < 1000
+
+
+def test_report_says_what_was_found(spark, landed, listed, store, folder):
+    """All summary values, the default thresholds, and the report beside the store."""
+    jobs.validate(landed, listed, store, n_windows=50, window_frames=2)
+    report = json.loads(spark.read.text(f"{store}/validation").first()[0])
+    assert (report["n_domains"], report["n_trajectories"], report["max_frames"], report["max_residues"]) == (1, 2, 256, 512)
+    assert {s["array_name"]: [s.get(k) for k in ("n_trajectories", "n_frames", "n_residues", "n_parts")] for s in report["shapes"]}["backbone_torsions"] == [2, 256, 512, 6]
+    assert report["missing"] == [] and report["unexpected"] == []
+    assert report["domain_list"] == {"expected_count": 1, "observed_count": 1, "n_missing": 0, "n_unexpected": 0, "passed": True}
+    assert report["manifest_hash"]["expected"] == report["manifest_hash"]["recomputed"] == report["dataset_hash"]
+    assert report["roundtrip_rmsd"]["worst"]["rmsd_angstrom"] == pytest.approx(4.531059e-4, rel=1e-4)
+    assert report["roundtrip_rmsd"]["threshold_angstrom"] == 0.05 and report["roundtrip_rmsd"]["n_wrong"] == 0
+    latency = report["window_latency"]
+    assert (latency["n_windows"], latency["window_frames"], latency["p50_threshold_ms"], latency["p99_threshold_ms"]) == (50, 2, 50.0, 200.0)
+    assert 0 < latency["p50_ms"] <= latency["p99_ms"] <= latency["max_ms"]
+    two = spark.createDataFrame([(0, "12asA00"), (1, "1abcA00")], "pos bigint, domain_id string")
+    row = jobs.validation_report(landed, two, store, n_windows=1, window_frames=2).first()
+    assert row.missing == ["1abcA00"] and not row.domain_list.passed and not row.passed
+
+
+def exchanges_with(df, column):
+    """How many shuffles of the plan carry a column."""
+    found = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec" and f"{column}#" in node.output().mkString(","):
+            found.append(node)
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    walk(plan.initialPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan)
+    return len(found)
+
+
+def test_coordinates_take_part_in_one_shuffle_at_most(spark, landed, listed, monkeypatch):
+    from moltraj import scale
+    from moltraj.operators import packed, topology
+
+    planned = scale.cut_lineage(jobs.plan(landed, listed))
+    sites = scale.cut_lineage(topology.residue_sites(topology.residues(landed.atoms)))
+    expected = sorted(packed.packed_frames(jobs.kept_payload(landed, planned, sites)).drop("sasa").collect(), key=str)
+    assert exchanges_with(jobs.kept_payload(landed, planned, sites), "xyz") == 0
+    monkeypatch.setattr(scale, "fits", lambda *args: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = jobs.kept_payload(landed, planned, sites)
+        # The two branches, folded and high-temperature frames, are shuffled once each, so that a row moves once.
+        assert exchanges_with(spread, "xyz") == 2
+        assert sorted(packed.packed_frames(spread).drop("sasa").collect(), key=str) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
