@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltraj.functions.numeric import draw_below
 from moltraj.scale import BLOCK, cut_lineage, look_ahead, lookup_join, running_total, with_halo
 
 RESOLUTIONS = (4, 16, 64)
@@ -326,79 +325,178 @@ def health_gate(models: DataFrame, margin: float = 0.0) -> DataFrame:
 # --- clustering -------------------------------------------------------------------------------------------------------
 
 
-def resolution_plan(totals: DataFrame, resolutions: Sequence[int]) -> DataFrame:
-    """(domain_id, resolution, k) with k limited by the domain's number of frames."""
+#: One clustering: a domain, a resolution, and one of several starts.
+SET = ["domain_id", "resolution", "run"]
+STARTS = 5
+SEED_ROUNDS = 3
+# Candidates that a round of seeding draws for each wanted centroid, on average.
+OVERSAMPLING = 2.0
+# Squared distance that a centroid moves at most once its run has settled.
+SETTLED = 1e-12
+
+
+def resolution_plan(totals: DataFrame, resolutions: Sequence[int], starts: int = 1) -> DataFrame:
+    """(domain_id, resolution, run, k) with k limited by the domain's number of frames."""
     each = F.explode(F.array(*[F.lit(r) for r in resolutions])).alias("resolution")
-    return totals.select("domain_id", "n_total", each).withColumn(
+    sized = totals.select("domain_id", "n_total", each).withColumn(
         "k", F.greatest(F.lit(1), F.least(F.col("resolution").cast("bigint"), F.col("n_total"))).cast("int")
     )
+    return sized.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
 
 
 def first_centroids(points: DataFrame, plan: DataFrame, seed: int = 0, *, n_picks: int | None = None) -> DataFrame:
-    """Seeded start: one frame from each of k equal stretches of the frame axis, all different."""
+    """Seeded start: one frame from each of k equal stretches of the frame axis, all different; each run draws its own."""
     def bound(step: Column) -> Column:
         return F.floor(step.cast("bigint") * F.col("n_total") / F.col("k"))
 
     slots = plan.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     low, high = bound(F.col("cluster")), bound(F.col("cluster") + 1)
-    shift = draw_below(high - low, seed, F.col("domain_id"), F.col("resolution"), F.col("cluster"))
-    picks = slots.withColumn("frame_global", low + shift).drop("n_total", "k")
+    drawn = F.pmod(draw_of(F.col("run") + F.lit(seed), F.col("domain_id"), F.col("resolution"), F.col("cluster")), high - low)
+    picks = slots.withColumn("frame_global", low + drawn).drop("n_total", "k")
     found = lookup_join(
         points.select("domain_id", "frame_global", "e"), picks, ["domain_id", "frame_global"], salt_by=["frame_global"],
         known_rows=n_picks,
     )
-    return found.select("domain_id", "resolution", "cluster", "e")
+    return found.select(*SET, "cluster", "e")
 
 
-def packed(centroids: DataFrame) -> DataFrame:
-    """Centroids of a (domain, resolution) as one array; at most the resolution's number of entries."""
-    return centroids.groupBy("domain_id", "resolution").agg(
-        F.array_sort(F.collect_list(F.struct("cluster", F.col("e").alias("at")))).alias("centroids")
-    )
+def packed_centroids(centroids: DataFrame) -> DataFrame:
+    """Centroids of a run as one array; at most the resolution's number of entries."""
+    return centroids.groupBy(*SET).agg(F.array_sort(F.collect_list(F.struct("cluster", F.col("e").alias("at")))).alias("centroids"))
 
 
 def assigned(points: DataFrame, centroids: DataFrame, *, n_domains: int | None = None) -> DataFrame:
-    """Nearest centroid of every point at every resolution (lowest number on ties), without a shuffle of points."""
-    # One lookup row holds all resolutions of a domain.
-    grouped = packed(centroids).groupBy("domain_id").agg(F.collect_list(F.struct("resolution", "centroids")).alias("sets"))
+    """Nearest centroid of every point in every run (lowest number on ties) and its squared distance `d`, without a
+    shuffle of points.
+    """
+    # One lookup row holds all runs of a domain.
+    grouped = packed_centroids(centroids).groupBy("domain_id").agg(F.collect_list(F.struct("resolution", "run", "centroids")).alias("sets"))
     joined = lookup_join(points, grouped, ["domain_id"], salt_by=["frame_global"], max_rows=10_000, known_rows=n_domains)
     distance = "aggregate(zip_with(c.at, e, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)"
-    nearest = f"array_min(transform(centroids, c -> struct({distance} AS d, c.cluster AS cluster))).cluster"
-    return joined.select(*points.columns, F.inline("sets")).withColumn("cluster", F.expr(nearest)).drop("centroids")
+    nearest = f"array_min(transform(centroids, c -> struct({distance} AS d, c.cluster AS cluster)))"
+    found = joined.select(*points.columns, F.inline("sets")).withColumn("_near", F.expr(nearest))
+    return found.withColumns({"cluster": F.col("_near.cluster"), "d": F.col("_near.d")}).drop("centroids", "_near")
 
 
 def lloyd_step(points: DataFrame, centroids: DataFrame, dim: int, *, n_domains: int | None = None) -> DataFrame:
-    """One step for all domains and resolutions: assign, then average; a cluster without points stays in place.
+    """One step for all domains, resolutions and runs: assign, then average; a cluster without points stays in place.
 
-    Averages combine per task before the shuffle, so only centroid-sized rows move.
+    `moved` is the squared distance that a centroid went. Averages combine per task before the shuffle, so only
+    centroid-sized rows move.
     """
     means = [F.avg(F.get(F.col("e"), F.lit(c))).alias(f"_{c}") for c in range(dim)]
-    averaged = assigned(points, centroids, n_domains=n_domains).groupBy("domain_id", "resolution", "cluster").agg(*means)
-    moved = averaged.select(
-        "domain_id", "resolution", "cluster",
-        F.filter(F.array(*[F.col(f"_{c}") for c in range(dim)]), lambda x: x.isNotNull()).alias("_new"),
+    averaged = assigned(points, centroids, n_domains=n_domains).groupBy(*SET, "cluster").agg(*means)
+    new = averaged.select(
+        *SET, "cluster", F.filter(F.array(*[F.col(f"_{c}") for c in range(dim)]), lambda x: x.isNotNull()).alias("_new"),
     )
-    kept = centroids.join(moved, ["domain_id", "resolution", "cluster"], "left")
-    return kept.select("domain_id", "resolution", "cluster", F.coalesce("_new", "e").alias("e"))
+    kept = centroids.select(*SET, "cluster", "e").join(new, [*SET, "cluster"], "left").withColumn("_new", F.coalesce("_new", "e"))
+    gap = F.aggregate(F.zip_with("e", "_new", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return kept.select(*SET, "cluster", F.col("_new").alias("e"), gap.alias("moved"))
+
+
+def recluster(seed: int, steps: int = 20):
+    """Task-side choice of k centroids among weighted candidates of one run: weighted k-means++, then weighted steps."""
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        k, rows = int(rows["k"].iloc[0]), rows.sort_values("cluster")
+        at, weight = np.array(rows["e"].tolist(), dtype=float), rows["weight"].to_numpy(dtype=float)
+        draws = np.random.default_rng([seed, int(rows["run"].iloc[0]), int(rows["resolution"].iloc[0])])
+        picked = [int(draws.choice(len(at), p=weight / weight.sum()))]
+        near = ((at - at[picked[0]]) ** 2).sum(axis=1)
+        while len(picked) < min(k, len(at)) and (near * weight).sum() > 0:
+            picked.append(int(draws.choice(len(at), p=near * weight / (near * weight).sum())))
+            near = np.minimum(near, ((at - at[picked[-1]]) ** 2).sum(axis=1))
+        centres = at[picked]
+        for _ in range(steps):
+            owner = ((at[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            mass = np.bincount(owner, weights=weight, minlength=len(centres))
+            sums = np.stack([np.bincount(owner, weights=weight * column, minlength=len(centres)) for column in at.T], axis=1)
+            centres = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centres)
+        first = rows.iloc[0]
+        return pd.DataFrame({
+            "domain_id": first["domain_id"], "resolution": first["resolution"], "run": first["run"],
+            "cluster": np.arange(len(centres)), "e": list(centres),
+        })
+
+    return choose
+
+
+def oversampled_centroids(points: DataFrame, plan: DataFrame, seed: int = 0, *, rounds: int = SEED_ROUNDS, n_domains: int | None = None) -> DataFrame:
+    """Distributed seeding by oversampling (k-means||), for all runs together.
+
+    Each round draws every point with a chance in proportion to its squared distance from the candidates so far, about
+    OVERSAMPLING * k points a run, by a seeded hash. Candidates are weighed by the points nearest to them, and the
+    weighted candidates of a run, a few hundred at most whatever the number of frames, are clustered in one task.
+    Centroids that the data do not support (fewer different points than k) come from the stretches of `first_centroids`.
+    """
+    firsts = plan.withColumn("frame_global", F.pmod(draw_of(F.col("run") + F.lit(seed), F.col("domain_id"), F.col("resolution"), F.lit("first")), F.col("n_total")))
+    found = lookup_join(points.select("domain_id", "frame_global", "e"), firsts.select(*SET, "frame_global"), ["domain_id", "frame_global"], salt_by=["frame_global"])
+    candidates = cut_lineage(found.select(*SET, F.col("frame_global").alias("cluster"), "e"))
+    wanted = plan.select(*SET, "k")
+    for number in range(rounds):
+        near = assigned(points, candidates, n_domains=n_domains)
+        cost = near.groupBy(*SET).agg(F.sum("d").alias("_cost")).join(wanted, SET)
+        costs = F.broadcast(cut_lineage(cost)) if n_domains is not None and n_domains <= 10_000 else cost
+        luck = draw_of(F.col("run") + F.lit(seed), F.col("domain_id"), F.col("resolution"), F.lit(f"round{number}"), F.col("frame_global")) / F.lit(4294967296.0)
+        drawn = near.join(costs, SET).filter((F.col("d") > 0) & (luck < F.lit(OVERSAMPLING) * F.col("k") * F.col("d") / F.col("_cost")))
+        candidates = cut_lineage(candidates.unionByName(drawn.select(*SET, F.col("frame_global").alias("cluster"), "e")))
+    weights = assigned(points, candidates, n_domains=n_domains).groupBy(*SET, "cluster").agg(F.count(F.lit(1)).alias("weight"))
+    weighed = candidates.join(weights, [*SET, "cluster"]).join(wanted, SET)
+    schema = "domain_id string, resolution int, run int, cluster int, e array<double>"
+    chosen = cut_lineage(weighed.groupBy(*SET).applyInPandas(recluster(seed), schema))
+    rest = first_centroids(points, plan, seed).join(chosen.select(*SET, "cluster"), [*SET, "cluster"], "left_anti")
+    return chosen.unionByName(rest.withColumn("cluster", F.col("cluster").cast("int")))
+
+
+def draw_of(seed: Column, *parts: Column) -> Column:
+    """A uniform integer in [0, 2**32) from a seed column and parts."""
+    text = F.concat_ws(":", seed.cast("string"), *[part.cast("string") for part in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def settled_centroids(points: DataFrame, centroids: DataFrame, dim: int, iterations: int, *, n_domains: int | None = None) -> DataFrame:
+    """Lloyd steps of all runs together until each has settled, at most `iterations`; settled runs take no further part."""
+    active, done = centroids, None
+    for _ in range(iterations):
+        stepped = cut_lineage(lloyd_step(points, active, dim, n_domains=n_domains))
+        moving = stepped.groupBy(*SET).agg(F.max("moved").alias("_most")).filter(F.col("_most") > SETTLED).select(*SET)
+        active = cut_lineage(stepped.join(moving, SET, "left_semi").drop("moved"))
+        quiet = stepped.join(moving, SET, "left_anti").drop("moved")
+        done = quiet if done is None else done.unionByName(quiet)
+        if active.isEmpty():
+            return done
+    return active if done is None else done.unionByName(active)
+
+
+def best_runs(points: DataFrame, centroids: DataFrame, *, n_domains: int | None = None) -> DataFrame:
+    """Centroids of the run with the least inertia (sum of squared distances; ties to the lower run) of each clustering."""
+    inertia = assigned(points, centroids, n_domains=n_domains).groupBy(*SET).agg(F.sum("d").alias("inertia"))
+    best = inertia.groupBy("domain_id", "resolution").agg(F.min(F.struct(F.round("inertia", 9).alias("i"), "run")).alias("b"))
+    return centroids.join(best.select("domain_id", "resolution", F.col("b.run").alias("run")), SET, "left_semi")
 
 
 def clustered(
     points: DataFrame, totals: DataFrame, resolutions: Sequence[int] = RESOLUTIONS, *,
-    dim: int = SLOW_DIM, seed: int = 0, iterations: int = 10,
+    dim: int = SLOW_DIM, seed: int = 0, iterations: int = 10, starts: int = 1, seeding: str = "stretches",
 ) -> DataFrame:
-    """Labels of every frame at every resolution after a fixed number of Lloyd steps.
+    """Labels of every frame at every resolution: the best of several starts by inertia.
 
-    `points` must be materialised by the caller, as it is read once per step. Centroids are checkpointed each step,
-    which keeps the plan short and lets a step restart when an executor is lost. States are numbered by the first
-    frame they appear in.
+    `points` must be materialised by the caller, as it is read once per step. Starts and domains advance together, so
+    that a step is one pass over the points whatever their number. Centroids are checkpointed each step, which keeps
+    the plan short and lets a step restart when an executor is lost; steps end when every run has settled. States are
+    numbered by the first frame they appear in.
     """
     totals = cut_lineage(totals)
     n_domains = totals.count()
-    plan = resolution_plan(totals, resolutions)
-    centroids = cut_lineage(first_centroids(points, plan, seed, n_picks=n_domains * sum(resolutions)))
-    for _ in range(iterations):
-        centroids = cut_lineage(lloyd_step(points, centroids, dim, n_domains=n_domains))
-    labelled = assigned(points, centroids, n_domains=n_domains)
+    plan = cut_lineage(resolution_plan(totals, resolutions, starts))
+    if seeding == "oversampled":
+        start = oversampled_centroids(points, plan, seed, n_domains=n_domains)
+    else:
+        start = first_centroids(points, plan, seed, n_picks=n_domains * sum(resolutions) * starts)
+    centroids = cut_lineage(settled_centroids(points, cut_lineage(start), dim, iterations, n_domains=n_domains))
+    if starts > 1:
+        centroids = cut_lineage(best_runs(points, centroids, n_domains=n_domains))
+    labelled = assigned(points, centroids, n_domains=n_domains).drop("run", "d")
     firsts = labelled.groupBy("domain_id", "resolution", "cluster").agg(F.min("frame_global").alias("_first"))
     order = Window.partitionBy("domain_id", "resolution").orderBy("_first")
     states = firsts.select(

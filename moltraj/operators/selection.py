@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,28 +29,83 @@ def acquisition(candidates: DataFrame, visits: DataFrame, region: str, kappa: fl
     return joined.withColumn("score", F.col("mean") + kappa * F.col("spread") + c * rarity)
 
 
-def visits_within(queries: DataFrame, archive: DataFrame, key: str, axes: Sequence[str], radius: float) -> DataFrame:
-    """Number of archived points within a radius of each query point, on a few named coordinates.
+#: Axes whose cells find candidates; the distance is over all axes.
+GRID_AXES = 2
+#: Hash tables, projections a table and bucket width in radii of the approximate search.
+TABLES, PROJECTIONS, BUCKET = 12, 2, 6.0
 
-    Copies of a point are counted first. Points are keyed by grid cell of the radius' width and queries look only into
-    the cells their radius overlaps; a full cell is salted so that its points spread over tasks.
+
+def distinct_places(archive: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """`_at`, an array of all coordinates, and how often it occurs."""
+    return archive.select(F.array(*[F.col(axis).cast("double") for axis in axes]).alias("_at")).groupBy("_at").agg(F.count(F.lit(1)).alias("_copies"))
+
+
+def squared_gap(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, g: total + g)
+
+
+def visits_within(
+    queries: DataFrame, archive: DataFrame, key: str, axes: Sequence[str], radius: float, *, grid_axes: int = GRID_AXES
+) -> DataFrame:
+    """Number of archived points within a radius of each query point, on any number of named coordinates.
+
+    Copies of a point are counted first. Candidates are found on the first few axes only, by grid cells of the radius'
+    width, so that a query looks into 3^grid_axes cells however many axes there are; the distance is exact over all. A
+    full cell is salted so that its points spread over tasks.
     """
-    points = archive.groupBy(*axes).agg(F.count(F.lit(1)).alias("_copies"))
-    salt = F.pmod(F.xxhash64(*axes), F.lit(SALTS)).cast("int")
-    cells = points.select(
-        *[F.col(axis).alias(f"_{axis}") for axis in axes], "_copies", salt.alias("_salt"),
-        *[F.floor(F.col(axis) / radius).alias(f"_cell_{axis}") for axis in axes],
+    grid = range(min(grid_axes, len(axes)))
+    places = distinct_places(archive, axes)
+    cells = places.select(
+        "_at", "_copies", F.pmod(F.xxhash64("_at"), F.lit(SALTS)).cast("int").alias("_salt"),
+        *[F.floor(F.col("_at")[i] / radius).alias(f"_cell_{i}") for i in grid],
     )
-    looking = queries.select(key, *axes).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    for axis in axes:
-        low, high = F.floor((F.col(axis) - radius) / radius), F.floor((F.col(axis) + radius) / radius)
-        looking = looking.withColumn(f"_cell_{axis}", F.explode(F.sequence(low, high)))
-    gap = sum((F.pow(F.col(axis) - F.col(f"_{axis}"), F.lit(2)) for axis in axes), F.lit(0.0))
-    near = looking.join(cells, [*[f"_cell_{axis}" for axis in axes], "_salt"]).filter(gap <= radius * radius)
+    looking = queries.select(key, F.array(*[F.col(axis).cast("double") for axis in axes]).alias("_from"))
+    looking = looking.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    for i in grid:
+        low, high = F.floor((F.col("_from")[i] - radius) / radius), F.floor((F.col("_from")[i] + radius) / radius)
+        looking = looking.withColumn(f"_cell_{i}", F.explode(F.sequence(low, high)))
+    near = looking.join(cells, [*[f"_cell_{i}" for i in grid], "_salt"]).filter(squared_gap("_from", "_at") <= radius * radius)
     counted = near.groupBy(key).agg(F.sum("_copies").alias("n_visits"))
     return queries.select(key).join(counted, key, "left").withColumn("n_visits", F.coalesce("n_visits", F.lit(0)))
 
 
+def directions(dims: int, tables: int, projections: int, seed: int = 0) -> list[list[tuple[list[float], float]]]:
+    """Seeded unit vectors of each table with an offset in buckets, rounded so that they read the same in any engine."""
+    draws = np.random.default_rng(seed)
+    axes, shifts = draws.normal(size=(tables, projections, dims)), np.round(draws.random((tables, projections)), 6)
+    axes = np.round(axes / np.linalg.norm(axes, axis=2, keepdims=True), 6)
+    return [[(axis.tolist(), float(shift)) for axis, shift in zip(*table)] for table in zip(axes, shifts)]
+
+
+def visits_within_hashed(
+    queries: DataFrame, archive: DataFrame, key: str, axes: Sequence[str], radius: float, *, tables: int = TABLES,
+    projections: int = PROJECTIONS, bucket: float = BUCKET, seed: int = 0,
+) -> DataFrame:
+    """The same count by random-projection hashing: a point counts if it shares a bucket of any table with the query.
+
+    Every distance is checked, so counts are never too high; points that share no bucket are missed. Buckets are
+    BUCKET radii wide, so that a pair at the radius parts in one projection with a chance of about 1 / BUCKET.
+    """
+    chosen = directions(len(axes), tables, projections, seed)
+
+    def hashed(at: str) -> Column:
+        def step(direction: list[float], shift: float) -> Column:
+            product = F.aggregate(F.zip_with(at, F.array(*[F.lit(x) for x in direction]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+            return F.floor(product / F.lit(bucket * radius) + F.lit(shift))
+
+        return F.array(*[F.struct(*[step(*d).alias(f"h{i}") for i, d in enumerate(table)]) for table in chosen])
+
+    places = distinct_places(archive, axes).withColumn("_place", F.xxhash64("_at"))
+    held = places.select("_at", "_place", "_copies", F.posexplode(hashed("_at")).alias("_table", "_bucket"))
+    held = held.withColumn("_salt", F.pmod(F.col("_place"), F.lit(SALTS)).cast("int"))
+    looking = queries.select(key, F.array(*[F.col(axis).cast("double") for axis in axes]).alias("_from"))
+    looking = looking.select(key, "_from", F.posexplode(hashed("_from")).alias("_table", "_bucket"))
+    looking = looking.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = looking.join(held, ["_table", "_bucket", "_salt"]).filter(squared_gap("_from", "_at") <= radius * radius)
+    counted = near.select(key, "_at", "_copies").distinct().groupBy(key).agg(F.sum("_copies").alias("n_visits"))
+    return queries.select(key).join(counted, key, "left").withColumn("n_visits", F.coalesce("n_visits", F.lit(0)))
+
+
 def top_of_each(rows: DataFrame, order: Sequence[str | Column], most: int) -> DataFrame:
     """The first `most` rows of every traj_id, with their place `_n`: first of each salt, then of the trajectory."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))

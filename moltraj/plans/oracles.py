@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from moltraj.operators.selection import PROJECTIONS, TABLES, directions
 from moltraj.plans.surrogates import ATOMS_SQL, EVENTS_SQL, FRAMES_SQL, KEPT_SQL
 from moltraj.schema import DSSP_CODES, RESIDUE_CODES, VIRTUAL_CB
 
@@ -358,9 +359,42 @@ def label_sql() -> dict[str, str]:
       SELECT c0.domain_id, c0.resolution, c0.cluster, {coordinates}
       FROM first_c c0 LEFT JOIN near p ON p.place = 1 AND p.domain_id = c0.domain_id AND p.resolution = c0.resolution
         AND p.cluster = c0.cluster GROUP BY c0.domain_id, c0.resolution, c0.cluster"""
+    sql["kmeans_best_of_five"] = best_of_five_sql()
     return sql
 
 
+def best_of_five_sql(steps: int = 3, starts: int = 5, dims: int = 64) -> str:
+    """Lloyd steps chained as common table expressions, for all starts side by side; then the start of least inertia."""
+    gap = "list_sum(list_transform(range(1, %d), lambda i: (p.e[i] - c.e[i]) * (p.e[i] - c.e[i])))" % (dims + 1)
+    means = ", ".join(f"avg(p.e[{i}])" for i in range(1, dims + 1))
+    parts = [f"""WITH points AS (SELECT 'd' || label AS domain_id, CAST(embedding AS DOUBLE[]) AS e, vec_id,
+             row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS g, count(*) OVER (PARTITION BY label) AS n
+        FROM embeddings),
+      slots AS (SELECT domain_id, resolution, CAST(s AS INTEGER) AS run, CAST(c AS INTEGER) AS cluster, CAST(floor(c * n / k) AS BIGINT) AS low,
+             CAST(floor((c + 1) * n / k) AS BIGINT) AS high
+        FROM (SELECT DISTINCT domain_id, n, r AS resolution, least(r, n) AS k FROM points, (VALUES (4), (16)) AS v(r)) d,
+             unnest(range(0, k)) AS u(c), unnest(range(0, {starts})) AS w(s)),
+      picks AS (SELECT domain_id, resolution, run, cluster, low + CAST('0x' || substr(md5(run || ':' || domain_id || ':' || resolution
+             || ':' || cluster), 1, 8) AS BIGINT) % (high - low) AS g FROM slots),
+      c0 AS (SELECT domain_id, resolution, run, cluster, e FROM points JOIN picks USING (domain_id, g))"""]
+    for step in range(steps + 1):
+        parts.append(f"""near{step} AS (SELECT *, row_number() OVER (PARTITION BY vec_id, resolution, run ORDER BY d, cluster) AS place
+        FROM (SELECT p.domain_id, p.vec_id, p.g, p.e, c.resolution, c.run, c.cluster, {gap} AS d FROM points p JOIN c{step} c ON c.domain_id = p.domain_id) x
+        QUALIFY place = 1)""")
+        if step < steps:
+            parts.append(f"""c{step + 1} AS (SELECT c.domain_id, c.resolution, c.run, c.cluster,
+             CASE WHEN count(p.vec_id) = 0 THEN any_value(c.e) ELSE [{means}] END AS e
+        FROM c{step} c LEFT JOIN near{step} p ON p.domain_id = c.domain_id AND p.resolution = c.resolution AND p.run = c.run AND p.cluster = c.cluster
+        GROUP BY c.domain_id, c.resolution, c.run, c.cluster)""")
+    parts.append(f"""costs AS (SELECT domain_id, resolution, run, round(sum(d), 9) AS inertia FROM near{steps} GROUP BY ALL),
+      best AS (SELECT domain_id, resolution, run FROM costs QUALIFY row_number() OVER (PARTITION BY domain_id, resolution ORDER BY inertia, run) = 1),
+      labelled AS (SELECT n.* FROM near{steps} n JOIN best USING (domain_id, resolution, run)),
+      firsts AS (SELECT domain_id, resolution, cluster, min(g) AS f FROM labelled GROUP BY ALL),
+      states AS (SELECT domain_id, resolution, cluster, row_number() OVER (PARTITION BY domain_id, resolution ORDER BY f) - 1 AS state FROM firsts)
+      SELECT domain_id, resolution, vec_id, state FROM labelled JOIN states USING (domain_id, resolution, cluster)""")
+    return ",\n".join(parts)
+
+
 POINTS20_SQL = f"""{FRAMES_SQL},
 points20 AS (SELECT {KEY}, frame, CAST(a AS INTEGER) AS at_point, CAST(e[a * 3 + 1] * CAST(20 AS FLOAT) AS DOUBLE) AS x,
                     CAST(e[a * 3 + 2] * CAST(20 AS FLOAT) AS DOUBLE) AS y, CAST(e[a * 3 + 3] * CAST(20 AS FLOAT) AS DOUBLE) AS z
@@ -519,11 +553,19 @@ visits AS (SELECT event_type AS region, count(*) AS n_visits FROM events GROUP B
       WITH {candidates} SELECT traj_index, region, n_visits,
         round(mean + spread + sqrt(ln((SELECT sum(n_visits) FROM visits)) / n_visits), 6) + 0.0 AS score
       FROM candidates JOIN visits USING (region)"""
+    places = f"""{FRAMES_SQL}, p AS (SELECT {KEY}, frame, vec_id, list_transform(e[1:60], lambda v: round(CAST(v AS DOUBLE), 3)) AS pl FROM frames),
+      q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY frame DESC) = 1)"""
+    gap = "list_sum(list_transform(range(1, 61), lambda i: (a.pl[i] - b.pl[i]) * (a.pl[i] - b.pl[i])))"
     sql["visits_within"] = f"""
-      WITH {FRAMES_SQL}, p AS (SELECT {KEY}, frame, vec_id, round(CAST(e[1] AS DOUBLE), 3) AS x, round(CAST(e[2] AS DOUBLE), 3) AS y,
-        round(CAST(e[3] AS DOUBLE), 3) AS z FROM frames),
-      q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY frame DESC) = 1)
-      SELECT a.vec_id, count(*) AS n_visits FROM q a JOIN p b ON {D2} <= 0.15e0 * 0.15e0 GROUP BY a.vec_id"""
+      WITH {places} SELECT a.vec_id, count(*) AS n_visits FROM q a JOIN p b ON {gap} <= 1.25e0 * 1.25e0 GROUP BY a.vec_id"""
+    tables = [
+        "[" + ", ".join(f"CAST(floor(list_sum(list_transform(range(1, 61), lambda i: pl[i] * [{', '.join(map(repr, d))}][i])) / (6.0e0 * 1.25e0) + {shift!r}) AS BIGINT)" for d, shift in table) + "]"
+        for table in directions(60, TABLES, PROJECTIONS)
+    ]
+    sql["visits_within_hashed"] = f"""
+      WITH {places}, hp AS (SELECT *, [{", ".join(tables)}] AS h FROM p), hq AS (SELECT *, [{", ".join(tables)}] AS h FROM q)
+      SELECT a.vec_id, count(*) AS n_visits FROM hq a JOIN hp b
+      ON {" OR ".join(f"a.h[{t}] = b.h[{t}]" for t in range(1, TABLES + 1))} WHERE {gap} <= 1.25e0 * 1.25e0 GROUP BY a.vec_id"""
     sql["budgeted_selection"] = f"""
       WITH {EVENTS_SQL}, c AS (SELECT traj_id, event_id AS item, value AS score, md5('0:' || event_id) AS h FROM event_frames),
       lucky AS (SELECT traj_id, item, score, 'random' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY h, item) AS n FROM c) q

@@ -399,6 +399,17 @@ def kmeans_labels(spark, sf):
     return result.select("domain_id", "resolution", "traj_id", "frame", "frame_global", "state")
 
 
+@registered
+def kmeans_best_of_five(spark, sf):
+    """Whole vectors as points: five seeded starts, three steps, and the labels of the start with the least inertia."""
+    raw = views.table(spark, sf, "embeddings")
+    shaped = raw.selectExpr("concat('d', label) AS domain_id", "vec_id", "CAST(embedding AS ARRAY<DOUBLE>) AS e")
+    points = cut_lineage(ranked(shaped, ["domain_id"], F.floor(F.col("vec_id") / BLOCK), ["vec_id"], "frame_global"))
+    totals = points.groupBy("domain_id").agg(F.count(F.lit(1)).alias("n_total"))
+    found = labels.clustered(points, totals, (4, 16), dim=64, iterations=3, starts=labels.STARTS)
+    return found.select("domain_id", "resolution", "vec_id", "state")
+
+
 # --- solvent exposure and contacts -----------------------------------------------------------------------------------
 
 SPREAD = 20.0
@@ -567,17 +578,32 @@ def acquisition_score(spark, sf):
     return scored.select("traj_index", "region", "n_visits", clean(F.col("score")).alias("score"))
 
 
+PLACES = [f"p{i}" for i in range(3 * views.ATOMS_PER_FRAME)]
+
+
 def placed_frames(spark, sf):
-    return views.frames(spark, sf).select(
-        *TRAJECTORY_KEY, "frame", "vec_id", *[F.round(F.col("xyz")[0][a].cast("double"), 3).alias(a) for a in "xyz"]
-    )
+    """Frames as places in a space with an axis for each coordinate of each point."""
+    axes = [F.round(F.col("xyz")[i // 3]["xyz"[i % 3]].cast("double"), 3).alias(name) for i, name in enumerate(PLACES)]
+    return views.frames(spark, sf).select(*TRAJECTORY_KEY, "frame", "vec_id", *axes)
+
+
+def last_places(frames):
+    return frames.groupBy(*TRAJECTORY_KEY).agg(F.max_by(F.struct("vec_id", *PLACES), "frame").alias("l")).select("l.*")
+
+
+VISIT_RADIUS = 1.25
 
 
 @registered
 def visits_within(spark, sf):
     frames = placed_frames(spark, sf)
-    last = frames.groupBy(*TRAJECTORY_KEY).agg(F.max_by(F.struct("vec_id", "x", "y", "z"), "frame").alias("l")).select("l.*")
-    return selection.visits_within(last, frames, "vec_id", ["x", "y", "z"], 0.15)
+    return selection.visits_within(last_places(frames), frames, "vec_id", PLACES, VISIT_RADIUS)
+
+
+@registered
+def visits_within_hashed(spark, sf):
+    frames = placed_frames(spark, sf)
+    return selection.visits_within_hashed(last_places(frames), frames, "vec_id", PLACES, VISIT_RADIUS)
 
 
 @registered

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moltraj import schema
 from moltraj.functions import kernels
-from moltraj.operators import features, labels, packed, pairs, sasa, topology
+from moltraj.operators import features, labels, packed, pairs, sasa, selection, topology
 from moltraj.plans import queries
 from tests.test_jobs import exchanges_with
 
@@ -154,3 +154,70 @@ def test_contact_edges_of_a_frame(spark):
     assert sorted((r.frame, r.residue_index, r.other_residue_index, r.place, r.distance) for r in got) == [
         (f, *edge) for f in range(2) for edge in ((0, 1, 1, 1.0), (1, 0, 1, 1.0), (2, 1, 1, 4.0))
     ]
+
+
+@pytest.mark.parametrize("axes", [1, 2, 8, 60])
+def test_counts_within_a_radius_in_many_dimensions(spark, axes):
+    draw = np.random.default_rng(axes)
+    centres = draw.normal(size=(6, axes)) * 2
+    cloud = np.round(np.concatenate([centres[draw.integers(0, 6, 240)] + draw.normal(size=(240, axes)) * 0.25, np.zeros((60, axes))]), 2)
+    names = [f"a{i}" for i in range(axes)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(cloud)], "id int, " + ", ".join(f"{n} double" for n in names))
+    radius = 0.3 * math.sqrt(axes) + 1e-6
+    expected = [int(np.count_nonzero(((cloud - p) ** 2).sum(1) <= radius * radius)) for p in cloud]
+    for grid in (1, 3):
+        got = {r.id: r.n_visits for r in selection.visits_within(df, df, "id", names, radius, grid_axes=grid).collect()}
+        assert [got[i] for i in range(300)] == expected
+    hashed = {r.id: r.n_visits for r in selection.visits_within_hashed(df, df, "id", names, radius).collect()}
+    assert all(hashed[i] <= expected[i] for i in range(300))
+    assert sum(hashed.values()) >= 0.95 * sum(expected)
+
+
+def blobs(spark, groups, each, seed=0):
+    draw = np.random.default_rng(seed)
+    points = np.concatenate([draw.normal(size=(each, 2)) * 0.1 + np.array([10.0 * g, (-1) ** g * 5.0]) for g in range(groups)])
+    rows = [("d", t, len(points), [float(v) for v in x]) for t, x in enumerate(points)]
+    df = spark.createDataFrame(rows, "domain_id string, frame_global bigint, n_total bigint, e array<double>")
+    return df, points
+
+
+def inertia(spark, points, labelled, resolution):
+    owner = {r.frame_global: r.state for r in labelled.filter(F.col("resolution") == resolution).collect()}
+    total = 0.0
+    for state in set(owner.values()):
+        part = points[[t for t, s in owner.items() if s == state]]
+        total += ((part - part.mean(axis=0)) ** 2).sum()
+    return total
+
+
+def test_oversampled_starts_find_all_groups(spark):
+    """Groups far apart: every one gets a centroid, whatever the order of frames; one start from stretches alone need not."""
+    df, points = blobs(spark, 8, 40)
+    totals = df.select("domain_id", "n_total").distinct()
+    ideal = sum(((points[40 * g : 40 * g + 40] - points[40 * g : 40 * g + 40].mean(axis=0)) ** 2).sum() for g in range(8))
+    found = labels.clustered(df, totals, (8, 400), dim=2, iterations=30, starts=3, seeding="oversampled")
+    assert inertia(spark, points, found, 8) == pytest.approx(ideal, rel=1e-6)
+    again = labels.clustered(df, totals, (8, 400), dim=2, iterations=30, starts=3, seeding="oversampled")
+    assert sorted(found.collect(), key=str) == sorted(again.collect(), key=str)
+    assert inertia(spark, points, found, 400) < 0.6 * ideal
+
+
+def test_more_starts_are_never_worse_and_runs_settle(spark):
+    draw = np.random.default_rng(9)
+    points = draw.random((150, 2))
+    df = spark.createDataFrame([("d", t, 150, [float(v) for v in x]) for t, x in enumerate(points)], "domain_id string, frame_global bigint, n_total bigint, e array<double>")
+    totals = df.select("domain_id", "n_total").distinct()
+    one, five = (inertia(spark, points, labels.clustered(df, totals, (6,), dim=2, iterations=40, starts=n), 6) for n in (1, 5))
+    assert five <= one + 1e-9
+    start = labels.first_centroids(df, labels.resolution_plan(totals, (6,), 5))
+    settled = labels.settled_centroids(df, start, 2, 60)
+    assert settled.count() == 30
+    assert labels.lloyd_step(df, settled, 2).agg(F.max("moved")).first()[0] <= labels.SETTLED
+
+
+def test_equal_points_and_one_point_cluster(spark):
+    rows = [("d", t, 9, [1.0, 2.0]) for t in range(9)] + [("e", 0, 1, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "domain_id string, frame_global bigint, n_total bigint, e array<double>")
+    for seeding in ("stretches", "oversampled"):
+        found = labels.clustered(df, df.select("domain_id", "n_total").distinct(), (1, 4), dim=2, iterations=5, starts=2, seeding=seeding)
+        assert {(r.domain_id, r.state) for r in found.collect()} == {("d", 0), ("e", 0)}
