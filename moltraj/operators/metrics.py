@@ -172,6 +172,32 @@ def time_shuffled(frames: DataFrame, run: str, column: str, seed: int = 0) -> Da
     return frames.join(moved, [run, "frame"])
 
 
+#: Share of its distance from chance that an AUROC must lose when time is shuffled.
+DROP_SHARE = 0.3
+
+
+def auroc_drop(ordered: DataFrame, shuffled: DataFrame, group: Sequence[str], share: float = DROP_SHARE) -> DataFrame:
+    """Both AUROCs of each group, the share of the first that is lost, and whether it reaches `share`; null never does."""
+    both = ordered.join(shuffled.withColumnRenamed("auroc", "shuffled_auroc"), list(group), "full")
+    lost = F.when(F.col("auroc") > 0, (F.col("auroc") - F.col("shuffled_auroc")) / F.col("auroc"))
+    return both.withColumn("drop_share", lost).withColumn("passed", F.coalesce(F.col("drop_share") >= share, F.lit(False)))
+
+
+def effective_rank_planar(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
+    """Exponential of the entropy of the two covariance eigenvalues of each group; null where nothing varies."""
+    parts = rows.groupBy(*group).agg(F.var_pop(x).alias("_a"), F.var_pop(y).alias("_d"), F.covar_pop(x, y).alias("_b"))
+    half, gap = (F.col("_a") + F.col("_d")) / 2, (F.col("_a") - F.col("_d")) / 2
+    root = F.sqrt(gap * gap + F.col("_b") * F.col("_b"))
+    whole = F.when(half > 0, 2 * half)
+    shares = parts.withColumns({"_p": (half + root) / whole, "_q": F.greatest(half - root, F.lit(0.0)) / whole})
+
+    def term(p: Column) -> Column:
+        return F.when(p > 0, p * F.ln(p)).otherwise(F.lit(0.0))
+
+    rank = F.when(F.col("_a") + F.col("_d") > 0, F.exp(-term(F.col("_p")) - term(F.col("_q"))))
+    return shares.select(*group, rank.alias("effective_rank"))
+
+
 def wilcoxon(pairs: DataFrame, difference: str) -> DataFrame:
     """Signed-rank sums of the non-zero differences, and the normal approximation without continuity correction."""
     d = F.col(difference)

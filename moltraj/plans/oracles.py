@@ -171,11 +171,16 @@ catalog AS (SELECT domain_id, temperature, replicate, domain_id || '_' || temper
             WHERE regexp_full_match(temperature, '[0-9]+'))"""
     sql["trajectory_catalog"] = f"WITH {catalog} SELECT * FROM catalog"
     sql["plan_summary"] = f"""
-      WITH {catalog}, sizes AS (SELECT domain_id, temperature, replicate, count(*) AS n FROM event_frames GROUP BY ALL)
+      WITH {catalog}, sizes AS (SELECT domain_id, temperature, replicate, count(*) AS n FROM event_frames GROUP BY ALL),
+      residue_counts AS (SELECT domain_id, CAST(count(DISTINCT event_id % 7) AS INTEGER) AS n_res FROM event_frames GROUP BY 1)
       SELECT (SELECT count(DISTINCT domain_id) FROM event_frames) AS n_domains, count(*) AS n_trajectories,
-             coalesce(max(n), 0) AS max_frames, CAST(7 AS INTEGER) AS max_residues
+             coalesce(max(CASE WHEN s.replicate % 2 = 0 THEN n + s.replicate ELSE n END), 0) AS max_frames,
+             coalesce(max(n_res), 0) AS max_residues
       FROM catalog c JOIN sizes s ON c.domain_id = s.domain_id AND c.temperature = CAST(s.temperature AS VARCHAR)
-        AND c.replicate = s.replicate"""
+        AND c.replicate = s.replicate JOIN residue_counts r ON r.domain_id = c.domain_id"""
+    sql["atom_count_audit"] = f"""
+      WITH {EVENTS_SQL} SELECT 'd' || user_id AS domain_id, count(*) FILTER (value >= 5) AS listed_atoms, count(*) AS stored_atoms
+      FROM event_frames GROUP BY user_id HAVING count(*) FILTER (value >= 5) <> count(*)"""
 
     sql["pdb_atom_names"] = f"""
       WITH {EVENTS_SQL}
@@ -270,15 +275,34 @@ windows AS (SELECT window_id, traj_index, traj_id, slide % (n_frames - 63) AS st
     sql["window_percentiles"] = """
       SELECT round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms,
              max(value) AS max_ms FROM events"""
-    sql["check_verdict"] = f"""
-      WITH {features_sql('kept')},
-      rmsd AS (SELECT sqrt(avg(({gap}) / 3)) < 0.05 AS passed FROM features GROUP BY {KEY}),
+    damaged = f"""
+stored AS (SELECT *, CASE WHEN temperature = 320 AND replicate = 1 THEN 0.125 ELSE 0.0 END AS moved FROM features
+           WHERE NOT (temperature = 450 AND replicate = 0 AND frame % 3 = 1)),
+halved AS (SELECT {KEY}, frame, residue_index, {", ".join(f"CAST({f16_sql(f'({c} + moved)')} AS FLOAT) AS s_{c}" for c in CA_NAMES)} FROM stored),
+trips AS (SELECT {KEY}, count(DISTINCT frame) AS n_frames,
+    sqrt(avg(({" + ".join(f"pow({c} - s_{c}, 2)" for c in CA_NAMES)}) / 3)) AS rmsd, bool_and(s_ca_x IS NOT NULL) AS whole
+  FROM features LEFT JOIN halved USING ({KEY}, frame, residue_index) GROUP BY {KEY})"""
+    sql["roundtrip_damaged"] = f"""
+      WITH {features_sql('kept')}, {damaged}
+      SELECT {KEY}, n_frames, round(rmsd, 9) AS rmsd_angstrom, whole AND rmsd < 0.05 AS passed FROM trips"""
+
+    def verdict(domain: str, more: int, trips: str) -> str:
+        return f"""
+      WITH {features_sql('kept')}, {EVENTS_SQL.strip()}, {trips},
+      listed AS (SELECT DISTINCT {domain} AS d FROM embeddings), observed AS (SELECT DISTINCT domain_id AS d FROM frames),
+      manifest AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS whole FROM (SELECT sha256(traj_id || ':' || n_frames) AS h FROM meta)),
+      again AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS whole
+                FROM (SELECT sha256(traj_id || ':' || (max(frame) + 1 + {more})) AS h FROM event_frames GROUP BY traj_id)),
       checks AS (
-        SELECT 'domain_list' AS check_name, true AS passed
-        UNION ALL SELECT 'manifest_hash', count(*) > 0 FROM events
-        UNION ALL SELECT 'roundtrip_rmsd', bool_and(passed) FROM rmsd
+        SELECT 'domain_list' AS check_name, NOT EXISTS (FROM listed WHERE d NOT IN (SELECT d FROM observed))
+          AND NOT EXISTS (FROM observed WHERE d NOT IN (SELECT d FROM listed)) AS passed
+        UNION ALL SELECT 'manifest_hash', m.whole = a.whole FROM manifest m, again a
+        UNION ALL SELECT 'roundtrip_rmsd', bool_and(passed) FROM checked
         UNION ALL SELECT 'window_latency', quantile_cont(value, 0.5) < 50.0 AND quantile_cont(value, 0.99) < 200.0 FROM events)
       SELECT check_name, passed FROM checks UNION ALL SELECT 'all', bool_and(passed) FROM checks"""
+
+    sql["check_verdict"] = verdict("'d' || label", 0, f"checked AS (SELECT sqrt(avg(({gap}) / 3)) < 0.05 AS passed FROM features GROUP BY {KEY})")
+    sql["check_verdict_failing"] = verdict("'d' || label || 'x'", 1, f"{damaged.strip()}, checked AS (SELECT whole AND rmsd < 0.05 AS passed FROM trips)")
     sql.update(label_sql())
     sql.update(frame_pair_sql())
     sql.update(metric_sql())
@@ -360,6 +384,16 @@ def label_sql() -> dict[str, str]:
       FROM first_c c0 LEFT JOIN near p ON p.place = 1 AND p.domain_id = c0.domain_id AND p.resolution = c0.resolution
         AND p.cluster = c0.cluster GROUP BY c0.domain_id, c0.resolution, c0.cluster"""
     sql["kmeans_best_of_five"] = best_of_five_sql()
+    two = covariance_sql("b.frame_global = a.frame_global + 1").replace("round(", "(").replace(", 6) + 0.0 AS", ") AS")
+    # With two components of full rank the squared eigenvalues of c00^-1 c0t add up to trace^2 - 2 det, in any basis.
+    sql["tica_scores_planar"] = f"""
+      WITH c AS (SELECT domain_id, any_value(c00) FILTER (i = 0 AND j = 0) AS a, any_value(c00) FILTER (i = 0 AND j = 1) AS b,
+             any_value(c00) FILTER (i = 1 AND j = 1) AS d, any_value(c0t) FILTER (i = 0 AND j = 0) AS p,
+             any_value(c0t) FILTER (i = 0 AND j = 1) AS q, any_value(c0t) FILTER (i = 1 AND j = 1) AS r
+        FROM ({two}) WHERE j < 2 GROUP BY 1),
+      s AS (SELECT domain_id, pow((d * p - 2 * b * q + a * r) / (a * d - b * b), 2) - 2 * (p * r - q * q) / (a * d - b * b) AS score FROM c),
+      n AS (SELECT 'd' || label AS domain_id, count(*) AS n_total FROM embeddings GROUP BY 1)
+      SELECT domain_id, n_total, CAST(2 AS INTEGER) AS dim, round(score, 6) + 0.0 AS score, round(score, 6) + 0.0 AS baseline FROM s JOIN n USING (domain_id)"""
     return sql
 
 
@@ -443,6 +477,12 @@ def average_rank(value: str, group: str = "") -> str:
     return AVERAGE_RANK.format(w=window, v=value, p=f"{group}, " if group else "")
 
 
+def pair_share(rows: str, score: str) -> str:
+    """The share of (positive, negative) pairs of a group in which the positive scores higher, ties half, by counting."""
+    return f"""(SELECT avg(CASE WHEN x.{score} > y.{score} THEN 1.0 WHEN x.{score} = y.{score} THEN 0.5 ELSE 0.0 END)
+        FROM {rows} x JOIN {rows} y ON x.hit AND NOT y.hit AND x.domain_id = y.domain_id WHERE x.domain_id = g.domain_id)"""
+
+
 def metric_sql() -> dict[str, str]:
     sql = {}
     sql["state_membership"] = f"""
@@ -501,6 +541,20 @@ found AS (SELECT traj_index, state, min(t) AS first_ps, min(t) FILTER (v >= 10)
       WITH {scored}, o AS (SELECT traj_index, value AS shuffled, row_number() OVER (PARTITION BY traj_index
         ORDER BY md5('0:' || traj_index || ':' || frame), frame) - 1 AS frame FROM scored),
       mixed AS (SELECT domain_id, hit, shuffled FROM scored JOIN o USING (traj_index, frame)), {auroc('mixed', 'shuffled')}"""
+    sql["auroc_drop"] = f"""
+      WITH {scored}, o AS (SELECT traj_index, value AS shuffled, row_number() OVER (PARTITION BY traj_index
+        ORDER BY md5('0:' || traj_index || ':' || frame), frame) - 1 AS frame FROM scored),
+      mixed AS (SELECT domain_id, hit, shuffled FROM scored JOIN o USING (traj_index, frame)),
+      b AS (SELECT domain_id, {pair_share('scored', 'value')} AS auroc FROM (SELECT DISTINCT domain_id FROM scored) g),
+      m AS (SELECT domain_id, {pair_share('mixed', 'shuffled')} AS shuffled_auroc FROM (SELECT DISTINCT domain_id FROM scored) g)
+      SELECT domain_id, round(auroc, 6) + 0.0 AS auroc, round(shuffled_auroc, 6) + 0.0 AS shuffled_auroc,
+             round((auroc - shuffled_auroc) / auroc, 6) + 0.0 AS drop_share,
+             coalesce(auroc > 0 AND (auroc - shuffled_auroc) / auroc >= 0.3, false) AS passed FROM b JOIN m USING (domain_id)"""
+    sql["effective_rank_planar"] = """
+      WITH v AS (SELECT label, var_pop(CAST(embedding[1] AS DOUBLE)) AS a, var_pop(CAST(embedding[2] AS DOUBLE)) AS d,
+             covar_pop(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)) AS b FROM embeddings GROUP BY 1),
+      e AS (SELECT label, 0.5 + sqrt(pow((a - d) / 2, 2) + b * b) / (a + d) AS p FROM v)
+      SELECT label, round(exp(-p * ln(p) - (1 - p) * ln(1 - p)), 6) + 0.0 AS effective_rank FROM e"""
     sql["calibration_error"] = f"""
       WITH {scored}, b AS (SELECT domain_id, least(floor(value / 500.0e0 * 10), 9) AS bin, count(*) AS n, avg(value / 500.0e0) AS p,
         avg(CAST(hit AS DOUBLE)) AS y FROM scored GROUP BY ALL)
@@ -529,6 +583,7 @@ found AS (SELECT traj_index, state, min(t) AS first_ps, min(t) FILTER (v >= 10)
     sql["frame_progress"] = f"""
       WITH {EVENTS_SQL} SELECT traj_id AS trajectory_id, max(frame + 1) AS reached_frame, count(*) AS n_frames, count(*) AS n_windows
       FROM event_frames GROUP BY 1"""
+    sql["frame_ingest"] = "SELECT DISTINCT user_id, event_type, CAST(floor(value) AS BIGINT) AS whole FROM events"
     sql["active_runs"] = f"""
       WITH {EVENTS_SQL}, log AS (SELECT traj_id AS trajectory_id, CASE event_type WHEN 'signup' THEN 'submit' WHEN 'error' THEN 'terminate'
         ELSE 'extend' END AS kind, value AS ns, floor(value) AS priority, event_id AS seq FROM event_frames)

@@ -12,7 +12,7 @@ from moltraj.functions.codes import decode_text, dssp_code
 from moltraj.functions.numeric import clean, quantize_f16
 from moltraj.operators import checks, features, fingerprint, labels, metrics, packed, pairs, sasa, selection, splits, topology
 from moltraj.plans import surrogates as views
-from moltraj.scale import BLOCK, cut_lineage, ranked
+from moltraj.scale import BLOCK, cut_lineage, ranked, working_folder
 from moltraj.schema import FRAME_KEY, TRAJECTORY_KEY
 from moltraj.sources import landing
 from moltraj.streaming import runs
@@ -95,9 +95,12 @@ def trajectory_catalog(spark, sf):
 def plan_summary(spark, sf):
     events = views.with_names(views.table(spark, sf, "events")).withColumn("temperature", F.col("temperature").cast("string"))
     counted = events.groupBy(*TRAJECTORY_KEY).agg(F.count(F.lit(1)).alias("counted_frames"))
-    attributes = counted.select(*TRAJECTORY_KEY, F.lit(None).cast("int").alias("num_frames"))
+    # Trajectories with an even replicate carry a stored length, which may differ from the rows that are there.
+    stored = F.when(F.col("replicate") % 2 == 0, F.col("counted_frames") + F.col("replicate")).cast("int")
+    attributes = counted.select(*TRAJECTORY_KEY, stored.alias("num_frames"))
     planned = landing.plan_trajectories(trajectory_catalog(spark, sf), attributes, counted)
-    return landing.plan_summary(events.select("domain_id").distinct(), planned.withColumn("n_residues", F.lit(7)))
+    sizes = events.groupBy("domain_id").agg(F.count_distinct(F.col("event_id") % 7).cast("int").alias("n_residues"))
+    return landing.plan_summary(events.select("domain_id").distinct(), planned.join(sizes, "domain_id"))
 
 
 @registered
@@ -113,6 +116,13 @@ def pdb_atom_names(spark, sf):
     return landing.pdb_atom_names(texts, ["user_id", "chunk"], "pdb_text")
 
 
+@registered
+def atom_count_audit(spark, sf):
+    """Domains whose structure text lists another number of atoms than their atom table: a user's lines and events."""
+    lines = pdb_atom_names(spark, sf).select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("domain_id"))
+    return topology.atom_count_mismatch(lines, views.event_atoms(spark, sf).select("domain_id"))
+
+
 @registered
 def text_decode(spark, sf):
     text = decode_text(F.encode("text", "UTF-8"))
@@ -178,7 +188,7 @@ def torsion_coherence(spark, sf):
 
 @registered
 def dssp_codes(spark, sf):
-    label = F.upper(F.substring("event_type", 1, 1))
+    label = F.concat(F.lit(" "), F.upper("event_type"), F.lit("\t"))
     return views.table(spark, sf, "events").select("event_id", dssp_code(label).alias("dssp"))
 
 
@@ -256,6 +266,18 @@ def roundtrip_rmsd(spark, sf):
     return roundtrip(spark, sf).withColumn("rmsd_angstrom", clean(F.col("rmsd_angstrom"), 9))
 
 
+@registered
+def roundtrip_damaged(spark, sf):
+    """Raw frames against a store that lost some frames and in which one trajectory's coordinates moved."""
+    raw = kept_packed(spark, sf).select(*FRAME_KEY, "ca")
+    moved = F.when((F.col("temperature") == 320) & (F.col("replicate") == 1), F.lit(0.125)).otherwise(F.lit(0.0))
+    lost = (F.col("temperature") == 450) & (F.col("replicate") == 0) & (F.col("frame") % 3 == 1)
+    stored = raw.filter(~lost).withColumn("_by", moved).withColumn("ca", F.transform("ca", lambda v: v + F.col("_by"))).drop("_by")
+    stored = stored.withColumn("ca", packed.half_precision(F.col("ca")))
+    found = packed.roundtrip_rmsd(packed.beside(raw, stored), checks.RMSD_THRESHOLD)
+    return found.withColumn("rmsd_angstrom", clean(F.col("rmsd_angstrom"), 9))
+
+
 @registered
 def random_windows(spark, sf):
     return checks.random_windows(views.metadata(spark, sf))
@@ -273,22 +295,44 @@ def window_percentiles(spark, sf):
     return timings.withColumns({name: F.round(name, 6) for name in ("p50_ms", "p99_ms")})
 
 
-@registered
-def check_verdict(spark, sf):
-    frames = views.frames(spark, sf)
-    domains = frames.select("domain_id").distinct()
-    recomputed, stored = dataset_hash(spark, sf), dataset_hash(spark, sf).scalar()
+def counted_hash(counts):
+    text = F.concat_ws(":", "traj_id", F.col("n_frames").cast("string"))
+    return fingerprint.dataset_hash(counts.select(F.sha2(text, 256).alias("content_hash")), layout="flat")
+
+
+def verdict_of(spark, sf, expected_domains, recomputed, trips):
+    """Checks of a store: the manifest holds the hash of counted rows, and `recomputed` is told from frame numbers."""
     latency = checks.latency_summary(views.table(spark, sf, "events"), "value").withColumn(
         "passed", (F.col("p50_ms") < 50) & (F.col("p99_ms") < 200)
     )
+    observed = views.frames(spark, sf).select("domain_id").distinct()
+    manifest = counted_hash(views.metadata(spark, sf)).scalar()
     return checks.verdict([
-        ("domain_list", checks.domain_list_check(views.frame_atoms(spark, sf).select("domain_id").distinct(), domains)),
-        ("manifest_hash", checks.manifest_hash_check(recomputed, stored)),
-        ("roundtrip_rmsd", roundtrip(spark, sf)),
+        ("domain_list", checks.domain_list_check(expected_domains, observed)),
+        ("manifest_hash", checks.manifest_hash_check(recomputed, manifest)),
+        ("roundtrip_rmsd", trips),
         ("window_latency", latency),
     ])
 
 
+def numbered_hash(spark, sf, more=0):
+    last = views.event_frames(spark, sf).groupBy("traj_id").agg((F.max("frame") + 1 + F.lit(more)).alias("n_frames"))
+    return counted_hash(last)
+
+
+@registered
+def check_verdict(spark, sf):
+    expected = views.frame_atoms(spark, sf).select("domain_id").distinct()
+    return verdict_of(spark, sf, expected, numbered_hash(spark, sf), roundtrip(spark, sf))
+
+
+@registered
+def check_verdict_failing(spark, sf):
+    """The same checks on a list with a domain that is not there, one frame too many, and a damaged store."""
+    expected = views.frame_atoms(spark, sf).select(F.concat("domain_id", F.lit("x")).alias("domain_id")).distinct()
+    return verdict_of(spark, sf, expected, numbered_hash(spark, sf, 1), roundtrip_damaged(spark, sf))
+
+
 # --- labels --------------------------------------------------------------------------------------------------------
 
 FEATURE_SAMPLE = 8
@@ -372,6 +416,14 @@ def tica_scores(spark, sf):
     )
 
 
+@registered
+def tica_scores_planar(spark, sf):
+    """The score of the first two components, where eigenvalues have a closed form."""
+    scored, _ = scored_vectors(spark, sf)
+    models = labels.slow_models(labels.lagged_products(scored.withColumn("z", F.slice("z", 1, 2)), 1))
+    return models.select("domain_id", "n_total", "dim", clean(F.col("score")).alias("score"), clean(F.col("baseline")).alias("baseline"))
+
+
 @registered
 def health_gate(spark, sf):
     scores = views.event_rows(spark, sf).groupBy("domain_id").agg(
@@ -521,6 +573,16 @@ def auroc_time_shuffled(spark, sf):
     return metrics.auroc(shuffled, ["domain_id"], "shuffled", F.col("hit")).withColumn("auroc", clean(F.col("auroc")))
 
 
+@registered
+def auroc_drop(spark, sf):
+    """AUROC of each domain before and after its time axis is shuffled, and whether it drops by the share it must."""
+    ordered = metrics.auroc(scored_events(views.event_rows(spark, sf)), ["domain_id"], "value", F.col("hit"))
+    moved = metrics.time_shuffled(scored_events(views.event_frames(spark, sf)), "traj_index", "value")
+    mixed = metrics.auroc(moved, ["domain_id"], "shuffled", F.col("hit"))
+    table = metrics.auroc_drop(ordered, mixed, ["domain_id"])
+    return table.withColumns({name: clean(F.col(name)) for name in ("auroc", "shuffled_auroc", "drop_share")})
+
+
 @registered
 def calibration_error(spark, sf):
     rows = scored_events(views.event_rows(spark, sf)).withColumn("p", F.col("value") / 500.0)
@@ -558,6 +620,13 @@ def effective_rank(spark, sf):
     return result.withColumn("effective_rank", clean(F.col("effective_rank")))
 
 
+@registered
+def effective_rank_planar(spark, sf):
+    """Effective rank of the first two components of each label, by closed-form eigenvalues."""
+    rows = views.table(spark, sf, "embeddings").selectExpr("label", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y")
+    return metrics.effective_rank_planar(rows, ["label"], "x", "y").withColumn("effective_rank", clean(F.col("effective_rank")))
+
+
 # --- selection ---------------------------------------------------------------------------------------------------------
 
 
@@ -653,6 +722,19 @@ def frame_progress(spark, sf):
     return runs.frame_progress(windows)
 
 
+@registered
+def frame_ingest(spark, sf):
+    """Events read as a stream of files, repeats of a key dropped, stored batch by batch and read back."""
+    events = views.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet")
+    keyed = stream.select(F.col("ts").cast("timestamp").alias("at"), "user_id", "event_type", F.floor("value").alias("whole"))
+    # No key is old here: every repeat in the table counts as one.
+    fresh = runs.fresh_frames(keyed, "at", ["user_id", "event_type", "whole"], "36500 days")
+    folder = working_folder(spark)
+    runs.ingest(fresh, f"{folder}/stored", f"{folder}/progress", once=True).awaitTermination()
+    return spark.read.schema(fresh.schema).parquet(f"{folder}/stored/batch=*").select("user_id", "event_type", "whole")
+
+
 @registered
 def active_runs(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "error", "terminate").otherwise("extend")
