@@ -89,10 +89,14 @@ class Finder:
                 self.url(text, last - 2, added)
             else:
                 self.identifier(text, last + 1, added)
-        end = 0
+        end = at = reach = 0
         base = sorted(found)
         for span in sorted(added):
-            if span[0] >= end and not any(a <= span[0] and span[1] <= b for a, b, _ in base):
+            # `reach` is the farthest end of the base spans that start no later; one holds the span if it reaches its end.
+            while at < len(base) and base[at][0] <= span[0]:
+                reach = max(reach, base[at][1])
+                at += 1
+            if span[0] >= end and span[1] > reach:
                 found.append(span)
                 end = span[1]
         return sorted(found, key=lambda span: (span[0], KINDS.index(span[2])))
