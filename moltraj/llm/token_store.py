@@ -21,7 +21,6 @@ from moltraj.llm.vocabulary import WordIds, vocabulary_text, worker_encoder
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 STRIPE_BYTES = 64 << 20
-ROW_GROUP = 2_000
 
 
 def id_lists(encoded: list[bytes]) -> pa.Array:
@@ -54,7 +53,7 @@ def write_token_store(
     rows = token_rows(ranges, vocabulary, end_id, key, text)
     (
         rows.select(F.spark_partition_id().alias("shard"), key, "ids").write
-        .option("orc.bloom.filter.columns", key).option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(ROW_GROUP))
+        .option("orc.bloom.filter.columns", key).option("orc.bloom.filter.fpp", "0.01")
         .option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.compress", "ZSTD").orc(path)
     )
 
