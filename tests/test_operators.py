@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from moltraj import schema
 from moltraj.functions import codes, numeric
 from moltraj.functions import geometry as geo
-from moltraj.operators import checks, features, fingerprint, labels, metrics, pairs, sasa, selection, splits, topology
+from moltraj.operators import checks, features, fingerprint, labels, metrics, packed, pairs, sasa, selection, splits, topology
 from moltraj.sources import landing
 from moltraj.streaming import runs
 
@@ -395,10 +395,13 @@ def test_worker_functions_do_not_need_the_package(folder):
 
     from pyspark import cloudpickle
 
-    functions = [labels.block_products(), sasa.covered_points(100).func]
+    functions = [
+        labels.block_products(), *labels.moment_parts(), labels.recluster(0), packed.packing_kernel(True, True, 100), packed.digest_kernel(True),
+        packed.flat_points(), packed.numbers_of(),
+    ]
     with open(f"{folder}/code.bin", "wb") as handle:
         handle.write(cloudpickle.dumps(functions))
-    script = f"import sys, pickle; fs = pickle.load(open('{folder}/code.bin', 'rb')); assert len(fs) == 2 and 'moltraj' not in sys.modules"
+    script = f"import sys, pickle; fs = pickle.load(open('{folder}/code.bin', 'rb')); assert len(fs) == 8 and 'moltraj' not in sys.modules"
     subprocess.run([sys.executable, "-c", script], cwd=folder, check=True, env={"PATH": "/usr/bin"})
 
 
