@@ -334,7 +334,8 @@ def label(
     spark: SparkSession, data: str, out: str, *, requested: DataFrame | None = None, max_domains: int | None = None,
     resolutions: Sequence[int] = labels.RESOLUTIONS, lag: int = 1, dim: int = labels.SLOW_DIM,
     feature_residues: int = labels.FEATURE_RESIDUES, cap: int = 0, margin: float = 0.0, seed: int = 0,
-    iterations: int = 10, pair_scope: str = "domain", force: bool = False, nested: bool = False,
+    iterations: int = 10, starts: int = labels.STARTS, seeding: str = "oversampled", pair_scope: str = "domain", force: bool = False,
+    nested: bool = False,
 ) -> DataFrame:
     """Label every frame of the selected domains at every resolution; returns the per-domain results.
 
@@ -358,7 +359,9 @@ def label(
     models = cut_lineage(labels.slow_models(labels.lagged_products(scored, lag, pair_scope=pair_scope), dim=dim, seed=seed))
     embedded = cut_lineage(labels.embedded(scored, models, n_domains=models.count()))
     totals = embedded.groupBy("domain_id").agg(F.max("n_total").alias("n_total"))
-    states = labels.clustered(embedded, totals, resolutions, dim=dim, seed=seed, iterations=iterations)
+    states = labels.clustered(
+        embedded, totals, resolutions, dim=dim, seed=seed, iterations=iterations, starts=starts, seeding=seeding
+    )
     block = F.floor(F.col("frame_global") / BLOCK)
     (
         states.select("domain_id", "resolution", "traj_id", "frame", "frame_global", "state")
@@ -371,7 +374,7 @@ def label(
     results = spark.read.parquet(f"{out}/results")
     header = {
         "stage": labels.STAGE, "label_type": labels.LABEL_TYPE, "data_root": data, "out_root": out, "lagtime": lag,
-        "tica_dim": dim, "health_margin": margin, "seed": seed,
+        "tica_dim": dim, "health_margin": margin, "seed": seed, "starts": starts, "seeding": seeding,
     }
     document = read_manifest(spark, f"{data}/manifest").select("dataset_hash").withColumns({
         **{name: F.lit(value) for name, value in header.items()},
