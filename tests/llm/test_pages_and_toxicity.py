@@ -123,3 +123,84 @@ def test_all_stems_with_support_are_mined(spark):
     assert {stem[:4] for stem in model.stems} == set(families)
     low = cast.where("doc_id < 800").where(model.score(cast["counts"]) < 0.5)
     assert low.count() == 0
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>", "<div class='no-sidebar'>", "<div id='search-page'>", "<div class='share-price-report'>"])
+@pytest.mark.parametrize("inner", ["<article><p>{}</p></article>", "<article class='post comments-open'><p>{}</p></article>", "<div><p>{}</p></div>"])
+def test_marked_wrappers_keep_the_article(wrapper, inner):
+    body = "a report of some length about the price of a share"
+    page = f"<body><nav>menu</nav>{wrapper}{inner.format(body)}<div class='sidebar'>x</div></div><div class='comments'>y</div></body>"
+    assert pages.main_text(page, None) == body
+
+
+def test_marks_that_say_nothing_else_hold():
+    assert pages.main_text("<body><div id='comments'><p>only a reader</p></div></body>", None) == ""
+    longer = "<article><p>word of a reader, longer than the story</p></article>"
+    assert pages.main_text(f"<article><p>story</p></article><section class='comments'>{longer}</section>", None) == "story"
+    assert pages.main_text("<div><p>story of some length</p></div><div id='comments'><article class='comment'>a</article></div>", None) == "story of some length"
+
+
+def neutral(n, words=60):
+    body = " ".join(f"w{n}x{i}" for i in range(words))
+    return (
+        f"<body><div><div>Home News Sport {'menu ' * 30}</div></div><div><div>Headline {n}</div><div>{body}</div><div>Sign up for our paper</div>"
+        f"<div>{body[::-1]}</div></div><div><div>All rights reserved {'legal ' * 30}</div></div></body>"
+    )
+
+
+def neutral_text(n, words=60):
+    body = " ".join(f"w{n}x{i}" for i in range(words))
+    return f"Headline {n}\n{body}\n{body[::-1]}"
+
+
+def test_neutral_tags_are_told_apart_by_the_template_alone(spark):
+    """Only div elements without classes: constants go outside and inside the container, slots are extracted."""
+    rows = [(n, f"http://plain.example/{n}", neutral(n)) for n in range(9)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(df).collect()}
+    assert got == {n: neutral_text(n) for n in range(9)}
+    assert all(pages.main_text(page, None) != got[n] for n, _, page in rows)
+
+
+def test_near_copies_of_one_page_keep_their_shared_text(spark):
+    shared = "".join(f"<div>passage {i} that all of them share</div>" for i in range(8))
+    rows = [(n, f"http://copies.example/{n}", f"<body><article><h1>Copy {n}</h1>{shared}</article></body>") for n in range(8)]
+    rows += [(100 + n, "http://twins.example/", f"<article><p>twin page</p></article>") for n in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(df).collect()}
+    lines = "\n".join(f"passage {i} that all of them share" for i in range(8))
+    assert got == {n: f"Copy {n}\n{lines}" for n in range(8)} | {100 + n: "twin page" for n in range(8)}
+
+
+def test_classes_agree_with_brute_force(spark):
+    """Occurrence vectors written out page by page; repeated rows count as pages of their own."""
+    draw = random.Random(4)
+    rows = []
+    for n in range(40):
+        parts = [f"<div class='{draw.choice('abc')}'><p>{draw.choice(['same', 'other', f'own {n}'])}</p></div>" for _ in range(draw.randrange(1, 5))]
+        rows.append((n // 2 if n % 5 == 0 else n, f"http://h{n % 3}.example/{n % 7}", f"<body>{''.join(parts)}<section><p>end</p></section></body>"))
+    rows += rows[:6]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["_host"]: {node["token"] for node in r["_template"]} for r in pages.site_templates(df).collect()}
+    for host in {url.split("/")[2] for _, url, _ in rows}:
+        # Rows with equal id and address are one page number: their counts add up under it.
+        counts, parents, support = {}, {}, {}
+        of_host = [(page_id, url, page) for page_id, url, page in rows if url.split("/")[2] == host]
+        for page_id, url, page in of_host:
+            for name, parent, _, n, _ in pages.page_tokens(page):
+                vector = counts.setdefault(name, [])
+                vector.append((page_id, url, n))
+                support[name] = support.get(name, 0) + 1
+                parents[name] = parent
+        classes = {}
+        for name, vector in counts.items():
+            if 2 * support[name] > len(of_host):
+                classes.setdefault(tuple(sorted(vector)), set()).add(name)
+        def nested(name, classes):
+            """Whether a token and all around it are in classes that are left."""
+            return name == -1 or any(name in group for group in classes) and nested(parents[name], classes)
+
+        left = list(classes.values())
+        while bad := [group for group in left if not all(nested(name, left) for name in group)]:
+            left = [group for group in left if group not in bad]
+        assert got[host] == set().union(*left)
