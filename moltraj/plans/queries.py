@@ -699,7 +699,9 @@ def rank_rmsd_velocity(spark, sf):
 
 @registered
 def rank_distance_to_known(spark, sf):
-    events = views.event_frames(spark, sf).withColumn("depth", F.log10("value"))
+    # log10 of zero is NULL here; it is minus infinity, so such a run is infinitely far and comes first.
+    depth = F.when(F.col("value") == 0, F.lit(float("-inf"))).otherwise(F.log10("value"))
+    events = views.event_frames(spark, sf).withColumn("depth", depth)
     latest = events.groupBy("traj_index").agg(F.max_by(F.struct("value", "depth"), "frame").alias("l")).select("traj_index", "l.*")
     ranks = selection.distance_to_known(latest, "traj_index", ["value", "depth"], [(10.0, 1.0), (60.0, 1.8), (200.0, 2.3)])
     return ranks.withColumn("distance", clean(F.col("distance")))
