@@ -105,8 +105,26 @@ def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 documents, hashes, held = [], [], 0
 
 
-def smallest_runs(codes: np.ndarray, sizes: np.ndarray, run: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Line numbers and hashes: of each line of `least` words or more the `most` smallest different runs."""
+def prefix_sizes(sizes: np.ndarray, run: int, similarity: float, short: int) -> np.ndarray:
+    """How many of its first runs, in any order that all lines share, a line of so many words gives to meet every similar one.
+
+    Of two lines of n <= m words at edit distance d, m - n of the edits insert words into the shorter and break run - 1 of
+    its runs each, the others break `run` each. So with the most that the similarity allows, the shorter has at most
+    run * d - (m - n) runs that the longer lacks, and the longer at most run * d. Of one more of the first runs of each,
+    at least one is in both: the line whose last given run comes earlier has one that the other has and gives as well.
+    Pairs of which neither has over `short` words are found by `short_forms`.
+    """
+    wanted, at = np.unique(sizes, return_inverse=True)
+    most = np.zeros(len(wanted), np.int64)
+    for i, size in enumerate(wanted.tolist()):
+        longer = np.arange(max(size, short + 1), int(size / similarity + 1e-9) + 1)
+        if len(longer):
+            most[i] = (size - longer + run * np.floor(longer * (1 - similarity) + 1e-9).astype(np.int64)).max() + 1
+    return most[at]
+
+
+def runs_of_lines(codes: np.ndarray, sizes: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line numbers and hashes of the different runs of each line of `least` words or more, by line and hash."""
     line = np.repeat(np.arange(len(sizes)), sizes)
     end = np.repeat(np.cumsum(sizes), sizes)
     starts = np.flatnonzero((np.arange(len(codes)) + run <= end) & (sizes[line] >= least))
@@ -118,12 +136,46 @@ def smallest_runs(codes: np.ndarray, sizes: np.ndarray, run: int, most: int, lea
     hashed, line = hashed[order], line[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (hashed[1:] != hashed[:-1])
-    hashed, line = hashed[new], line[new]
+    return line[new], hashed[new]
+
+
+def ranks_of(line: np.ndarray) -> np.ndarray:
+    """The place of each row within its stretch of equal line numbers, from 0."""
     first = np.flatnonzero(np.diff(line, prepend=-1) != 0)
-    rank = np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
+    return np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
+
+
+def smallest_runs(codes: np.ndarray, sizes: np.ndarray, run: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line numbers and hashes: of each line of `least` words or more the `most` smallest different runs."""
+    line, hashed = runs_of_lines(codes, sizes, run, least)
+    rank = ranks_of(line)
     return line[rank < most], hashed[rank < most]
 
 
+def rarest_runs(
+    codes: np.ndarray, sizes: np.ndarray, run: int, most: np.ndarray, least: int, frequent: tuple[np.ndarray, np.ndarray], hot: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line numbers, hashes and whether for the pivot only: of each line the first `most` runs, those in `frequent` last.
+
+    `frequent` holds hashes, sorted, and counts; it decides the order alone. A line of which over a third of the runs have
+    counts above `hot` also gives its most frequent run, for the pivot.
+    """
+    line, hashed = runs_of_lines(codes, sizes, run, least)
+    known, counts = frequent
+    count = np.zeros(len(line), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+        count = np.where(known[at] == hashed, counts[at], 0)
+    order = np.lexsort((hashed, count, line))
+    line, hashed, count = line[order], hashed[order], count[order]
+    given = ranks_of(line) < most[line]
+    last = np.flatnonzero(np.diff(line, append=-1) != 0)
+    crowded = 3 * np.bincount(line, weights=count > hot, minlength=len(sizes)) > np.bincount(line, minlength=len(sizes))
+    last = last[crowded[line[last]]]
+    pivot = np.concatenate([np.zeros(int(given.sum()), bool), np.ones(len(last), bool)])
+    return np.concatenate([line[given], line[last]]), np.concatenate([hashed[given], hashed[last]]), pivot
+
+
 def short_forms(codes: np.ndarray, sizes: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Line numbers and hashes: of each line of `least` to `most` words itself, and itself without each word."""
     starts = np.cumsum(sizes) - sizes
@@ -140,14 +192,48 @@ def short_forms(codes: np.ndarray, sizes: np.ndarray, least: int, most: int) ->
     return np.concatenate(lines), np.concatenate(forms)
 
 
-def keys_of(batches: Iterator[pa.RecordBatch], run: int, most: int, long: int, least: int, short: int) -> Iterator[pa.RecordBatch]:
-    """From `_node`, `_code` to `_node`, `_sim` (words), `block`, one row a key: runs of long lines, forms of short ones."""
+def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Nodes, codes and numbers of words of stretches of a batch, of about CHUNK words or one line each."""
+    binary = batch.column(1).cast(pa.large_binary())
+    sizes = pc.binary_length(binary).to_numpy(zero_copy_only=False) // 2
+    total, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + CHUNK, "right")))
+        codes = np.frombuffer(b"".join(binary.slice(low, high - low).to_pylist()), ">u2").astype(np.uint64)
+        yield batch.column(0).slice(low, high - low), codes, sizes[low:high]
+        low = high
+
+
+def every_run(batches: Iterator[pa.RecordBatch], run: int, long: int) -> Iterator[pa.RecordBatch]:
+    """From `_node`, `_code` to `block`, one row for each different run of a line, numbered as by `keys_of`."""
+    for batch in batches:
+        for _, codes, sizes in parts_of(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(runs_of_lines(codes, sizes, run, long)[1].view(np.int64))], ["block"])
+
+
+def keys_of(
+    batches: Iterator[pa.RecordBatch], run: int, most: int, long: int, least: int, short: int, similarity: float | None = None,
+    frequent: tuple[np.ndarray, np.ndarray] | None = None, hot: float = 0, shared: np.ndarray | None = None,
+) -> Iterator[pa.RecordBatch]:
+    """From `_node`, `_code` to `_node`, `_sim` (words), `block`, one row a key: runs of long lines, forms of short ones.
+
+    With a similarity, a line gives as many runs as `prefix_sizes` says, the rarest first, and each form once; the lowest
+    bit of a block is 1 just for keys that serve the pivot only. With `shared`, sorted, only the keys among those.
+    """
     for batch in batches:
-        nodes, binary = batch.column(0), batch.column(1).cast(pa.large_binary())
-        sizes = pc.binary_length(binary).to_numpy(zero_copy_only=False) // 2
-        data = b"".join(binary.to_pylist())
-        codes = np.frombuffer(data, ">u2").astype(np.uint64)
-        runs, forms = smallest_runs(codes, sizes, run, most, long), short_forms(codes, sizes, least, short)
-        line, block = np.concatenate([runs[0], forms[0]]), np.concatenate([runs[1], forms[1]])
-        arrays = [nodes.take(pa.array(line)), pa.array(sizes[line].astype(np.int32)), pa.array(block.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, ["_node", "_sim", "block"])
+        for nodes, codes, sizes in parts_of(batch):
+            forms = short_forms(codes, sizes, least, short)
+            if similarity is None:
+                runs = smallest_runs(codes, sizes, run, most, long)
+                line, block = np.concatenate([runs[0], forms[0]]), np.concatenate([runs[1], forms[1]])
+            else:
+                runs = rarest_runs(codes, sizes, run, prefix_sizes(sizes, run, similarity, short), long, frequent, hot)
+                form = np.unique(np.rec.fromarrays([forms[0], forms[1] >> np.uint64(1) << np.uint64(1)]))
+                line, block = np.concatenate([runs[0], form.f0]), np.concatenate([runs[1] >> np.uint64(1) << np.uint64(1) | runs[2].astype(np.uint64), form.f1])
+            block = block.view(np.int64)
+            if shared is not None:
+                at = np.minimum(np.searchsorted(shared, block), max(len(shared) - 1, 0))
+                there = shared[at] == block if len(shared) else np.zeros(len(block), bool)
+                line, block = line[there], block[there]
+            arrays = [nodes.take(pa.array(line)), pa.array(sizes[line].astype(np.int32)), pa.array(block)]
+            yield pa.RecordBatch.from_arrays(arrays, ["_node", "_sim", "block"])

@@ -8,11 +8,14 @@ agree on two blocks at least, so nodes are joined on every pair of blocks (half
 
 No radius that pays reaches pairs at SIMILARITY (at 0.8 to 0.9 the SimHashes of two lines differ in 6 bits in the middle
 and 12 at the ninth decile), so with `whole`, as in the query and the pipeline, parts of lines are the blocks of the
-pigeonhole argument instead of parts of hashes: runs of RUN words. With at most a fifth of the words changed, one run at
-least is left whole in nearly every pair. A line gives its KEYS smallest runs by hash; lines of up to SHORT words, where
-one edit is all that SIMILARITY allows, give themselves and themselves without each word instead or as well. Runs that
-only one line has are told by the least and the greatest line of each and left behind before any member is kept. Groups
-above HOT, such as the lines that hold one frequent passage, are left to `hot_links`, whose work grows with their lines.
+pigeonhole argument instead of parts of hashes: runs of RUN words, of which an edit breaks at most RUN. A line gives its
+rarest runs, as many as its similar lines may lack and one more (`line_codes.prefix_sizes`), so that two similar lines
+always meet; there is no cap. Lines of up to SHORT words, where one edit is all that SIMILARITY allows, give themselves and
+themselves without each word instead or as well. How frequent runs are is counted on about SAMPLED lines; that decides
+nothing but the order in which a line's runs are given, and any order that all lines share gives the same links. Runs
+that only one line gives are counted and left behind before any member is kept. Groups above HOT are cut by length.
+Lines that are largely made of frequent runs are first held against one pivot for their most frequent run, which connects
+large families of near copies before members are held against each other.
 Words and keys come from numpy kernels on Arrow batches (`line_codes`): by expressions alone they took 380 task seconds
 a GB, nearly all that the operator may use. Joins, groups and edit similarity are DataFrame operations either way.
 
@@ -38,12 +41,13 @@ from __future__ import annotations
 import itertools
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from moltraj.llm.components import components
-from moltraj.llm.line_codes import keys_of, lines_of
+from moltraj.llm.line_codes import every_run, keys_of, lines_of
 from moltraj.llm.shared import table, written
 from moltraj.scale import fits
 
@@ -53,8 +57,10 @@ SIMILARITY = 0.8
 GROUP = 4096
 LEVELS = 3
 BITS = 56
-#: Words in a run, runs that a line gives, and runs of their own that lines in groups above HOT give.
-RUN, KEYS, FINER, HOT = 4, 10, 16, 256
+#: Words in a run, and lines above which a group is cut by length and a run counts as crowded.
+RUN, HOT = 3, 256
+#: Lines, about, whose runs are counted to order runs by frequency; how many of the most frequent are told apart.
+SAMPLED, FREQUENT = 100_000, 200_000
 #: Lines up to SHORT words are compared without one word, those from LONG on by runs.
 SHORT, LONG = 9, 8
 #: Options of the query and of the pipeline's stage.
@@ -64,6 +70,8 @@ LANES = (7, 8, 14)
 #: Node numbers and changed rows up to these many are broadcast; beyond, both sides are shuffled.
 BROADCAST_NODES, BROADCAST_ROWS = 1_000_000, 300_000
 BROADCAST_KEYS = 1_000_000
+#: Shared keys up to these many (8 bytes each) are looked up by the kernel that gives keys; beyond, keys are shuffled to them.
+HELD_KEYS = 4_000_000
 #: Characters that stand for a word in edit distances without `whole`: the code points of two bytes from here on.
 FIRST_CODE, CODES = 0x100, 0x700
 
@@ -206,69 +214,50 @@ def near_lines(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
     return links
 
 
-def near_runs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b that connect nearly all nodes with similar lines, by the runs that they share."""
-    find = partial(keys_of, run=RUN, most=KEYS, long=LONG, least=MIN_WORDS, short=SHORT)
-    given = rows.select("_node", "_code").mapInArrow(find, "_node long, _sim int, block long")
-    shared = given.groupBy("block").agg(F.min("_node").alias("low"), F.max("_node").alias("high")).where("low <> high")
-    shared = few(written(shared.select("block")), BROADCAST_KEYS)
-    members = written(given.join(shared, "block", "left_semi").distinct().select("_node", "_sim", F.lit(0).alias("path"), "block"))
-    # The lines that share any run, once each; all that is compared later is among them.
-    nodes = few(members.select("_node").distinct(), BROADCAST_NODES)
-    lines = rows.select("_node", F.decode("_code", "UTF-16BE").alias("_code"))
-    lines = written(lines.join(nodes, "_node", "left_semi").dropDuplicates(["_node"]))
-    groups = written(members.groupBy("block").agg(F.count("*").alias("n")))
-    hot = groups.where(F.col("n") > HOT).select("block")
-    if hot.isEmpty():
-        parts = star_links(members, lines, None, similarity)
-    else:
-        small = written(members.join(groups.where(F.col("n") <= HOT).select("block"), "block"))
-        crowded = written(members.join(few(hot, BROADCAST_KEYS), "block").select("_node", "_sim", "block"))
-        parts = star_links(small, lines, None, similarity) + hot_links(crowded, lines, similarity)
-    links = parts[0]
-    for more in parts[1:]:
-        links = links.unionByName(more)
-    return links
+def frequent_runs(nodes: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """Hashes, sorted, and counts of the most frequent runs of one line in so many, and that number. For the order of runs only."""
+    one_in = max(1, nodes.count() // SAMPLED)
+    runs = nodes.where(F.pmod("_node", F.lit(one_in)) == 0).mapInArrow(partial(every_run, run=RUN, long=LONG), "block long")
+    counted = runs.groupBy("block").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "block").limit(FREQUENT)
+    found = counted.toArrow()
+    block = found.column("block").to_numpy().view(np.uint64)
+    order = np.argsort(block)
+    return (block[order], found.column("n").to_numpy()[order]), one_in
 
 
-def hot_links(crowded: DataFrame, lines: DataFrame, similarity: float) -> list[DataFrame]:
-    """Links among the lines of groups above HOT (`_node`, `_sim`, `block`), none of which is compared pair by pair.
-
-    Of such a line all runs are taken, as they stand in `_code`. Those that more than HOT of these lines have say
-    nothing; the FINER smallest of the others make groups of at most HOT. Lines made of frequent runs alone, but for a
-    part that SIMILARITY lets them differ in, are compared with the one of their group, among lines of like length,
-    that has fewest runs of its own. Short lines without their word at one place, and lines without none, make groups
-    in which all are one edit from a shortest.
-    """
-    names = written(crowded.select("_node").distinct())
-    texts = written(lines.select("_node", "_code").join(few(names, BROADCAST_NODES), "_node", "left_semi"))
-    places = F.sequence(F.lit(1), F.greatest(F.length("_code") - RUN + 1, F.lit(1)))
-    pieces = F.array_distinct(F.transform(places, lambda at: F.xxhash64(F.substring(F.col("_code"), at, F.lit(RUN)))))
-    runs = texts.select("_node", F.explode(pieces).alias("block"))
-    common = few(written(runs.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("block")), BROADCAST_KEYS)
-    own = runs.join(common, "block", "left_anti").groupBy("_node").agg(F.sort_array(F.collect_list("block")).alias("own"))
-    own = written(own.select("_node", F.size("own").alias("n_own"), F.slice("own", 1, FINER).alias("own")))
-
-    sized = texts.select("_node", F.length("_code").alias("_sim"))
-    given = own.join(sized, "_node").select("_node", "_sim", F.lit(2).alias("path"), F.explode("own").alias("block"))
-    again = given.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    found = star_links(written(given.join(again, "block")), lines, None, similarity)
-
-    # Lines whose lengths allow the similarity are in the same band or in neighbouring ones.
-    band = F.floor(F.log(F.col("_sim").cast("double")) / F.log(F.lit(1 / similarity)))
-    banded = crowded.join(own.select("_node", "n_own"), "_node", "left").withColumn("n_own", F.coalesce("n_own", F.lit(0)))
-    found.append(pivot_links(banded.withColumn("band", F.explode(F.array(band, band + 1))), ["block", "band"], ["n_own", "_node"], lines, similarity))
-
-    size = F.length("_code")
-    short = texts.where(size.between(MIN_WORDS, SHORT)).withColumn("_sim", size)
-    without = F.transform(
-        F.sequence(F.lit(1), size),
-        lambda at: F.struct(at.alias("at"), F.concat(F.substring(F.col("_code"), F.lit(1), at - 1), F.substring(F.col("_code"), at + 1, size)).alias("form")),
+def near_runs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect all nodes with similar lines, by the runs that they share."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"runs of {RUN} words find all pairs from a similarity of {SIMILARITY} on, not of {similarity}")
+    counting = rows.where(F.octet_length("_code") >= 2 * MIN_WORDS).select("_node", "_code")
+    nodes = written(counting.dropDuplicates(["_node"]))
+    frequent, one_in = frequent_runs(nodes)
+    find = partial(
+        keys_of, run=RUN, most=0, long=LONG, least=MIN_WORDS, short=SHORT, similarity=similarity, frequent=frequent, hot=max(2, HOT / one_in),
     )
-    entire = F.transform(F.sequence(F.lit(1), size + 1), lambda at: F.struct(at.alias("at"), F.col("_code").alias("form")))
-    formed = short.withColumn("_form", F.explode(F.concat(without, entire))).select("_node", "_sim", "_form.at", "_form.form")
-    found.append(pivot_links(formed, ["at", "form"], ["_sim", "_node"], lines, similarity))
-    return found
+    kinds = "_node long, _sim int, block long"
+    given = nodes.mapInArrow(find, kinds)
+    shared = written(given.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"))
+    if fits(shared, HELD_KEYS):
+        held = np.sort(shared.toArrow().column("block").to_numpy())
+        members = written(nodes.mapInArrow(partial(find, shared=held), kinds))
+    else:
+        members = written(given.join(shared, "block", "left_semi"))
+    # Near copies share many keys: of groups with the same members, by a hash, one says all. The kind of key is part of it.
+    pivot = F.col("block").bitwiseAND(F.lit(1))
+    signs = members.groupBy("block").agg(F.count("*").alias("n"), F.bit_xor("_node").alias("sign"))
+    each = signs.groupBy("n", "sign", pivot.alias("pivot")).agg(F.min("block").alias("block")).where("n > 1").select("block", "n")
+    each = few(written(each), BROADCAST_KEYS)
+    members = written(members.join(each, "block"))
+    lines = nodes.select("_node", F.decode("_code", "UTF-16BE").alias("_code"))
+    # Lines whose lengths allow the similarity are in the same band or in neighbouring ones.
+    band = F.floor(F.log(F.col("_sim").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
+    banded = F.explode(F.array(band, band + 1))
+    known = pivot_links(members.where(pivot == 1).withColumn("band", banded), ["block", "band"], ["_sim", "_node"], lines, similarity)
+    paths = F.explode(F.when(F.col("n") > HOT, F.array(band, band + 1)).otherwise(F.array(F.lit(-1))))
+    meeting = members.where(pivot == 0).select("_node", "_sim", paths.alias("path"), "block")
+    rays, others = star_links(meeting, lines, None, similarity, known)
+    return known.unionByName(rays).unionByName(others)
 
 
 def pivot_links(members: DataFrame, group: list[str], least: list[str], lines: DataFrame, similarity: float) -> DataFrame:
@@ -279,19 +268,22 @@ def pivot_links(members: DataFrame, group: list[str], least: list[str], lines: D
     return similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), lines, similarity)
 
 
-def star_links(members: DataFrame, rows: DataFrame, radius: int | None, similarity: float) -> list[DataFrame]:
-    """Links to each group's first member, then those of the members that have none with the others."""
+def star_links(members: DataFrame, rows: DataFrame, radius: int | None, similarity: float, known: DataFrame | None = None) -> list[DataFrame]:
+    """Links to each group's first member, then those of the members that have none with the others.
+
+    Members that these or the `known` links connect are not held against each other.
+    """
     group = ["path", "block"]
     first = members.groupBy(*group).agg(F.min(F.struct("_node", "_sim")).alias("_first"))
     first = first.select(*group, F.col("_first._node").alias("b"), F.col("_first._sim").alias("_sim_b"))
     rayed = members.withColumnRenamed("_node", "a").join(first, group).where(F.col("a") != F.col("b"))
     rays = similar(rayed.where(close(F.col("_sim"), F.col("_sim_b"), radius, similarity)).select("a", "b").distinct(), rows, similarity)
-    roots = components(rays)
+    roots = components(rays if known is None else rays.unionByName(known))
     rooted = members.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
-    alone = rayed.join(rays, ["a", "b"], "left_anti").select(*group, "a").join(
+    alone = rayed.join(rays, ["a", "b"], "left_anti").select(*group, "a", F.col("b").alias("_first")).join(
         rooted.select(*group, F.col("_node").alias("a"), F.col("_sim").alias("_sim_a"), F.col("_root").alias("_root_a")), [*group, "a"]
     )
-    others = rooted.withColumnRenamed("_node", "b").join(alone, group)
+    others = rooted.withColumnRenamed("_node", "b").join(alone, group).where(F.col("b") != F.col("_first"))
     others = others.where((F.col("_root") != F.col("_root_a")) & close(F.col("_sim"), F.col("_sim_a"), radius, similarity))
     others = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return [rays, similar(others, rows, similarity)]
