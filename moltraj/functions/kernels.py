@@ -19,6 +19,15 @@ def starts_of(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
+def stretches(sizes: np.ndarray, at_once: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows, as first and end, that hold at most so many points or one row."""
+    begin, low = starts_of(sizes), 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(begin, begin[low] + at_once, "right")) - 1)
+        yield low, high
+        low = high
+
+
 def gathered(points: np.ndarray, first: np.ndarray, count: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Point `index` of a frame whose points start at `first`; NaN where the index is absent (-1) or out of range."""
     there = (index >= 0) & (index < count)
@@ -123,10 +132,10 @@ def neighbours(frame: np.ndarray, points: np.ndarray, reach: float, at_once: int
         low_row = high_row
 
 
-def nearest(frame: np.ndarray, points: np.ndarray, radius: float, most: int) -> tuple[np.ndarray, ...]:
+def nearest(frame: np.ndarray, points: np.ndarray, radius: float, most: int, at_once: int = 100_000) -> tuple[np.ndarray, ...]:
     """(a, b, place, distance) of the `most` nearest points within the radius, ties to the lower point."""
     parts = []
-    for a, b, d2 in neighbours(frame, points, radius):
+    for a, b, d2 in neighbours(frame, points, radius, at_once):
         order = np.lexsort((b, d2, a))
         a, b, d2 = a[order], b[order], d2[order]
         place = np.arange(len(a)) - np.searchsorted(a, a) + 1
