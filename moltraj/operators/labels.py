@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltraj.scale import BLOCK, cut_lineage, look_ahead, lookup_join, running_total, with_halo
+from moltraj.scale import BLOCK, cut_lineage, fits, look_ahead, lookup_join, running_total, with_halo
 
 RESOLUTIONS = (4, 16, 64)
 FEATURE_RESIDUES = 32
@@ -333,6 +333,8 @@ SEED_ROUNDS = 3
 OVERSAMPLING = 2.0
 # Squared distance that a centroid moves at most once its run has settled.
 SETTLED = 1e-12
+# Coordinates of all centroids together up to which they travel to the tasks; beyond, they are joined to the points.
+CENTROID_ENTRIES = 2_000_000
 
 
 def resolution_plan(totals: DataFrame, resolutions: Sequence[int], starts: int = 1) -> DataFrame:
@@ -378,14 +380,66 @@ def assigned(points: DataFrame, centroids: DataFrame, *, n_domains: int | None =
     return found.withColumns({"cluster": F.col("_near.cluster"), "d": F.col("_near.d")}).drop("centroids", "_near")
 
 
-def lloyd_step(points: DataFrame, centroids: DataFrame, dim: int, *, n_domains: int | None = None) -> DataFrame:
+def uniform(points: DataFrame, dim: int) -> bool:
+    """Whether every point has `dim` finite coordinates, so that `summed` may take them."""
+    odd = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return points.filter(F.coalesce((F.size("e") != dim) | odd, F.lit(True))).select("domain_id").isEmpty()
+
+
+def summed(points: DataFrame, centroids: DataFrame, dim: int) -> DataFrame:
+    """For each centroid how many points are nearest to it (`n`), their sums (`sums`) and squared distances (`cost`), a row a task.
+
+    The same distances, added in the same order, and the same ties as in `assigned`, on Arrow batches: centroids travel
+    to the tasks, and no point becomes a row for each run. For points that are `uniform` and centroids that fit.
+    """
+    rows = centroids.select(*SET, "cluster", "e").orderBy(*SET, "cluster").collect()
+    sets: dict[str, dict[tuple[int, int], list]] = {}
+    for row in rows:
+        sets.setdefault(row["domain_id"], {}).setdefault((row["resolution"], row["run"]), []).append((row["cluster"], row["e"]))
+    held = {d: [(*of, [c for c, _ in each], np.array([e for _, e in each], float)) for of, each in of_d.items()] for d, of_d in sets.items()}
+    kinds = {f.name: f.dataType.simpleString() for f in centroids.schema.fields}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[tuple, list] = {}
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            at, own = np.asarray(batch.column(1).flatten(), float).reshape(-1, dim), names.indices.to_numpy(zero_copy_only=False)
+            for number, domain in enumerate(names.dictionary.to_pylist()):
+                columns = np.ascontiguousarray(at[own == number].T)
+                for resolution, run, clusters, centres in held.get(domain, ()):
+                    gaps = np.zeros((len(centres), columns.shape[1]))
+                    for axis, column in enumerate(columns):
+                        gap = centres[:, axis, None] - column
+                        gaps += gap * gap
+                    owner, k = gaps.argmin(axis=0), len(centres)
+                    parts = [
+                        np.bincount(owner, minlength=k), np.stack([np.bincount(owner, weights=c, minlength=k) for c in columns], axis=1),
+                        np.bincount(owner, weights=gaps.min(axis=0), minlength=k),
+                    ]
+                    key = (domain, resolution, run)
+                    done[key] = [clusters, *parts] if key not in done else [clusters, *[x + y for x, y in zip(done[key][1:], parts)]]
+        found = [(*key, c, int(n), s.tolist(), float(d)) for key, (clusters, *parts) in done.items() for c, n, s, d in zip(clusters, *parts) if n]
+        if found:
+            kind = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), kind)], [*SET, "cluster", "n", "sums", "cost"])
+
+    schema = "domain_id string, resolution int, run int, cluster bigint, n bigint, sums array<double>, cost double"
+    return points.select("domain_id", "e").mapInArrow(add, schema).withColumn("cluster", F.col("cluster").cast(kinds["cluster"]))
+
+
+def lloyd_step(points: DataFrame, centroids: DataFrame, dim: int, *, n_domains: int | None = None, packed: bool = False) -> DataFrame:
     """One step for all domains, resolutions and runs: assign, then average; a cluster without points stays in place.
 
     `moved` is the squared distance that a centroid went. Averages combine per task before the shuffle, so only
-    centroid-sized rows move.
+    centroid-sized rows move. With `packed`, they come from `summed`.
     """
-    means = [F.avg(F.get(F.col("e"), F.lit(c))).alias(f"_{c}") for c in range(dim)]
-    averaged = assigned(points, centroids, n_domains=n_domains).groupBy(*SET, "cluster").agg(*means)
+    if packed:
+        parts = summed(points, centroids, dim).groupBy(*SET, "cluster")
+        added = parts.agg(F.sum("n").alias("_n"), *[F.sum(F.col("sums")[c]).alias(f"_{c}") for c in range(dim)])
+        averaged = added.select(*SET, "cluster", *[(F.col(f"_{c}") / F.col("_n")).alias(f"_{c}") for c in range(dim)])
+    else:
+        means = [F.avg(F.get(F.col("e"), F.lit(c))).alias(f"_{c}") for c in range(dim)]
+        averaged = assigned(points, centroids, n_domains=n_domains).groupBy(*SET, "cluster").agg(*means)
     new = averaged.select(
         *SET, "cluster", F.filter(F.array(*[F.col(f"_{c}") for c in range(dim)]), lambda x: x.isNotNull()).alias("_new"),
     )
@@ -454,11 +508,11 @@ def draw_of(seed: Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def settled_centroids(points: DataFrame, centroids: DataFrame, dim: int, iterations: int, *, n_domains: int | None = None) -> DataFrame:
+def settled_centroids(points: DataFrame, centroids: DataFrame, dim: int, iterations: int, *, n_domains: int | None = None, packed: bool = False) -> DataFrame:
     """Lloyd steps of all runs together until each has settled, at most `iterations`; settled runs take no further part."""
     active, done = centroids, None
     for _ in range(iterations):
-        stepped = cut_lineage(lloyd_step(points, active, dim, n_domains=n_domains))
+        stepped = cut_lineage(lloyd_step(points, active, dim, n_domains=n_domains, packed=packed))
         moving = stepped.groupBy(*SET).agg(F.max("moved").alias("_most")).filter(F.col("_most") > SETTLED).select(*SET)
         active = cut_lineage(stepped.join(moving, SET, "left_semi").drop("moved"))
         quiet = stepped.join(moving, SET, "left_anti").drop("moved")
@@ -468,9 +522,13 @@ def settled_centroids(points: DataFrame, centroids: DataFrame, dim: int, iterati
     return active if done is None else done.unionByName(active)
 
 
-def best_runs(points: DataFrame, centroids: DataFrame, *, n_domains: int | None = None) -> DataFrame:
-    """Centroids of the run with the least inertia (sum of squared distances; ties to the lower run) of each clustering."""
-    inertia = assigned(points, centroids, n_domains=n_domains).groupBy(*SET).agg(F.sum("d").alias("inertia"))
+def best_runs(points: DataFrame, centroids: DataFrame, *, n_domains: int | None = None, packed: int = 0) -> DataFrame:
+    """Centroids of the run with the least inertia (sum of squared distances; ties to the lower run) of each clustering.
+
+    `packed` is the number of coordinates where `summed` may take the points.
+    """
+    costs = summed(points, centroids, packed).withColumnRenamed("cost", "d") if packed else assigned(points, centroids, n_domains=n_domains)
+    inertia = costs.groupBy(*SET).agg(F.sum("d").alias("inertia"))
     best = inertia.groupBy("domain_id", "resolution").agg(F.min(F.struct(F.round("inertia", 9).alias("i"), "run")).alias("b"))
     return centroids.join(best.select("domain_id", "resolution", F.col("b.run").alias("run")), SET, "left_semi")
 
@@ -493,9 +551,11 @@ def clustered(
         start = oversampled_centroids(points, plan, seed, n_domains=n_domains)
     else:
         start = first_centroids(points, plan, seed, n_picks=n_domains * sum(resolutions) * starts)
-    centroids = cut_lineage(settled_centroids(points, cut_lineage(start), dim, iterations, n_domains=n_domains))
+    start = cut_lineage(start)
+    packed = fits(start, CENTROID_ENTRIES, F.size("e")) and uniform(points, dim) and uniform(start, dim)
+    centroids = cut_lineage(settled_centroids(points, start, dim, iterations, n_domains=n_domains, packed=packed))
     if starts > 1:
-        centroids = cut_lineage(best_runs(points, centroids, n_domains=n_domains))
+        centroids = cut_lineage(best_runs(points, centroids, n_domains=n_domains, packed=dim if packed else 0))
     labelled = assigned(points, centroids, n_domains=n_domains).drop("run", "d")
     firsts = labelled.groupBy("domain_id", "resolution", "cluster").agg(F.min("frame_global").alias("_first"))
     order = Window.partitionBy("domain_id", "resolution").orderBy("_first")
