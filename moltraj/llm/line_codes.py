@@ -18,7 +18,11 @@ import xxhash
 #: Words are joined to one numpy pass until there are this many; a longer text is a pass of its own.
 CHUNK = 200_000
 #: Word hashes that a worker keeps before it starts anew.
-CACHED = 1_000_000
+CACHED = 300_000
+#: Keys that a task packs together before it hands them on.
+PACKED = 600_000
+#: Nodes of one base number, and the words up to which a packed key says how many its line has.
+BASE, SIZED = 1 << 16, 0x7FFF
 #: Codes are FIRST_CODE and the CODES - 1 numbers after it, all below the surrogates.
 FIRST_CODE, CODES = 0x100, 0xD000
 #: Characters of scripts that put no spaces between words: Thai to Myanmar, Khmer, kana and Han.
@@ -213,12 +217,12 @@ def every_run(batches: Iterator[pa.RecordBatch], run: int, long: int) -> Iterato
 
 def keys_of(
     batches: Iterator[pa.RecordBatch], run: int, most: int, long: int, least: int, short: int, similarity: float | None = None,
-    frequent: tuple[np.ndarray, np.ndarray] | None = None, hot: float = 0, shared: np.ndarray | None = None,
+    frequent: tuple[np.ndarray, np.ndarray] | None = None, hot: float = 0,
 ) -> Iterator[pa.RecordBatch]:
     """From `_node`, `_code` to `_node`, `_sim` (words), `block`, one row a key: runs of long lines, forms of short ones.
 
     With a similarity, a line gives as many runs as `prefix_sizes` says, the rarest first, and each form once; the lowest
-    bit of a block is 1 just for keys that serve the pivot only. With `shared`, sorted, only the keys among those.
+    bit of a block is 1 just for keys that serve the pivot only.
     """
     for batch in batches:
         for nodes, codes, sizes in parts_of(batch):
@@ -231,9 +235,125 @@ def keys_of(
                 form = np.unique(np.rec.fromarrays([forms[0], forms[1] >> np.uint64(1) << np.uint64(1)]))
                 line, block = np.concatenate([runs[0], form.f0]), np.concatenate([runs[1] >> np.uint64(1) << np.uint64(1) | runs[2].astype(np.uint64), form.f1])
             block = block.view(np.int64)
-            if shared is not None:
-                at = np.minimum(np.searchsorted(shared, block), max(len(shared) - 1, 0))
-                there = shared[at] == block if len(shared) else np.zeros(len(block), bool)
-                line, block = line[there], block[there]
             arrays = [nodes.take(pa.array(line)), pa.array(sizes[line].astype(np.int32)), pa.array(block)]
             yield pa.RecordBatch.from_arrays(arrays, ["_node", "_sim", "block"])
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any of the columns, the first row included."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([column[1:] != column[:-1] for column in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def stretches(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of each stretch of `values` as one binary value."""
+    offsets = np.append(starts, len(values)).astype(np.int32) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return values.astype(np.uint8), (values >> 8).astype(np.uint8)
+
+
+def packed(number: np.ndarray, sim: np.ndarray, block: np.ndarray, bits: int, crowded: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Keys as one row for each part and base: 32 bits of the block, 16 of the number, 15 of the words, 1 for the pivot.
+
+    Low and high bytes are kept apart, as the high ones hardly change and take next to nothing once they are compressed.
+    A part is the first `bits` bits of the block, so that a part of keys holds whole groups. Keys in `crowded` (sorted, and
+    their numbers of lines) are dealt to the parts by base instead, with their block, as their groups may be of any size.
+    """
+    pivot = block & np.uint64(1)
+    sims = (np.minimum(sim, SIZED).astype(np.uint64) | pivot << np.uint64(15)).astype("<u2")
+    whole, lines = np.zeros(len(block), np.uint64), np.zeros(len(block), np.int64)
+    part = block >> np.uint64(64 - bits)
+    if len(crowded[0]):
+        at = np.minimum(np.searchsorted(crowded[0], block - pivot), len(crowded[0]) - 1)
+        known = crowded[0][at] == block - pivot
+        whole[known], lines[known] = block[known], crowded[1][at[known]]
+        part[known] = ((number[known] // BASE) % (1 << bits)).astype(np.uint64)
+    order = np.argsort(part.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
+    if lines.any():
+        order = order[np.lexsort((whole[order], part[order]))]
+    number, sims, block, whole, lines, part = (values[order] for values in (number, sims, block, whole, lines, part))
+    base = number // BASE
+    starts = changes(part, whole, base)
+    rest = (block << np.uint64(bits) >> np.uint64(32)).astype("<u4")
+    arrays = [pa.array(part[starts].astype(np.int32)), pa.array(whole[starts].view(np.int64)), pa.array(lines[starts]), pa.array(base[starts])]
+    spots = (number % BASE).astype("<u2")
+    arrays += [stretches(values, starts) for values in (rest, *halves(spots), *halves(sims))]
+    return pa.RecordBatch.from_arrays(arrays, PACKED_NAMES)
+
+
+PACKED_NAMES = ["part", "whole", "n", "base", "rest", "spot", "spot_high", "sims", "sims_high"]
+PACKED_KEYS = "part int, whole long, n long, base long, rest binary, spot binary, spot_high binary, sims binary, sims_high binary"
+
+
+def packed_keys(batches: Iterator[pa.RecordBatch], bits: int, crowded: tuple[np.ndarray, np.ndarray], **options) -> Iterator[pa.RecordBatch]:
+    """The keys of `keys_of`, packed; nodes are numbers from 0 here."""
+    held, count = [], 0
+    for found in keys_of(batches, **options):
+        if found.num_rows:
+            held.append((found.column(0).to_numpy(), found.column(1).to_numpy(), found.column(2).to_numpy().view(np.uint64)))
+            count += found.num_rows
+        if count >= PACKED:
+            yield packed(*map(np.concatenate, zip(*held)), bits, crowded)
+            held, count = [], 0
+    if count:
+        yield packed(*map(np.concatenate, zip(*held)), bits, crowded)
+
+
+MEETING = "a long, b long, sim int, block long, n long, sign long"
+
+
+def meeting(keys: pa.Table, few: int, similarity: float) -> pa.Table:
+    """What the packed keys of one part have in common, one row a pair or member.
+
+    Groups of up to `few` give their pairs `a`, `b` whose lengths allow the similarity, once; larger ones and those for the
+    pivot their members `a` with words, block and size, the first member also a sign that groups of equal members share.
+    """
+    joined = lambda name, kind: np.frombuffer(b"".join(keys.column(name).to_pylist()), kind).astype(np.int64)
+    sizes = pc.binary_length(keys.column("spot")).to_numpy()
+    numbers = np.repeat(keys.column("base").to_numpy() * BASE, sizes) + joined("spot", "u1") + (joined("spot_high", "u1") << 8)
+    sims, rest = joined("sims", "u1") + (joined("sims_high", "u1") << 8), joined("rest", "<u4")
+    pivot, sim = sims >> 15, (sims & SIZED).astype(np.int32)
+    block = np.int64(keys.column("part")[0].as_py()) << 33 | rest << 1 | pivot
+    whole, lines = keys.column("whole").to_numpy(), keys.column("n").to_numpy()
+    crowded = np.repeat(lines > 0, sizes)
+    open_rows = np.flatnonzero(~crowded)
+    order = open_rows[np.argsort(block[open_rows], kind="stable")]
+    same = block[order][1:] == block[order][:-1]
+    order = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
+    order = order[np.lexsort((numbers[order], block[order]))]
+    order = order[changes(block[order], numbers[order])] if len(order) else order
+    starts = changes(block[order]) if len(order) else np.zeros(0, np.int64)
+    n = np.diff(np.append(starts, len(order)))
+    small = (n <= few) & (pivot[order[starts]] == 0)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in range(2, few + 1):
+        first = starts[small & (n == size)]
+        for i in range(size):
+            for j in range(i + 1, size):
+                left, right = order[first + i], order[first + j]
+                close = np.abs(sim[left] - sim[right]) <= np.maximum(sim[left], sim[right]) * (1 - similarity) + 1e-9
+                a.append(numbers[left[close]])
+                b.append(numbers[right[close]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    once = changes(a, b) if len(a) else by
+    pairs = pa.table({"a": a[once], "b": b[once]})
+    large = ~small & (n > 1)
+    each = np.repeat(large, n)
+    members = order[each]
+    heads = np.zeros(len(order), bool)
+    heads[starts] = True
+    signs = np.bitwise_xor.reduceat(mixed(numbers[order].astype(np.uint64)), starts).view(np.int64) if len(order) else np.zeros(0, np.int64)
+    rows = pa.table({
+        "a": numbers[members], "sim": sim[members], "block": block[members], "n": np.repeat(n, n)[each].astype(np.int64),
+        "sign": pa.array(np.repeat(signs, n)[each], mask=~heads[each]),
+    })
+    hot = np.flatnonzero(crowded)
+    blocks = np.repeat(whole, sizes)[hot]
+    known = pa.table({"a": numbers[hot], "sim": sim[hot], "block": blocks, "n": np.repeat(lines, sizes)[hot], "sign": blocks})
+    return pa.concat_tables([pairs, rows, known], promote_options="default").select(["a", "b", "sim", "block", "n", "sign"])

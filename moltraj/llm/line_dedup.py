@@ -12,8 +12,10 @@ pigeonhole argument instead of parts of hashes: runs of RUN words, of which an e
 rarest runs, as many as its similar lines may lack and one more (`line_codes.prefix_sizes`), so that two similar lines
 always meet; there is no cap. Lines of up to SHORT words, where one edit is all that SIMILARITY allows, give themselves and
 themselves without each word instead or as well. How frequent runs are is counted on about SAMPLED lines; that decides
-nothing but the order in which a line's runs are given, and any order that all lines share gives the same links. Runs
-that only one line gives are counted and left behind before any member is kept. Groups above HOT are cut by length.
+nothing but the order in which a line's runs are given, and any order that all lines share gives the same links. Keys are
+shuffled once, packed in parts of the key space with seven to eight bytes a key, and meet there in numpy: keys of one line
+alone end there, groups of up to FEW lines leave as pairs, larger ones as members. Runs that the sample expects in over CROWD
+lines are left out of the parts, as their groups have no bound. Groups above HOT are cut by length.
 Lines that are largely made of frequent runs are first held against one pivot for their most frequent run, which connects
 large families of near copies before members are held against each other.
 Words and keys come from numpy kernels on Arrow batches (`line_codes`): by expressions alone they took 380 task seconds
@@ -42,13 +44,14 @@ import itertools
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from moltraj.llm.components import components
-from moltraj.llm.line_codes import every_run, keys_of, lines_of
-from moltraj.llm.shared import table, written
+from moltraj.llm.line_codes import MEETING, PACKED_KEYS, every_run, lines_of, meeting, packed_keys
+from moltraj.llm.shared import passing, table, written
 from moltraj.scale import fits
 
 MIN_WORDS = 5
@@ -70,8 +73,8 @@ LANES = (7, 8, 14)
 #: Node numbers and changed rows up to these many are broadcast; beyond, both sides are shuffled.
 BROADCAST_NODES, BROADCAST_ROWS = 1_000_000, 300_000
 BROADCAST_KEYS = 1_000_000
-#: Shared keys up to these many (8 bytes each) are looked up by the kernel that gives keys; beyond, keys are shuffled to them.
-HELD_KEYS = 4_000_000
+#: Words whose keys meet in one part; groups up to FEW are held pair by pair at once; runs expected in over CROWD lines are no part's.
+PART, FEW, CROWD = 600_000, 4, 100_000
 #: Characters that stand for a word in edit distances without `whole`: the code points of two bytes from here on.
 FIRST_CODE, CODES = 0x100, 0x700
 
@@ -175,12 +178,11 @@ def few(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if fits(rows, most) else rows
 
 
-def similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b of nodes whose lines have at least the edit similarity, written."""
+def similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b of nodes whose lines have at least the edit similarity, written. A node is one row of `nodes`."""
     pairs = written(pairs)
     wanted = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
-    lines = rows.select("_node", "_code").join(few(wanted, BROADCAST_NODES), "_node", "left_semi")
-    lines = written(lines.dropDuplicates(["_node"]))
+    lines = written(nodes.select("_node", "_code").join(few(wanted, BROADCAST_NODES), "_node", "left_semi"))
     left, right = (lines.select(F.col("_node").alias(side), F.col("_code").alias(f"line_{side}")) for side in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
     longest = F.greatest(F.length("line_a"), F.length("line_b"))
@@ -190,9 +192,8 @@ def similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     return written(both.where(near & within).select("a", "b"))
 
 
-def near_lines(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+def near_lines(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Links a, b that connect all nodes with close hashes and similar lines."""
-    nodes = written(rows.groupBy("_node").agg(F.min("_sim").alias("_sim")))
     found, masks = [], pigeonholes(list(range(BITS)), radius)
     branch, level = len(masks), nodes.select("_node", "_sim", F.lit(0).alias("path"))
     for depth in range(LEVELS):
@@ -202,7 +203,7 @@ def near_lines(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
         )
         groups = written(keyed.groupBy("path", "block").agg(F.count("*").alias("n")).where("n > 1"))
         small = groups if depth == LEVELS - 1 else groups.where(F.col("n") <= GROUP)
-        found += star_links(written(keyed.join(small.select("path", "block"), ["path", "block"])), rows, radius, similarity)
+        found += star_links(written(keyed.join(small.select("path", "block"), ["path", "block"])), nodes, radius, similarity)
         hot = groups.where(F.col("n") > GROUP)
         if depth == LEVELS - 1 or hot.isEmpty():
             break
@@ -214,10 +215,10 @@ def near_lines(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
     return links
 
 
-def frequent_runs(nodes: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+def frequent_runs(nodes: DataFrame, count: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
     """Hashes, sorted, and counts of the most frequent runs of one line in so many, and that number. For the order of runs only."""
-    one_in = max(1, nodes.count() // SAMPLED)
-    runs = nodes.where(F.pmod("_node", F.lit(one_in)) == 0).mapInArrow(partial(every_run, run=RUN, long=LONG), "block long")
+    one_in = max(1, count // SAMPLED)
+    runs = nodes.where(F.pmod("_node", F.lit(one_in)) == 0).select("_node", "_code").mapInArrow(partial(every_run, run=RUN, long=LONG), "block long")
     counted = runs.groupBy("block").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "block").limit(FREQUENT)
     found = counted.toArrow()
     block = found.column("block").to_numpy().view(np.uint64)
@@ -225,39 +226,55 @@ def frequent_runs(nodes: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]
     return (block[order], found.column("n").to_numpy()[order]), one_in
 
 
-def near_runs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b that connect all nodes with similar lines, by the runs that they share."""
+def line_nodes(rows: DataFrame) -> DataFrame:
+    """`_node`, `_code` and a `_number` of each different line that can be similar to another one."""
+    counting = rows.where(F.octet_length("_code") >= 2 * MIN_WORDS).select("_node", "_code")
+    return written(counting.dropDuplicates(["_node"]).withColumn("_number", F.monotonically_increasing_id()))
+
+
+def near_runs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect all of the `line_nodes` with similar lines, by the runs that they share."""
     if similarity < SIMILARITY:
         raise ValueError(f"runs of {RUN} words find all pairs from a similarity of {SIMILARITY} on, not of {similarity}")
-    counting = rows.where(F.octet_length("_code") >= 2 * MIN_WORDS).select("_node", "_code")
-    nodes = written(counting.dropDuplicates(["_node"]))
-    frequent, one_in = frequent_runs(nodes)
-    find = partial(
-        keys_of, run=RUN, most=0, long=LONG, least=MIN_WORDS, short=SHORT, similarity=similarity, frequent=frequent, hot=max(2, HOT / one_in),
+    count, words = nodes.agg(F.count("*"), F.sum(F.octet_length("_code") / 2)).first()
+    frequent, one_in = frequent_runs(nodes, count)
+    lines_of_run = frequent[1] * one_in
+    crowded = frequent[0] >> np.uint64(1) << np.uint64(1), lines_of_run
+    crowded = tuple(values[lines_of_run > CROWD] for values in crowded)
+    # A long line gives about 0.6 keys a word, a short one about one a word.
+    bits = max(1, int((words or 0) / PART).bit_length())
+    pack = partial(
+        packed_keys, bits=bits, crowded=crowded, run=RUN, most=0, long=LONG, least=MIN_WORDS, short=SHORT, similarity=similarity,
+        frequent=frequent, hot=max(2, HOT / one_in),
     )
-    kinds = "_node long, _sim int, block long"
-    given = nodes.mapInArrow(find, kinds)
-    shared = written(given.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"))
-    if fits(shared, HELD_KEYS):
-        held = np.sort(shared.toArrow().column("block").to_numpy())
-        members = written(nodes.mapInArrow(partial(find, shared=held), kinds))
-    else:
-        members = written(given.join(shared, "block", "left_semi"))
+    keys = nodes.select(F.col("_number").alias("_node"), "_code").mapInArrow(pack, PACKED_KEYS)
+
+    def met(part: pa.Table) -> pa.Table:
+        return meeting(part, few_members, similarity)
+
+    few_members = FEW
+    found = written(keys.groupBy("part").applyInArrow(met, MEETING))
+    lines = nodes.select(F.col("_number").alias("_node"), F.decode("_code", "UTF-16BE").alias("_code"))
+    known = similar(found.where(F.col("b").isNotNull()).select("a", "b").distinct(), lines, similarity)
     # Near copies share many keys: of groups with the same members, by a hash, one says all. The kind of key is part of it.
     pivot = F.col("block").bitwiseAND(F.lit(1))
-    signs = members.groupBy("block").agg(F.count("*").alias("n"), F.bit_xor("_node").alias("sign"))
-    each = signs.groupBy("n", "sign", pivot.alias("pivot")).agg(F.min("block").alias("block")).where("n > 1").select("block", "n")
-    each = few(written(each), BROADCAST_KEYS)
+    each = found.where(F.col("sign").isNotNull()).groupBy("n", "sign", pivot.alias("pivot")).agg(F.min("block").alias("block"))
+    each = few(written(each.select("block", "n")), BROADCAST_KEYS)
+    members = found.where(F.col("b").isNull()).select(F.col("a").alias("_node"), F.col("sim").alias("_sim"), "block")
     members = written(members.join(each, "block"))
-    lines = nodes.select("_node", F.decode("_code", "UTF-16BE").alias("_code"))
     # Lines whose lengths allow the similarity are in the same band or in neighbouring ones.
     band = F.floor(F.log(F.col("_sim").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
     banded = F.explode(F.array(band, band + 1))
-    known = pivot_links(members.where(pivot == 1).withColumn("band", banded), ["block", "band"], ["_sim", "_node"], lines, similarity)
+    pivots = pivot_links(members.where(pivot == 1).withColumn("band", banded), ["block", "band"], ["_sim", "_node"], lines, similarity)
+    known = known.unionByName(pivots)
     paths = F.explode(F.when(F.col("n") > HOT, F.array(band, band + 1)).otherwise(F.array(F.lit(-1))))
-    meeting = members.where(pivot == 0).select("_node", "_sim", paths.alias("path"), "block")
-    rays, others = star_links(meeting, lines, None, similarity, known)
-    return known.unionByName(rays).unionByName(others)
+    grouped = members.where(pivot == 0).select("_node", "_sim", paths.alias("path"), "block")
+    rays, others = star_links(grouped, lines, None, similarity, known)
+    links = known.unionByName(rays).unionByName(others)
+    ends = few(links.select(F.explode(F.array("a", "b")).alias("_number")).distinct(), BROADCAST_NODES)
+    named = written(nodes.select("_number", "_node").join(ends, "_number", "left_semi"))
+    left, right = (named.select(F.col("_number").alias(side), F.col("_node").alias(f"node_{side}")) for side in ("a", "b"))
+    return links.join(left, "a").join(right, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def pivot_links(members: DataFrame, group: list[str], least: list[str], lines: DataFrame, similarity: float) -> DataFrame:
@@ -268,7 +285,7 @@ def pivot_links(members: DataFrame, group: list[str], least: list[str], lines: D
     return similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), lines, similarity)
 
 
-def star_links(members: DataFrame, rows: DataFrame, radius: int | None, similarity: float, known: DataFrame | None = None) -> list[DataFrame]:
+def star_links(members: DataFrame, nodes: DataFrame, radius: int | None, similarity: float, known: DataFrame | None = None) -> list[DataFrame]:
     """Links to each group's first member, then those of the members that have none with the others.
 
     Members that these or the `known` links connect are not held against each other.
@@ -277,7 +294,7 @@ def star_links(members: DataFrame, rows: DataFrame, radius: int | None, similari
     first = members.groupBy(*group).agg(F.min(F.struct("_node", "_sim")).alias("_first"))
     first = first.select(*group, F.col("_first._node").alias("b"), F.col("_first._sim").alias("_sim_b"))
     rayed = members.withColumnRenamed("_node", "a").join(first, group).where(F.col("a") != F.col("b"))
-    rays = similar(rayed.where(close(F.col("_sim"), F.col("_sim_b"), radius, similarity)).select("a", "b").distinct(), rows, similarity)
+    rays = similar(rayed.where(close(F.col("_sim"), F.col("_sim_b"), radius, similarity)).select("a", "b").distinct(), nodes, similarity)
     roots = components(rays if known is None else rays.unionByName(known))
     rooted = members.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
     alone = rayed.join(rays, ["a", "b"], "left_anti").select(*group, "a", F.col("b").alias("_first")).join(
@@ -286,7 +303,7 @@ def star_links(members: DataFrame, rows: DataFrame, radius: int | None, similari
     others = rooted.withColumnRenamed("_node", "b").join(alone, group).where(F.col("b") != F.col("_first"))
     others = others.where((F.col("_root") != F.col("_root_a")) & close(F.col("_sim"), F.col("_sim_a"), radius, similarity))
     others = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return [rays, similar(others, rows, similarity)]
+    return [rays, similar(others, nodes, similarity)]
 
 
 def dropped_lines(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -306,8 +323,10 @@ def deduplicated(
     whole: bool = False,
 ) -> DataFrame:
     """`_row` (a struct of all columns, its text without the lines that go), `_lines` and `_dropped` of every row."""
-    rows = written(whole_rows(docs, key, text) if whole else line_rows(docs, key, text, min_words))
-    gone = dropped_lines(rows, near_runs(rows, similarity) if whole else near_lines(rows, radius, similarity))
+    with passing(whole_rows(docs, key, text) if whole else line_rows(docs, key, text, min_words)) as rows:
+        nodes = line_nodes(rows) if whole else written(rows.select("_node", "_sim", "_code").dropDuplicates(["_node"]))
+        places = written(rows.select("_id", "_version", "_at", "_node"))
+    gone = dropped_lines(places, near_runs(nodes, similarity) if whole else near_lines(nodes, radius, similarity))
     gone = few(written(gone), BROADCAST_ROWS)
     packed = docs.select(F.struct("*").alias("_row"))
     same = packed["_row"][key].eqNullSafe(gone["_id"]) & (F.xxhash64(packed["_row"][text]) == gone["_version"])

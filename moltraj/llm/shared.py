@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,9 +55,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def passing(df: DataFrame) -> Iterator[DataFrame]:
+    """`df` as by `written`, deleted at the end of the block: for what is written again there in the form that is kept."""
+    rows, path = written(df), WRITTEN[-1]
+    yield rows
+    WRITTEN.remove(path)
+    deleted(df.sparkSession, path)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete what `written` has left, once no result that reads it is needed any more."""
     for path in WRITTEN:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        deleted(spark, path)
     WRITTEN.clear()
