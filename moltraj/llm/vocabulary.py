@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -117,6 +119,41 @@ class ByteLevelIds(Cache):
         return self.exact(chunks[0]) + b"".join(map(self.__getitem__, chunks[1:]))
 
 
+#: What most words are: letters of ASCII and Latin-1, maybe signs behind them that start no contraction; such small letters.
+SIGNED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)%&$#*]*)")
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: The bytes of such letters, and others that stand for them at the end of a word.
+INNER = [*range(97, 123), 0xC3, *range(0x9F, 0xC0)]
+LETTER_BYTES = tuple(bytes.maketrans(bytes(INNER), bytes(range(first, first + len(INNER)))) for first in (1, 1 + len(INNER)))
+
+
+def letter_merges(definition: str) -> Callable[[bytes], list[int]] | None:
+    """The merges of the word BPE on small letters alone, ends of words as bytes of their own; None where its rules are others.
+
+    tiktoken takes a whole word that is in the vocabulary as it is; so all such words are first checked to be one token.
+    """
+    rules = json.loads(definition)["model"]
+    vocab, end = rules["vocab"], rules.get("end_of_word_suffix") or ""
+    merged = [vocab["".join(pair) if isinstance(pair, list) else pair.replace(" ", "")] for pair in rules["merges"]]
+    if not end or merged != sorted(merged) or rules.get("ignore_merges"):
+        return None
+    inner, last = (str.maketrans({byte_alphabet()[byte]: chr(table[byte]) for byte in INNER}) for table in LETTER_BYTES)
+    known = {byte_alphabet()[byte] for byte in INNER}
+    ranks, whole = {}, []
+    for string, i in vocab.items():
+        bare = string.removesuffix(end) if string != end else string
+        if known.issuperset(bare):
+            ended = bare != string
+            ranks[(bare[:-1].translate(inner) + bare[-1].translate(last if ended else inner)).encode("latin-1")] = i
+            whole += [(bare, i)] if ended else []
+    tokenize = loaded(definition).model.tokenize
+    if any([token.id for token in tokenize(bare)] != [i] for bare, i in whole):
+        return None
+    used = {key[0] for key in ranks if len(key) == 1}
+    ranks |= {bytes([byte]): len(vocab) + byte for byte in range(256) if byte not in used}
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+
 class WordIds(Cache):
     """Ids of the word BPE, which drops white space, as little-endian unsigned 32-bit integers."""
 
@@ -127,8 +164,14 @@ class WordIds(Cache):
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = byte_alphabet()
         self.pieces: dict[str, bytes] = {}
+        self.letters = letter_merges(definition)
 
     def compute(self, chunk: str) -> bytes:
+        plain = SIGNED.fullmatch(chunk)
+        if plain:
+            word, signs = plain[1].lower(), plain[2]
+            found = self.pieces.get(word) or self.piece(word)
+            return found + (self.pieces.get(signs) or self.piece(signs)) if signs else found
         if BEYOND_LATIN.search(chunk) or any(special in chunk for special in self.special):
             return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if not chunk.isascii():
@@ -136,10 +179,13 @@ class WordIds(Cache):
         return b"".join([self.pieces.get(piece) or self.piece(piece) for piece in WORD_PIECE.findall(chunk.lower())])
 
     def piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join(self.alphabet[byte] for byte in piece.encode())
-        if piece.isascii() and not piece.isprintable():
-            shown = "".join(self.alphabet[byte] for byte in piece.encode())
-        ids = np.array([token.id for token in self.model.tokenize(shown)], "<u4").tobytes()
+        if self.letters and LETTERS.fullmatch(piece):
+            ids = array("I", self.letters(piece.encode().translate(LETTER_BYTES[0])[:-1] + piece[-1:].encode()[-1:].translate(LETTER_BYTES[1]))).tobytes()
+        else:
+            shown = piece if piece.isascii() else "".join(self.alphabet[byte] for byte in piece.encode())
+            if piece.isascii() and not piece.isprintable():
+                shown = "".join(self.alphabet[byte] for byte in piece.encode())
+            ids = np.array([token.id for token in self.model.tokenize(shown)], "<u4").tobytes()
         if len(self.pieces) < CACHE_ENTRIES and len(piece) <= CACHE_CHARS:
             self.pieces[piece] = ids
         return ids
