@@ -180,16 +180,16 @@ def few(rows: DataFrame, most: int) -> DataFrame:
 
 def similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b of nodes whose lines have at least the edit similarity, written. A node is one row of `nodes`."""
-    pairs = written(pairs)
-    wanted = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
-    lines = written(nodes.select("_node", "_code").join(few(wanted, BROADCAST_NODES), "_node", "left_semi"))
-    left, right = (lines.select(F.col("_node").alias(side), F.col("_code").alias(f"line_{side}")) for side in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
-    longest = F.greatest(F.length("line_a"), F.length("line_b"))
-    most = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-    near = F.abs(F.length("line_a") - F.length("line_b")) <= most
-    within = F.call_function("levenshtein", F.col("line_a"), F.col("line_b"), most) >= 0
-    return written(both.where(near & within).select("a", "b"))
+    with passing(pairs) as pairs:
+        wanted = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
+        with passing(nodes.select("_node", "_code").join(few(wanted, BROADCAST_NODES), "_node", "left_semi")) as lines:
+            left, right = (lines.select(F.col("_node").alias(side), F.col("_code").alias(f"line_{side}")) for side in ("a", "b"))
+            both = pairs.join(left, "a").join(right, "b")
+            longest = F.greatest(F.length("line_a"), F.length("line_b"))
+            most = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
+            near = F.abs(F.length("line_a") - F.length("line_b")) <= most
+            within = F.call_function("levenshtein", F.col("line_a"), F.col("line_b"), most) >= 0
+            return written(both.where(near & within).select("a", "b"))
 
 
 def near_lines(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
