@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moltraj.llm.shared import WRITTEN, arrow_map, shared_folder, table, text_or_empty
+from moltraj.llm.shared import WRITTEN, arrow_map, shared_folder, table, text_or_empty, written
 from moltraj.llm.vocabulary import WordIds, vocabulary_text, worker_encoder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -95,4 +95,5 @@ def op9_orc_token_store(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark)
     write_token_store(table(spark, sf, "documents"), path)
     WRITTEN.append(path)
-    return with_starts(document_digests(read_token_store(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # Starts need the digests twice; the store is read once.
+    return with_starts(written(document_digests(read_token_store(spark, path)))).select("doc_id", "start", "n_tokens", "ids_crc32")
