@@ -22,7 +22,11 @@ CACHED = 300_000
 #: Keys that a task packs together before it hands them on.
 PACKED = 600_000
 #: Nodes of one base number, and the words up to which a packed key says how many its line has.
-BASE, SIZED = 1 << 16, 0x7FFF
+BASE, SIZED = 1 << 16, 0x1FFF
+#: Runs that a line gives, at most, beyond those that its similar lines may lack, and so many have to be shared (two bits of a key).
+SHARED = 4
+#: Pairs of small groups that are looked at together.
+PAIRS = 1_000_000
 #: Codes are FIRST_CODE and the CODES - 1 numbers after it, all below the surrogates.
 FIRST_CODE, CODES = 0x100, 0xD000
 #: Characters of scripts that put no spaces between words: Thai to Myanmar, Khmer, kana and Han.
@@ -158,9 +162,12 @@ def smallest_runs(codes: np.ndarray, sizes: np.ndarray, run: int, most: int, lea
 
 def rarest_runs(
     codes: np.ndarray, sizes: np.ndarray, run: int, most: np.ndarray, least: int, frequent: tuple[np.ndarray, np.ndarray], hot: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line numbers, hashes and whether for the pivot only: of each line the first `most` runs, those in `frequent` last.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line numbers, hashes and whether for the pivot only: of each line the first `most` runs, those in `frequent` last, and up
+    to SHARED - 1 more with counts up to `hot`. And for each line how many of these a similar line shares at least, from 1 on.
 
+    Where similar lines lack at most `most` - 1 of a line's runs, all but so many of the given ones are shared; one is in
+    any case, as edits do not break all runs of a line. The argument of `prefix_sizes` holds for that many as for one.
     `frequent` holds hashes, sorted, and counts; it decides the order alone. A line of which over a third of the runs have
     counts above `hot` also gives its most frequent run, for the pivot.
     """
@@ -172,12 +179,14 @@ def rarest_runs(
         count = np.where(known[at] == hashed, counts[at], 0)
     order = np.lexsort((hashed, count, line))
     line, hashed, count = line[order], hashed[order], count[order]
-    given = ranks_of(line) < most[line]
+    rank = ranks_of(line)
+    given = (rank < most[line]) | (rank < np.where(most > 0, most + SHARED - 1, 0)[line]) & (count <= hot)
+    shared = np.clip(np.bincount(line[given], minlength=len(sizes)) - most + 1, 1, SHARED)
     last = np.flatnonzero(np.diff(line, append=-1) != 0)
     crowded = 3 * np.bincount(line, weights=count > hot, minlength=len(sizes)) > np.bincount(line, minlength=len(sizes))
     last = last[crowded[line[last]]]
     pivot = np.concatenate([np.zeros(int(given.sum()), bool), np.ones(len(last), bool)])
-    return np.concatenate([line[given], line[last]]), np.concatenate([hashed[given], hashed[last]]), pivot
+    return np.concatenate([line[given], line[last]]), np.concatenate([hashed[given], hashed[last]]), pivot, shared
 
 
 def short_forms(codes: np.ndarray, sizes: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,24 +228,27 @@ def keys_of(
     batches: Iterator[pa.RecordBatch], run: int, most: int, long: int, least: int, short: int, similarity: float | None = None,
     frequent: tuple[np.ndarray, np.ndarray] | None = None, hot: float = 0,
 ) -> Iterator[pa.RecordBatch]:
-    """From `_node`, `_code` to `_node`, `_sim` (words), `block`, one row a key: runs of long lines, forms of short ones.
+    """From `_node`, `_code` to `_node`, `_sim` (words), `block`, `need`, one row a key: runs of long lines, forms of short ones.
 
-    With a similarity, a line gives as many runs as `prefix_sizes` says, the rarest first, and each form once; the lowest
-    bit of a block is 1 just for keys that serve the pivot only.
+    With a similarity, a line gives as many runs as `prefix_sizes` says and up to SHARED - 1 more, the rarest first, and each form
+    once; the lowest bit of a block is 1 just for keys that serve the pivot only, and `need` is how many keys a line shares
+    at least with any similar one, unless both have up to `short` words: then it is one.
     """
     for batch in batches:
         for nodes, codes, sizes in parts_of(batch):
             forms = short_forms(codes, sizes, least, short)
+            need = np.ones(len(sizes), np.int64)
             if similarity is None:
                 runs = smallest_runs(codes, sizes, run, most, long)
                 line, block = np.concatenate([runs[0], forms[0]]), np.concatenate([runs[1], forms[1]])
             else:
                 runs = rarest_runs(codes, sizes, run, prefix_sizes(sizes, run, similarity, short), long, frequent, hot)
+                need = runs[3]
                 form = np.unique(np.rec.fromarrays([forms[0], forms[1] >> np.uint64(1) << np.uint64(1)]))
                 line, block = np.concatenate([runs[0], form.f0]), np.concatenate([runs[1] >> np.uint64(1) << np.uint64(1) | runs[2].astype(np.uint64), form.f1])
             block = block.view(np.int64)
-            arrays = [nodes.take(pa.array(line)), pa.array(sizes[line].astype(np.int32)), pa.array(block)]
-            yield pa.RecordBatch.from_arrays(arrays, ["_node", "_sim", "block"])
+            arrays = [nodes.take(pa.array(line)), pa.array(sizes[line].astype(np.int32)), pa.array(block), pa.array(need[line].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["_node", "_sim", "block", "need"])
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:
@@ -256,15 +268,17 @@ def halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values.astype(np.uint8), (values >> 8).astype(np.uint8)
 
 
-def packed(number: np.ndarray, sim: np.ndarray, block: np.ndarray, bits: int, crowded: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    """Keys as one row for each part and base: 32 bits of the block, 16 of the number, 15 of the words, 1 for the pivot.
+def packed(
+    number: np.ndarray, sim: np.ndarray, block: np.ndarray, need: np.ndarray, bits: int, crowded: tuple[np.ndarray, np.ndarray]
+) -> pa.RecordBatch:
+    """Keys as one row for each part and base: 32 bits of the block, 16 of the number, 13 of the words, 2 of the need, 1 for the pivot.
 
     Low and high bytes are kept apart, as the high ones hardly change and take next to nothing once they are compressed.
     A part is the first `bits` bits of the block, so that a part of keys holds whole groups. Keys in `crowded` (sorted, and
     their numbers of lines) are dealt to the parts by base instead, with their block, as their groups may be of any size.
     """
     pivot = block & np.uint64(1)
-    sims = (np.minimum(sim, SIZED).astype(np.uint64) | pivot << np.uint64(15)).astype("<u2")
+    sims = (np.minimum(sim, SIZED).astype(np.uint64) | (need - 1).astype(np.uint64) << np.uint64(13) | pivot << np.uint64(15)).astype("<u2")
     whole, lines = np.zeros(len(block), np.uint64), np.zeros(len(block), np.int64)
     part = block >> np.uint64(64 - bits)
     if len(crowded[0]):
@@ -294,7 +308,7 @@ def packed_keys(batches: Iterator[pa.RecordBatch], bits: int, crowded: tuple[np.
     held, count = [], 0
     for found in keys_of(batches, **options):
         if found.num_rows:
-            held.append((found.column(0).to_numpy(), found.column(1).to_numpy(), found.column(2).to_numpy().view(np.uint64)))
+            held.append((found.column(0).to_numpy(), found.column(1).to_numpy(), found.column(2).to_numpy().view(np.uint64), found.column(3).to_numpy()))
             count += found.num_rows
         if count >= PACKED:
             yield packed(*map(np.concatenate, zip(*held)), bits, crowded)
@@ -303,20 +317,34 @@ def packed_keys(batches: Iterator[pa.RecordBatch], bits: int, crowded: tuple[np.
         yield packed(*map(np.concatenate, zip(*held)), bits, crowded)
 
 
-MEETING = "a long, b long, sim int, block long, n long, sign long"
+MEETING = "a long, b long, sim int, need int, block long, n long, sign long"
+
+
+def pairs_within(starts: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows of the groups that start at `starts` with `n` rows each, about PAIRS at a time."""
+    total, low = np.cumsum(n * (n - 1) // 2), 0
+    while low < len(n):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + PAIRS, "right")))
+        sizes = n[low:high]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place, after = np.repeat(starts[low:high], sizes) + within, np.repeat(sizes, sizes) - 1 - within
+        left = np.repeat(place, after)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+        low = high
 
 
-def meeting(keys: pa.Table, few: int, similarity: float) -> pa.Table:
+def meeting(keys: pa.Table, few: int, similarity: float, short: int = 0) -> pa.Table:
     """What the packed keys of one part have in common, one row a pair or member.
 
-    Groups of up to `few` give their pairs `a`, `b` whose lengths allow the similarity, once; larger ones and those for the
-    pivot their members `a` with words, block and size, the first member also a sign that groups of equal members share.
+    Groups of up to `few` give their pairs `a`, `b` whose lengths allow the similarity, once, with the number `n` of keys
+    shared here and how many they `need` to share; larger ones and those for the pivot their members `a` with words, need,
+    block and size, the first member also a sign that groups of equal members share.
     """
     joined = lambda name, kind: np.frombuffer(b"".join(keys.column(name).to_pylist()), kind).astype(np.int64)
     sizes = pc.binary_length(keys.column("spot")).to_numpy()
     numbers = np.repeat(keys.column("base").to_numpy() * BASE, sizes) + joined("spot", "u1") + (joined("spot_high", "u1") << 8)
     sims, rest = joined("sims", "u1") + (joined("sims_high", "u1") << 8), joined("rest", "<u4")
-    pivot, sim = sims >> 15, (sims & SIZED).astype(np.int32)
+    pivot, sim, need = sims >> 15, (sims & SIZED).astype(np.int32), (sims >> 13 & SHARED - 1).astype(np.int32) + 1
     block = np.int64(keys.column("part")[0].as_py()) << 33 | rest << 1 | pivot
     whole, lines = keys.column("whole").to_numpy(), keys.column("n").to_numpy()
     crowded = np.repeat(lines > 0, sizes)
@@ -325,35 +353,34 @@ def meeting(keys: pa.Table, few: int, similarity: float) -> pa.Table:
     same = block[order][1:] == block[order][:-1]
     order = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
     order = order[np.lexsort((numbers[order], block[order]))]
-    order = order[changes(block[order], numbers[order])] if len(order) else order
     starts = changes(block[order]) if len(order) else np.zeros(0, np.int64)
     n = np.diff(np.append(starts, len(order)))
     small = (n <= few) & (pivot[order[starts]] == 0)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for size in range(2, few + 1):
-        first = starts[small & (n == size)]
-        for i in range(size):
-            for j in range(i + 1, size):
-                left, right = order[first + i], order[first + j]
-                close = np.abs(sim[left] - sim[right]) <= np.maximum(sim[left], sim[right]) * (1 - similarity) + 1e-9
-                a.append(numbers[left[close]])
-                b.append(numbers[right[close]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    by = np.lexsort((b, a))
-    a, b = a[by], b[by]
-    once = changes(a, b) if len(a) else by
-    pairs = pa.table({"a": a[once], "b": b[once]})
-    large = ~small & (n > 1)
-    each = np.repeat(large, n)
-    members = order[each]
-    heads = np.zeros(len(order), bool)
+    # Rows are not made one a line before pairs are counted: different runs of a line may agree in the bits that are kept.
+    known, local = np.unique(numbers[order], return_inverse=True)
+    found = [np.zeros(0, np.int64)]
+    for left, right in pairs_within(starts[small], n[small]):
+        one, other = sim[order[left]], sim[order[right]]
+        close = (local[left] != local[right]) & (np.abs(one - other) <= np.maximum(one, other) * (1 - similarity) + 1e-9)
+        found.append(local[left[close]] * len(known) + local[right[close]])
+    found, counts = np.unique(np.concatenate(found), return_counts=True)
+    a, b = np.divmod(found, max(1, len(known)))
+    sim_of, need_of = np.zeros(len(known), np.int32), np.ones(len(known), np.int32)
+    sim_of[local], need_of[local] = sim[order], need[order]
+    needed = np.where(np.maximum(sim_of[a], sim_of[b]) > short, np.minimum(need_of[a], need_of[b]), 1).astype(np.int32)
+    pairs = pa.table({"a": known[a], "b": known[b], "need": needed, "n": counts.astype(np.int64)})
+    members = order[np.repeat(~small & (n > 1), n)]
+    members = members[changes(block[members], numbers[members])] if len(members) else members
+    starts = changes(block[members]) if len(members) else np.zeros(0, np.int64)
+    n = np.diff(np.append(starts, len(members)))
+    heads = np.zeros(len(members), bool)
     heads[starts] = True
-    signs = np.bitwise_xor.reduceat(mixed(numbers[order].astype(np.uint64)), starts).view(np.int64) if len(order) else np.zeros(0, np.int64)
+    signs = np.bitwise_xor.reduceat(mixed(numbers[members].astype(np.uint64)), starts).view(np.int64) if len(members) else np.zeros(0, np.int64)
     rows = pa.table({
-        "a": numbers[members], "sim": sim[members], "block": block[members], "n": np.repeat(n, n)[each].astype(np.int64),
-        "sign": pa.array(np.repeat(signs, n)[each], mask=~heads[each]),
+        "a": numbers[members], "sim": sim[members], "need": need[members], "block": block[members], "n": np.repeat(n, n).astype(np.int64),
+        "sign": pa.array(np.repeat(signs, n), mask=~heads),
     })
     hot = np.flatnonzero(crowded)
     blocks = np.repeat(whole, sizes)[hot]
-    known = pa.table({"a": numbers[hot], "sim": sim[hot], "block": blocks, "n": np.repeat(lines, sizes)[hot], "sign": blocks})
-    return pa.concat_tables([pairs, rows, known], promote_options="default").select(["a", "b", "sim", "block", "n", "sign"])
+    frequent = pa.table({"a": numbers[hot], "sim": sim[hot], "need": need[hot], "block": blocks, "n": np.repeat(lines, sizes)[hot], "sign": blocks})
+    return pa.concat_tables([pairs, rows, frequent], promote_options="default").select(["a", "b", "sim", "need", "block", "n", "sign"])

@@ -74,7 +74,7 @@ LANES = (7, 8, 14)
 BROADCAST_NODES, BROADCAST_ROWS = 1_000_000, 300_000
 BROADCAST_KEYS = 1_000_000
 #: Words whose keys meet in one part; groups up to FEW are held pair by pair at once; runs expected in over CROWD lines are no part's.
-PART, FEW, CROWD = 600_000, 4, 100_000
+PART, FEW, CROWD = 600_000, 32, 100_000
 #: Characters that stand for a word in edit distances without `whole`: the code points of two bytes from here on.
 FIRST_CODE, CODES = 0x100, 0x700
 
@@ -232,6 +232,10 @@ def line_nodes(rows: DataFrame) -> DataFrame:
     return written(counting.dropDuplicates(["_node"]).withColumn("_number", F.monotonically_increasing_id()))
 
 
+def band_of(words: Column, similarity: float) -> Column:
+    return F.floor(F.log(words.cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
+
+
 def near_runs(nodes: DataFrame, similarity: float) -> DataFrame:
     """Links a, b that connect all of the `line_nodes` with similar lines, by the runs that they share."""
     if similarity < SIMILARITY:
@@ -250,26 +254,32 @@ def near_runs(nodes: DataFrame, similarity: float) -> DataFrame:
     keys = nodes.select(F.col("_number").alias("_node"), "_code").mapInArrow(pack, PACKED_KEYS)
 
     def met(part: pa.Table) -> pa.Table:
-        return meeting(part, few_members, similarity)
+        return meeting(part, few_members, similarity, short)
 
-    few_members = FEW
-    found = written(keys.groupBy("part").applyInArrow(met, MEETING))
+    few_members, short = FEW, SHORT
     lines = nodes.select(F.col("_number").alias("_node"), F.decode("_code", "UTF-16BE").alias("_code"))
-    known = similar(found.where(F.col("b").isNotNull()).select("a", "b").distinct(), lines, similarity)
-    # Near copies share many keys: of groups with the same members, by a hash, one says all. The kind of key is part of it.
-    pivot = F.col("block").bitwiseAND(F.lit(1))
-    each = found.where(F.col("sign").isNotNull()).groupBy("n", "sign", pivot.alias("pivot")).agg(F.min("block").alias("block"))
-    each = few(written(each.select("block", "n")), BROADCAST_KEYS)
-    members = found.where(F.col("b").isNull()).select(F.col("a").alias("_node"), F.col("sim").alias("_sim"), "block")
-    members = written(members.join(each, "block"))
+    with passing(keys.groupBy("part").applyInArrow(met, MEETING)) as found:
+        pairs = found.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("n").cast("int").alias("shared"), F.max("need").alias("need"))
+        counted = written(pairs)
+        # Near copies share many keys: of groups with the same members, by a hash, one says all. The kind of key is part of it.
+        pivot = F.col("block").bitwiseAND(F.lit(1))
+        each = found.where(F.col("sign").isNotNull()).groupBy("n", "sign", pivot.alias("pivot")).agg(F.min("block").alias("block"), F.count("*").alias("equal"))
+        # Every member of a crowded group has its block as the sign.
+        equal = F.when(F.col("block") == F.col("sign"), F.lit(1)).otherwise(F.col("equal")).cast("int").alias("equal")
+        each = few(written(each.select("block", "n", equal)), BROADCAST_KEYS)
+        members = found.where(F.col("b").isNull()).select(F.col("a").alias("_node"), F.col("sim").alias("_sim"), "need", "block")
+        members = written(members.join(each, "block"))
+    # Each line is held against the first that shares enough with it; what that leaves apart, later against the others.
+    firsts = written(counted.where("shared >= need").groupBy("b").agg(F.min("a").alias("a")))
+    known = similar(firsts, lines, similarity)
     # Lines whose lengths allow the similarity are in the same band or in neighbouring ones.
-    band = F.floor(F.log(F.col("_sim").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
+    band = band_of(F.col("_sim"), similarity)
     banded = F.explode(F.array(band, band + 1))
     pivots = pivot_links(members.where(pivot == 1).withColumn("band", banded), ["block", "band"], ["_sim", "_node"], lines, similarity)
     known = known.unionByName(pivots)
     paths = F.explode(F.when(F.col("n") > HOT, F.array(band, band + 1)).otherwise(F.array(F.lit(-1))))
-    grouped = members.where(pivot == 0).select("_node", "_sim", paths.alias("path"), "block")
-    rays, others = star_links(grouped, lines, None, similarity, known)
+    grouped = members.where(pivot == 0).select("_node", "_sim", "need", "equal", paths.alias("path"), "block")
+    rays, others = star_links(grouped, lines, None, similarity, known, counted, firsts)
     links = known.unionByName(rays).unionByName(others)
     ends = few(links.select(F.explode(F.array("a", "b")).alias("_number")).distinct(), BROADCAST_NODES)
     named = written(nodes.select("_number", "_node").join(ends, "_number", "left_semi"))
@@ -285,10 +295,15 @@ def pivot_links(members: DataFrame, group: list[str], least: list[str], lines: D
     return similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), lines, similarity)
 
 
-def star_links(members: DataFrame, nodes: DataFrame, radius: int | None, similarity: float, known: DataFrame | None = None) -> list[DataFrame]:
+def star_links(
+    members: DataFrame, nodes: DataFrame, radius: int | None, similarity: float, known: DataFrame | None = None,
+    counted: DataFrame | None = None, compared: DataFrame | None = None,
+) -> list[DataFrame]:
     """Links to each group's first member, then those of the members that have none with the others.
 
-    Members that these or the `known` links connect are not held against each other.
+    Members that these or the `known` links connect are not held against each other. With `counted`, the keys that pairs
+    share in other groups, pairs of these and those groups are held against each other only if they share as many keys in
+    all as they need to, and are not `compared` yet; members then have a `need`, and `equal` for the groups that theirs stands for.
     """
     group = ["path", "block"]
     first = members.groupBy(*group).agg(F.min(F.struct("_node", "_sim")).alias("_first"))
@@ -296,13 +311,31 @@ def star_links(members: DataFrame, nodes: DataFrame, radius: int | None, similar
     rayed = members.withColumnRenamed("_node", "a").join(first, group).where(F.col("a") != F.col("b"))
     rays = similar(rayed.where(close(F.col("_sim"), F.col("_sim_b"), radius, similarity)).select("a", "b").distinct(), nodes, similarity)
     roots = components(rays if known is None else rays.unionByName(known))
+    roots = roots if counted is None else written(roots)
     rooted = members.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
+    carried = [] if counted is None else [F.col("need").alias("_need_a")]
     alone = rayed.join(rays, ["a", "b"], "left_anti").select(*group, "a", F.col("b").alias("_first")).join(
-        rooted.select(*group, F.col("_node").alias("a"), F.col("_sim").alias("_sim_a"), F.col("_root").alias("_root_a")), [*group, "a"]
+        rooted.select(*group, F.col("_node").alias("a"), F.col("_sim").alias("_sim_a"), F.col("_root").alias("_root_a"), *carried), [*group, "a"]
     )
-    others = rooted.withColumnRenamed("_node", "b").join(alone, group).where(F.col("b") != F.col("_first"))
+    rooted = rooted.withColumnRenamed("_node", "b")
+    if counted is not None:
+        rooted = rooted.join(alone.select(*group, F.col("a").alias("b"), F.lit(True).alias("_also")), [*group, "b"], "left")
+    others = rooted.join(alone, group).where(F.col("b") != F.col("_first"))
     others = others.where((F.col("_root") != F.col("_root_a")) & close(F.col("_sim"), F.col("_sim_a"), radius, similarity))
-    others = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    if counted is None:
+        others = others.select(*ends).distinct()
+    else:
+        # Once for a group: from the smaller of two that are alone, and in the first of the bands that both are in.
+        others = others.where((F.col("a") < F.col("b")) | F.col("_also").isNull())
+        others = others.where((F.col("path") < 0) | (F.col("path") == band_of(F.greatest("_sim", "_sim_a"), similarity)))
+        need = F.when(F.greatest("_sim", "_sim_a") > SHORT, F.least("need", "_need_a")).otherwise(F.lit(1)).alias("need")
+        shared = others.select(*ends, F.col("equal").alias("shared"), need).unionByName(counted)
+        enough = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
+        root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"_root_{side}"))
+        apart = enough.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
+        apart = apart.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select("a", "b")
+        others = apart.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     return [rays, similar(others, nodes, similarity)]
 
 

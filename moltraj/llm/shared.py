@@ -14,6 +14,8 @@ from moltraj.scale import ensure_checkpoint_dir
 
 #: Folders written by `written`, for `forget`.
 WRITTEN: list[str] = []
+#: Spark's setting by which a query's shuffle files are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,11 +48,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/moltraj-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes in the block go as each ends, not when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and still there when an executor is lost."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
