@@ -10,7 +10,8 @@ No radius that pays reaches pairs at SIMILARITY (at 0.8 to 0.9 the SimHashes of
 and 12 at the ninth decile), so with `whole`, as in the query and the pipeline, parts of lines are the blocks of the
 pigeonhole argument instead of parts of hashes: runs of RUN words, of which an edit breaks at most RUN. A line gives its
 rarest runs, as many as its similar lines may lack and one more (`line_codes.prefix_sizes`), so that two similar lines
-always meet; there is no cap. Lines of up to SHORT words, where one edit is all that SIMILARITY allows, give themselves and
+always meet; there is no cap. Of up to three rare runs beyond these, similar lines share as many more, so lines that share
+fewer are not compared. Lines of up to SHORT words, where one edit is all that SIMILARITY allows, give themselves and
 themselves without each word instead or as well. How frequent runs are is counted on about SAMPLED lines; that decides
 nothing but the order in which a line's runs are given, and any order that all lines share gives the same links. Keys are
 shuffled once, packed in parts of the key space with seven to eight bytes a key, and meet there in numpy: keys of one line
