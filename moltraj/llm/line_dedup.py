@@ -10,15 +10,18 @@ No radius that pays reaches pairs at SIMILARITY (at 0.8 to 0.9 the SimHashes of
 and 12 at the ninth decile), so with `whole`, as in the query and the pipeline, parts of lines are the blocks of the
 pigeonhole argument instead of parts of hashes: runs of RUN words, of which an edit breaks at most RUN. A line gives its
 rarest runs, as many as its similar lines may lack and one more (`line_codes.prefix_sizes`), so that two similar lines
-always meet; there is no cap. Of up to three rare runs beyond these, similar lines share as many more, so lines that share
-fewer are not compared. Lines of up to SHORT words, where one edit is all that SIMILARITY allows, give themselves and
-themselves without each word instead or as well. How frequent runs are is counted on about SAMPLED lines; that decides
+always meet; there is no cap. Pairs of which one line has LONGER[1] words or more meet by runs of LONGER[0] words, of which
+few are shared by chance however many lines there are: the edits that SIMILARITY allows never break all of these. Lines of
+up to SHORT words, where one edit is all that it allows, give themselves and themselves without each word instead or as well. How frequent runs are is counted on about SAMPLED lines; that decides
 nothing but the order in which a line's runs are given, and any order that all lines share gives the same links. Keys are
-shuffled once, packed in parts of the key space with seven to eight bytes a key, and meet there in numpy: keys of one line
-alone end there, groups of up to FEW lines leave as pairs, larger ones as members. Runs that the sample expects in over CROWD
-lines are left out of the parts, as their groups have no bound. Groups above HOT are cut by length.
+shuffled once, packed in parts of the key space with about eight bytes a key, and meet there in numpy: keys of one line
+alone end there, groups of up to FEW lines leave as pairs, if the places of the run allow it, larger ones as members. Runs that the sample expects in over CROWD
+lines are left out of the parts, as their groups have no bound. Groups above HOT are cut by length for their first members,
+those above TILE are held together in pairs of tiles.
 Lines that are largely made of frequent runs are first held against one pivot for their most frequent run, which connects
-large families of near copies before members are held against each other.
+large families of near copies before members are held against each other. A pair is compared by edit distance only if its
+bags of words, as bits, differ by no more words than there may be edits; members of large groups that are not connected
+yet are held against each other by these bits alone, in numpy.
 Words and keys come from numpy kernels on Arrow batches (`line_codes`): by expressions alone they took 380 task seconds
 a GB, nearly all that the operator may use. Joins, groups and edit similarity are DataFrame operations either way.
 
@@ -51,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from moltraj.llm.components import components
-from moltraj.llm.line_codes import MEETING, PACKED_KEYS, every_run, lines_of, meeting, packed_keys
+from moltraj.llm.line_codes import BAGS, MEETING, PACKED_KEYS, alike, every_run, lines_of, meeting, packed_keys, with_bags
 from moltraj.llm.shared import passing, table, written
 from moltraj.scale import fits
 
@@ -63,6 +66,10 @@ LEVELS = 3
 BITS = 56
 #: Words in a run, and lines above which a group is cut by length and a run counts as crowded.
 RUN, HOT = 3, 256
+#: Words in a run of pairs of which the longer line has so many words.
+LONGER = (4, 16)
+#: Keys that lines share which are held against each other first, and members of a group that are held against each other in one task.
+LIKELY, TILE = 4, 4096
 #: Lines, about, whose runs are counted to order runs by frequency; how many of the most frequent are told apart.
 SAMPLED, FREQUENT = 100_000, 200_000
 #: Lines up to SHORT words are compared without one word, those from LONG on by runs.
@@ -179,17 +186,34 @@ def few(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if fits(rows, most) else rows
 
 
+def bagged(lines: DataFrame) -> DataFrame:
+    """`lines` with the bags of their words."""
+    return lines.select("_node", "_code").mapInArrow(with_bags, ", ".join(["_node long, _code binary, kinds array<smallint>", *(f"{bag} long" for bag in BAGS)]))
+
+
 def similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b of nodes whose lines have at least the edit similarity, written. A node is one row of `nodes`."""
     with passing(pairs) as pairs:
         wanted = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
-        with passing(nodes.select("_node", "_code").join(few(wanted, BROADCAST_NODES), "_node", "left_semi")) as lines:
-            left, right = (lines.select(F.col("_node").alias(side), F.col("_code").alias(f"line_{side}")) for side in ("a", "b"))
-            both = pairs.join(left, "a").join(right, "b")
-            longest = F.greatest(F.length("line_a"), F.length("line_b"))
+        lines = nodes.select("_node", "_code").join(few(wanted, BROADCAST_NODES), "_node", "left_semi")
+        whole = isinstance(nodes.schema["_code"].dataType, BinaryType)
+        bags = [F.col(bag) for bag in BAGS] if whole else []
+        if whole:
+            full = sum((F.bit_count(bag) for bag in bags), F.lit(0)).alias("_full")
+            lines = bagged(lines).select("_node", F.decode("_code", "UTF-16BE").alias("_code"), "kinds", full, *bags)
+        with passing(lines) as lines:
+            left, right = (lines.select([F.col(name).alias("_node" if name == "_node" else f"{name}_{side}") for name in lines.columns]) for side in ("a", "b"))
+            both = pairs.join(left.withColumnRenamed("_node", "a"), "a").join(right.withColumnRenamed("_node", "b"), "b")
+            longest = F.greatest(F.length("_code_a"), F.length("_code_b"))
             most = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-            near = F.abs(F.length("line_a") - F.length("line_b")) <= most
-            within = F.call_function("levenshtein", F.col("line_a"), F.col("line_b"), most) >= 0
+            near = F.abs(F.length("_code_a") - F.length("_code_b")) <= most
+            if whole:
+                shared = sum((F.bit_count(F.col(f"{bag}_a").bitwiseAND(F.col(f"{bag}_b"))) for bag in BAGS), F.lit(0))
+                near = near & (F.greatest("_full_a", "_full_b") - shared <= most)
+                for one, other in (("kinds_a", "kinds_b"), ("kinds_b", "kinds_a")):
+                    more = F.zip_with(one, other, lambda x, y: F.greatest(x - y, F.lit(0).cast("smallint")))
+                    near = near & (F.coalesce(F.aggregate(more, F.lit(0), lambda done, x: done + x), F.lit(0)) <= most)
+            within = F.call_function("levenshtein", F.col("_code_a"), F.col("_code_b"), most) >= 0
             return written(both.where(near & within).select("a", "b"))
 
 
@@ -219,7 +243,8 @@ def near_lines(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
 def frequent_runs(nodes: DataFrame, count: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
     """Hashes, sorted, and counts of the most frequent runs of one line in so many, and that number. For the order of runs only."""
     one_in = max(1, count // SAMPLED)
-    runs = nodes.where(F.pmod("_node", F.lit(one_in)) == 0).select("_node", "_code").mapInArrow(partial(every_run, run=RUN, long=LONG), "block long")
+    sampled = nodes.where(F.pmod("_node", F.lit(one_in)) == 0).select("_node", "_code")
+    runs = sampled.mapInArrow(partial(every_run, run=RUN, long=LONG, longer=LONGER), "block long")
     counted = runs.groupBy("block").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "block").limit(FREQUENT)
     found = counted.toArrow()
     block = found.column("block").to_numpy().view(np.uint64)
@@ -246,97 +271,94 @@ def near_runs(nodes: DataFrame, similarity: float) -> DataFrame:
     lines_of_run = frequent[1] * one_in
     crowded = frequent[0] >> np.uint64(1) << np.uint64(1), lines_of_run
     crowded = tuple(values[lines_of_run > CROWD] for values in crowded)
-    # A long line gives about 0.6 keys a word, a short one about one a word.
+    # A long line gives about 0.8 keys a word, a short one about one a word.
     bits = max(1, int((words or 0) / PART).bit_length())
     pack = partial(
         packed_keys, bits=bits, crowded=crowded, run=RUN, most=0, long=LONG, least=MIN_WORDS, short=SHORT, similarity=similarity,
-        frequent=frequent, hot=max(2, HOT / one_in),
+        frequent=frequent, hot=max(2, HOT / one_in), longer=LONGER,
     )
-    keys = nodes.select(F.col("_number").alias("_node"), "_code").mapInArrow(pack, PACKED_KEYS)
+    lines = nodes.select(F.col("_number").alias("_node"), "_code")
+    keys = lines.mapInArrow(pack, PACKED_KEYS)
+    few_members = FEW
 
     def met(part: pa.Table) -> pa.Table:
-        return meeting(part, few_members, similarity, short)
+        return meeting(part, few_members, similarity)
 
-    few_members, short = FEW, SHORT
-    lines = nodes.select(F.col("_number").alias("_node"), F.decode("_code", "UTF-16BE").alias("_code"))
     with passing(keys.groupBy("part").applyInArrow(met, MEETING)) as found:
-        pairs = found.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("n").cast("int").alias("shared"), F.max("need").alias("need"))
-        counted = written(pairs)
+        counted = written(found.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("n").alias("shared")))
         # Near copies share many keys: of groups with the same members, by a hash, one says all. The kind of key is part of it.
         pivot = F.col("block").bitwiseAND(F.lit(1))
-        each = found.where(F.col("sign").isNotNull()).groupBy("n", "sign", pivot.alias("pivot")).agg(F.min("block").alias("block"), F.count("*").alias("equal"))
+        each = found.where(F.col("sign").isNotNull()).groupBy("n", "sign", pivot.alias("pivot")).agg(F.min("block").alias("block"))
         # Every member of a crowded group has its block as the sign.
-        equal = F.when(F.col("block") == F.col("sign"), F.lit(1)).otherwise(F.col("equal")).cast("int").alias("equal")
-        each = few(written(each.select("block", "n", equal)), BROADCAST_KEYS)
-        members = found.where(F.col("b").isNull()).select(F.col("a").alias("_node"), F.col("sim").alias("_sim"), "need", "block")
+        each = few(written(each.select("block", "n")), BROADCAST_KEYS)
+        members = found.where(F.col("b").isNull()).select(F.col("a").alias("_node"), F.col("sim").alias("_sim"), "block")
         members = written(members.join(each, "block"))
-    # Each line is held against the first that shares enough with it; what that leaves apart, later against the others.
-    firsts = written(counted.where("shared >= need").groupBy("b").agg(F.min("a").alias("a")))
-    known = similar(firsts, lines, similarity)
-    # Lines whose lengths allow the similarity are in the same band or in neighbouring ones.
+    # Each line is held against one that shares most with it, and members against the first of their groups: what that leaves
+    # apart, later against the others. Lines whose lengths allow the similarity are in the same band or in neighbouring ones.
     band = band_of(F.col("_sim"), similarity)
-    banded = F.explode(F.array(band, band + 1))
-    pivots = pivot_links(members.where(pivot == 1).withColumn("band", banded), ["block", "band"], ["_sim", "_node"], lines, similarity)
-    known = known.unionByName(pivots)
-    paths = F.explode(F.when(F.col("n") > HOT, F.array(band, band + 1)).otherwise(F.array(F.lit(-1))))
-    grouped = members.where(pivot == 0).select("_node", "_sim", "need", "equal", paths.alias("path"), "block")
-    rays, others = star_links(grouped, lines, None, similarity, known, counted, firsts)
-    links = known.unionByName(rays).unionByName(others)
+    banded = members.withColumn("band", F.explode(F.when((pivot == 1) | (F.col("n") > HOT), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))))
+    firsts = counted.groupBy("b").agg(F.min(F.struct(F.col("shared") < LIKELY, "a")).alias("_first")).select("_first.a", "b")
+    asked = firsts
+    for kind, least in ((1, ["_sim", "_node"]), (0, ["_node", "_sim"])):
+        asked = asked.unionByName(first_pairs(banded.where(pivot == kind), ["block", "band"], least, similarity))
+    asked = written(asked.distinct())
+    known = similar(asked, lines, similarity)
+    roots = written(components(known))
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"_root_{side}"))
+    apart = counted.select("a", "b").unionByName(unconnected(members.where(pivot == 0), roots, lines, similarity)).distinct()
+    apart = apart.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = apart.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select("a", "b")
+    links = known.unionByName(similar(apart.join(asked, ["a", "b"], "left_anti"), lines, similarity))
     ends = few(links.select(F.explode(F.array("a", "b")).alias("_number")).distinct(), BROADCAST_NODES)
     named = written(nodes.select("_number", "_node").join(ends, "_number", "left_semi"))
     left, right = (named.select(F.col("_number").alias(side), F.col("_node").alias(f"node_{side}")) for side in ("a", "b"))
     return links.join(left, "a").join(right, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def pivot_links(members: DataFrame, group: list[str], least: list[str], lines: DataFrame, similarity: float) -> DataFrame:
-    """Links of members to the one of their group that is least by `least`."""
-    pivots = members.groupBy(*group).agg(F.min(F.struct(*least)).alias("_least"), F.count("*").alias("n")).where("n > 1")
-    pivots = pivots.select(*group, F.col("_least._node").alias("b"))
-    pairs = members.select(F.col("_node").alias("a"), *group).join(pivots, group).where(F.col("a") != F.col("b"))
-    return similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), lines, similarity)
+def first_pairs(members: DataFrame, group: list[str], least: list[str], similarity: float) -> DataFrame:
+    """Pairs of members with the one of their group that is least by `least`, if lengths allow the similarity."""
+    first = members.groupBy(*group).agg(F.min(F.struct(*least)).alias("_first"))
+    first = first.select(*group, F.col("_first._node").alias("b"), F.col("_first._sim").alias("_sim_b"))
+    pairs = members.withColumnRenamed("_node", "a").join(first, group).where((F.col("a") != F.col("b")) & close(F.col("_sim"), F.col("_sim_b"), None, similarity))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def unconnected(members: DataFrame, roots: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members of one block with different roots whose bags allow the similarity."""
+
+    def held(cell: pa.Table) -> pa.Table:
+        return alike(cell, similarity)
+
+    rooted = members.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").select("block", "n", "_node", "_sim", F.coalesce("root", "_node").alias("_root"))
+    several = rooted.groupBy("block").agg(F.min("_root").alias("low"), F.max("_root").alias("high")).where("low < high").select("block")
+    with passing(rooted.join(few(several, BROADCAST_KEYS), "block", "left_semi")) as rooted:
+        wanted = few(rooted.select("_node").distinct(), BROADCAST_NODES)
+        bags = bagged(lines.join(wanted, "_node", "left_semi")).drop("_code")
+        tiles = F.ceil(F.col("n") / TILE).cast("int")
+        dealt = rooted.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("_node"), F.col("tiles")).cast("int"))
+        cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.least("tile", other) * F.col("tiles") + F.greatest("tile", other))
+        dealt = dealt.select("block", F.explode(cells).alias("cell"), "_node", "_sim", "_root", "tile").join(bags, "_node")
+        return written(dealt.groupBy("block", "cell").applyInArrow(held, "a long, b long").distinct())
 
 
-def star_links(
-    members: DataFrame, nodes: DataFrame, radius: int | None, similarity: float, known: DataFrame | None = None,
-    counted: DataFrame | None = None, compared: DataFrame | None = None,
-) -> list[DataFrame]:
+def star_links(members: DataFrame, nodes: DataFrame, radius: int, similarity: float) -> list[DataFrame]:
     """Links to each group's first member, then those of the members that have none with the others.
 
-    Members that these or the `known` links connect are not held against each other. With `counted`, the keys that pairs
-    share in other groups, pairs of these and those groups are held against each other only if they share as many keys in
-    all as they need to, and are not `compared` yet; members then have a `need`, and `equal` for the groups that theirs stands for.
+    Members that these links connect are not held against each other.
     """
     group = ["path", "block"]
     first = members.groupBy(*group).agg(F.min(F.struct("_node", "_sim")).alias("_first"))
     first = first.select(*group, F.col("_first._node").alias("b"), F.col("_first._sim").alias("_sim_b"))
     rayed = members.withColumnRenamed("_node", "a").join(first, group).where(F.col("a") != F.col("b"))
     rays = similar(rayed.where(close(F.col("_sim"), F.col("_sim_b"), radius, similarity)).select("a", "b").distinct(), nodes, similarity)
-    roots = components(rays if known is None else rays.unionByName(known))
-    roots = roots if counted is None else written(roots)
+    roots = components(rays)
     rooted = members.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
-    carried = [] if counted is None else [F.col("need").alias("_need_a")]
     alone = rayed.join(rays, ["a", "b"], "left_anti").select(*group, "a", F.col("b").alias("_first")).join(
-        rooted.select(*group, F.col("_node").alias("a"), F.col("_sim").alias("_sim_a"), F.col("_root").alias("_root_a"), *carried), [*group, "a"]
+        rooted.select(*group, F.col("_node").alias("a"), F.col("_sim").alias("_sim_a"), F.col("_root").alias("_root_a")), [*group, "a"]
     )
-    rooted = rooted.withColumnRenamed("_node", "b")
-    if counted is not None:
-        rooted = rooted.join(alone.select(*group, F.col("a").alias("b"), F.lit(True).alias("_also")), [*group, "b"], "left")
-    others = rooted.join(alone, group).where(F.col("b") != F.col("_first"))
+    others = rooted.withColumnRenamed("_node", "b").join(alone, group).where(F.col("b") != F.col("_first"))
     others = others.where((F.col("_root") != F.col("_root_a")) & close(F.col("_sim"), F.col("_sim_a"), radius, similarity))
-    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    if counted is None:
-        others = others.select(*ends).distinct()
-    else:
-        # Once for a group: from the smaller of two that are alone, and in the first of the bands that both are in.
-        others = others.where((F.col("a") < F.col("b")) | F.col("_also").isNull())
-        others = others.where((F.col("path") < 0) | (F.col("path") == band_of(F.greatest("_sim", "_sim_a"), similarity)))
-        need = F.when(F.greatest("_sim", "_sim_a") > SHORT, F.least("need", "_need_a")).otherwise(F.lit(1)).alias("need")
-        shared = others.select(*ends, F.col("equal").alias("shared"), need).unionByName(counted)
-        enough = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
-        root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"_root_{side}"))
-        apart = enough.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
-        apart = apart.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select("a", "b")
-        others = apart.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    others = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return [rays, similar(others, nodes, similarity)]
 
 
